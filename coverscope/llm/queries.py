@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import minhash, secrets, simhash, toxicity
+from coverscope.llm import bpe, lm, minhash, secrets, simhash, toxicity
 from coverscope.llm.common import table
 
 
@@ -30,10 +30,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import bpe, chat, decontamination, lm, minhash, secrets, simhash, toxicity, url_filter
+from coverscope.llm import bpe, chat, decontamination, lm, minhash, secrets, simhash, toxicity, url_filter, wrappers
 from coverscope.llm.common import table
 
 
@@ -87,6 +87,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
+    "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_rotation": op9_chat_rotation,

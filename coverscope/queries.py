@@ -1,2 +1,504 @@
-QUERIES = {}
-ORACLES = {}
+"""Every query over the given tables, with the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from coverscope.functions import numbers as N
+from coverscope.functions import text as X
+from coverscope.functions import urls as U
+from coverscope.functions.dates import age_seconds
+from coverscope.operators import clustering, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
+from coverscope.plans import adapters as A
+from coverscope.runtime import settle
+from coverscope.streaming import micro_batch
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+NOW = datetime(2024, 1, 31)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Events, mentions that pass the gates (one for each event and document), and articles, as SQL.
+GATED = """
+with ev as (
+  select o_orderkey as event_id, o_orderdate as date_added, n_name as region, n_regionkey from orders
+  join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+el as (
+  select * from (
+    select l_orderkey as event_id, l_partkey as document_id, l_suppkey as outlet_id, l_quantity * 2 as confidence, l_shipdate as mention_time, l_linenumber,
+      row_number() over (partition by l_orderkey, l_partkey order by l_quantity desc, l_shipdate desc, l_suppkey, l_linenumber) as r
+    from lineitem where l_returnflag <> 'N' and l_linestatus = 'F' and l_quantity * 2 >= 80 and l_orderkey in (select event_id from ev)) where r = 1),
+dc as (select p_partkey as document_id, case when p_brand <> 'Brand#1' then p_name end as title from part where p_size <= 40),
+ar as (select el.*, dc.title, ev.region, ev.n_regionkey from el join dc using (document_id) join ev using (event_id) where dc.title is not null)
+"""
+
+
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.eligible_mentions(A.mentions(spark, sf_dir), A.events(spark, sf_dir))
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.joined_documents(_eligible(spark, sf_dir), A.documents(spark, sf_dir))
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of each story: event_id as cluster_id, outlet, document, title, confidence, time."""
+    own = _joined(spark, sf_dir).where("outcome = 'joined'")
+    return own.select(F.col("event_id").alias("cluster_id"), "outlet_id", F.col("identifier").alias("document_id"), F.col("doc_title").alias("title"), "confidence", "mention_time")
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.events(spark, sf_dir).where("geo is not null").select(F.col("event_id").alias("cluster_id"), "region")
+
+
+@query(GATED + "select event_id, document_id, outlet_id, confidence, mention_time, title from ar")
+def gated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _joined(spark, sf_dir).where("outcome = 'joined'")
+    return own.select("event_id", F.col("identifier").alias("document_id"), "outlet_id", "confidence", "mention_time", F.col("doc_title").alias("title"))
+
+
+@query(GATED + "select count(*) as eligible, count(*) filter (title is not null) as joined, count(*) filter (dc.document_id is null) as without_document, count(*) filter (dc.document_id is not null and title is null) as without_title from el left join dc using (document_id)")
+def gate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.gate_counters(_joined(spark, sf_dir))
+
+
+_REGIONAL = GATED + """,
+co as (select region, event_id as cluster_id, outlet_id, count(*) as n from ar group by all),
+ot as (select region, outlet_id, sum(n) as total from co group by all),
+rg as (select region, sum(total) as regional_articles, count(*) as regional_outlets from ot group by all),
+sh as (select co.region, cluster_id, sum(n)::bigint as article_count, count(*) as outlet_count, sum(n / total) as own from co join ot using (region, outlet_id) group by all),
+pr as (select cluster_id, region, article_count, outlet_count, regional_articles::bigint as regional_articles, regional_outlets,
+  article_count / regional_articles as article_share, outlet_count / regional_outlets as outlet_share, own / regional_outlets as source_share,
+  (article_count / regional_articles + own / regional_outlets) / 2 as score from sh join rg using (region))
+"""
+
+
+@query(_REGIONAL + "select cluster_id, region, article_count, outlet_count, regional_articles, regional_outlets, round(article_share, 9) as article_share, round(outlet_share, 9) as outlet_share, round(source_share, 9) as source_normalized_share, round(score, 9) as score from pr")
+def regional_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prominence.regional_prominence(_articles(spark, sf_dir), _regions(spark, sf_dir))
+    return own.select("cluster_id", "region", "article_count", "outlet_count", "regional_articles", "regional_outlets", *[F.round(c, 9).alias(c) for c in ("article_share", "outlet_share", "source_normalized_share", "score")])
+
+
+@query("""
+select l_orderkey as event_id, l_partkey as document_id, l_suppkey as outlet_id, l_quantity * 2 as confidence, l_shipdate as mention_time from (
+  select *, row_number() over (partition by l_orderkey, l_partkey order by l_quantity desc, l_shipdate desc, l_suppkey, l_linenumber) as r from lineitem) where r = 1
+""")
+def dedupe_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = gates.deduplicated_mentions(A.mentions(spark, sf_dir))
+    return own.select("event_id", F.col("identifier").alias("document_id"), "outlet_id", "confidence", "mention_time")
+
+
+@query("""
+with s as (
+  select l_partkey as document_id, list({'published_at': l_shipdate, 'title': case when l_linestatus = 'O' then l_returnflag end} order by l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_linestatus, l_returnflag) as x
+  from lineitem group by all),
+d as (select document_id, list_reduce(x, lambda old, new: case when (new.title is not null and old.title is null) or new.published_at > old.published_at then new else old end) as d from s)
+select document_id, d.published_at as published_at, d.title as title from d
+""")
+def dedupe_documents_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("document_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_linestatus", "l_returnflag").alias("ord"), F.col("l_shipdate").alias("published_at"), F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("title")
+    )
+    return gates.folded_documents(own).select("document_id", "published_at", "title")
+
+
+_CLUSTERS = GATED + """,
+cl as (select event_id as cluster_id, any_value(region) as region, count(*) as article_count, count(distinct outlet_id) as outlet_count, min(mention_time) as first_observed_at, max(mention_time) as last_observed_at from ar group by event_id)
+"""
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _articles(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"), F.countDistinct("outlet_id").alias("outlet_count"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
+    return own.join(_regions(spark, sf_dir), "cluster_id", "left")
+
+
+@query(_CLUSTERS + "select cluster_id, article_count, outlet_count, first_observed_at, last_observed_at from cl order by outlet_count desc, article_count desc, last_observed_at desc, cluster_id limit 200")
+def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _clusters(spark, sf_dir).drop("region")
+    return own.orderBy(F.col("outlet_count").desc(), F.col("article_count").desc(), F.col("last_observed_at").desc(), "cluster_id").limit(200)
+
+
+# A story's locations: the nations of its line items' suppliers.
+_PLACES = """
+lo as (select l_orderkey as cluster_id, n_name as location_id, n_regionkey as region_code, max(round(1 - l_discount, 6)) as confidence, count(*) as evidence_count
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all)
+"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier, nation = A.table(spark, sf_dir, "supplier"), A.table(spark, sf_dir, "nation")
+    outlets = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name", "n_regionkey")
+    own = A.table(spark, sf_dir, "lineitem").join(outlets, "l_suppkey")
+    return own.groupBy(F.col("l_orderkey").alias("cluster_id"), F.col("n_name").alias("location_id"), F.col("n_regionkey").alias("region_code")).agg(F.max(F.round(1 - F.col("l_discount"), 6)).alias("confidence"), F.count(F.lit(1)).alias("evidence_count")).withColumn("location_type", F.lit("event"))
+
+
+@query("with" + _PLACES + "select cluster_id, location_id, region_code, confidence, evidence_count from lo qualify row_number() over (partition by cluster_id order by confidence desc, evidence_count desc, location_id) = 1")
+def primary_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.primary_locations(_places(spark, sf_dir)).select("cluster_id", "location_id", "region_code", "confidence", "evidence_count")
+
+
+_LIST = _CLUSTERS + "," + _PLACES + """,
+pl as (select cluster_id, location_id as primary_location_id, confidence as primary_confidence from lo qualify row_number() over (partition by cluster_id order by confidence desc, evidence_count desc, location_id) = 1)
+"""
+
+
+def _listed(spark: SparkSession, sf_dir: str, q: serving.StoryQuery) -> DataFrame:
+    clusters = _clusters(spark, sf_dir).withColumn("raw_article_count", F.col("article_count"))
+    places = _places(spark, sf_dir).withColumn("region_code", F.concat(F.lit("R"), F.col("region_code")))
+    return serving.list_stories(clusters, places, q).select("cluster_id", "article_count", "outlet_count", "first_observed_at", "last_observed_at", "primary_location_id", "primary_confidence")
+
+
+@query(_LIST + "select cluster_id, article_count, outlet_count, first_observed_at, last_observed_at, primary_location_id, primary_confidence from (select * from cl order by article_count desc, last_observed_at desc, cluster_id limit 100 offset 20) left join pl using (cluster_id)")
+def story_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, serving.StoryQuery(limit=100, offset=20))
+
+
+@query(_LIST + """
+select cluster_id, article_count, outlet_count, first_observed_at, last_observed_at, primary_location_id, primary_confidence from (
+  select * from cl where cluster_id in (select cluster_id from lo where region_code = 2) and last_observed_at >= timestamp '1998-01-01' and first_observed_at <= timestamp '2001-01-01'
+  order by article_count desc, last_observed_at desc, cluster_id limit 100) left join pl using (cluster_id)
+""")
+def story_list_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, serving.StoryQuery(region="R2", since=datetime(1998, 1, 1), until=datetime(2001, 1, 1), limit=100))
+
+
+@query(_REGIONAL + "," + _PLACES + """
+select c.cluster_id, c.articles, l.locations, p.regions from (
+  select event_id as cluster_id, string_agg(outlet_id || ':' || document_id, ',' order by mention_time desc, outlet_id, document_id) as articles from ar group by all) c
+left join (select cluster_id, string_agg(location_id, ',' order by confidence desc, location_id) as locations from lo group by all) l using (cluster_id)
+left join (select cluster_id, string_agg(region, ',' order by round(score, 9) desc, region) as regions from pr group by all) p using (cluster_id)
+""")
+def story_detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _articles(spark, sf_dir)
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    articles = own.select("cluster_id", F.concat_ws(":", pad("outlet_id"), pad("document_id")).alias("article_id"), F.concat_ws(":", "outlet_id", "document_id").alias("name"), F.col("mention_time").alias("published_at"))
+    places = _places(spark, sf_dir)
+    claims = A.claims(spark, sf_dir).join(own.select("cluster_id").distinct(), "cluster_id", "left_semi").select("cluster_id", "claim_id", "confidence")
+    shares = prominence.regional_prominence(own, _regions(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    full = serving.story_details(own.select("cluster_id").distinct(), articles, places, claims, shares)
+    joined = lambda c: F.array_join(c, ",")
+    return full.select("cluster_id", joined(F.col("articles.name")).alias("articles"), F.nullif(joined(F.col("locations.location_id")), F.lit("")).alias("locations"), F.nullif(joined(F.col("regional_prominence.region")), F.lit("")).alias("regions"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("succeeded")
+    return A.table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("source"), status.alias("status"), F.col("ts").alias("started_at"))
+
+
+@query("""
+with e as (select *, timestamp '2024-01-31' as now from events)
+select max(ts) as latest_story_at, greatest(0, floor(epoch(any_value(now)) - epoch(max(ts))))::bigint as freshness_age_seconds, count(*) filter (ts >= now - interval 24 hours) as cluster_count_24h,
+  count(*) filter (ts >= now - interval 24 hours) as article_count_24h, count(*) filter (event_type = 'error' and ts >= now - interval 24 hours) as failures_24h,
+  count(distinct event_type) filter (event_type <> 'error' and ts >= now - interval 24 hours) as active_source_count,
+  arg_max(event_id, (ts, event_id)) as latest_run_id, case arg_max(event_type, (ts, event_id)) when 'error' then 'failed' else 'succeeded' end as latest_run_status,
+  case when max(ts) is null then 'unavailable' when greatest(0, floor(epoch(any_value(now)) - epoch(max(ts)))) > 1800 or arg_max(event_type, (ts, event_id)) = 'error' then 'degraded' else 'ok' end as status
+from e
+""")
+def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    own = serving.health(runs.select(F.col("started_at").alias("last_observed_at")), runs.select(F.col("started_at").alias("published_at")), runs, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    return own.drop("reasons")
+
+
+def _rolling(hours: int) -> Query:
+    def count(spark: SparkSession, sf_dir: str) -> DataFrame:
+        now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+        own = A.table(spark, sf_dir, "events").where(F.col("ts").between(now - F.expr(f"interval {hours} hours"), now))
+        return own.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.min(age_seconds(F.col("ts"), now)).alias("youngest"))
+
+    return count
+
+
+for _name, _hours in (("6h", 6), ("24h", 24), ("7d", 168)):
+    QUERIES[f"rolling_window_{_name}"] = _rolling(_hours)
+    ORACLES[f"rolling_window_{_name}"] = f"""
+select event_type, count(*) as n, count(distinct user_id) as users, min(floor(epoch(timestamp '2024-01-31') - epoch(ts)))::bigint as youngest
+from events where ts between timestamp '2024-01-31' - interval {_hours} hours and timestamp '2024-01-31' group by event_type
+"""
+
+
+@query("select time_bucket(interval 60 seconds, ts, timestamp '1970-01-01') as window_start, user_id, count(*) as requests, greatest(0, count(*) - 2) as over from events group by all")
+def rate_limit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return micro_batch.limited(A.table(spark, sf_dir, "events"), "user_id", "ts", limit=2)
+
+
+@query("""
+with one as (select doc_id, lang as market, source as domain from documents where lang is not null),
+by_outlet as (select market, domain, count(*) as n from one group by all),
+totals as (select domain, sum(n) as total from by_outlet group by all)
+select market, sum(n)::bigint as raw_article_count, count(*) as unique_outlet_count, round(sum(n / total) / (select count(*) from totals), 9) as source_normalized_share
+from by_outlet join totals using (domain) group by market
+""")
+def market_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("article_id"), F.col("source").alias("domain"), F.col("lang").alias("market"), F.upper("lang").alias("label"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), F.lit(0.9).alias("confidence")
+    )
+    return signals.market_heat(own).select("market", "raw_article_count", "unique_outlet_count", F.round("source_normalized_share", 9).alias("source_normalized_share"))
+
+
+_CLAIMS = """
+with cm as (select l_orderkey as cluster_id, concat_ws(':', l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag, l_quantity, l_extendedprice) as claim_id, l_partkey as normalized_claim,
+  case l_returnflag when 'A' then 'supports' when 'R' then 'disputes' else 'unclear' end as stance, round(1 - l_discount, 6) as confidence, s_nationkey as network, l_orderkey || ':' || l_suppkey as article_id
+  from lineitem left join supplier on l_suppkey = s_suppkey)
+"""
+
+
+@query(_CLAIMS + """,
+pairs as (select s.cluster_id, s.normalized_claim, s.claim_id as support_claim, d.claim_id as dispute_claim, least(s.confidence, d.confidence) as confidence,
+  row_number() over (partition by s.cluster_id order by r.c desc, r.i, s.confidence desc, s.claim_id, d.confidence desc, d.claim_id) as k
+  from cm s join cm d on s.cluster_id = d.cluster_id and s.normalized_claim = d.normalized_claim and s.network <> d.network and s.stance = 'supports' and d.stance = 'disputes'
+  join (select cluster_id, normalized_claim, max(confidence) as c, arg_min(claim_id, (-confidence, claim_id)) as i from cm group by all) r on r.cluster_id = s.cluster_id and r.normalized_claim = s.normalized_claim),
+every as (select cluster_id, min(confidence) as least, count(distinct network) as networks from cm group by all)
+select e.cluster_id, case when networks < 2 then 'not_assessed' when p.cluster_id is not null then 'detected' else 'not_detected' end as status,
+  case when networks < 2 then null else coalesce(p.confidence, least) end as confidence, case when networks >= 2 then p.normalized_claim end as normalized_claim
+from every e left join pairs p on e.cluster_id = p.cluster_id and k = 1
+""")
+def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.conflicts(A.claims(spark, sf_dir)).select("cluster_id", "status", "confidence", "normalized_claim")
+
+
+@query(_CLAIMS + "select article_id, case when count(distinct stance) > 1 then 'mixed' else min(stance) end as framing, min(confidence) as confidence from cm group by article_id")
+def framing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = A.claims(spark, sf_dir)
+    return signals.framing(claims.select(F.col("evidence_article_id").alias("article_id")), claims)
+
+
+@query(_CLAIMS + "select article_id, case when bool_or(stance = 'disputes') then 'disputes' when bool_or(stance = 'supports') then 'supports' else 'unclear' end as claim_position from cm group by article_id")
+def claim_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = A.claims(spark, sf_dir)
+    return signals.claim_positions(claims.select(F.col("evidence_article_id").alias("article_id")), claims)
+
+
+@query(_LIST.replace("cl as (", "cl as (") + """,
+one as (select cluster_id, region_code, arg_min(location_id, (-confidence, -evidence_count, location_id)) as label, max(confidence) as confidence from lo group by all),
+pl2 as (select o.*, article_count as raw from one o join cl using (cluster_id)),
+so as (select region_code, count(distinct outlet_id) as source_count from one join ar on event_id = cluster_id group by all)
+select region_code as region, arg_min(label, (-confidence, cluster_id)) as label, sum(raw)::bigint as raw_prominence, count(*) as story_count, any_value(source_count) as source_count from pl2 join so using (region_code) group by region_code
+""")
+def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = _clusters(spark, sf_dir).select("cluster_id", F.col("article_count").alias("raw"), F.lit(0.0).alias("normalized"))
+    places = _places(spark, sf_dir).withColumn("region", F.col("region_code")).withColumn("label", F.col("location_id")).withColumn("latitude", F.lit(0.0)).withColumn("longitude", F.lit(0.0))
+    own = signals.region_rollup(clusters, places, _articles(spark, sf_dir).withColumn("domain", F.col("outlet_id")))
+    return own.select("region", "label", "raw_prominence", "story_count", "source_count")
+
+
+_FNV = "lower(lpad(to_hex(list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::bigint)), 8, '0'))"
+
+
+@query("select page_id, 'article_' || " + _FNV.format("url") + " as article_id, 'content_' || " + _FNV.format("(url || '|' || page_id)") + " as content_id from pages")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "pages").select("page_id", X.stable_id("article", F.col("url")).alias("article_id"), X.stable_id("content", F.concat_ws("|", "url", "page_id")).alias("content_id"))
+
+
+_URL = "regexp_extract(url, '^([A-Za-z]+)://([^/?#:]+)([^?#]*)(?:\\?([^#]*))?', {0})"
+
+
+@query(f"""
+with p as (select page_id, lower({_URL.format(1)}) as scheme, lower({_URL.format(2)}) as host, {_URL.format(3)} as path, list_sort(list_filter(string_split({_URL.format(4)}, '&'), lambda x: x <> '' and not starts_with(lower(x), 'utm_'))) as q from pages)
+select page_id, scheme || '://' || host || case when path in ('', '/') then '/' else regexp_replace(path, '/+$', '') end || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical_url from p
+""")
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query(f"select regexp_replace(lower({_URL.format(2)}), '^www\\.', '') as domain, count(*) as n from pages group by 1")
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "pages").groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TITLE = """
+tl as (select page_id, url, nullif(substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&apos;', ''''), '&gt;', '>'), '&lt;', '<'), '&nbsp;', ' '), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 600), '') as title from pages)
+"""
+
+
+@query("with" + _TITLE + "select page_id, title from tl")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.pages(spark, sf_dir).select("page_id", "title")
+
+
+_WORDS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_TOKENS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\\pL\\pN]+'), lambda t: length(t) > 1 and t not in ({_WORDS}))))"
+
+
+@query("with" + _TITLE + f"select page_id, array_to_string({_TOKENS}, ' ') as title_key, len({_TOKENS}) as n_tokens from tl where title is not null")
+def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.pages(spark, sf_dir).where("title is not null")
+    return own.select("page_id", X.title_set_key(F.col("title")).alias("title_key"), F.size(X.title_tokens(F.col("title"))).cast("long").alias("n_tokens"))
+
+
+@query("with" + _TITLE + f""",
+tk as (select page_id, {_TOKENS} as t from tl),
+cl as (select t, min(page_id) as page_id from tk where len(t) > 0 group by t),
+pairs as (select l.page_id as a, r.page_id as b, len(list_intersect(l.t, r.t)) as k, len(l.t) + len(r.t) as n from cl l join cl r on l.page_id < r.page_id)
+select a, b, round(k / (n - k), 9) as similarity from pairs where k / (n - k) >= 0.3
+""")
+def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = settle(A.pages(spark, sf_dir).select("page_id", X.title_tokens(F.coalesce("title", F.lit(""))).alias("t")))
+    pairs = clustering.candidate_pairs(own, "page_id", "t", 0.3)
+    l, r = own.alias("l"), own.alias("r")  # noqa: E741
+    both = pairs.join(l, F.col("a") == F.col("l.page_id")).join(r, F.col("b") == F.col("r.page_id"))
+    return both.select("a", "b", F.round(N.jaccard(F.col("l.t"), F.col("r.t")), 9).alias("similarity")).where("similarity >= 0.3")
+
+
+@query("""
+with w as (select item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark)
+select item_id, len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as n_shingles, len(list_distinct(list_filter(w, lambda x: length(x) >= 4))) as n_words from w
+""")
+def word_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "benchmark").select("item_id", F.size(X.word_shingles(F.col("text"))).cast("long").alias("n_shingles"), F.size(X.text_tokens(F.col("text"))).cast("long").alias("n_words"))
+
+
+def _page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as articles: titled, by canonical URL, at a time that follows from the page's number."""
+    own = A.pages(spark, sf_dir).where("title is not null")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 600)
+    return own.select(F.lpad(F.col("page_id").cast("string"), 10, "0").alias("article_id"), "canonical_url", "url", "title", at.alias("published_at"), at.alias("retrieved_at"), F.col("domain").alias("outlet_id"), "domain", F.lit(None).cast("string").alias("summary"))
+
+
+@query()
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = clustering.scored_pairs(_page_articles(spark, sf_dir))
+    return own.select("a", "b", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query()
+def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters_of(_page_articles(spark, sf_dir))
+
+
+@query(GATED + """,
+top as (select event_id, arg_min(title, (-confidence, -epoch_us(mention_time), document_id)) as title from ar group by all),
+keys as (select event_id, 'l' || title || '|' || region as k from top join ev using (event_id) union select event_id, 'd' || title || '|' || document_id from top join ar using (event_id, title) ),
+allkeys as (select event_id, 'l' || title || '|' || region as k from top join ev using (event_id) union select t.event_id, 'd' || t.title || '|' || a.document_id from top t join ar a on t.event_id = a.event_id),
+link as (select distinct a.event_id as u, b.event_id as v from allkeys a join allkeys b using (k)),
+lab as (with recursive r(u, v) as (select u, v from link union select r.u, link.v from r join link on r.v = link.u) select u as cluster_id, min(v) as merged_id from r group by u)
+select cluster_id, merged_id from lab
+""")
+def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = settle(_articles(spark, sf_dir))
+    order = F.struct((-F.col("confidence")).alias("a"), (-F.unix_micros(F.col("mention_time").cast("timestamp"))).alias("b"), F.col("document_id").alias("c"))
+    clusters = own.groupBy("cluster_id").agg(F.min_by("title", order).alias("title"))
+    places = _regions(spark, sf_dir).withColumnRenamed("region", "location_key")
+    return merge.merged_ids(clusters, own.select("cluster_id", F.col("document_id").cast("string").alias("canonical_url")), places).select("cluster_id", "merged_id")
+
+
+@query("""
+with words as (select doc_id, source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM''’.-]*[\\pL\\pN\\pM]')) as w from documents),
+places as (select * from (values ('with', 1, 'city'), ('and', 2, 'country'), ('der', 3, 'admin1'), ('le', 4, 'point'), ('con', 5, 'city'), ('con', 6, 'city')) p(alias, place_id, kind)),
+amb as (select alias, count(*) as a from places group by all),
+hit as (select place_id, doc_id, source, greatest(0, least(1, 0.58 + case kind when 'city' then 0.1 when 'admin1' then 0.07 when 'country' then 0.04 else 0.02 end - least(0.28, greatest(0, (a - 1) * 0.08)))) as c from words join places on w = alias join amb using (alias))
+select place_id, count(distinct doc_id) as articles, count(distinct source) as outlets, round(least(1.0, max(c) + (count(distinct doc_id) - 1) * 0.06 + (count(distinct source) - 1) * 0.04), 6) as confidence from hit group by place_id
+""")
+def gazetteer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = [("with", 1, "city"), ("and", 2, "country"), ("der", 3, "admin1"), ("le", 4, "point"), ("con", 5, "city"), ("con", 6, "city")]
+    aliases = spark.createDataFrame(places, "alias string, place_id long, kind string")
+    texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("outlet_id"), F.lit("").alias("url"), F.lit("summary").alias("field"), "text")
+    found = geocode.gazetteer_matches(texts, F.broadcast(aliases), longest=1)
+    located = found.withColumn("confidence", N.match_confidence(F.col("field"), F.col("kind"), F.col("ambiguity")))
+    # The counts of evidence are what is asked for here, so mentions are summed by article before places are.
+    per = located.groupBy("place_id", "article_id", "outlet_id").agg(F.max("confidence").alias("c"))
+    own = per.groupBy("place_id").agg(F.countDistinct("article_id").alias("articles"), F.countDistinct("outlet_id").alias("outlets"), F.max("c").alias("c"))
+    return own.select("place_id", "articles", "outlets", F.round(N.clamp(F.col("c") + (F.col("articles") - 1) * 0.06 + (F.col("outlets") - 1) * 0.04), 6).alias("confidence"))
+
+
+@query("""
+with rg as (select * from (values ('src0', 'FR', 'market-fr', 0.9), ('src1', 'DE', 'market-de', 0.8), ('src7', 'US', 'market-us', 0.7)) r(domain, origin_code, market_code, market_confidence))
+select source, origin_code, market_code, market_confidence, count(*) as n from documents left join rg on source = domain group by all
+""")
+def registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("src0", "FR", "market-fr", 0.9), ("src1", "DE", "market-de", 0.8), ("src7", "US", "market-us", 0.7)]
+    profiles = spark.createDataFrame(rows, "registry_domain string, origin_code string, market_code string, market_confidence double")
+    own = registry.with_profile(A.table(spark, sf_dir, "documents"), profiles, "source")
+    return own.groupBy("source", "origin_code", "market_code", "market_confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with i as (
+  select l_orderkey as cluster_id, 'invalid_confidence' as code from lineitem where not (l_quantity / 40 between 0 and 1)
+  union all select l_orderkey, 'unknown_evidence_article' from lineitem where l_partkey not in (select p_partkey from part where p_size <= 40)
+  union all select o_orderkey, 'empty_cluster' from orders where o_orderkey not in (select l_orderkey from lineitem)
+  union all select l_orderkey, 'duplicate_article_id' from (select l_orderkey, row_number() over (partition by l_orderkey, l_partkey) as r from lineitem) where r > 1)
+select code, count(*) as n, count(distinct cluster_id) as clusters from i group by code
+""")
+def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("article_id"), (F.col("l_quantity") / 40).alias("confidence"))
+    orders = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cluster_id"), F.lit("t").alias("title"), F.col("o_orderdate").alias("first_observed_at"), F.col("o_orderdate").alias("last_observed_at"))
+    url = F.lit("https://outlet.example/a")
+    articles = lines.select("cluster_id", "article_id", url.alias("url"), F.concat(url, F.monotonically_increasing_id()).alias("canonical_url"), F.lit(NOW).alias("retrieved_at"))
+    header = validate.cluster_issues(orders, articles, lines).where("code <> 'invalid_confidence'")
+    known = A.table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").alias("article_id"))
+    sure = validate.issues_of(lines, [("invalid_confidence", "confidence", ~F.col("confidence").between(0, 1))])
+    unknown = lines.join(known, "article_id", "left_anti").select("cluster_id", F.lit("unknown_evidence_article").alias("code"), F.lit("article_id").alias("path"))
+    return header.unionAll(sure).unionAll(unknown).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster_id").alias("clusters"))
+
+
+@query(GATED + """
+select o.half, a.region, count(distinct a.event_id) as clusters, count(*) as articles from ar a join (select o_orderkey, case when o_orderdate < timestamp '1998-01-01' then 'old' else 'new' end as half from orders) o on o_orderkey = event_id group by all
+""")
+def compose_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _articles(spark, sf_dir)
+    dated = A.events(spark, sf_dir).select(F.col("event_id").alias("cluster_id"), "date_added", "region")
+    both = own.join(dated, "cluster_id")
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    old, new = both.where(F.col("date_added") < cut).withColumn("half", F.lit("old")), both.where(F.col("date_added") >= cut).withColumn("half", F.lit("new"))
+    return old.unionByName(new).groupBy("half", "region").agg(F.countDistinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("articles"))
+
+
+_POINTS = [("north", 60.0, 10.0), ("south", -30.0, 20.0), ("west", 10.0, -100.0), ("east", 20.0, 120.0)]
+
+
+@query("""
+with p as (select s_suppkey, (s_suppkey * 37 % 180 - 90)::double as latitude, (s_suppkey * 53 % 360 - 180)::double as longitude from supplier),
+r as (select * from (values ('north', 60.0, 10.0), ('south', -30.0, 20.0), ('west', 10.0, -100.0), ('east', 20.0, 120.0)) r(region, y, x))
+select s_suppkey, arg_min(region, (sqrt((latitude - y) * (latitude - y) + (longitude - x) * (longitude - x)), region)) filter (sqrt((latitude - y) * (latitude - y) + (longitude - x) * (longitude - x)) < 24) as region from p cross join r group by s_suppkey
+""")
+def nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "cast(s_suppkey * 37 % 180 - 90 as double) as latitude", "cast(s_suppkey * 53 % 360 - 180 as double) as longitude")
+    regions = spark.createDataFrame(_POINTS, "region string, region_latitude double, region_longitude double")
+    return geocode.nearest_region(own, regions).select("s_suppkey", "region")
+
+
+@query("select source, count(*) as n, round(greatest(0.05, least(1.0, log2(count(*) + 1) / 6)), 9) as raw_weight, round(greatest(0.05, least(1.0, count(*) / (select count(*) from documents))), 9) as share_weight from documents group by source")
+def heat_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "documents")
+    per = own.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # one row for each outlet
+    return per.withColumn("s", share).select("source", "n", F.round(N.heat_weight(F.col("n"), True), 9).alias("raw_weight"), F.round(N.heat_weight(F.col("s"), False), 9).alias("share_weight"))
+
+
+@query("select time_bucket(interval 60 minutes, ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n from events group by all")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = micro_batch.rolling_counts(A.table(spark, sf_dir, "events"), "ts", ["event_type"], "60 minutes", "60 minutes")
+    return own.select(F.col("window.start").alias("window_start"), "event_type", "n")
+
+
+# \\b is of any letters in SQL's regular expressions where it isn't in Java's, so word ends are written out.
+_YIELD = "regexp_matches(title, '{0}')"
+
+
+def _bounded(pattern: str) -> str:
+    return pattern.replace(r"\b(", r"(?:^|[^\pL\pN_])(").replace(r")\b", r")(?:$|[^\pL\pN_])")
+
+
+@query("with" + _TITLE + f"""
+select page_id, case when {_YIELD.format(_bounded(X.HIGH_YIELD))} then 100 else 0 end + least(30, len({_TOKENS})) + least(10, 2) - case when {_YIELD.format(_bounded(X.LOW_YIELD))} then 100 else 0 end as priority
+from tl where title is not null
+""")
+def search_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.pages(spark, sf_dir).where("title is not null")
+    return own.select("page_id", enrich.priority(F.col("title"), F.lit(1)).cast("long").alias("priority"))

@@ -1,27 +1,31 @@
-"""Declared schemas, gates and limits; nothing is inferred from data."""
+"""Declared schemas (as DDL), gates and limits; nothing is inferred from data."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import types as T
-
-EVENTS = T._parse_datatype_string(
+EVENTS = (
     "event_id string, ord long, date_added timestamp, source_url string, "
     "geo struct<type:int,full_name:string,country_code:string,adm1_code:string,adm2_code:string,latitude:double,longitude:double,feature_id:string>"
 )
-MENTIONS = T._parse_datatype_string(
+MENTIONS = (
     "event_id string, ord long, event_time timestamp, mention_time timestamp, mention_type int, source_name string, identifier string, sentence_id int, in_raw_text boolean, confidence double, translation string"
 )
-DOCUMENTS = T._parse_datatype_string("record_id string, ord long, published_at timestamp, collection int, common_name string, document_id string, translation string, title string")
+DOCUMENTS = (
+    "record_id string, ord long, published_at timestamp, collection int, common_name string, document_id string, translation string, title string"
+)
 EVIDENCE = "struct<article_id:string,url:string,quote:string,start:int,end:int,method:string>"
-ARTICLES = T._parse_datatype_string(
+ARTICLES = (
     "article_id string, canonical_url string, url string, title string, summary string, outlet_id string, domain string, publisher_name string, language string, "
     "published_at timestamp, retrieved_at timestamp, provider string, provider_record_id string, provider_score double"
 )
-SEARCH_RESULTS = T._parse_datatype_string("articles array<struct<url:string,title:string,seendate:string,domain:string,language:string,sourcecountry:string>>")
-NEWS_RESULTS = T._parse_datatype_string("results array<struct<title:string,url:string,content:string,published_date:string,score:double>>")
-RUNS = T._parse_datatype_string(
+SEARCH_RESULTS = (
+    "articles array<struct<url:string,title:string,seendate:string,domain:string,language:string,sourcecountry:string>>"
+)
+NEWS_RESULTS = (
+    "results array<struct<title:string,url:string,content:string,published_date:string,score:double>>"
+)
+RUNS = (
     "run_id string, source string, status string, input_fingerprint string, started_at timestamp, completed_at timestamp, source_watermark_at timestamp, records_seen long, "
     "records_upserted long, error_kind string, error_message string, retryable boolean, receipt string, updated_at timestamp"
 )

@@ -27,7 +27,7 @@ def _article(url: Column, title: Column, retrieved_at: Column, **more: Column) -
         "publisher_name": domain, "language": F.lit(None).cast("string"), "published_at": F.lit(None).cast("timestamp"), "retrieved_at": retrieved_at, "provider": F.lit(None).cast("string"),
         "provider_record_id": F.lit(None).cast("string"), "provider_score": F.lit(None).cast("double"),
     } | more
-    return [own[f.name].cast(f.dataType).alias(f.name) for f in schemas.ARTICLES]
+    return [own[name].cast(kind).alias(name) for name, kind in (x.split(" ") for x in schemas.ARTICLES.split(", "))]
 
 
 def document_articles(answers: DataFrame, retrieved_at: Column, most: int = MOST_DOCUMENTS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 from coverscope.llm.common import SLICE_ROWS, as_texts, map_slices
 
 #: Documents of each label that the field and the calibration are fitted on at most; those of least hash.
-MOST_TOXIC, MOST_CLEAN = 2500, 3500
+MOST_TOXIC, MOST_CLEAN = 2000, 3000
 #: A score from which a document is predicted toxic.
 THRESHOLD = 0.7
-#: A word of a toxic document is labelled toxic if a stem of it occurs in LEAST_DOCS toxic documents and in at most a share
-#: CLEAN_SHARE as many clean ones, for equal numbers of both.
-LEAST_DOCS, CLEAN_SHARE = 3, 0.05
+#: A word of a toxic document is labelled toxic if a stem of it occurs in LEAST_DOCS toxic documents, and in so many that all being
+#: toxic has a probability of CHANCE at most, and in at most a share CLEAN_SHARE as many clean ones, for equal numbers of both. Copies count once.
+LEAST_DOCS, CHANCE, CLEAN_SHARE = 3, 1e-4, 0.05
 STEMS = (3, 4, 5, 6, 7)
 #: Chains without a toxic word that the field is fitted on for one that has any; and words of a chain at most.
 CLEAN_FOR_TOXIC, CHAIN = 3, 128
@@ -161,6 +162,25 @@ def evidence(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, p.max(), np.log1p(p.sum()), np.log1p(100 * p.mean())])
 
 
+def _copies(tokens: list[list[str]]) -> list[int]:
+    """A number for each text, the same for texts that share one of their least hashes of three words: copies, and near ones mostly."""
+    root = list(range(len(tokens)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first: dict[int, int] = {}
+    for i, own in enumerate(tokens):
+        words = [w for w in own if w[0] not in ".!?\n"]
+        runs = {zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))}
+        for h in sorted(runs)[:4]:
+            root[find(i)] = find(first.setdefault(h, i))
+    return [find(i) for i in range(len(tokens))]
+
+
 def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Field:
     """A field from documents and their labels. weights: of a clean and a toxic document in the calibration."""
     model = Field()
@@ -172,11 +192,18 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     # Which words are toxic: those with a stem that toxic documents have and clean ones don't.
     tokens = [_TOKEN.findall(x.lower()) for x in texts]
     seen = (Counter(), Counter())
-    for own, label in zip(tokens, labels, strict=True):
+    groups = _copies(tokens)
+    firsts = {}
+    for i, (group, label) in enumerate(zip(groups, labels, strict=True)):
+        firsts.setdefault((group, label), i)
+    kept = sorted(firsts.values())
+    for own, label in ((tokens[i], labels[i]) for i in kept):
         kinds = {w for w in set(own) if w[0] not in ".!?\n"}
         seen[label].update({s for w in kinds for s in [w, *(w[:k] for k in STEMS if len(w) > k)]})
-    ratio = (y == 1).sum() / (y == 0).sum()
-    stems = {s for s, n in seen[1].items() if n >= LEAST_DOCS and len(s) >= STEMS[0] and seen[0][s] * ratio <= CLEAN_SHARE * n}
+    n_toxic = sum(labels[i] for i in kept)
+    ratio = n_toxic / (len(kept) - n_toxic)
+    least = max(LEAST_DOCS, math.ceil(math.log(CHANCE) / math.log(n_toxic / len(kept))))
+    stems = {s for s, n in seen[1].items() if n >= least and len(s) >= STEMS[0] and seen[0][s] * ratio <= CLEAN_SHARE * n}
     toxic: list[list[str]] = []
     clean: list[list[str]] = []
     marks: dict[str, int] = {}

@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import as_bytes, map_slices, salted_join, settle
-from coverscope.llm.components import connected_components
+from coverscope.llm.common import as_bytes, map_slices
+from coverscope.operators.components import connected_components
+from coverscope.runtime import salted_join, settle
 
 SEED = 42
 #: Members of a block's group that one task compares with as many others; larger groups are dealt out as pairs of such chunks.

@@ -401,7 +401,7 @@ def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 with words as (select doc_id, source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM''’.-]*[\\pL\\pN\\pM]')) as w from documents),
 places as (select * from (values ('with', 1, 'city'), ('and', 2, 'country'), ('der', 3, 'admin1'), ('le', 4, 'point'), ('con', 5, 'city'), ('con', 6, 'city')) p(alias, place_id, kind)),
 amb as (select alias, count(*) as a from places group by all),
-hit as (select place_id, doc_id, source, greatest(0, least(1, 0.58 + case kind when 'city' then 0.1 when 'admin1' then 0.07 when 'country' then 0.04 else 0.02 end - least(0.28, greatest(0, (a - 1) * 0.08)))) as c from words join places on w = alias join amb using (alias))
+hit as (select place_id, doc_id, source, greatest(0, least(1, 0.58 + case kind when 'city' then 0.1 when 'admin1' then 0.07 when 'country' then 0.04 else 0.02 end - least(0.28, greatest(0, (a - 1) * 0.08))))::double as c from words join places on w = alias join amb using (alias))
 select place_id, count(distinct doc_id) as articles, count(distinct source) as outlets, round(least(1.0, max(c) + (count(distinct doc_id) - 1) * 0.06 + (count(distinct source) - 1) * 0.04), 6) as confidence from hit group by place_id
 """)
 def gazetteer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,7 +487,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
-# \\b is of any letters in SQL's regular expressions where it isn't in Java's, so word ends are written out.
+# Word ends are written out, as \\b knows only ASCII letters in the SQL's regular expressions.
 _YIELD = "regexp_matches(title, '{0}')"
 
 

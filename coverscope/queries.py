@@ -487,7 +487,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
-# Word ends are written out, as \\b knows only ASCII letters in the SQL's regular expressions.
+# Word ends are written out, as \b knows only ASCII letters in the SQL's regular expressions.
 _YIELD = "regexp_matches(title, '{0}')"
 
 

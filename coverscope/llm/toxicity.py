@@ -162,9 +162,26 @@ def evidence(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, p.max(), np.log1p(p.sum()), np.log1p(100 * p.mean())])
 
 
-def _copies(tokens: list[list[str]]) -> list[int]:
+def _tokens(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())
+
+
+def _words(tokens: list[str]) -> list[str]:
+    return [w for w in tokens if w[0] not in ".!?\n"]
+
+
+def _stems(word: str) -> list[int]:
+    """A word and its beginnings, as numbers."""
+    return [zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in [word, *(word[:k] for k in STEMS if len(word) > k)] if len(s) >= STEMS[0]]
+
+
+def _document_stems(text: str) -> np.ndarray:
+    return np.array(sorted({s for w in set(_words(_tokens(text))) for s in _stems(w)}), np.int64)
+
+
+def _copies(texts: list[str]) -> list[int]:
     """A number for each text, the same for texts that share one of their least hashes of three words: copies, and near ones mostly."""
-    root = list(range(len(tokens)))
+    root = list(range(len(texts)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -173,12 +190,30 @@ def _copies(tokens: list[list[str]]) -> list[int]:
         return i
 
     first: dict[int, int] = {}
-    for i, own in enumerate(tokens):
-        words = [w for w in own if w[0] not in ".!?\n"]
+    for i, text in enumerate(texts):
+        words = _words(_tokens(text))
         runs = {zlib.crc32(" ".join(words[k : k + 3]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - 2))}
         for h in sorted(runs)[:4]:
             root[find(i)] = find(first.setdefault(h, i))
-    return [find(i) for i in range(len(tokens))]
+    return [find(i) for i in range(len(texts))]
+
+
+def toxic_stems(texts: list[str], labels: list[int]) -> set[int]:
+    """Stems that toxic documents have and clean ones don't, more often than chance explains. Words are held for one document at a time."""
+    firsts: dict[tuple[int, int], int] = {}
+    for i, key in enumerate(zip(_copies(texts), labels, strict=True)):
+        firsts.setdefault(key, i)
+    kept = sorted(firsts.values())
+    toxic = [i for i in kept if labels[i]]
+    ratio = len(toxic) / max(1, len(kept) - len(toxic))
+    least = max(LEAST_DOCS, math.ceil(math.log(CHANCE) / math.log(len(toxic) / len(kept)))) if 0 < len(toxic) < len(kept) else LEAST_DOCS
+    found, n = np.unique(np.concatenate([np.empty(0, np.int64), *(_document_stems(texts[i]) for i in toxic)]), return_counts=True)
+    found, n = found[n >= least], n[n >= least]
+    clean = np.zeros(len(found), np.int64)
+    for i in kept:
+        if not labels[i]:
+            clean += np.isin(found, _document_stems(texts[i]), assume_unique=True)
+    return set(found[clean * ratio <= CLEAN_SHARE * n].tolist())
 
 
 def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Field:
@@ -189,42 +224,32 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
         share = (y.mean() if len(y) else 0.1) * 0.98 + 0.01
         model.calibration = np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0])
         return model
-    # Which words are toxic: those with a stem that toxic documents have and clean ones don't.
-    tokens = [_TOKEN.findall(x.lower()) for x in texts]
-    seen = (Counter(), Counter())
-    groups = _copies(tokens)
-    firsts = {}
-    for i, (group, label) in enumerate(zip(groups, labels, strict=True)):
-        firsts.setdefault((group, label), i)
-    kept = sorted(firsts.values())
-    for own, label in ((tokens[i], labels[i]) for i in kept):
-        kinds = {w for w in set(own) if w[0] not in ".!?\n"}
-        seen[label].update({s for w in kinds for s in [w, *(w[:k] for k in STEMS if len(w) > k)]})
-    n_toxic = sum(labels[i] for i in kept)
-    ratio = n_toxic / (len(kept) - n_toxic)
-    least = max(LEAST_DOCS, math.ceil(math.log(CHANCE) / math.log(n_toxic / len(kept))))
-    stems = {s for s, n in seen[1].items() if n >= least and len(s) >= STEMS[0] and seen[0][s] * ratio <= CLEAN_SHARE * n}
+    stems = toxic_stems(texts, labels)
     toxic: list[list[str]] = []
-    clean: list[list[str]] = []
+    clean: list[tuple[int, int, int]] = []  # a document, and a chain's words in it
     marks: dict[str, int] = {}
     rng = np.random.default_rng(7)
-    for own, label in zip(tokens, labels, strict=True):
+    for d, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        own = _tokens(text)
         inside = np.array([w[0] not in ".!?\n" for w in own], bool)
         begins = np.flatnonzero(chain_starts(inside, np.array([len(own)])))
         words = np.flatnonzero(inside)
         cuts = np.append(np.searchsorted(words, begins), len(words))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = [own[i] for i in words[a:b]]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if label == 0:
-                clean.append(part)
+                clean.append((d, a, b))
                 continue
+            part = [own[i] for i in words[a:b]]
             for w in part:
                 if w not in marks:
-                    marks[w] = int(w in stems or any(w[:k] in stems for k in STEMS if len(w) > k))
+                    marks[w] = int(any(s in stems for s in _stems(w)))
             if any(marks[w] for w in part):
                 toxic.append(part)
     toxic = [toxic[i] for i in rng.permutation(len(toxic))[:MOST_CHAINS]]
-    some = [clean[i] for i in rng.permutation(len(clean))[: max(2000, CLEAN_FOR_TOXIC * len(toxic))]]
+    picked: dict[int, list[tuple[int, int]]] = {}
+    for i in rng.permutation(len(clean))[: max(2000, CLEAN_FOR_TOXIC * len(toxic))].tolist():
+        picked.setdefault(clean[i][0], []).append(clean[i][1:])
+    some = [words[a:b] for d, spans in picked.items() for words in [_words(_tokens(texts[d]))] for a, b in spans]
     each_word = [w for part in [*toxic, *some] for w in part]
     gold = [marks[w] for part in toxic for w in part] + [0] * sum(map(len, some))
     at = np.cumsum([0, *map(len, [*toxic, *some])])[:-1]
@@ -255,7 +280,7 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
     model.trans = trans
     # Logistic regression of the label on what the marginals gather, by Newton's method.
     known = model.emissions()
-    x = np.array([evidence(p) for i in range(0, len(texts), 256) for p, _ in model.tags(texts[i : i + 256], known)])
+    x = np.array([evidence(p) for i in range(0, len(texts), 64) for p, _ in model.tags(texts[i : i + 64], known)])
     r = np.where(y == 1, weights[1], weights[0])
     beta = np.zeros(4)
     keep = np.diag([1e-3, 0.05, 0.05, 0.05])

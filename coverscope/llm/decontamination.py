@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import settle
+from coverscope.runtime import settle
+
 
 #: Template words of a window; items of fewer are one window, but those under LEAST_WORDS are too short to be told from chance.
 WINDOW, LEAST_WORDS = 8, 5
@@ -24,8 +25,8 @@ litre litres liter liters gallon gallons degree degrees dollar dollars euro euro
 
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda x: (-len(x), x))) + ")"
 _NUMBER = rf"(?<![\p{{L}}\p{{N}}_.,])[+-]?\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*(?=(?:(?i){_UNIT})?(?![\p{{L}}\p{{N}}]))"
-_NAME = r"(?<=[\p{L}\p{N},;)%&*#$|]\s)\p{Lu}\p{Ll}[\p{L}\p{M}'’-]*"
-_TOKEN = r"[\u0001-\u0003]\S+|[\p{L}\p{N}\p{M}]+"
+_NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)%&*#$|]\s\p{Lu})\p{Ll}[\p{L}\p{M}'’-]*"
+_TOKEN = r"[\p{L}\p{N}\p{M}]+|[\u0001-\u0003]\S+"
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -36,38 +37,38 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
 def marked_tokens(text: Column) -> Column:
     """The lower-cased words of a text, without punctuation; numbers, units after them and capitalised words inside sentences have a placeholder before them."""
     t = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    t = F.regexp_replace(t, F.lit(_NAME), F.lit(f"{NAME}$0"))
-    t = F.regexp_replace(t, F.lit(r"\p{Sc}(?=\p{Nd})"), F.lit(f" {UNIT}$0 "))
-    t = F.regexp_replace(t, F.lit(_NUMBER), F.lit(f" {NUMBER}$0 "))
-    t = F.regexp_replace(t, F.lit(rf"(\u0002\S+\s+)((?i){_UNIT})(?![\p{{L}}\p{{N}}])"), F.lit(f"$1{UNIT}$2"))
-    return F.regexp_extract_all(F.lower(t), F.lit(_TOKEN), F.lit(0))
+    t = F.regexp_replace(t, F.lit(_NAME), F.lit(f"{NAME}$0 "))
+    n = F.regexp_replace(t, F.lit(r"\p{Sc}(?=\p{Nd})"), F.lit(f" {UNIT}$0 "))
+    n = F.regexp_replace(n, F.lit(_NUMBER), F.lit(f" {NUMBER}$0 "))
+    n = F.regexp_replace(n, F.lit(rf"(\u0002\S+\s+)((?i){_UNIT})(?![\p{{L}}\p{{N}}])"), F.lit(f"$1{UNIT}$2"))
+    return F.regexp_extract_all(F.lower(F.when(text.rlike(r"\p{Nd}"), n).otherwise(t)), F.lit(_TOKEN), F.lit(0))
 
 
 def _is_slot(token: Column) -> Column:
     return token < F.lit("\u0004")
 
 
-def _template(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+def _hashes(tokens: Column) -> Column:
+    """The hash of each word's template: of a placeholder alone where there is one."""
+    return F.transform(tokens, lambda x: F.xxhash64(F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x)))
 
 
-def _hashes(template: Column, size: int) -> Callable[[Column], Column]:
-    return lambda i: F.when(i <= F.size(template) - size, F.xxhash64(F.slice(template, i + 1, F.lit(size))))
+def _windows(hashes: Column, size: int) -> Column:
+    """The hash of each run of `size` words, from those of its words: halves are joined, so that a run of 8 takes 3 steps."""
+    if size == 1:
+        return hashes
+    half = 1 << ((size - 1).bit_length() - 1)
+    k = F.greatest(F.size(hashes) - size + 1, F.lit(0))
+    join = lambda a, b: F.zip_with(F.slice(a, F.lit(1), k), F.slice(b, F.lit(half + 1), k), lambda x, y: F.xxhash64(x, y))
+    if 2 * half == size:
+        return _let(_windows(hashes, half), lambda a: join(a, a))
+    return join(_windows(hashes, half), _windows(hashes, size - half))
 
 
 def _rows(text: Column, sizes: list[int]) -> Column:
-    """inline(...) of pos, slot, and h of the window of each size that begins there."""
-
-    def each(tokens: Column) -> Column:
-        return _let(
-            _template(tokens),
-            lambda m: F.transform(
-                F.sequence(F.lit(0), F.size(m) - 1),
-                lambda i: F.struct(i.alias("pos"), F.when(_is_slot(F.get(tokens, i)), F.get(tokens, i)).alias("slot"), F.array(*[_hashes(m, n)(i) for n in sizes]).alias("hs")),
-            ),
-        )
-
-    return _let(marked_tokens(text), lambda t: F.when(F.size(t) > 0, each(t)))
+    """For each place of a text its slot or null, and the hash of the window of each size that begins there or null."""
+    slots = lambda t: F.transform(t, lambda x: F.when(_is_slot(x), x))
+    return _let(marked_tokens(text), lambda t: _let(_hashes(t), lambda h: F.arrays_zip(slots(t), *[_windows(h, n) for n in sizes])))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +80,13 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> tuple
     items = items.select("item_id", F.explode(F.array(marked_tokens(F.col("text")))).alias("t")).where(F.size("t") >= LEAST_WORDS)
     plain = F.transform("t", lambda x: F.when(x.startswith(NAME), F.substring(x, 2, 1_000_000)).otherwise(x))
     both = items.unionAll(items.select("item_id", plain.alias("t")))
-    both = both.select("item_id", F.size("t").alias("n"), F.explode(F.array(_template(F.col("t")))).alias("m"))
-    both = both.withColumn("size", F.least("n", F.lit(WINDOW)))
-    windows = both.select("item_id", "n", "size", "m", F.posexplode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("ipos", "_"))
-    windows = windows.withColumn("w", F.slice("m", F.col("ipos") + 1, F.col("size")))
-    windows = windows.select("item_id", "ipos", F.xxhash64("w").alias("h"), "size", "n", F.exists("w", _is_slot).alias("has_slot")).distinct()
+    sized = both.withColumn("n", F.size("t")).withColumn("size", F.least("n", F.lit(WINDOW)))
+    hashed = F.when(F.lit(False), F.array().cast("array<long>"))
+    for size in range(LEAST_WORDS, WINDOW + 1):
+        hashed = hashed.when(F.col("size") == size, _windows(_hashes(F.col("t")), size))
+    windows = sized.select("item_id", "n", "size", "t", F.posexplode(hashed).alias("ipos", "h"))
+    has_slot = F.exists(F.slice("t", F.col("ipos") + 1, F.col("size")), _is_slot)
+    windows = windows.select("item_id", "ipos", "h", "size", "n", has_slot.alias("has_slot")).distinct()
     slots = items.select("item_id", F.posexplode("t").alias("ipos", "value")).where(_is_slot(F.col("value")))
     return windows, slots
 
@@ -104,8 +107,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     if sum(r["n"] for r in found) <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("text_key"), F.inline(_rows(text, sizes)))
-    rows = rows.select("text_key", "pos", "slot", F.explode("hs").alias("h")) if len(sizes) > 1 else rows.select("text_key", "pos", "slot", F.element_at("hs", 1).alias("h"))
+    rows = docs.select(F.xxhash64(text).alias("text_key"), F.posexplode(_rows(text, sizes)).alias("pos", "x"))
+    rows = rows.select("text_key", "pos", F.col("x")["0"].alias("slot"), F.array(*[F.col("x")[str(i + 1)] for i in range(len(sizes))]).alias("hs"))
+    rows = rows.select("text_key", "pos", "slot", F.explode("hs").alias("h")) if len(sizes) > 1 else rows.select("text_key", "pos", "slot", F.col("hs")[0].alias("h"))
     # A place without a window has a hash that meets none, and its own, so that such rows don't meet in one task.
     rows = rows.where("h is not null or slot is not null").withColumn("h", F.coalesce("h", F.xxhash64("text_key", "pos", F.lit("none"))))
     kept = rows.join(known, "h", "left").where("item_id is not null or slot is not null").drop("h").distinct()

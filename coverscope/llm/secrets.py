@@ -21,7 +21,7 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Where a credential's value may stand, wider than ASSIGN: more names, a header's scheme, "is", and values with any signs.
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|login|pin)(?![A-Za-z])["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*(?:(?:bearer|basic)\x20+)?["'`]?([^\s"'`,;<>|]{8,256})""",
+    r"""(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|login|pin)(?![A-Za-z])["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*(?:(?:bearer|basic)\x20+)?["'`]?([^\s"'`,;<>|]{8,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Bits of guessing from which a value counts as a secret; below are words, dates, walks and the like.
@@ -40,7 +40,6 @@ LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _RANK = {w: i + 2 for i, w in reversed(list(enumerate(WORDS)))}
 _LONGEST = max(map(len, WORDS))
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d)")
-_REPEAT = re.compile(r"(.{1,4}?)\1{2,}", re.DOTALL)
 
 
 def _sign_bits(c: str) -> float:
@@ -50,25 +49,39 @@ def _sign_bits(c: str) -> float:
     return math.log2(1000)
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, enough: float = math.inf) -> float:
     """log2 of the guesses for a value: the least cost over its segmentations into words, dates, repeats, walks and brute-force spans.
 
-    Each segment costs the bits of its own kind and two more for the kind. The empty value costs 0.
+    Each segment costs the bits of its own kind and two more for the kind. The empty value costs 0. Where the cost is certain to reach
+    `enough`, what is certain so far is given instead. Only costs of segments that end further on are held, so any value is taken whole.
     """
     n = len(value)
     lower = value.lower()
     plain = lower.translate(LEET)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start, bits
+    ahead: dict[int, float] = {}  # by end, beyond i: the least cost with a segment that ends there
+    best, brute = 0.0, math.inf  # up to i; and the same with a brute-force span at the end
+
+    def reach(end: int, bits: float) -> None:
+        ahead[end] = min(ahead.get(end, math.inf), best + 2 + bits)
+
     for i in range(n):
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             if rank := _RANK.get(lower[i:j]) or _RANK.get(plain[i:j]):
                 raw = value[i:j]
                 form = 0 if raw == lower[i:j] else 1 if raw in (raw.upper(), raw.capitalize()) else j - i - 1
-                spans[j].append((i, math.log2(rank) + form + (0 if lower[i:j] in _RANK else 2)))
+                reach(j, math.log2(rank) + form + (0 if lower[i:j] in _RANK else 2))
         if m := _DATE.match(value, i):
-            spans[m.end()].append((i, math.log2(150 * 365) if m.end() - i > 4 else math.log2(150)))
-        if (m := _REPEAT.match(value, i)) and (i == 0 or not value.startswith(m[1], i - len(m[1]))):
-            spans[m.end()].append((i, sum(map(_sign_bits, m[1])) + math.log2((m.end() - i) / len(m[1]))))
+            reach(m.end(), math.log2(150 * 365) if m.end() - i > 4 else math.log2(150))
+        for size in range(1, 5):
+            unit = value[i : i + size]
+            if value.startswith(unit * 3, i):
+                # Only from where a run begins, so that a long one is walked a few times at most.
+                if i < size or not value.startswith(unit, i - size):
+                    j = i + 3 * size
+                    while j < n and value.startswith(unit, j):
+                        j += size
+                    reach(j, sum(map(_sign_bits, unit)) + math.log2((j - i) / size))
+                break
         for row in WALKS:
             for line in (row, row[::-1]):
                 at = line.find(lower[i])
@@ -76,13 +89,23 @@ def guess_bits(value: str) -> float:
                 while at >= 0 and j < n and at < len(line) and lower[j] == line[at]:
                     j, at = j + 1, at + 1
                     if j - i >= 3:
-                        spans[j].append((i, math.log2(2 * len(WALKS) * len(row)) + math.log2(j - i) + (value[i:j] != lower[i:j])))
-    best = [0.0] + [math.inf] * n
-    brute = [math.inf] * (n + 1)  # the same, with a brute-force span at the end
-    for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], best[j - 1] + 2) + _sign_bits(value[j - 1])
-        best[j] = min([brute[j], *(best[i] + 2 + bits for i, bits in spans[j])])
-    return best[n]
+                        reach(j, math.log2(2 * len(WALKS) * len(row)) + math.log2(j - i) + (value[i:j] != lower[i:j]))
+        brute = min(brute, best + 2) + _sign_bits(value[i])
+        best = min(brute, ahead.pop(i + 1, math.inf))
+        # Every segmentation has a cut here, or a segment across it.
+        if best >= enough and (least := min([best, *ahead.values()])) >= enough:
+            return least
+    return best
+
+
+def _left(text: str, a: int, b: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the spans, by start, leave a part of a:b that is more than brackets which close around it."""
+    rest = []
+    for x, y in spans:
+        if x < b and a < y:
+            rest.append(text[a:x])
+            a = y
+    return bool("".join([*rest, text[a:b]]).strip(")]}"))
 
 
 def scan(text: str) -> list[tuple[str, int, int, int]]:
@@ -93,7 +116,7 @@ def scan(text: str) -> list[tuple[str, int, int, int]]:
     base = sorted((a, b) for _, a, b, _ in found)
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if not any(x < b and a < y for x, y in base) and guess_bits(m[1]) >= LEAST_BITS:
+        if _left(text, a, b, base) and guess_bits(m[1], LEAST_BITS) >= LEAST_BITS:
             found.append(("guess", a, b, a))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -22,7 +22,7 @@ from coverscope.runtime import salted_join, settle
 SAMPLED = 12
 #: Bytes of all wrappers together up to which they are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 24_000_000
-#: Distinct pages from which a wrapper tells what a host fixes.
+#: Distinct pages from which a wrapper tells what a host fixes, and that have a text which it fixes.
 LEAST_PAGES = 4
 #: Nodes of a wrapper that an alignment compares on each side at most; longer sequences align from both ends.
 ALIGNED = 400
@@ -161,7 +161,7 @@ def _names(attributes: str) -> str:
     return " ".join(sorted(found))
 
 
-# A wrapper is a list: [tag, names, repeated, optional, items]; its items are wrappers, texts that all pages share, or None for a text slot.
+# A wrapper is a list: [tag, names, repeated, optional, items]; its items are wrappers, texts that pages share, or None for a text slot.
 # That of a host has the number of its pages besides.
 Wrapper = list
 
@@ -241,12 +241,56 @@ def _merged(a: object, b: object) -> object:
 
 
 def inferred(pages: list[str]) -> Wrapper:
-    """The wrapper of some pages of a host: the first as it is, made to fit each further one."""
+    """The wrapper of some pages of a host: the first as it is, made to fit each further one. Texts that fewer than LEAST_PAGES have are slots."""
     own: list | None = None
-    for page in pages:
-        one = folded(parse(page))
+    roots = [parse(page) for page in pages]
+    for root in roots:
+        one = folded(root)
         own = one[4] if own is None else _aligned(own, one[4])
-    return ["", "", False, False, own or [], len(pages)]
+    own = own or []
+    seen: Counter = Counter()
+    for root in roots:
+        seen.update(_agreeing(root, own))
+    _slotted(own, seen)
+    return ["", "", False, False, own, len(pages)]
+
+
+def _fits(node: Node, items: list) -> Iterator[tuple[Node | str, int | None]]:
+    """The items of a page's node, each with the place of the wrapper's item that it fits, or None."""
+    at = 0
+    for x in node.items:
+        fit = None
+        for k in range(at, len(items)):
+            if isinstance(x, str):
+                if not isinstance(items[k], list):
+                    fit, at = k, k + 1
+                    break
+            elif isinstance(items[k], list) and items[k][:2] == [x.tag, x.names] and (items[k][1] or 2 * len(_kinds(items[k]) & _tags(x)) >= len(_tags(x))):
+                fit, at = k, k if items[k][2] else k + 1
+                break
+        yield x, fit
+
+
+def _agreeing(node: Node, items: list) -> set[tuple[int, int]]:
+    """The wrapper's texts that a page has in their place, as lists of items and places in them."""
+    found = set()
+    for x, k in _fits(node, items):
+        if k is None:
+            continue
+        if isinstance(x, str):
+            if x == items[k]:
+                found.add((id(items), k))
+        else:
+            found |= _agreeing(x, items[k][4])
+    return found
+
+
+def _slotted(items: list, seen: Counter) -> None:
+    for k, x in enumerate(items):
+        if isinstance(x, list):
+            _slotted(x[4], seen)
+        elif seen[id(items), k] < LEAST_PAGES:
+            items[k] = None
 
 
 def marked(tag: str, names: str, inside: bool) -> bool:
@@ -261,18 +305,9 @@ def marked(tag: str, names: str, inside: bool) -> bool:
 def _walk(node: Node, wrapper: Wrapper | None, blocks: list, trail: tuple[tuple[int, str], ...], out: bool) -> None:
     """Gathers of a page's blocks (text, containers, whether marked as something else, whether the wrapper fixes it, tag, characters in links), matching it with the wrapper."""
     items = wrapper[4] if wrapper else []
-    at = 0
     inside = any(kind for _, kind in trail)
-    for x in node.items:
-        fit = None
-        for k in range(at, len(items)):
-            if isinstance(x, str):
-                if not isinstance(items[k], list):
-                    fit, at = items[k], k + 1
-                    break
-            elif isinstance(items[k], list) and items[k][:2] == [x.tag, x.names] and (items[k][1] or 2 * len(_kinds(items[k]) & _tags(x)) >= len(_tags(x))):
-                fit, at = items[k], k if items[k][2] else k + 1
-                break
+    for x, k in _fits(node, items):
+        fit = None if k is None else items[k]
         if isinstance(x, str):
             blocks.append((x, trail, out, fit == x, node.tag, node.links))
             continue

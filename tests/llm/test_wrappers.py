@@ -21,6 +21,14 @@ def test_what_all_pages_share_is_told_only_from_several():
     assert W.main_text(one, W.inferred([one])) == "T\na\nRead us daily"
 
 
+def test_what_one_page_alone_has_is_not_fixed_by_its_host():
+    plain = [f"<body><article><h1>T{i}</h1><p>Text of page {i}, which is long enough to count.</p><div class=box>Read us daily</div></article></body>" for i in range(6)]
+    only = "<body><article><h1>Own</h1><p>Its first paragraph is of a usual length.</p><blockquote>Quoted once</blockquote><p>Last words</p><ul><li>One item</li></ul><div class=box>Read us daily</div></article></body>"
+    own = W.inferred([*plain[:3], only, *plain[3:]])
+    assert W.main_text(only, own) == "Own\nIts first paragraph is of a usual length.\nQuoted once\nLast words\nOne item"
+    assert W.main_text(plain[5], own) == "T5\nText of page 5, which is long enough to count."
+
+
 def test_wrapper_has_slots_options_and_groups():
     pages = ["<div><p>a</p><p>b</p></div><i></i>", "<div><p>c</p></div><h2>x</h2>", "<div><p>d</p><p>e</p><p>f</p></div>"]
     items = W.inferred(pages)[4]

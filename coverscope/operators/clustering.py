@@ -74,7 +74,7 @@ def _profile(articles: DataFrame, extractor: Callable[[Column, Column], Column])
 
 
 def _candidates(own: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs whose words allow the threshold, and each article with the least one of the same title words or names."""
+    """(a, b): pairs whose words allow the threshold, and each article with the least one of the same title words or names; they connect what can reach it."""
     title, names = bounds(threshold)
     named = own.where(F.size("names") > 0)
     copies = lambda df, c: classes_of(df, "article_id", c).where("article_id <> representative").select(F.col("representative").alias("a"), F.col("article_id").alias("b"))
@@ -82,14 +82,43 @@ def _candidates(own: DataFrame, threshold: float) -> DataFrame:
     return pairs.unionAll(copies(own.where(F.size("tokens") > 0), "tokens")).unionAll(copies(named, "names")).distinct()
 
 
+def _reaching(own: DataFrame, threshold: float, most: dict[str, Column]) -> DataFrame:
+    """(a, b), a < b: all pairs whose words reach the threshold if their other parts are at `most`.
+
+    Articles of the same title words and names are one variant. Classes of title words, or of names, that may be alike give pairs of
+    their variants; only pairs of variants that can reach the threshold are expanded to their articles, at any time and place.
+    """
+    title, names = bounds(threshold)
+    sets = own.select("article_id", F.array_sort("tokens").alias("tokens"), F.array_sort("names").alias("names"))
+    variants = settle(sets.groupBy("tokens", "names").agg(F.min("article_id").alias("v")))
+    members = settle(sets.join(variants, ["tokens", "names"]).select("article_id", "v"))
+
+    def alike(items: DataFrame, tokens: str, least: float) -> DataFrame:
+        classes = settle(classes_of(items, "v", tokens))
+        same = classes.select(F.col("representative").alias("a"), F.col("representative").alias("b")).distinct()
+        pairs = candidate_pairs(items, "v", tokens, least).unionAll(same)
+        x, y = classes.select(F.col("v").alias("va"), F.col("representative").alias("a")), classes.select(F.col("v").alias("vb"), F.col("representative").alias("b"))
+        return pairs.join(x, "a").join(y, "b").select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"))
+
+    pairs = alike(variants.where(F.size("tokens") > 0), "tokens", title).unionAll(alike(variants.where(F.size("names") > 0), "names", names)).distinct()
+    l, r = variants.alias("l"), variants.alias("r")  # noqa: E741
+    parts = {"title": N.jaccard(F.col("l.tokens"), F.col("r.tokens")), "entities": N.jaccard_if_any(F.col("l.names"), F.col("r.names"))}
+    both = pairs.join(l, F.col("va") == F.col("l.v")).join(r, F.col("vb") == F.col("r.v"))
+    # A part that is missing or less than 1 doesn't raise a weighted mean above that with it at 1.
+    pairs = both.where(N.weighted_score(parts | most) >= threshold - 1e-9).select("va", "vb")
+    x, y = members.select(F.col("article_id").alias("x"), F.col("v").alias("va")), members.select(F.col("article_id").alias("y"), F.col("v").alias("vb"))
+    found = pairs.join(x, "va").join(y, "vb").where((F.col("va") != F.col("vb")) | (F.col("x") < F.col("y")))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def scored_pairs(articles: DataFrame, threshold: float = THRESHOLD, extractor: Callable[[Column, Column], Column] = X.entities, semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(a, b, score, reasons and parts): pairs of articles whose score reaches the threshold.
+    """(a, b, score, reasons and parts): all pairs of articles, a < b, whose score reaches the threshold, copies with one another too.
 
-    articles: article_id, title, published_at, retrieved_at; optionally summary and location_ids (array). Of articles with the same title words, or the same names, the
-    least stands for all in pairs with others, and the rest are paired with it. semantic gives a similarity of two titles, or null; it raises scores of candidates, which are found without it.
+    articles: article_id, title, published_at, retrieved_at; optionally summary and location_ids (array). semantic gives a similarity of two titles, or null; it
+    raises scores of candidates, which are found without it.
     """
     own = settle(_profile(articles, extractor))
-    pairs = _candidates(own, threshold)
+    pairs = _reaching(own, threshold, {k: F.lit(1.0) for k in ("time", "location", *(["semantic"] if semantic else []))})
     l, r = own.alias("l"), own.alias("r")  # noqa: E741
     both = pairs.join(l, F.col("a") == F.col("l.article_id")).join(r, F.col("b") == F.col("r.article_id"))
     parts = {

@@ -68,6 +68,13 @@ def test_clustering_joins_like_titles_whatever_their_order(spark):
     assert {r["cluster_id"] for r in one} == {r["cluster_id"] for r in two}
 
 
+def test_scored_pairs_take_every_copy_of_a_title(spark):
+    day = 24 * 60
+    rows = [article("a1", "quake shakes city towers", 0), article("a2", "city towers: quake shakes", 20 * day), article("b1", "quake shakes city bridges", 20 * day + 5)]
+    got = {(r["a"], r["b"]) for r in clustering.scored_pairs(articles_of(spark, rows)).collect()}
+    assert got == {("a1", "a2"), ("a2", "b1")}
+
+
 def test_candidate_pairs_lose_none(spark):
     import itertools
     import random

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,22 @@ from coverscope.llm.common import partitions
 SHINGLE, SEED = 5, 42
 #: Bins (a power of two) and the low-order bits kept of each bin's least hash.
 BINS, LOW_BITS = 512, 2
-#: Hashes made of each shingle's, which leaves similarities as they are and lets short texts fill more bins.
-SPREAD = 4
 #: Bins that the densification looks at before it looks at all.
 FIRST = 32
 _LAST = 2**63 - 1
-_ODD = (np.arange(1, SPREAD + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bytes of texts that a range of documents is meant to hold.
+RANGE_BYTES = 128_000_000
+_BIN = (np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """The low-order bits that each bin keeps of its value, hashed once more with the bin.
+
+    So two bins that hold the same two values, as an empty one has another's, are equal by chance each on its own.
+    """
+    x = (values ^ (values >> np.uint64(32))) * _BIN
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - LOW_BITS)).astype(np.uint8)
 
 
 def _orders() -> np.ndarray:
@@ -61,16 +72,13 @@ class Fingerprinter:
         h = self.hashes(text)
         if not len(h):
             return None
-        h = h[:, None] * _ODD
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h = np.sort((h ^ (h >> np.uint64(32))).reshape(-1))
+        h = np.sort(h)
         bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
         first = np.concatenate(([True], bins[1:] != bins[:-1]))  # hashes are sorted, and so a bin's first is its least
         full = np.zeros(BINS, bool)
-        low = np.zeros(BINS, np.uint8)
+        value = np.zeros(BINS, np.uint64)
         full[bins[first]] = True
-        low[bins[first]] = (h[first] & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint8)
+        value[bins[first]] = h[first]
         if self.orders is None:
             self.orders = _orders()
         empty = np.flatnonzero(~full)
@@ -80,9 +88,9 @@ class Fingerprinter:
             there = full[self.orders[empty, a:b]]
             found = there.argmax(axis=1)
             ok = there[np.arange(len(empty)), found]
-            low[empty[ok]] = low[self.orders[empty[ok], a + found[ok]]]
+            value[empty[ok]] = value[self.orders[empty[ok], a + found[ok]]]
             empty = empty[~ok]
-        return low
+        return bits_of(value)
 
     @staticmethod
     def packed(low: np.ndarray | None) -> str:
@@ -101,6 +109,27 @@ class Fingerprinter:
         return float(min(1.0, max(0.0, ((a == b).mean() - chance) / (1 - chance))))
 
 
+def starts_of(marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, hashes) where ranges begin, from percentiles of the keys; one that is m of them has m ranges, by hash."""
+    keys, hashes = [], []
+    for key, m in sorted(Counter(marks).items()):
+        keys += [key] * m
+        hashes += [(i << 64) // m - (1 << 63) for i in range(m)]
+    return np.array(keys, np.int64), np.array(hashes, np.int64)
+
+
+def parts_of(k: np.ndarray, h: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The range of each (key, hash): how many begin at it or before."""
+    part, end = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+    inside = end > part
+    for a, b in set(zip(part[inside].tolist(), end[inside].tolist(), strict=True)):
+        own = inside & (part == a)
+        own_hash = h[own]
+        part[own] = a + np.searchsorted(hashes[a:b], own_hash, "right")
+        inside &= ~own
+    return part
+
+
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of docs.
 
@@ -110,33 +139,44 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     has the fingerprint "", whose likeness is 1 to another such and 0 to others. An only row is followed by itself. Other
     columns aren't read; an empty table gives no rows.
 
-    Rows are dealt out in ranges of doc_id; the row that begins a range also goes to the range before, to be the next of its last
-    row. The driver gets one doc_id for each range.
+    A text is taken whole, however long it is; a task holds two at a time.
+
+    Rows are dealt out in ranges of doc_id, and of the text's hash where many rows have one doc_id or none; the ranges' number follows the bytes of all
+    texts. The row that begins a range also goes to the range before, to be the next of its last row. The driver gets one number for each range.
     """
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = max(2, partitions(spark))
-    marks = source.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("p"), F.min("k").alias("a"), F.max("k").alias("b")).first()
-    least = marks["a"]
-    starts = np.array(sorted({x for x in [*(marks["p"] or []), marks["b"]] if x is not None and x > least}), np.int64)
+    # Rows of one doc_id, or of none, follow each other by hash.
+    source = source.select("k", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "text")
+    size = source.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = max(2, partitions(spark), (size["bytes"] or 0) // RANGE_BYTES)
+    marks = source.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("p")).first()["p"] or []
+    keys, hashes = starts_of(marks)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = parts_of(batch.column(0).to_numpy(), batch.column(1).to_numpy(), keys, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(1)], names=["part", "k", "h"])
+
+    placed = source.select("k", "h").mapInArrow(place, "part int, k long, h long")
+    first = sorted(tuple(r) for r in placed.groupBy("part").agg(F.min(F.struct("k", "h")).alias("x")).select("part", "x.k", "x.h").collect())
+    #: By the key that begins a range, the range before it; before the first comes the last.
+    ahead_of = {(k, h): (first[i - 1][0], 1 if i else 2) for i, (_, k, h) in enumerate(first)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            at = np.searchsorted(starts, k, side="right")
-            texts = [pack(x or b"") for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            ids = batch.column(1).to_pylist()
-            rows = [(int(p), 0, *x) for p, x in zip(at, zip(k.tolist(), ids, texts, strict=True), strict=True)]
-            for p, x, z in zip(at.tolist(), k.tolist(), texts, strict=True):
-                if p and x == starts[p - 1]:
-                    rows.append((p - 1, 1, x, None, z))
-                if x == least:
-                    rows.append((len(starts), 2, x, None, z))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "ahead", "k", "doc_id", "z"])
-
-    dealt = source.mapInArrow(deal, "part int, ahead int, k long, doc_id long, z binary")
-    ordered = dealt.repartitionById(len(starts) + 1, "part").sortWithinPartitions("part", "ahead", "k", "z")
+            if not batch.num_rows:
+                continue
+            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part = parts_of(k, h, keys, hashes)
+            texts = [pack(x or b"") for x in batch.column(3).cast(pa.binary()).to_pylist()]
+            rows = [(p, 0, *x) for p, x in zip(part.tolist(), zip(k.tolist(), h.tolist(), batch.column(2).to_pylist(), texts, strict=True), strict=True)]
+            rows += [(*ahead_of[a, b], a, b, None, z) for a, b, z in zip(k.tolist(), h.tolist(), texts, strict=True) if (a, b) in ahead_of]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "ahead", "k", "h", "doc_id", "z"])
+
+    dealt = source.mapInArrow(deal, "part int, ahead int, k long, h long, doc_id long, z binary")
+    ordered = dealt.repartitionById(len(keys) + 1, "part").sortWithinPartitions("part", "ahead", "k", "h").select("ahead", "doc_id", "z")
     maker = Fingerprinter()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -146,7 +186,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         last = None  # the row that waits for its next one
         out: list[tuple] = []
         for batch in batches:
-            for ahead, key, z in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            for ahead, key, z in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
                 if ahead and last is None:
                     continue
                 text = unpack(z.as_py()).decode("utf-8", "surrogatepass")

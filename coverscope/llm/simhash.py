@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.llm.common import as_bytes, map_slices
@@ -21,10 +21,15 @@ SEED = 42
 CHUNK = 1024
 #: Salts of joins on a key that a great part of the rows may have.
 SALTS = 32
-#: Wide fingerprints, for texts alike by WIDE_SHINGLE-word shingles: bits; blocks and their bits; differing bits that a
-#: similarity of 0.8 is expected to give, and one standard deviation.
-WIDE_SHINGLE, WIDE_BITS, WIDE_BLOCKS, WIDE_BLOCK_BITS, WIDE_DISTANCE = 5, 1024, 48, 24, 163
-LONG_WORD = 5
+#: Wide fingerprints, for texts alike by WIDE_SHINGLE-word shingles to ALIKE or more: their bits; and bits in which two may differ
+#: that need no further check, and at most. A similarity of ALIKE gives 155 on average at most, with a standard deviation of 11.5; the two are 4 of these away.
+WIDE_SHINGLE, WIDE_BITS, ALIKE, SURE_DISTANCE, WIDE_DISTANCE = 5, 1024, 0.8, 105, 201
+#: Shingles of a text up to which its fingerprint is too coarse to tell, so that its pairs are all compared by their shingles.
+FEW = 64
+#: Members of a block's group that are written as pairs; larger groups are compared by chunks.
+PAIRED = 32
+#: Shingles that many texts share come last in the order of blocks: those that FREQUENT texts of one in SAMPLE have in theirs, MOST at most.
+FREQUENT, SAMPLE, MOST = 8, 16, 1_000_000
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -73,25 +78,32 @@ def widened(hashes: np.ndarray, words: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_fingerprint(data: bytes) -> tuple[bytes, np.ndarray]:
-    """(signature, blocks): SimHash of the distinct five-word shingles; and blocks of a SimHash of the distinct words.
+def block_shingles(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Shingles of a text of which one at least is among those of any other text that is alike to ALIKE or more.
 
-    Short words, which unrelated texts share, count in the blocks only where there are no others.
+    hashes: the text's distinct ones, sorted; frequent: sorted ones that come last in the order. Pigeonhole: in such a pair each text has
+    ALIKE of its shingles at least in common with the other, so of its first (1 - ALIKE) n + 1, in any one order of all
+    shingles, one is shared; and the first one of the order that is shared is among both texts' first.
     """
-    hashes = np.unique(shingle_hashes(data, WIDE_SHINGLE))
-    if not len(hashes):
-        return b"\0" * (WIDE_BITS // 8), np.zeros(WIDE_BLOCKS, np.int64)
+    n = len(hashes)
+    if len(frequent) and n:
+        at = np.searchsorted(frequent, hashes)
+        late = frequent[np.minimum(at, len(frequent) - 1)] == hashes
+        hashes = np.concatenate((hashes[~late], hashes[late]))
+    return hashes[: n - _least_shared(n) + 1] if n else hashes
+
+
+def _least_shared(n: int) -> int:
+    """Shingles that a text of n has in common at least with one alike to ALIKE; exact, as n * 4 / 5 of integers."""
+    return -(-n * 4 // 5)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of distinct shingles' hashes in WIDE_BITS bits."""
     sums = np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         sums += bit_counts(widened(hashes[at : at + 8192], WIDE_BITS // 64))
-    words = set(data.lower().split())
-    words = {w for w in words if len(w) >= LONG_WORD} or words
-    keys = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    keyed = np.zeros(WIDE_BLOCKS // 2 * 64, np.int64)
-    for at in range(0, len(keys), 8192):
-        keyed += bit_counts(widened(keys[at : at + 8192], WIDE_BLOCKS // 2))
-    blocks = np.packbits(2 * keyed > len(keys), bitorder="little").view(np.uint32) & np.uint32((1 << WIDE_BLOCK_BITS) - 1)
-    return np.packbits(2 * sums > len(hashes), bitorder="little").tobytes(), blocks.astype(np.int64) | (np.arange(WIDE_BLOCKS, dtype=np.int64) << 32)
+    return np.packbits(2 * sums > len(hashes), bitorder="little").tobytes()
 
 
 def pigeonhole_masks(n: int, distance: int) -> list[int]:
@@ -131,26 +143,60 @@ def _forest(nodes: np.ndarray, sigs: np.ndarray, distance: int) -> tuple[list[in
     return us, vs
 
 
-def block_links(keyed: DataFrame, distance: int, sigs: DataFrame | None = None) -> DataFrame:
-    """(u, v): links between nodes that share a key and whose signatures differ in `distance` bits or fewer.
+def _dealt(shared: DataFrame) -> DataFrame:
+    """(key, a, b, node) of (key, node, n): a key's n nodes in chunks by hash, and each pair a <= b of chunks."""
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int")
+    dealt = shared.withColumn("c", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("a", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return dealt.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "node")
+
+
+def chunk_links(shared: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(u, v, sure): the pairs of large groups of (key, node, n) that are or may be near, by (node, size, sig).
+
+    Pairs that are near beyond doubt are as few as connect the same nodes; those that may be are all that these don't connect in their chunks.
+    """
+    dealt = salted_join(_dealt(shared), sigs, ["node"], F.col("key"), 1)
+    groups = dealt.groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "size", "sig")).alias("x")).select(F.col("x.node").alias("nodes"), F.col("x.size").alias("sizes"), F.col("x.sig").alias("sigs"))
 
-    keyed: key, node long. sigs: node, sig binary; without it the node itself is the 64-bit signature. The links of a group connect
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            words = np.frombuffer(b"".join(batch.column(2).flatten().to_pylist()), np.uint64).reshape(len(flat), -1)
+            cuts = (np.asarray(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()).tolist()
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from _near_in_group(flat[at:to], sizes[at:to], words[at:to])
+
+    return groups.mapInArrow(links, "u long, v long, sure boolean")
+
+
+def _near_in_group(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    many = sizes > FEW
+    us, vs = _forest(nodes[many], sigs[many], SURE_DISTANCE)
+    number = {x: i for i, x in enumerate(nodes.tolist())}
+    part = np.arange(len(nodes))
+    for u, v in zip(us, vs, strict=True):  # a forest: each v comes once, after its u
+        part[number[v]] = part[number[u]]
+    x, y = [np.array(us, np.int64)], [np.array(vs, np.int64)]
+    for i in range(len(nodes) - 1):
+        ok = (part[i + 1 :] != part[i]) & (5 * np.minimum(sizes[i + 1 :], sizes[i]) >= 4 * np.maximum(sizes[i + 1 :], sizes[i]))
+        at = np.flatnonzero(ok) + i + 1
+        at = at[(np.minimum(sizes[at], sizes[i]) <= FEW) | (np.bitwise_count(sigs[at] ^ sigs[i]).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE)]
+        x.append(np.full(len(at), nodes[i]))
+        y.append(nodes[at])
+    a, b = np.concatenate(x), np.concatenate(y)
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(a)) < len(us))], names=["u", "v", "sure"])
+
+
+def block_links(keyed: DataFrame, distance: int) -> DataFrame:
+    """(u, v): links between nodes that share a key and that differ in `distance` bits or fewer.
+
+    keyed: key, node long; the node itself is the 64-bit signature. The links of a group connect
     all that lie within the distance, directly or through members of the group, but are fewer than its members. Keys of one
     node go first. A group of more than CHUNK members is dealt out by hash into chunks, and each pair of chunks is a
     task's work: no group is gathered whole, and nothing is left out.
     """
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = salted_join(keyed, sizes, ["key"], F.col("node"), 4)
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int")
-    dealt = shared.withColumn("c", chunks).withColumn("a", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    dealt = dealt.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "node")
-    if sigs is None:
-        groups = dealt.groupBy("key", "a", "b").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1).select("nodes")
-    else:
-        dealt = salted_join(dealt, sigs, ["node"], F.col("key"), 1)
-        groups = dealt.groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "sig")).alias("x")).where(F.size("x") > 1).select(F.col("x.node").alias("nodes"), F.col("x.sig").alias("sigs"))
-    own = sigs is None
+    groups = _dealt(salted_join(keyed, sizes, ["key"], F.col("node"), 4)).groupBy("key", "a", "b").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1).select("nodes")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,11 +204,7 @@ def block_links(keyed: DataFrame, distance: int, sigs: DataFrame | None = None)
             vs: list[int] = []
             nodes = batch.column(0)
             flat, cuts = nodes.flatten().to_numpy(zero_copy_only=False), np.asarray(nodes.offsets) - nodes.offsets[0].as_py()
-            if own:
-                words = flat.view(np.uint64).reshape(-1, 1)
-            else:
-                raw = b"".join(batch.column(1).flatten().to_pylist())
-                words = np.frombuffer(raw, np.uint64).reshape(len(flat), -1)
+            words = flat.view(np.uint64).reshape(-1, 1)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 u, v = _forest(flat[a:b], words[a:b], distance)
                 us += u
@@ -207,36 +249,141 @@ def _assigned(prints: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFra
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row: near-duplicates by five-word shingles, at a similarity of about 0.8 or more.
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text); text_key: hash of the text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+
+
+def frequent_shingles(source: DataFrame) -> np.ndarray:
+    """Shingles that many texts have, from one text in SAMPLE. It matters to the time that blocks take alone; any set gives the same links."""
+
+    def of(batch: pa.RecordBatch) -> dict[str, list]:
+        each = [block_shingles(np.unique(shingle_hashes(x, WIDE_SHINGLE)), np.empty(0, np.uint64)) for x in as_bytes(batch.column(0))]
+        return {"key": np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64).tolist()}
+
+    some = source.where(F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(SAMPLE)) == 0).select("text_key", "text").dropDuplicates(["text_key"]).select("text")
+    counts = map_slices(some, "key long", of, [("key", pa.int64())]).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST).collect()], np.int64).view(np.uint64))
 
-    64 bits can't tell that similarity, so fingerprints are wide: WIDE_BLOCKS blocks of WIDE_BLOCK_BITS bits find candidates (texts
-    alike to 0.8 share a block with a probability of about 0.99 where words were replaced), and a signature of WIDE_BITS
-    bits over five-word shingles, differing in WIDE_DISTANCE or fewer, confirms them. Cases as in simhash_components.
+
+def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): links between nodes that connect all that are alike to ALIKE or more.
+
+    Blocks' groups give pairs that may be near by their fingerprints; those that are near beyond doubt are links, the others are compared by their shingles.
     """
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("size").alias("z"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    sigs = nodes.select("node", "size", "sig")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            flat, sizes = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.asarray(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()
+            lengths = np.diff(cuts)
+            for n in np.unique(lengths).tolist():
+                at = cuts[:-1][lengths == n][:, None] + np.arange(n)
+                i, j = np.triu_indices(n, 1)
+                a, b, x, y = flat[at][:, i].ravel(), flat[at][:, j].ravel(), sizes[at][:, i].ravel(), sizes[at][:, j].ravel()
+                ok = 5 * np.minimum(x, y) >= 4 * np.maximum(x, y)
+                us.append(np.minimum(a, b)[ok])
+                vs.append(np.maximum(a, b)[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    small = shared.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("node", "z")).alias("x")).select(F.col("x.node").alias("nodes"), F.col("x.z").alias("sizes"))
+    pairs = small.mapInArrow(paired, "u long, v long").distinct()
+    of = lambda c: sigs.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"))
+    pairs = pairs.join(of("u"), "u").join(of("v"), "v")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("u_sig", "v_sig"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            few = np.minimum(batch.column("u_size").to_numpy(), batch.column("v_size").to_numpy()) <= FEW
+            sure = (apart <= SURE_DISTANCE) & ~few
+            keep = pa.array(few | (apart <= WIDE_DISTANCE))
+            out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure)], names=["u", "v", "sure"])
+            yield out.filter(keep)
+
+    found = pairs.mapInArrow(judged, "u long, v long, sure boolean")
+    large = shared.where(F.col("n") > PAIRED).select("key", "node", "n")
+    found = settle(found.unionAll(chunk_links(large, sigs)).distinct())
+    doubtful = found.where("not sure").join(found.where("sure"), ["u", "v"], "left_anti")
+    return found.where("sure").select("u", "v").unionAll(_alike(source, wide, doubtful))
+
+
+def _alike(source: DataFrame, wide: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose shingles are alike to ALIKE or more; each text's are hashed again, in 32 bits."""
+    asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+    one = wide.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
 
     def of(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [wide_fingerprint(x) for x in as_bytes(batch.column(1))]
-        return {"doc_id": batch.column(0), "sig": [s for s, _ in found], "blocks": [b for _, b in found]}
+        return {"node": batch.column(0), "set": [np.unique(shingle_hashes(x, WIDE_SHINGLE).astype(np.uint32)).tobytes() for x in as_bytes(batch.column(1))]}
+
+    texts = source.select("text_key", "text").join(one, "text_key").select("node", "text").dropDuplicates(["node"])
+    sets = settle(map_slices(texts, "node long, set binary", of, [("node", pa.int64()), ("set", pa.binary())]))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(5 * both >= 4 * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
 
-    columns = [("doc_id", pa.int64()), ("sig", pa.binary()), ("blocks", pa.list_(pa.int64()))]
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wide = map_slices(source, "doc_id long, sig binary, blocks array<long>", of, columns)
-    # Equal signatures are one node, whose blocks are those of any of its texts.
-    wide = settle(wide.withColumn("fp", F.xxhash64("sig")))
-    nodes = wide.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("sig", "blocks"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
-    nodes = settle(nodes.where("rep is not null").select("fp", "rep", "n", "x.sig", "x.blocks"))
-    keyed = nodes.select(F.explode("blocks").alias("key"), F.col("fp").alias("node"))
-    labels = connected_components(block_links(keyed, WIDE_DISTANCE, nodes.select(F.col("fp").alias("node"), "sig")))
-    return _assigned(wide.select("doc_id", "fp"), nodes.select("fp", "rep", "n"), labels).select("doc_id", "component_id")
+
+def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, group) of every row: group is a number that near-duplicates share."""
+    source = _source(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(source))
+
+    def of(batch: pa.RecordBatch) -> dict[str, list]:
+        each = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in as_bytes(batch.column(2))]
+        nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in each], np.uint64).view(np.int64)
+        keys = [block_shingles(h, sent.value).view(np.int64) for h in each]
+        return {"doc_id": batch.column(0), "text_key": batch.column(1), "node": nodes.tolist(), "size": list(map(len, each)), "sig": [wide_fingerprint(h) for h in each], "keys": keys}
+
+    columns = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    wide = settle(map_slices(source, "doc_id long, text_key long, node long, size long, sig binary, keys array<long>", of, columns))
+    # Texts of the same shingles are one node.
+    nodes = wide.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    labels = settle(connected_components(_near_links(source, wide.select("node", "text_key"), nodes)).withColumnRenamed("label", "group"))
+    rows = wide.select("doc_id", "text_key", "node")
+    return settle(salted_join(rows, labels, ["node"], F.coalesce("doc_id", F.lit(0)), SALTS, "left").select("doc_id", "text_key", F.coalesce("group", "node").alias("group")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row: near-duplicates by distinct five-word shingles, at a similarity of ALIKE or more.
+
+    64 bits can't tell that similarity, so fingerprints have WIDE_BITS bits. To be sure of a shared block of such bits, they would have to be split into
+    over WIDE_DISTANCE blocks of 5, which all texts share; so what is split is the set of shingles that the fingerprint is made of (block_shingles):
+    any two texts that are alike share a block. Candidates are verified by the Hamming distance of their fingerprints: at
+    SURE_DISTANCE or less they are alike, beyond WIDE_DISTANCE they aren't, and between by their shingles, which decide. Texts of up to FEW
+    shingles are all decided so. Components are those of the links; component_id is the smallest doc_id of them. Texts are taken whole; other cases as in
+    simhash_components.
+    """
+    near = _near(docs, id_col, text_col)
+    least = near.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return salted_join(near.select("doc_id", "group"), least, ["group"], F.coalesce("doc_id", F.lit(0)), SALTS, "left").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near_duplicates: that of the smallest id (one of them where rows repeat it).
+    """docs with one row of each group of near-duplicates: that of the smallest id, and of its texts that are in the group the one of least hash.
 
-    Rows with a null id stay. All columns of docs come back as they are.
+    Rows of one id whose texts aren't near-duplicates of each other are of different groups, and each stays. Of rows with the same id and text one stays.
+    Rows with a null id stay. All columns of docs come back as they are, whatever they are called.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    near = _near(docs, id_col, text_col).where("doc_id is not null")
+    keep = near.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key").distinct()
+    again = near.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_key")
     known = docs.where(F.col(id_col).isNotNull())
-    kept = known.join(keep, known[id_col].cast("long") == keep["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    id_of, key_of = F.col(f"d.{id_col}").cast("long"), F.xxhash64(F.coalesce(F.col(f"d.{text_col}").cast("string"), F.lit("")))
+    matches = (id_of == F.col("k.doc_id")) & (key_of == F.col("k.text_key"))
+    kept = known.alias("d").join(keep.join(again, ["doc_id", "text_key"], "left_anti").alias("k"), matches, "left_semi")
+    repeated = known.alias("d").join(keep.join(again, ["doc_id", "text_key"], "left_semi").alias("k"), matches, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

@@ -114,3 +114,82 @@ def test_near_duplicates_by_five_word_shingles(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, None: None, 6: 6, 7: 6}
     kept = simhash.deduplicated(clash)
     assert kept.columns == clash.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "6", "None"]
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "z"), (2, b, "y"), (3, "b " + b, "y")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, text_key string"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (1, b)]
+
+
+def five(text):
+    w = (text or "").lower().encode().split()
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(x, y):
+    return x == y or (bool(x) and bool(y) and 5 * len(x & y) >= 4 * len(x | y))
+
+
+def plain_groups(sets):
+    """By comparing all texts with all; ids ascend."""
+    root = {}
+    for i, x in sets.items():
+        near = {root[j] for j, y in sets.items() if j in root and alike(x, y)}
+        root[i] = min(near, default=i)
+        for j in root:
+            if root[j] in near:
+                root[j] = root[i]
+    return root
+
+
+def varied(rng, base, how, share):
+    """A text of which a share is replaced by new words: scattered, in one passage, or put in at a place or at the end."""
+    own, new, n = base.split(), lambda: f"new{rng.randrange(10**7)}", len(base.split())
+    k = int(n * share)
+    if how == "scattered":
+        for i in rng.sample(range(n), max(1, k // 5)):
+            own[i] = new()
+    elif how == "replaced":
+        at = rng.randrange(n - k)
+        own[at : at + k] = [new() for _ in range(k)]
+    else:
+        at = n if how == "extended" else rng.randrange(n)
+        own[at:at] = [new() for _ in range(k)]
+    return " ".join(own)
+
+
+def test_all_texts_alike_to_four_fifths_are_linked(spark, monkeypatch):
+    """Every group is that of all pairs, at any size and kind of change, with passages that many texts share and with groups that are dealt out."""
+    rng = random.Random(11)
+    passage = " ".join(f"shared{i}" for i in range(60))
+    texts = []
+    for n in (12, 40, 150, 600):
+        for how in ("scattered", "replaced", "inserted", "extended"):
+            for share in (0.03, 0.08, 0.11, 0.14, 0.19, 0.22, 0.25, 0.3):
+                base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+                texts += [base + " " + passage if n > 100 else base, varied(rng, base, how, share) + (" " + passage if n > 100 else "")]
+    sets = {i: five(t) for i, t in enumerate(texts)}
+    want = plain_groups(sets)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == want and 20 < len(set(want.values())) < 200
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()} == want
+
+
+def test_pairs_of_the_given_table_by_queries_against_all(spark):
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    sets = {i: five(t) for i, t in rows}
+    holders = {}
+    for i, x in sets.items():
+        for h in x:
+            holders.setdefault(h, set()).add(i)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    near = [(i, j) for i in sets for j in set().union(*(holders[h] for h in sets[i])) if i < j and alike(sets[i], sets[j])]
+    assert len(near) > 50 and all(got[i] == got[j] for i, j in near)
+    linked = {x for p in near for x in p}
+    assert all(got[i] == i for i in sets if i not in linked and sets[i])

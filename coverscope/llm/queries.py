@@ -43,7 +43,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
         hosts.where("x % 4 = 0").selectExpr("host as key", "'block' as action", f"{day('x % 60')} as dated"),
         hosts.where("x % 8 = 0").selectExpr("host as key", "'clear' as action", f"{day('x % 60 + 10 + x % 20')} as dated"),
         hosts.where("x % 12 = 0").selectExpr("concat(host, '/en') as key", "'allow' as action", f"{day('x % 45')} as dated"),
-        pages.sparkSession.createDataFrame(list(LISTED), "key string, action string, dated string").withColumn("dated", F.col("dated").cast("timestamp_ntz")),
+        pages.sparkSession.sql("select key, action, cast(dated as timestamp_ntz) as dated from values " + ", ".join(map(str, LISTED)) + " as v(key, action, dated)"),
     ]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
@@ -110,19 +110,26 @@ def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = f"""
 with own as (
-  select distinct conv_id, turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as body, coalesce(floor(turn / {chat.SEGMENT}.0), -1)::bigint as segment
-  from conversations),
+  select *, md5(role || chr(10) || body) as h, floor(turn / {chat.SEGMENT}.0) as seg
+  from (select distinct conv_id, turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as body from conversations)),
+counted as (select *, count(*) over (partition by conv_id, turn) as n_turn, count(*) over (partition by conv_id, seg) as n_seg from own),
+placed as (
+  select *, case when n_seg > {chat.CROWD} then turn end as t,
+    case when n_seg > {chat.CROWD} then floor(('0x' || substr(h, 1, 4))::int * ceil(n_turn / {chat.CROWD}.0) / 65536) else 0 end as b
+  from counted),
 speakers as (select distinct conv_id, role as perspective from own where role <> '{chat.SYSTEM}'),
 pieces as (
   select o.*, perspective, body || '{chat.STOP}' as said,
     '{chat.START}' || case when role = perspective then 'assistant' when role = '{chat.SYSTEM}' then role else 'user name=' || replace(role, '<|', '< |') end || chr(10) as head
-  from own o join speakers s on o.conv_id is not distinct from s.conv_id),
-placed as (
-  select *, sum(length(head) + length(said) + 1) over (partition by conv_id, perspective, segment order by turn nulls first, role, body) as after from pieces)
-select conv_id, perspective, segment, string_agg(head || said || chr(10), '' order by turn nulls first, role, body) as text,
-  coalesce(string_agg(case when role = perspective then (after - 1 - length(said))::bigint || ':' || (after - 1)::bigint end, ',' order by turn nulls first, role, body), '') as train_spans,
+  from placed o join speakers s on o.conv_id is not distinct from s.conv_id),
+ordered as (
+  select *, (sum(length(head) + length(said) + 1) over (partition by conv_id, perspective order by turn nulls first, h))::bigint as after,
+    dense_rank() over (partition by conv_id, perspective order by seg nulls first, t nulls first, b) - 1 as part
+  from pieces)
+select conv_id, perspective, part, min(after - length(head) - length(said) - 1) as start, string_agg(head || said || chr(10), '' order by turn nulls first, h) as text,
+  coalesce(string_agg(case when role = perspective then (after - 1 - length(said)) || ':' || (after - 1) end, ',' order by turn nulls first, h), '') as train_spans,
   count(*) as n_messages
-from placed group by conv_id, perspective, segment
+from ordered group by conv_id, perspective, part
 """
 
 

@@ -29,13 +29,25 @@ def url_keys(url: Column) -> Column:
 
 
 def validity(entries: DataFrame) -> DataFrame:
-    """(key, action, valid_from, valid_to): entries (key, action, dated) as intervals; an interval ends when the key's next begins.
+    """(key, action, valid_from, valid_to): entries (key, action, dated) as intervals; an interval ends when the key's next begins, or never (null).
 
-    Of entries of one key at one time the one of the greatest action holds. Rows with a null are dropped. The intervals are built in a report's
-    size; the join below needs their beginnings alone, as intervals of a key don't overlap.
+    Of entries of one key at one time the one of the greatest action holds. Rows with a null are dropped. A key's entries are ordered within
+    buckets of time; what ends the last of a bucket is the first of the key's next one, so that a much-changed key isn't a single task's work.
     """
-    one = _entries(entries)
-    return one.select("key", "action", F.col("dated").alias("valid_from"), F.lead("dated").over(Window.partitionBy("key").orderBy("dated")).alias("valid_to"))
+    one = _entries(entries).withColumn("bucket", _bucket(_micros(F.col("dated"))))
+    firsts = one.groupBy("key", "bucket").agg(F.min("dated").alias("first"))
+    after = firsts.select("key", "bucket", F.lead("first").over(Window.partitionBy("key").orderBy("bucket")).alias("after"))
+    following = F.lead("dated").over(Window.partitionBy("key", "bucket").orderBy("dated"))
+    ended = one.withColumn("following", following).join(after, ["key", "bucket"])
+    return ended.select("key", "action", F.col("dated").alias("valid_from"), F.coalesce("following", "after").alias("valid_to"))
+
+
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def _bucket(t: Column) -> Column:
+    return F.floor(t / F.lit(BUCKET * 1_000_000))
 
 
 def _entries(entries: DataFrame) -> DataFrame:
@@ -50,40 +62,42 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     was before), dated. Of a capture's keys the longest whose interval at that time says block or allow decides; verdict is "blocked", "allowed",
     or "none". A capture with a null time or without a host has "none".
 
-    As-of join: the state of a key at a time is its last entry until then. Time is cut into buckets. Within a bucket captures and entries are sorted
-    together, each key's captures dealt to SALTS places with its entries of the bucket; across buckets each key's last
-    states are carried forward, a row for each bucket. So neither a hot host nor a much-changed entry gathers in one task, and nothing is
+    As-of join of captures with validity's intervals: of a key the one that begins last until then, if it hasn't ended. Time is cut into buckets. Within a bucket captures and intervals are sorted
+    together by their begin, each key's captures dealt to SALTS places with its intervals of the bucket; across buckets the interval
+    that reaches out of a key's last one is carried forward, a row for each bucket. So neither a hot host nor a much-changed entry gathers in one task, and nothing is
     compared with all entries.
     """
     pairs = captures.select(F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).distinct()
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    bucket = lambda t: F.floor(t / F.lit(BUCKET * 1_000_000))
-    listed = _entries(entries).select("key", "action", seconds(F.col("dated")).alias("t")).withColumn("bucket", bucket(F.col("t")))
+    until = lambda c: F.when(c.isNotNull(), _micros(c))
+    listed = validity(entries).select("key", "action", _micros(F.col("valid_from")).alias("t"), until(F.col("valid_to")).alias("until")).withColumn("bucket", _bucket(F.col("t")))
     asked = pairs.where(F.col("fetched_at").isNotNull()).select("url", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
-    asked = asked.join(listed.select("key").distinct(), "key", "left_semi").withColumn("t", seconds(F.col("fetched_at"))).withColumn("bucket", bucket(F.col("t")))
+    asked = asked.join(listed.select("key").distinct(), "key", "left_semi").withColumn("t", _micros(F.col("fetched_at"))).withColumn("bucket", _bucket(F.col("t")))
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("url", "t"), F.lit(SALTS)).cast("int"))
     # Within a bucket.
     every = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    state = F.struct(F.col("t").alias("since"), "action")
+    state = F.struct(F.col("t").alias("since"), "until", "action")
     both = every.select("key", "bucket", "salt", "t", F.lit(0).alias("order"), state.alias("state"), F.lit(None).cast("string").alias("url"), F.lit(None).cast(pairs.schema["fetched_at"].dataType).alias("fetched_at"))
-    both = both.unionAll(salted.select("key", "bucket", "salt", "t", F.lit(1).alias("order"), F.lit(None).cast("struct<since:bigint,action:string>").alias("state"), "url", "fetched_at"))
+    both = both.unionAll(salted.select("key", "bucket", "salt", "t", F.lit(1).alias("order"), F.lit(None).cast("struct<since:bigint,until:bigint,action:string>").alias("state"), "url", "fetched_at"))
     inside = Window.partitionBy("key", "bucket", "salt").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, 0)
     within = both.withColumn("state", F.last("state", ignorenulls=True).over(inside)).where("order = 1").select("url", "fetched_at", "key", "bucket", "salt", "state")
     # Across buckets: the last state before each.
     ends = listed.groupBy("key", "bucket").agg(F.max(state).alias("state"))
-    marks = ends.unionAll(asked.select("key", "bucket", F.lit(None).cast("struct<since:bigint,action:string>").alias("state"))).groupBy("key", "bucket").agg(F.max("state").alias("state"))
+    marks = ends.unionAll(asked.select("key", "bucket", F.lit(None).cast("struct<since:bigint,until:bigint,action:string>").alias("state"))).groupBy("key", "bucket").agg(F.max("state").alias("state"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("key", "bucket", F.last("state", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
     carried = carried.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    states = within.join(carried, ["key", "bucket", "salt"], "left").select("url", "fetched_at", "key", F.coalesce("state", "carried").alias("state"))
-    active = states.where("state.action in ('block', 'allow')").groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "state")).alias("best"))
+    states = within.join(carried, ["key", "bucket", "salt"], "left").select("url", "fetched_at", "key", F.coalesce("state", "carried").alias("state"), _micros(F.col("fetched_at")).alias("t"))
+    active = states.where("state.action in ('block', 'allow') and (state.until is null or t < state.until)").groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "state")).alias("best"))
     active = active.select("url", "fetched_at", F.when(F.col("best.state.action") == "block", "blocked").otherwise("allowed").alias("verdict"), F.col("best.key").alias("rule"), F.timestamp_micros("best.state.since").cast("timestamp_ntz").alias("since"))
-    out = pairs.join(active.withColumnsRenamed({"url": "_u", "fetched_at": "_t"}), F.col("url").eqNullSafe(F.col("_u")) & F.col("fetched_at").eqNullSafe(F.col("_t")), "left")
-    return out.select("url", "fetched_at", F.coalesce("verdict", F.lit("none")).alias("verdict"), "rule", "since")
+    same = F.col("p.url").eqNullSafe(F.col("a.url")) & F.col("p.fetched_at").eqNullSafe(F.col("a.fetched_at"))
+    return pairs.alias("p").join(active.alias("a"), same, "left").select("p.url", "p.fetched_at", F.coalesce("a.verdict", F.lit("none")).alias("verdict"), "a.rule", "a.since")
 
 
 def filtered(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
-    """Every row of captures, with verdict, rule and since; repeated rows each come back, columns of those names are replaced."""
-    verdicts = judged(captures, entries, url_col, time_col).withColumnsRenamed({"url": "_u", "fetched_at": "_t"})
+    """Every row of captures, with verdict, rule and since; repeated rows each come back, columns of those names are replaced, and others may have any name.
+
+    A URL is judged by its whole length. Empty tables: no captures give no rows, and without entries every verdict is "none".
+    """
     own = captures.drop("verdict", "rule", "since")
-    return own.join(verdicts, own[url_col].eqNullSafe(F.col("_u")) & own[time_col].eqNullSafe(F.col("_t")), "left").drop("_u", "_t")
+    same = F.col(f"o.{url_col}").eqNullSafe(F.col("v.url")) & F.col(f"o.{time_col}").eqNullSafe(F.col("v.fetched_at"))
+    return own.alias("o").join(judged(captures, entries, url_col, time_col).alias("v"), same, "left").select("o.*", "v.verdict", "v.rule", "v.since")

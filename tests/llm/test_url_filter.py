@@ -43,10 +43,30 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert {r["verdict"] for r in U.filtered(captures, entries.where("false")).collect()} == {"none"}
 
 
+def test_columns_of_any_name(spark):
+    captures = spark.createDataFrame([(1, "https://a.example/", T0, "u", "t", "old")], "key int, url string, fetched_at timestamp_ntz, _u string, _t string, verdict string")
+    entries = spark.createDataFrame([("a.example", "block", T0)], "key string, action string, dated timestamp_ntz")
+    got = U.filtered(captures, entries)
+    assert got.columns == ["key", "url", "fetched_at", "_u", "_t", "verdict", "rule", "since"] and [tuple(r)[3:7] for r in got.collect()] == [("u", "t", "blocked", "a.example")]
+
+
+def test_a_capture_after_the_end_of_an_interval_is_not_judged_by_it(spark, monkeypatch):
+    whole = U.validity
+    # Intervals decide: with ends brought forward by a day, what was fetched between has no entry.
+    monkeypatch.setattr(U, "validity", lambda e: whole(e).selectExpr("key", "action", "valid_from", "valid_to - interval 1 day as valid_to"))
+    entries = spark.createDataFrame([("a.example", "block", T0), ("a.example", "clear", T0 + timedelta(days=5))], "key string, action string, dated timestamp_ntz")
+    captures = spark.createDataFrame([(i, "https://a.example/", T0 + timedelta(days=i)) for i in range(7)], "id int, url string, fetched_at timestamp_ntz")
+    assert {r["id"] for r in U.filtered(captures, entries).where("verdict = 'blocked'").collect()} == {0, 1, 2, 3}
+
+
 def test_intervals(spark):
     entries = spark.createDataFrame([("k", "block", T0), ("k", "clear", T0 + timedelta(days=1))], "key string, action string, dated timestamp_ntz")
     got = {r["action"]: (r["valid_from"], r["valid_to"]) for r in U.validity(entries).collect()}
     assert got == {"block": (T0, T0 + timedelta(days=1)), "clear": (T0 + timedelta(days=1), None)}
+    times = [T0 + timedelta(hours=7 * i * i % 500) for i in range(40)]
+    many = spark.createDataFrame([("k", "block", t) for t in times], "key string, action string, dated timestamp_ntz")
+    own = sorted(set(times))
+    assert sorted((r["valid_from"], r["valid_to"] or T0) for r in U.validity(many).collect()) == list(zip(own, [*own[1:], T0], strict=True))
 
 
 def test_query_is_as_its_sql(spark):

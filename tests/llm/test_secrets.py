@@ -1,5 +1,9 @@
 import hashlib
+import itertools
+import math
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +35,51 @@ def test_the_least_costly_segmentation_is_taken():
     assert S.guess_bits("passwordqwerty") <= S.guess_bits("password") + S.guess_bits("qwerty") + 1e-9
 
 
+def segment_bits(raw):
+    """The least cost of one segment over its kinds."""
+    costs = [sum(map(S.sign_bits, raw)), S.date_bits(raw), S.walk_bits(raw)]
+    if 3 <= len(raw) <= S.LONGEST:
+        costs.append(S.word_bits(raw, S.usual_words()))
+    for size in range(1, 5):
+        if len(raw) % size == 0 and len(raw) >= 3 * size and raw == raw[:size] * (len(raw) // size):
+            costs.append(S.TIMES + sum(map(S.sign_bits, raw[:size])))
+    return min(c for c in costs if c is not None) + S.KIND
+
+
+def enumerated(value):
+    best = math.inf
+    for cuts in itertools.product((False, True), repeat=len(value) - 1):
+        at, total = 0, 0.0
+        for j in [i + 1 for i, c in enumerate(cuts) if c] + [len(value)]:
+            total += segment_bits(value[at:j])
+            at = j
+        best = min(best, total)
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "p", "ss", "Word", "P@ss", "1999", "0", "12", "2024-01-05", "aaa", "ab", "abab", "qwe", "rty", "QWE", "x", "#", "é", "ooo", "hello", "321"]), min_size=1, max_size=5).map("".join).filter(lambda x: len(x) <= 11))
+def test_cost_is_the_least_of_all_segmentations(value):
+    assert math.isclose(S.guess_bits(value), enumerated(value))
+
+
+PROSE = """required incorrect mandatory wonderful Administrator important necessary forgotten protected confidential compulsory encrypted available different
+    optional temporary reset-able unknown, something everything documented beautiful understood impossible expected validated configured automatically
+    regenerated unavailable case-sensitive well-known invalid. user-defined changed, hidden; stored. personal? yesterday! somewhere responsibility transportation""".split()
+SENTENCES = ("The password is {}", "password is {} here", "authorization: {}", "Login: {} and then", "token = {}", "credentials: {} ones", "His secret is {}", "access-key: {}")
+
+
+def test_prose_holds_no_guessed_secrets_and_random_values_are_found():
+    texts = [s.format(w) for s in SENTENCES for w in PROSE] + ["spin: wonderful", "The password is required", "compass: northwesterly", "bypass: xK9#mQ2$vL7p", "opinion is Xk29qLmz81Rt"]
+    assert [t for t in texts if any(k == "guess" for k, *_ in S.scan(t))] == []
+    rng = random.Random(3)
+    signs = string.ascii_letters + string.digits + "!#$%&*+-_?@"
+    values = ["".join(rng.choice(signs) for _ in range(rng.randint(10, 24))) for _ in range(300)]
+    found = [v for v in values if any((k, t[s:e]) == ("guess", v) for t in [f"dbPassword: {v}"] for k, _, e, s in S.scan(t)) or S.scan(f"dbPassword: {v}")]
+    assert len(found) >= 0.97 * len(values)
+    assert [k for k, *_ in S.scan("dbPwd: xK9#mQ2$vL7p, DB_PASS: xK9#mQ2$vL7p")] == ["guess", "guess"]
+
+
 def test_method_adds_spans_and_keeps_base_ones():
     text = 'pwd: xK9#mQ2$vL7p and token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and passphrase=password123 é'
     assert [k for k, *_ in S.scan(text)] == ["guess", "assign", "hex"]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverscope.runtime import settle
+
 #: Seconds of a bucket of time, and places that the captures of one key and bucket are dealt to.
 BUCKET, SALTS = 86_400, 16
 
@@ -69,7 +71,7 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     """
     pairs = captures.select(F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).distinct()
     until = lambda c: F.when(c.isNotNull(), _micros(c))
-    listed = validity(entries).select("key", "action", _micros(F.col("valid_from")).alias("t"), until(F.col("valid_to")).alias("until")).withColumn("bucket", _bucket(F.col("t")))
+    listed = settle(validity(entries)).select("key", "action", _micros(F.col("valid_from")).alias("t"), until(F.col("valid_to")).alias("until")).withColumn("bucket", _bucket(F.col("t")))
     asked = pairs.where(F.col("fetched_at").isNotNull()).select("url", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
     asked = asked.join(listed.select("key").distinct(), "key", "left_semi").withColumn("t", _micros(F.col("fetched_at"))).withColumn("bucket", _bucket(F.col("t")))
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("url", "t"), F.lit(SALTS)).cast("int"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import html
 import json
 import re
@@ -12,20 +11,24 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import as_texts
+from coverscope.llm.common import as_texts, partitions
 from coverscope.runtime import salted_join, settle
 
-#: Pages of a host from which its wrapper is inferred at most: those of least hash.
-SAMPLED = 12
-#: Bytes of all wrappers together up to which they are broadcast; beyond, pages are joined with them by host.
+#: Bytes of all wrappers and fixed texts together up to which they are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 24_000_000
-#: Distinct pages from which a wrapper tells what a host fixes, and that have a text which it fixes.
+#: Pages that a task remembers as seen; places that a host's wrappers and pages are dealt to.
+KNOWN_PAGES, SALTS = 100_000, 16
+#: Distinct pages of a host from which its wrapper decides, and that have a text which it fixes.
 LEAST_PAGES = 4
-#: Nodes of a wrapper that an alignment compares on each side at most; longer sequences align from both ends.
+#: Nodes of two sequences that are aligned at a time; longer ones go on from the middle of what was aligned.
 ALIGNED = 400
+#: Levels of elements that are told apart; deeper ones are of their ancestor at this level, with their texts and marks.
+DEEP = 64
+#: Share of a host's text outside of links that the element has which holds the article, where no tag says so.
+HOLDS = 0.7
 
 # Elements of HTML by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,20 +41,28 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"},
 }
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-# Words of class, id and role names that mark what isn't the article; and parts of words that do.
+# Words of class, id and role names that mark what isn't the article wherever they stand; those that mark it outside of the article, and inside where
+# its text is links; and parts of words that do.
 MARKS = """ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promos promotion promoted banner menu nav navbar navigation topnav
-    breadcrumb breadcrumbs sidebar side rail aside secondary widget widgets footer foot masthead topbar toolbar cookie cookies consent gdpr privacy notice notices
-    alert alerts warning announcement announcements flash popup modal overlay lightbox newsletter subscribe subscription signup login signin search share sharing
-    social follow related recommended recommendations trending popular latest teaser teasers more comment comments commentlist disqus replies reply respond
-    responses discussion reactions feedback pagination pager skip copyright legal disclaimer paywall tags toc complementary contentinfo hidden form forms""".split()
+    breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar toolbar cookie cookies consent gdpr notice notices
+    popup modal overlay lightbox newsletter subscribe subscription signup signin share sharing comment comments commentlist disqus replies reply respond
+    responses discussion pagination pager paywall complementary contentinfo hidden form forms""".split()
+WEAK = """side rail secondary foot privacy alert alerts warning announcement announcements flash login search social follow related recommended recommendations trending
+    popular latest teaser teasers more reactions feedback skip copyright legal disclaimer tags toc""".split()
 PARTS = "sidebar comment cookie advert sponsor newsletter breadcrumb navbar navigation footer submenu dropdown disqus".split()
 MAINS = "article main content post entry story body text articlebody".split()
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: Elements that are of a text, never what holds an article.
+TEXTS = HEADINGS | frozenset("p blockquote pre li dt dd td th figcaption".split()) | INLINE
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_TAG = re.compile(r"<[^>]*>")
 _NAMED = frozenset("class id role itemprop".split())
 _MARKED = re.compile(rf"(?<![a-z])(?:{'|'.join(MARKS)})(?![a-z])|{'|'.join(PARTS)}")
+_WEAK = re.compile(rf"(?<![a-z])(?:{'|'.join(WEAK)})(?![a-z])")
 _MAIN = re.compile(rf"(?<![a-z])(?:{'|'.join(MAINS)})(?![a-z])")
 _HEADER = re.compile(r"(?<![a-z])header(?![a-z])")
 
@@ -59,18 +70,74 @@ _HEADER = re.compile(r"(?<![a-z])header(?![a-z])")
 class Node:
     """A node of a page's tree: an element with the text blocks and elements in it, in order."""
 
-    __slots__ = ("tag", "names", "items", "links")
+    __slots__ = ("tag", "names", "items", "links", "gone", "kind", "path")
 
-    def __init__(self, tag: str, names: str) -> None:
+    def __init__(self, tag: str, names: str, parent: Node | None) -> None:
         self.tag, self.names = tag, names
         self.items: list[Node | str] = []
         self.links = 0  # characters of text in links right here
+        inside = parent is not None and parent.kind != ""
+        self.gone = parent is not None and parent.gone or marked(tag, names, inside)
+        #: "article" or "main" in an element that a tag says to be such, "named" in one whose names do; the outermost one's.
+        self.kind = parent.kind if inside else "" if self.gone or tag in ("html", "body") else tag if tag in ("article", "main") else "named" if _MAIN.search(names) else ""
+        self.path = 0 if parent is None else xxhash.xxh64_intdigest(f"{tag}.{names}", parent.path)
+
+    def part(self) -> Node:
+        own = Node.__new__(Node)
+        own.tag, own.names, own.items, own.links, own.gone, own.kind, own.path = self.tag, self.names, [], 0, self.gone, self.kind, self.path
+        return own
+
+
+def marked(tag: str, names: str, inside: bool) -> bool:
+    """Whether an element isn't of the article by its tag or names. A header inside the article is the article's own, as is what WEAK names are on."""
+    if tag in ("html", "body", "", "article"):
+        return tag == "article" and bool(_MARKED.search(names))
+    if not inside and (tag == "header" or _HEADER.search(names) or _WEAK.search(names)):
+        return True
+    return tag in BOILERPLATE or bool(_MARKED.search(names))
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name in lower case or "", attributes, whether it ends an element) of each tag and comment, in time that grows with the page's length.
+
+    Quotes hide a ">" until one isn't closed; after that a tag ends with the next ">". A tag without one is text.
+    """
+    at, quotes = 0, True
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", False
+            continue
+        if page[start + 1] in "!?":
+            end = page.find(">", start)
+            if end < 0:
+                return
+            at = end + 1
+            yield start, at, "", "", False
+            continue
+        name = _NAME.match(page, start)
+        rest = _REST.match(page, name.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            end = page.find(">", name.end())
+            if end < 0:
+                return
+        else:
+            end = rest.end() - 1
+        at = end + 1
+        yield start, at, name[1].lower(), page[name.end() : end], page[start + 1] == "/"
 
 
 def parse(page: str) -> Node:
-    """The block elements of a page and the texts in them; inline elements are part of the text, raw ones and comments are dropped."""
-    root = Node("", "")
-    stack = [root]
+    """The block elements of a page and the texts in them; inline elements are part of the text, raw ones and comments are dropped.
+
+    Nothing is called for each level, and the work grows with the page's length.
+    """
+    root = Node("", "", None)
+    stack: list[tuple[str, Node]] = [("", root)]
+    opened: Counter = Counter()
     run: list[str] = []
     linked, in_link = 0, 0
 
@@ -79,69 +146,83 @@ def parse(page: str) -> Node:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
-            stack[-1].items.append(text)
-            stack[-1].links += min(linked, len(text))
+            node = stack[-1][1]
+            if len(stack) > DEEP:  # a part of it, in its place in the ancestor at this level
+                node = node.part()
+                stack[DEEP - 1][1].items.append(node)
+            node.items.append(text)
+            node.links += min(linked, len(text))
         linked = 0
 
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                flush()
-                del stack[i:]
-                return
+    def pop(to: int) -> None:
+        for tag, _ in stack[to:]:
+            opened[tag] -= 1
+        del stack[to:]
 
-    at = 0
-    search = _TAG.search
-    while m := search(page, at):
-        piece = page[at : m.start()]
+    at, no_end = 0, set()
+    for start, end, tag, attributes, ends in _tags(page):
+        if start < at:  # in a raw element
+            continue
+        piece = page[at:start]
         run.append(piece)
         if in_link:
             linked += len(piece)
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if ends:
             if tag == "a":
                 in_link = 0
             if tag not in INLINE:
                 flush()
-                close(tag)
+                if opened[tag]:
+                    to = len(stack) - 1
+                    while stack[to][0] != tag:
+                        to -= 1
+                    pop(to)
+            elif opened[tag]:  # a marked inline element may end here
+                to = len(stack) - 1
+                if stack[to][0] == tag:
+                    flush()
+                    pop(to)
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+            if not attributes.rstrip().endswith("/") and tag not in no_end:
+                found = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+                if not found:
+                    no_end.add(tag)
+                at = found.end() if found else len(page)
             continue
+        names = ""
         if tag in INLINE:
             if tag == "a":
                 in_link = 1
             if tag == "br":
                 run.append(" ")
-            names = _names(m[3])
-            # An inline element that is marked as something else than text is a node of its own.
-            if tag in VOID or not _MARKED.search(names):
+            names = _names(attributes)
+            # An inline element that is marked as something else than text is a node of its own, until its end or that of its block.
+            if tag in VOID or not _MARKED.search(names) or attributes.endswith("/"):
                 continue
+        else:
+            names = _names(attributes)
         flush()
-        if tag in ENDS_P and stack[-1].tag == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in ("ul", "ol", "dl", "table", "select", "tr" if tag not in ("tr", "tbody") else "table"):
-                break
-        node = Node(tag, _names(m[3]))
-        stack[-1].items.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-            if tag in INLINE:
-                # Its end tag isn't looked for among inline ones; it ends with its block.
-                end = page.lower().find(f"</{tag}", at)
-                piece = page[at : end if end >= 0 else at]
-                node.items.append(" ".join(html.unescape(_TAG.sub("", piece)).split()))
-                at = end if end >= 0 else at
-                stack.pop()
+        if tag in ENDS_P and stack[-1][0] == "p":
+            pop(len(stack) - 1)
+        closes = CLOSES.get(tag)
+        if closes and any(opened[x] for x in closes):
+            stops = ("ul", "ol", "dl", "table", "select", "tr" if tag not in ("tr", "tbody") else "table")
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in closes:
+                    pop(i)
+                    break
+                if stack[i][0] in stops:
+                    break
+        node = Node(tag, names, stack[-1][1])
+        if len(stack) < DEEP:
+            stack[-1][1].items.append(node)
+        if tag not in VOID and not attributes.endswith("/"):
+            stack.append((tag, node))
+            opened[tag] += 1
     run.append(page[at:])
     flush()
     return root
@@ -161,63 +242,88 @@ def _names(attributes: str) -> str:
     return " ".join(sorted(found))
 
 
-# A wrapper is a list: [tag, names, repeated, optional, items]; its items are wrappers, texts that pages share, or None for a text slot.
-# That of a host has the number of its pages besides.
+# A wrapper is a list: [tag, names, repeated, optional, items, pages, characters of text in it that isn't marked as something else, those in links]; its items are
+# wrappers, or None for a text slot. That of a host is of its whole pages.
 Wrapper = list
+TAG, NAMES, REPEATED, OPTIONAL, ITEMS, PAGES, TEXT, LINKS = range(8)
 
 
 def folded(node: Node) -> Wrapper:
-    """A page as a wrapper of its own: neighbours of one kind become a repeated group, texts stay."""
+    """A page as a wrapper of its own: neighbours of one kind become a repeated group, texts become slots."""
     items: list = []
+    text = 0
     for x in node.items:
         if isinstance(x, str):
-            items.append(x)
+            text += len(x)
+            if not items or items[-1] is not None:
+                items.append(None)
             continue
         own = folded(x)
         last = items[-1] if items else None
-        if isinstance(last, list) and last[:2] == own[:2] and _alike(last, own):
-            last[4] = _aligned(last[4], own[4])
-            last[2] = True
+        if isinstance(last, list) and _same(last, own):
+            items[-1] = [*own[:REPEATED], True, False, aligned(last[ITEMS], own[ITEMS]), 1, last[TEXT] + own[TEXT], last[LINKS] + own[LINKS]]
         else:
             items.append(own)
-    return [node.tag, node.names, False, False, items]
+    return [node.tag, node.names, False, False, items, 1, 0 if node.gone else text, 0 if node.gone else node.links]
 
 
-def _kinds(w: Wrapper) -> set:
-    return {x[0] if isinstance(x, list) else "" for x in w[4]}
+def _kinds(w: Wrapper, before: str = "", levels: int = 3) -> set[str]:
+    """Of what kinds an element's children are, and their children: tags, and "" of texts."""
+    found = set()
+    for x in w[ITEMS]:
+        here = before + (x[TAG] + "/" if x is not None else "")
+        found.add(here)
+        if x is not None and levels > 1:
+            found |= _kinds(x, here, levels - 1)
+    return found
 
 
-def _alike(a: Wrapper, b: Wrapper) -> bool:
-    """Whether two elements of the same tag and names can be one group: named ones, texts alone, or with children of mostly the same kinds."""
-    x, y = _kinds(a), _kinds(b)
-    return bool(a[1]) or 2 * len(x & y) >= len(x | y)
+def _node_kinds(node: Node, before: str = "", levels: int = 3) -> set[str]:
+    found = set()
+    for x in node.items:
+        here = before + ("" if isinstance(x, str) else x.tag + "/")
+        found.add(here)
+        if levels > 1 and not isinstance(x, str):
+            found |= _node_kinds(x, here, levels - 1)
+    return found
 
 
 def _same(a: object, b: object) -> bool:
-    if isinstance(a, list) and isinstance(b, list):
-        return a[:2] == b[:2] and _alike(a, b)
-    return not isinstance(a, list) and not isinstance(b, list)
-
-
-def _aligned(a: list, b: list) -> list:
-    """Two sequences as one: what is the same is kept, a mismatch of texts becomes a slot, and what only one has is optional."""
-    start = 0
-    while start < min(len(a), len(b)) and _same(a[start], b[start]):
-        start += 1
-    end = 0
-    while end < min(len(a), len(b)) - start and _same(a[-1 - end], b[-1 - end]):
-        end += 1
-    x, y = a[start : len(a) - end], b[start : len(b) - end]
-    out = [_merged(p, q) for p, q in zip(a[:start], b[:start], strict=True)]
-    if x and y and len(x) <= ALIGNED and len(y) <= ALIGNED:
+    """Whether two items are one of the wrapper: slots, or elements of a tag and names; those without names by mostly the same kinds of what is in them."""
+    if a is None or b is None:
+        return a is b
+    if a[TAG] != b[TAG] or a[NAMES] != b[NAMES]:
+        return False
+    if a[NAMES] or a[TAG] in TEXTS:
+        return True
+    x, y = _kinds(a), _kinds(b)
+    return 2 * len(x & y) >= len(x | y)
+
+
+def aligned(a: list, b: list) -> list:
+    """Two sequences as one: what is the same is merged, and what only one has is optional."""
+    out: list = []
+    while True:
+        start = 0
+        while start < min(len(a), len(b)) and _same(a[start], b[start]):
+            start += 1
+        out += [merged(p, q) for p, q in zip(a[:start], b[:start], strict=True)]
+        a, b = a[start:], b[start:]
+        if not a or not b:
+            return out + [_optional(p) for p in [*a, *b]]
+        end = 0
+        while end < min(len(a), len(b)) and _same(a[-1 - end], b[-1 - end]):
+            end += 1
+        x, y = a[: min(ALIGNED, len(a) - end)], b[: min(ALIGNED, len(b) - end)]
+        part = len(x) + len(y) < len(a) + len(b) - 2 * end
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             for j in range(len(y) - 1, -1, -1):
                 best[i][j] = best[i + 1][j + 1] + 1 if _same(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
         i = j = 0
-        while i < len(x) and j < len(y):
+        while i < len(x) and j < len(y) and not (part and max(i, j) > ALIGNED // 2):
             if _same(x[i], y[j]):
-                out.append(_merged(x[i], y[j]))
+                out.append(merged(x[i], y[j]))
                 i, j = i + 1, j + 1
             elif best[i + 1][j] >= best[i][j + 1]:
                 out.append(_optional(x[i]))
@@ -225,222 +331,308 @@ def _aligned(a: list, b: list) -> list:
             else:
                 out.append(_optional(y[j]))
                 j += 1
-        x, y = x[i:], y[j:]
-    out += [_optional(p) for p in [*x, *y]]
-    return out + [_merged(p, q) for p, q in zip(a[len(a) - end :], b[len(b) - end :], strict=True)]
+        if part:
+            a, b = a[i:], b[j:]
+            continue
+        out += [_optional(p) for p in [*x[i:], *y[j:]]]
+        return out + [merged(p, q) for p, q in zip(a[len(a) - end :], b[len(b) - end :], strict=True)]
 
 
 def _optional(x: object) -> object:
-    return [*x[:3], True, x[4]] if isinstance(x, list) else None
+    return [*x[:OPTIONAL], True, *x[ITEMS:]] if isinstance(x, list) else None
 
 
-def _merged(a: object, b: object) -> object:
-    if isinstance(a, list):
-        return [a[0], a[1], a[2] or b[2], a[3] or b[3], _aligned(a[4], b[4])]
-    return a if a == b else None
+def merged(a: object, b: object) -> object:
+    """Two elements of different pages as one."""
+    if a is None:
+        return None
+    return [a[TAG], a[NAMES], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], aligned(a[ITEMS], b[ITEMS]), a[PAGES] + b[PAGES], a[TEXT] + b[TEXT], a[LINKS] + b[LINKS]]
 
 
-def inferred(pages: list[str]) -> Wrapper:
-    """The wrapper of some pages of a host: the first as it is, made to fit each further one. Texts that fewer than LEAST_PAGES have are slots."""
-    own: list | None = None
-    roots = [parse(page) for page in pages]
-    for root in roots:
-        one = folded(root)
-        own = one[4] if own is None else _aligned(own, one[4])
-    own = own or []
-    seen: Counter = Counter()
-    for root in roots:
-        seen.update(_agreeing(root, own))
-    _slotted(own, seen)
-    return ["", "", False, False, own, len(pages)]
+def inferred(wrapper: Wrapper | None, page: Wrapper) -> Wrapper:
+    """A wrapper made to fit a page, or another wrapper, of the host too."""
+    return page if wrapper is None else merged(wrapper, page)
 
 
-def _fits(node: Node, items: list) -> Iterator[tuple[Node | str, int | None]]:
-    """The items of a page's node, each with the place of the wrapper's item that it fits, or None."""
-    at = 0
-    for x in node.items:
-        fit = None
-        for k in range(at, len(items)):
+def text_keys(root: Node) -> set[int]:
+    """A number for each text of a page with the elements that it is in."""
+    found = set()
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for x in node.items:
             if isinstance(x, str):
-                if not isinstance(items[k], list):
-                    fit, at = k, k + 1
-                    break
-            elif isinstance(items[k], list) and items[k][:2] == [x.tag, x.names] and (items[k][1] or 2 * len(_kinds(items[k]) & _tags(x)) >= len(_tags(x))):
-                fit, at = k, k if items[k][2] else k + 1
-                break
-        yield x, fit
+                found.add(_text_key(node, x))
+            else:
+                todo.append(x)
+    return found
 
 
-def _agreeing(node: Node, items: list) -> set[tuple[int, int]]:
-    """The wrapper's texts that a page has in their place, as lists of items and places in them."""
-    found = set()
-    for x, k in _fits(node, items):
-        if k is None:
-            continue
-        if isinstance(x, str):
-            if x == items[k]:
-                found.add((id(items), k))
-        else:
-            found |= _agreeing(x, items[k][4])
-    return found
+def _text_key(node: Node, text: str) -> int:
+    return xxhash.xxh64_intdigest(text, node.path) >> 1
 
 
-def _slotted(items: list, seen: Counter) -> None:
-    for k, x in enumerate(items):
-        if isinstance(x, list):
-            _slotted(x[4], seen)
-        elif seen[id(items), k] < LEAST_PAGES:
-            items[k] = None
+def _weight(w: Wrapper) -> int:
+    """Characters of text outside of links in an element, of all its pages."""
+    return max(0, w[TEXT] - 2 * w[LINKS]) + sum(_weight(x) for x in w[ITEMS] if isinstance(x, list))
 
 
-def marked(tag: str, names: str, inside: bool) -> bool:
-    """Whether an element isn't of the article by its tag or names. A header inside the article is the article's own."""
-    if tag in ("html", "body", "article"):
-        return tag == "article" and bool(_MARKED.search(names))
-    if (tag == "header" or _HEADER.search(names)) and not inside:
-        return True
-    return tag in BOILERPLATE or bool(_MARKED.search(names))
+def _tagged(w: Wrapper) -> int:
+    """The same of what is in <article> or <main>."""
+    return _weight(w) if w[TAG] in ("article", "main") else sum(_tagged(x) for x in w[ITEMS] if isinstance(x, list))
 
 
-def _walk(node: Node, wrapper: Wrapper | None, blocks: list, trail: tuple[tuple[int, str], ...], out: bool) -> None:
-    """Gathers of a page's blocks (text, containers, whether marked as something else, whether the wrapper fixes it, tag, characters in links), matching it with the wrapper."""
-    items = wrapper[4] if wrapper else []
-    inside = any(kind for _, kind in trail)
-    for x, k in _fits(node, items):
-        fit = None if k is None else items[k]
-        if isinstance(x, str):
-            blocks.append((x, trail, out, fit == x, node.tag, node.links))
-            continue
-        gone = marked(x.tag, x.names, inside)
-        kind = "" if gone or x.tag in ("html", "body") else "article" if x.tag == "article" else "main" if x.tag == "main" or _MAIN.search(x.names) else ""
-        _walk(x, fit if isinstance(fit, list) else None, blocks, (*trail, (id(x), kind)), out or gone)
+class Host:
+    """What a host's pages have in common: its wrapper, and the texts that it fixes."""
 
+    def __init__(self, wrapper: Wrapper, fixed: set[int]) -> None:
+        self.wrapper, self.fixed = wrapper, fixed
+        self.decides = wrapper[PAGES] >= LEAST_PAGES
+        total = _weight(wrapper)
+        #: Whether tags say where the article is: they do where they hold half of the text at least.
+        self.tagged = 2 * _tagged(wrapper) >= total
+        #: Else the innermost element that holds HOLDS of it.
+        self.holder = wrapper
+        while below := [x for x in self.holder[ITEMS] if isinstance(x, list) and not x[REPEATED] and x[TAG] not in TEXTS and total and _weight(x) >= HOLDS * total]:
+            self.holder = below[0]
 
-def _tags(node: Node) -> set:
-    return {"" if isinstance(x, str) else x.tag for x in node.items}
 
+def _fits(node: Node, items: list) -> Iterator[tuple[Node | str, object]]:
+    """The items of a page's node, each with the wrapper's item that it fits, or None."""
+    at = 0
+    kinds: dict[int, set[str]] = {}
+    for x in node.items:
+        fit = None
+        if not isinstance(x, str):
+            own = None
+            for k in range(at, len(items)):
+                if items[k] is not None and items[k][TAG] == x.tag and items[k][NAMES] == x.names:
+                    if not x.names and x.tag not in TEXTS:
+                        if k not in kinds:
+                            kinds[k] = _kinds(items[k])
+                        own = own or _node_kinds(x)
+                        if 2 * len(kinds[k] & own) < len(own):
+                            continue
+                    fit, at = items[k], k if items[k][REPEATED] else k + 1
+                    break
+        yield x, fit
 
-def main_text(page: str, wrapper: Wrapper | None) -> str:
-    """The article of a page: its blocks that are neither marked as something else nor, outside of the article, fixed by the host's wrapper.
 
-    The article is the <article> with the most text, else the main element, else the container that holds most text outside of links.
-    """
+def _blocks(root: Node, host: Host | None) -> list:
+    """A page's blocks (text, node, nodes around it, whether in the host's holder), in page order."""
     blocks: list = []
+    todo = [(iter(_fits(root, host.wrapper[ITEMS] if host else [])), root, (root,), host is not None and host.holder is host.wrapper)]
+    while todo:
+        each, node, trail, held = todo[-1]
+        for x, fit in each:
+            if isinstance(x, str):
+                blocks.append((x, node, trail, held))
+            else:
+                todo.append((iter(_fits(x, fit[ITEMS] if fit else [])), x, (*trail, x), held or (fit is not None and host is not None and fit is host.holder)))
+                break
+        else:
+            todo.pop()
+    return blocks
+
+
+def _of_links(node: Node) -> bool:
+    """Whether an element's text is links for the most part."""
+    text = links = 0
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        links += x.links
+        for y in x.items:
+            if isinstance(y, str):
+                text += len(y)
+            else:
+                todo.append(y)
+    return 2 * links > text
+
+
+def main_text(page: str, host: Host | None = None) -> str:
+    """The article of a page: its blocks that are neither marked as something else nor fixed by the host.
+
+    Where the host has LEAST_PAGES, its wrapper says what is fixed and which element holds the article: <article> or <main>, where these hold most of the
+    host's text, or else the element that does. Of a host with fewer pages that is told from the page alone: the <article> with the most
+    text, else <main>, else an element that is named so, else the one that holds most text outside of links.
+    """
     root = parse(page)
-    _walk(root, wrapper, blocks, (), False)
-    live = [b for b in blocks if not b[2]]
-    # What the wrapper fixes is the host's, unless it is so much that its pages are copies; a heading may be the article's.
-    own = [b for b in live if not b[3] or b[4] in HEADINGS]
-    if wrapper and wrapper[5] >= LEAST_PAGES and 2 * sum(len(b[0]) for b in own) >= sum(len(b[0]) for b in live):
-        live = own
-    if not live:
-        return ""
-    for kind in ("article", "main"):
+    decides = host is not None and host.decides
+    blocks = _blocks(root, host if decides else None)
+    of_links: dict[int, bool] = {}
+
+    def linked(node: Node) -> bool:
+        if id(node) not in of_links:
+            of_links[id(node)] = bool(_WEAK.search(node.names)) and _of_links(node)
+        return of_links[id(node)]
+
+    live = [b for b in blocks if not b[1].gone and not any(linked(n) for n in b[2])]
+
+    def unfixed(some: list) -> list:
+        """Without what the host fixes, unless it is so much that the pages are copies. A heading may be the article's own though several pages have it."""
+        own = [b for b in some if b[1].tag in HEADINGS or _text_key(b[1], b[0]) not in host.fixed] if decides else some
+        return own if 2 * sum(len(b[0]) for b in own) >= sum(len(b[0]) for b in some) else some
+
+    if decides and not host.tagged and (held := [b for b in live if b[3]]):
+        return "\n".join(b[0] for b in unfixed(held))
+    for kind in ("article", "main") if decides else ("article", "main", "named"):
         sizes: Counter = Counter()
-        for text, trail, *_ in live:
-            # The outermost one that it lies in.
-            for key in [k for k, t in trail if t == kind][:1]:
-                sizes[key] += len(text)
+        outer = [next((n for n in b[2] if n.kind == kind), None) for b in live]
+        for b, n in zip(live, outer, strict=True):
+            if n is not None:
+                sizes[id(n)] += len(b[0])
         if sizes:
             best = max(sizes.values())
             # Parts of one article can be siblings; small ones beside it are teasers.
-            keep = {k for k, n in sizes.items() if n == best or (kind == "main" and 4 * n >= best)}
-            return "\n".join(b[0] for b in live if any(k in keep for k, _ in b[1]))
+            keep = {k for k, n in sizes.items() if n == best or (kind != "article" and 4 * n >= best)}
+            return "\n".join(b[0] for b in unfixed([b for b, n in zip(live, outer, strict=True) if n is not None and id(n) in keep]))
+    live = unfixed(live)
+    if not live:
+        return ""
+    links = lambda b: b[1].links * len(b[0]) / max(1, sum(len(x) for x in b[1].items if isinstance(x, str)))
     weights: Counter = Counter()
-    for text, trail, _, _, _, links in live:
-        for depth, (key, _) in enumerate(trail):
-            weights[(depth, key)] += max(0, len(text) - 2 * links)
-    total = sum(max(0, len(b[0]) - 2 * b[5]) for b in live)
-    deepest = [k for k, n in weights.items() if 10 * n >= 7 * total]
+    total = 0.0
+    for b in live:
+        own_weight = max(0.0, len(b[0]) - 2 * links(b))
+        total += own_weight
+        for depth, n in enumerate(b[2]):
+            weights[depth, id(n)] += own_weight
+    deepest = [k for k, n in weights.items() if n >= HOLDS * total]
     if deepest and total:
         key = max(deepest)[1]
-        live = [b for b in live if any(k == key for k, _ in b[1])] or live
-    return "\n".join(b[0] for b in live if b[5] < 0.7 * len(b[0]) or b[4] == "p" or b[4] in HEADINGS)
+        live = [b for b in live if any(id(n) == key for n in b[2])] or live
+    return "\n".join(b[0] for b in live if links(b) < 0.7 * len(b[0]) or b[1].tag == "p" or b[1].tag in HEADINGS)
 
 
-def _host(url: str) -> str:
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", url)
-    return m[1].lower() if m else ""
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): the wrapper of each host as JSON, inferred from its SAMPLED pages of least hash.
+def _source(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, host, page): host and page are hashes; equal pages of a host have one number."""
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return own.withColumn("host", F.xxhash64(host_of(F.col("url")))).withColumn("page", F.xxhash64("host", F.coalesce("html", F.lit(""))))
 
-    Each task picks its hosts' pages of least hash; these are ranked by host and task group, and then by host, so that no task
-    gathers a host's pages.
-    """
-    source = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, list[tuple[int, str]]] = {}
+def _observed(source: DataFrame) -> DataFrame:
+    """What tasks see of hosts: rows (host, wrapper, task) with a wrapper as JSON of all distinct pages of the host in the task, and rows (host, key, page) for
+    each text of them, LEAST_PAGES of each at most in a task, which is what counts of it."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, Wrapper] = {}
+        known: set[int] = set()
+        often: Counter = Counter()
+        task = TaskContext.get().partitionId()
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["host", "key", "page", "task", "wrapper"])
+
         for batch in batches:
-            for url, page in zip(as_texts(batch.column(0)), as_texts(batch.column(1)), strict=True):
-                rank = xxhash.xxh64_intdigest(page, 7) >> 1
-                own = best.setdefault(_host(url), [])
-                if (-rank, page) in own:  # a copy tells nothing
+            for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_texts(batch.column(2)), strict=True):
+                if page in known:
                     continue
-                if len(own) < SAMPLED:
-                    heapq.heappush(own, (-rank, page))
-                else:
-                    heapq.heappushpop(own, (-rank, page))
-        task = TaskContext.get().partitionId()
-        rows = [(h, -r, task, p) for h, own in best.items() for r, p in own]
-        for at in range(0, len(rows), 500):
-            some = list(zip(*rows[at : at + 500], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["host", "rank", "task", "html"])
-
-    picked = source.mapInArrow(pick, "host string, rank long, task int, html string")
-    for keys in (("host", "salt"), ("host",)):
-        group = Window.partitionBy(*keys).orderBy("rank", "html")
-        picked = picked.withColumn("salt", F.pmod("task", F.lit(16))).withColumn("r", F.dense_rank().over(group)).withColumn("again", F.row_number().over(Window.partitionBy(*keys, "rank", "html").orderBy("task")))
-        picked = picked.where((F.col("r") <= SAMPLED) & (F.col("again") == 1))
-
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                known.add(page)
+                root = parse(text)
+                own[host] = inferred(own.get(host), folded(root))
+                for key in text_keys(root):
+                    if often[host ^ key] < LEAST_PAGES:
+                        often[host ^ key] += 1
+                        out.append((host, key, page, None, None))
+                if len(known) >= KNOWN_PAGES:
+                    # Counts begin anew, so that what a worker holds is bounded; the sums after the shuffle are of all.
+                    known.clear()
+                    often.clear()
+            yield rows()
+        out += [(host, None, None, task, json.dumps(w)) for host, w in own.items()]
+        yield rows()
+
+    return source.select("host", "page", "html").mapInArrow(look, "host long, key long, page long, task int, wrapper string")
+
+
+def wrappers(observed: DataFrame) -> DataFrame:
+    """(host, wrapper): each host's wrapper as JSON, of all its pages: tasks' ones are aligned one after another, those of a host in SALTS places at first."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            made = [json.dumps(inferred([p for _, p in sorted(zip(r, h, strict=True))]), ensure_ascii=False) for r, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
+            done = []
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if host != last and own is not None:
+                    done.append((last, json.dumps(own)))
+                    own = None
+                last, own = host, inferred(own, json.loads(text))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.int64()), pa.array([w for _, w in done], pa.string())], names=["host", "wrapper"])
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([json.dumps(own)], pa.string())], names=["host", "wrapper"])
+
+    n = partitions(observed.sparkSession)
+    some = observed.where("wrapper is not null").repartition(n, "host", F.pmod("task", F.lit(SALTS))).sortWithinPartitions("host", "task").select("host", "wrapper")
+    some = some.mapInArrow(align, "host long, wrapper string")
+    return some.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(align, "host long, wrapper string")
 
-    return picked.groupBy("host").agg(F.collect_list("rank").alias("ranks"), F.collect_list("html").alias("pages")).mapInArrow(infer, "host string, wrapper string")
+
+def fixed_texts(observed: DataFrame) -> DataFrame:
+    """(host, key): the texts that LEAST_PAGES distinct pages of a host have in the same elements."""
+    each = observed.where("key is not null").select("host", "key", "page").distinct()
+    return each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "key")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages: the main text of the whole html.
 
     Blocks go in page order, joined by line breaks; white space in a block is one blank. A null html counts as empty, whose text is empty; a null url
-    is of the host "", whose pages share a wrapper. Repeated rows each come back, rows with a null id too. Other columns aren't read; an
-    empty table gives no rows.
+    is of the host "", whose pages share a wrapper. Very long and very deep pages are taken whole, in time that grows with their length. Repeated rows each
+    come back, rows with a null id too. Other columns aren't read; an empty table gives no rows.
     """
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = settle(wrappers(pages, url_col, html_col))
-    size = found.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
+    source = _source(pages, id_col, url_col, html_col)
+    observed = settle(_observed(source))
+    found, fixed = settle(wrappers(observed)), settle(fixed_texts(observed))
+    size = (found.agg(F.sum(F.length("wrapper") + 100)).first()[0] or 0) + 100 * fixed.count()
     schema = "page_id long, url string, text string, n_chars long"
-    names = ["page_id", "url", "text", "n_chars"]
+
+    def result(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
     if size <= BROADCAST_BYTES:
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in found.collect()})
+        keys: dict[int, set[int]] = {}
+        for r in fixed.collect():
+            keys.setdefault(r["host"], set()).add(r["key"])
+        sent = pages.sparkSession.sparkContext.broadcast(({r["host"]: r["wrapper"] for r in found.collect()}, keys))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read: dict[str, Wrapper] = {}
+            read: dict[int, Host] = {}
             for batch in batches:
                 texts = []
-                for url, page in zip(as_texts(batch.column(1)), as_texts(batch.column(2)), strict=True):
-                    key = _host(url)
-                    if key not in read:
-                        read[key] = json.loads(sent.value.get(key, "null"))
-                    texts.append(main_text(page, read[key]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
+                for host, page in zip(batch.column(3).to_pylist(), as_texts(batch.column(2)), strict=True):
+                    if host not in read:
+                        read[host] = Host(json.loads(sent.value[0][host]), sent.value[1].get(host, set()))
+                    texts.append(main_text(page, read[host]))
+                yield result(batch.column(0), batch.column(1), texts)
 
-        return source.mapInArrow(run, schema)
+        return source.select("page_id", "url", "html", "host").mapInArrow(run, schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
             texts = []
-            for page, wrapper in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            for page, wrapper, own_keys in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if wrapper != last:
-                    last, own = wrapper, json.loads(wrapper or "null")
+                    last, own = wrapper, Host(json.loads(wrapper), set())
+                own.fixed = set(own_keys or ())
                 texts.append(main_text(page, own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=names)
+            yield result(batch.column(0), batch.column(1), texts)
+
+    # Of what a host fixes a page gets what it has itself.
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, k, p) for h, p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_texts(batch.column(2)), strict=True) for k in text_keys(parse(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["host", "key", "page"])
 
-    joined = salted_join(source.withColumn("host", host), found, ["host"], F.coalesce("url", F.lit("")), 16, "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(each, schema)
+    has = source.select("host", "page", "html").mapInArrow(keys_of, "host long, key long, page long").distinct()
+    own_fixed = salted_join(has, fixed, ["host", "key"], F.col("page"), SALTS).groupBy("page").agg(F.collect_list("key").alias("keys"))
+    with_keys = salted_join(source, own_fixed, ["page"], F.coalesce("page_id", F.lit(0)), SALTS, "left")
+    return salted_join(with_keys, found, ["host"], F.col("page"), SALTS).select("page_id", "url", "html", "wrapper", "keys").mapInArrow(each, schema)

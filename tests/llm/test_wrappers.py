@@ -1,3 +1,6 @@
+import time
+from collections import Counter
+
 from coverscope.llm import wrappers as W
 
 
@@ -9,31 +12,94 @@ def page(title, paragraphs, extra=""):
 <section id="comments"><article class="comment"><p>I disagree with {title}, and at length, so that this is longer than the article.</p></article></section><footer>&copy; {title}</footer></body></html>"""
 
 
+def host(pages):
+    """What several pages have in common, plainly."""
+    wrapper, seen = None, Counter()
+    for p in set(pages):
+        root = W.parse(p)
+        wrapper = W.inferred(wrapper, W.folded(root))
+        seen.update(W.text_keys(root))
+    return W.Host(wrapper, {k for k, n in seen.items() if n >= W.LEAST_PAGES})
+
+
 def test_article_without_what_is_around_it():
     pages = [page(f"Title {i}", [f"First of {i}.", f"Second &amp; last {i}"][: 1 + i % 2]) for i in range(6)]
-    own = W.inferred(pages)
+    own = host(pages)
     assert W.main_text(pages[1], own) == "Title 1\nFirst of 1.\nSecond & last 1"
     assert W.main_text(pages[2], own) == "Title 2\nFirst of 2."
 
 
-def test_what_all_pages_share_is_told_only_from_several():
+def test_what_pages_share_is_told_only_from_several():
     one = page("T", ["a"])
-    assert W.main_text(one, W.inferred([one])) == "T\na\nRead us daily"
+    assert W.main_text(one, host([one])) == "T\na\nRead us daily"
+
+
+def untold(i, body):
+    """A page whose tags and names don't say where the article is; longer texts of the host than the article's."""
+    return f"""<body><div><div>Daily of the town, founded long ago and read by many people in it every day of the week</div><div>Today: {i} degrees</div>
+<div><div><h1>Title {i}</h1>{body}</div></div><div><div>About us: we are a paper of the town and write of what happens in it, as we have done for years and years, and will.</div></div></div></body>"""
+
+
+def test_the_wrapper_tells_the_article_where_the_page_does_not():
+    long = "".join(f"<p>Paragraph {{0}} {j} of a long article that tells of many things that happened.</p>" for j in range(8))
+    pages = [untold(i, long.replace("{0}", str(i))) for i in range(7)]
+    short = untold(9, "<p>Little to tell.</p>")
+    own = host([*pages, short])
+    assert W.main_text(short, own) == "Title 9\nLittle to tell."
+    assert W.main_text(pages[3], own) == "\n".join(["Title 3", *[f"Paragraph 3 {j} of a long article that tells of many things that happened." for j in range(8)]])
+    # From the page alone it can't be told.
+    assert W.main_text(short, None) != "Title 9\nLittle to tell." and "About us" in W.main_text(short, None)
+
+
+def test_articles_that_are_only_teasers_are_not_taken_for_the_article():
+    pages = [f"<body><div><section><article><h3>Other {i}</h3></article><article><h3>More {i}</h3></article></section><div><h1>T{i}</h1><p>The text of page {i} is here, and it's much longer than teasers are.</p></div></div></body>" for i in range(5)]
+    assert W.main_text(pages[2], host(pages)) == "T2\nThe text of page 2 is here, and it's much longer than teasers are."
+
+
+def test_a_section_of_few_pages_has_fixed_texts_too():
+    usual = [f"<body><article><h1>U{i}</h1><p>Usual text {i} of a page, long enough.</p></article></body>" for i in range(300)]
+    section = [f"<body><article><h1>S{i}</h1><p>Sport text {i} of a page, long enough.</p><div>All about sports here</div></article></body>" for i in range(4)]
+    assert W.main_text(section[1], host([*usual, *section])) == "S1\nSport text 1 of a page, long enough."
+
+
+def test_no_paragraph_of_an_article_is_lost_by_its_names():
+    texts = [f"""<body><article><h1>T{i}</h1><p class="more">More of {i} is told here.</p><section class="related work"><h2>Related work</h2><p>Others wrote of {i} before.</p></section>
+<div class="related"><a href=1>Read this {i}</a> <a href=2>and that</a></div><p class="ad">Buy {i}</p></article></body>""" for i in range(2)]
+    assert W.main_text(texts[1], host(texts)) == "T1\nMore of 1 is told here.\nRelated work\nOthers wrote of 1 before."
+    text = '<main><section class="related work"><p>One</p></section><p class="popular">Two</p></main><div class="related"><p>Out</p></div>'
+    assert W.main_text(text) == "One\nTwo"
 
 
 def test_what_one_page_alone_has_is_not_fixed_by_its_host():
     plain = [f"<body><article><h1>T{i}</h1><p>Text of page {i}, which is long enough to count.</p><div class=box>Read us daily</div></article></body>" for i in range(6)]
     only = "<body><article><h1>Own</h1><p>Its first paragraph is of a usual length.</p><blockquote>Quoted once</blockquote><p>Last words</p><ul><li>One item</li></ul><div class=box>Read us daily</div></article></body>"
-    own = W.inferred([*plain[:3], only, *plain[3:]])
+    own = host([*plain[:3], only, *plain[3:]])
     assert W.main_text(only, own) == "Own\nIts first paragraph is of a usual length.\nQuoted once\nLast words\nOne item"
     assert W.main_text(plain[5], own) == "T5\nText of page 5, which is long enough to count."
 
 
 def test_wrapper_has_slots_options_and_groups():
     pages = ["<div><p>a</p><p>b</p></div><i></i>", "<div><p>c</p></div><h2>x</h2>", "<div><p>d</p><p>e</p><p>f</p></div>"]
-    items = W.inferred(pages)[4]
-    assert items[0][:2] == ["div", ""] and items[0][4] == [["p", "", True, False, [None]]]
-    assert items[1][0] == "h2" and items[1][3]
+    items = host(pages).wrapper[W.ITEMS]
+    assert items[0][:2] == ["div", ""] and [x[:5] for x in items[0][W.ITEMS]] == [["p", "", True, False, [None]]] and items[0][W.PAGES] == 3
+    assert items[1][0] == "h2" and items[1][W.OPTIONAL] and items[1][W.PAGES] == 1
+
+
+def test_long_sequences_are_aligned(monkeypatch):
+    monkeypatch.setattr(W, "ALIGNED", 8)
+    tags = [f"x{i}" for i in range(60)]
+    make = lambda skip: W.folded(W.parse("".join(f"<{t}>text</{t}>" for t in tags if t not in skip)))
+    got = W.inferred(make({"x7", "x30"}), make({"x3", "x44", "x45"}))[W.ITEMS]
+    assert [x[0] for x in got] == tags and {x[0] for x in got if x[W.OPTIONAL]} == {"x3", "x7", "x30", "x44", "x45"}
+
+
+def test_deep_and_broken_pages_take_time_by_their_length():
+    began = time.perf_counter()
+    deep = "<div>" * 10_000 + "a<nav>menu</nav><p>b</p>c" + "</div>" * 10_000
+    assert W.main_text(deep, host([deep] + [deep.replace("b", f"b{i}") for i in range(4)])).split("\n") == ["a", "b", "c"]
+    for bad in ("<a '" * 250_000, "<a \"'" * 200_000, "<p x=\"" * 140_000 + ">", "<span class=ad>" * 60_000, "<li>" * 100_000 + "</ul>" * 100_000, "<" * 10**6, "<!--" * 10**5, "<div a" + " " * 10**6 + ">x</div>"):
+        W.main_text(bad, host([bad]))
+    assert time.perf_counter() - began < 40
 
 
 def test_pages_without_an_article_element():
@@ -61,4 +127,4 @@ def test_given_pages():
     for _, h in duckdb.sql("select page_id, html from '/root/testdata/sf0.001/pages.parquet'").fetchall():
         inner = h[h.index("<article>") : h.index("</article>")].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", inner)]
-        assert W.main_text(h, W.inferred([h])) == "\n".join(b for b in blocks if b)
+        assert W.main_text(h, host([h])) == "\n".join(b for b in blocks if b)

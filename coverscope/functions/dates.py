@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rolling windows of the intelligence view, in hours.
 WINDOWS = {"6h": 6, "24h": 24, "7d": 168}
-_RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$"
-_ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?Z$"
+_RFC3339 = r"^(\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:\.\d+)?)(?:[Zz]|([+-])([01]\d|2[0-3]):([0-5]\d))$"
+_ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{3})?Z$"
 
 
 def batch_timestamp(stamp: Column) -> Column:
@@ -21,14 +21,18 @@ def batch_timestamp(stamp: Column) -> Column:
 
 
 def seen_date(stamp: Column) -> Column:
-    """yyyyMMddTHHmmssZ, or any form that a cast reads; null for others."""
-    compact = F.regexp_extract(stamp, r"^(\d{8})T(\d{6})Z$", 0)
+    """yyyyMMddTHHmmss, with or without a Z, in UTC; or any form that a cast reads; null for others."""
+    compact = F.regexp_extract(stamp, r"^(\d{8})T(\d{6})Z?$", 0)
     return F.coalesce(F.when(compact != "", F.try_to_timestamp(F.translate(compact, "TZ", ""), F.lit("yyyyMMddHHmmss"))), stamp.try_cast("timestamp"))
 
 
 def rfc3339(text: Column) -> Column:
     """A strict RFC 3339 time; null for others, a day that the month lacks included."""
-    return F.when(text.rlike(_RFC3339), F.upper(text).try_cast("timestamp"))
+    part = lambda i: F.regexp_extract(text, _RFC3339, i)
+    # Offsets of up to 23:59 are taken off here, as a cast reads those of up to 18:00 alone.
+    offset = F.coalesce(part(3).try_cast("int") * 60 + part(4).try_cast("int"), F.lit(0)) * F.when(part(2) == "-", -1).otherwise(1)
+    local = F.concat(F.upper(part(1)), F.lit("Z")).try_cast("timestamp")
+    return F.when(text.rlike(_RFC3339), F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 60_000_000))
 
 
 def is_iso_utc(text: Column) -> Column:

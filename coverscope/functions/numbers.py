@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Weights of what two articles have in common.
+# Weights of what two articles have in common.
 WEIGHTS = {"title": 0.38, "entities": 0.23, "time": 0.14, "location": 0.10, "semantic": 0.15}
-#: How sure a place's mention is, by field and by type, and what each further meaning of the name takes.
+# How sure a place's mention is, by field and by type, and what each further meaning of the name takes.
 FIELD_WEIGHT = {"title": 0.74, "summary": 0.58}
 SPECIFICITY = {"city": 0.10, "admin1": 0.07, "country": 0.04}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,11 +84,16 @@ def preliminary(results: DataFrame, clusters: DataFrame, articles: DataFrame) ->
     return one.withColumn("rank", rank).where(F.col("rank") <= MOST_RESULTS)
 
 
-def url_batches(urls: DataFrame, size: int = 20) -> DataFrame:
-    """(url, batch): distinct URLs in batches of `size`, numbered within groups by hash, so that none of the numbering is one task's work."""
-    own = urls.select("url").distinct().withColumn("_g", F.pmod(F.xxhash64("url"), F.lit(64)))
+def url_batches(urls: DataFrame, size: int = 20, groups: int = 1024) -> DataFrame:
+    """(url, batch): distinct URLs in batches of `size`, all of them full but the last.
+
+    They are numbered within groups by hash, and a group's numbers follow those of the groups before, from one row for each; so no task numbers them all.
+    """
+    own = urls.select("url").distinct().withColumn("_g", F.pmod(F.xxhash64("url"), F.lit(groups)))
+    sizes = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_g", F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_g").orderBy("url")) - 1
-    return own.withColumn("batch", F.concat_ws(":", "_g", F.floor(at / size))).drop("_g")
+    return own.withColumn("_at", at).join(F.broadcast(before), "_g").select("url", F.floor((F.col("_at") + F.col("_before")) / size).alias("batch"))
 
 
 def extracted_contents(contents: DataFrame) -> DataFrame:
@@ -135,10 +138,28 @@ def capped(ranked: DataFrame, per_cluster: int, total: int) -> DataFrame:
     return own.orderBy(*order).limit(total)
 
 
-def curated(stories: DataFrame, clusters: DataFrame, articles: DataFrame, selected: DataFrame) -> DataFrame:
-    """A receipt's rows that are of selected clusters: by cluster id, then title, then canonical URL. stories: cluster_id, title, url."""
-    own = stories.join(selected.select("cluster_id"), "cluster_id", "left_semi").join(clusters.select("title"), "title", "left_semi")
-    return own.withColumn("canonical_url", U.canonical_url(F.col("url"))).join(articles.select("canonical_url"), "canonical_url", "left_semi")
+def curated(stories: DataFrame, searches: DataFrame, contents: DataFrame, selected: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A receipt's stories, searches and extracted contents that are of the selected clusters: stories by id, searches by those stories' titles, contents by those
+    searches' results. Raises if a selected id isn't there.
+
+    stories: cluster_id, title. searches: query, url, a row for each result. contents: url. Any more columns stay.
+    """
+    wanted = stories.sparkSession.createDataFrame([(x,) for x in sorted(set(selected))], "cluster_id string")
+    if absent := [r["cluster_id"] for r in missing_ids(wanted, stories).collect()]:  # of the ids given
+        raise ValueError(f"selected clusters are absent from the receipt: {', '.join(sorted(absent))}")
+    own = stories.join(wanted, "cluster_id", "left_semi")
+    asked = searches.join(own.select(F.col("title").alias("query")), "query", "left_semi")
+    urls = asked.select(U.canonical_url(F.col("url")).alias("_c"))
+    return own, asked, contents.withColumn("_c", U.canonical_url(F.col("url"))).join(urls, "_c", "left_semi").drop("_c")
+
+
+def require_approved(clusters: DataFrame, articles: DataFrame, approved: list[str], least: int = 3) -> None:
+    """Raises unless each approved cluster is there with `least` articles or more. clusters, articles: cluster_id."""
+    wanted = clusters.sparkSession.createDataFrame([(x,) for x in sorted(set(approved))], "cluster_id string")
+    enough = articles.join(wanted, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    there = clusters.select("cluster_id").join(enough, "cluster_id", "left_semi")
+    if absent := [r["cluster_id"] for r in missing_ids(wanted, there).collect()]:  # of the ids given
+        raise ValueError(f"approved clusters are absent or have under {least} articles: {', '.join(sorted(absent))}")
 
 
 def missing_ids(wanted: DataFrame, clusters: DataFrame, key: str = "cluster_id") -> DataFrame:
@@ -148,12 +169,5 @@ def missing_ids(wanted: DataFrame, clusters: DataFrame, key: str = "cluster_id")
 def framed(articles: DataFrame, rules: DataFrame) -> DataFrame:
     """Articles with the framing and tone that a rule confirmed by hand gives their outlet. rules: domain, title_pattern (or null), framing, tone, priority; a list kept by hand."""
     fits = (F.col("domain") == F.col("_d")) & (F.col("title_pattern").isNull() | F.expr("title rlike title_pattern"))
-    own = articles.join(F.broadcast(rules.withColumnRenamed("domain", "_d")), fits, "left").drop("_d", "title_pattern")
+    own = articles.join(rules.withColumnRenamed("domain", "_d"), fits, "left").drop("_d", "title_pattern")
     return first_by(own, ["article_id"], [F.coalesce("priority", F.lit(0))]).drop("priority")
-
-
-def batches_of(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Rows of a partition in frames of `size`, for calls that take as many at once."""
-    for frame in frames:
-        for at in range(0, len(frame), size):
-            yield frame.iloc[at : at + size]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.functions.numbers import clamp, match_confidence
@@ -11,6 +12,28 @@ from coverscope.functions.text import quote_window, same_ignoring_case
 MINIMUM, CONTEXT = 0.5, 70
 
 
+_RUNS = "array<struct<start:int,end:int,matched_text:string,alias:string>>"
+
+
+def word_runs(text: Column, longest: int) -> Column:
+    """The runs of one to `longest` words of a text with their places, and as aliases are written: lower-cased, with single blanks. Time grows with the text's length."""
+
+    @F.pandas_udf(_RUNS)
+    def runs(texts: pd.Series) -> pd.Series:
+        import regex
+
+        word = regex.compile(r"[\p{L}\p{N}\p{M}'’.-]*[\p{L}\p{N}\p{M}]")
+
+        def one(x: str | None) -> list[dict]:
+            places = [m.span() for m in word.finditer(x or "")]
+            each = ((places[i][0], places[i + k][1]) for i in range(len(places)) for k in range(min(longest, len(places) - i)))
+            return [{"start": a, "end": b, "matched_text": x[a:b], "alias": " ".join(x[a:b].lower().split()) if b - a > 1 else x[a:b].lower()} for a, b in each]
+
+        return texts.map(one)
+
+    return runs(text)
+
+
 def gazetteer_matches(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
     """(texts' columns, place columns, start, end, matched_text, ambiguity): where a text names a place, word for word.
 
@@ -18,17 +41,8 @@ def gazetteer_matches(texts: DataFrame, aliases: DataFrame, longest: int = 4) ->
     words are joined with the aliases by equality, so the size of the gazetteer doesn't matter.
     """
     meanings = aliases.groupBy("alias").agg(F.countDistinct("place_id").alias("ambiguity"))
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}\p{M}'’.-]*[\p{L}\p{N}\p{M}]|[^\p{L}\p{N}\p{M}]+|['’.-]+"), F.lit(0))
-    pieces = texts.withColumn("_w", words)
-    # Places of the pieces: sums of their lengths before them.
-    starts = F.aggregate("_w", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda acc, x: F.struct((acc["n"] + F.length(x)).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at")), lambda acc: acc["at"])
-    pieces = pieces.withColumn("_s", starts)
-    runs = pieces.select("*", F.posexplode("_w").alias("_i", "_x")).where(F.col("_x").rlike(r"[\p{L}\p{N}]"))
-    runs = runs.select("*", F.explode(F.array(*[F.lit(2 * k + 1) for k in range(longest)])).alias("_n")).where("_i + _n <= size(_w)")
-    matched = F.array_join(F.slice("_w", F.col("_i") + 1, F.col("_n")), "")
-    runs = runs.withColumn("matched_text", matched).withColumn("start", F.get("_s", F.col("_i"))).withColumn("alias", F.lower(F.regexp_replace("matched_text", r"\s+", " ")))
-    runs = runs.where(~F.col("matched_text").rlike(r"[^\p{L}\p{N}\p{M}]$")).withColumn("end", F.col("start") + F.length("matched_text")).drop("_w", "_s", "_i", "_x", "_n")
-    return runs.join(aliases, "alias").join(meanings, "alias").drop("alias")
+    runs = texts.select("*", F.explode(word_runs(F.col("text"), longest)).alias("_r")).select(*texts.columns, "_r.*")
+    return runs.join(aliases.join(meanings, "alias"), "alias").drop("alias")
 
 
 def located_matches(matches: DataFrame, minimum: float = MINIMUM) -> DataFrame:
@@ -39,18 +53,24 @@ def located_matches(matches: DataFrame, minimum: float = MINIMUM) -> DataFrame:
     return sure.withColumn("quote", quote_window(F.col("text"), F.col("start"), F.col("end"), CONTEXT))
 
 
-def event_locations(located: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Places with evidence: the strongest mention, more for each further article and outlet. keys: what places are gathered within, such as a cluster.
+def place_evidence(located: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, place_id, article_id, start, end, url, quote, method, outlet_id, confidence): the evidence of places, a row each.
 
     Of evidence at one place of an article the later field (summary after title) stands.
     """
     keys = keys or []
-    evidence = located.groupBy(*keys, "place_id", "article_id", "start", "end").agg(F.max_by(F.struct("url", "quote"), (F.col("field") == "summary").cast("int")).alias("e"), F.max("confidence").alias("confidence"), F.first("outlet_id").alias("outlet_id"))
-    places = evidence.groupBy(*keys, "place_id").agg(
-        F.max("confidence").alias("strongest"), F.countDistinct("article_id").alias("articles"), F.countDistinct("outlet_id").alias("outlets"),
-        F.array_sort(F.collect_list(F.struct("article_id", "start", "end", F.col("e.url").alias("url"), F.col("e.quote").alias("quote"), F.lit("article_text").alias("method")))).alias("evidence"),
-    )
-    return places.select(*keys, "place_id", clamp(F.col("strongest") + (F.col("articles") - 1) * 0.06 + (F.col("outlets") - 1) * 0.04).alias("confidence"), "articles", "outlets", "evidence")
+    own = located.groupBy(*keys, "place_id", "article_id", "start", "end").agg(F.max_by(F.struct("url", "quote"), (F.col("field") == "summary").cast("int")).alias("e"), F.max("confidence").alias("confidence"), F.min("outlet_id").alias("outlet_id"))
+    return own.select(*keys, "place_id", "article_id", "start", "end", "e.url", "e.quote", F.lit("article_text").alias("method"), "outlet_id", "confidence")
+
+
+def event_locations(evidence: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, place_id, confidence, articles, outlets) of places with evidence: the strongest mention, more for each further article and outlet.
+
+    keys: what places are gathered within, such as a cluster. Evidence isn't gathered: a place may have that of any number of articles.
+    """
+    keys = keys or []
+    places = evidence.groupBy(*keys, "place_id").agg(F.max("confidence").alias("strongest"), F.countDistinct("article_id").alias("articles"), F.countDistinct("outlet_id").alias("outlets"))
+    return places.select(*keys, "place_id", clamp(F.col("strongest") + (F.col("articles") - 1) * 0.06 + (F.col("outlets") - 1) * 0.04).alias("confidence"), "articles", "outlets")
 
 
 def nearest_region(points: DataFrame, regions: DataFrame, within: float = 24.0) -> DataFrame:

@@ -41,3 +41,8 @@ def primary_prominence(prominence: DataFrame, primary: DataFrame) -> DataFrame:
     """(cluster_id, normalized_prominence): the score in the cluster's primary region, else its greatest."""
     joined = prominence.join(primary.select("cluster_id", F.col("region").alias("_primary")), "cluster_id", "left")
     return joined.groupBy("cluster_id").agg(F.coalesce(F.max(F.when(F.col("region") == F.col("_primary"), F.col("score"))), F.max("score"), F.lit(0.0)).alias("normalized_prominence"))
+
+
+def current_formula(prominence: DataFrame, legacy_suffix: str = "legacy-components-unavailable") -> DataFrame:
+    """Rows of the formula in use: those whose formula_version doesn't end as legacy ones do; a null is of the one in use."""
+    return prominence.where(~F.coalesce(F.col("formula_version").endswith(legacy_suffix), F.lit(False)))

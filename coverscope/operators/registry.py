@@ -31,8 +31,8 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def with_profile(articles: DataFrame, profiles: DataFrame, domain_col: str = "domain") -> DataFrame:
-    """Every article with its outlet's profile, or nulls. The registry is a list kept by hand, so it is broadcast."""
-    return articles.join(F.broadcast(profiles), normalized_domain(F.col(domain_col)) == F.col("registry_domain"), "left").drop("registry_domain")
+    """Every article with its outlet's profile, or nulls. The registry is a list kept by hand; Spark broadcasts it by its size."""
+    return articles.join(profiles, normalized_domain(F.col(domain_col)) == F.col("registry_domain"), "left").drop("registry_domain")
 
 
 def _assessment(known: Column, value: Column, confidence: Column, method: str, reason: str) -> Column:

@@ -71,6 +71,7 @@ def market_heat(sources: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     sources: keys, article_id, domain, market, label, latitude, longitude, confidence. An article counts for one market: the surest, then the least. The share
     is the mean over all outlets of how much of what each has is in the market. Coordinates are those of the surest source, then of the least article.
+    Markets go by share, greatest first, then by name.
     """
     keys = keys or []
     fields = F.struct("market", "label", "latitude", "longitude", "confidence", "domain")
@@ -85,8 +86,9 @@ def market_heat(sources: DataFrame, keys: list[str] | None = None) -> DataFrame:
     shares = joined.groupBy(*keys, "market").agg(
         F.sum("n").alias("raw_article_count"), F.count(F.lit(1)).alias("unique_outlet_count"), F.sum(F.col("n") / F.col("total")).alias("_s"), F.min("first").alias("first"), F.min("at").alias("at")
     )
-    out = shares.join(outlets, keys) if keys else shares.crossJoin(F.broadcast(outlets))  # one row
-    return out.select(*keys, "market", F.col("first.label").alias("label"), "raw_article_count", "unique_outlet_count", (F.col("_s") / F.col("outlets")).alias("source_normalized_share"), F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"))
+    out = shares.join(outlets, keys) if keys else shares.crossJoin(outlets)  # one row
+    out = out.select(*keys, "market", F.col("first.label").alias("label"), "raw_article_count", "unique_outlet_count", (F.col("_s") / F.col("outlets")).alias("source_normalized_share"), F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"))
+    return out.orderBy(*keys, F.col("source_normalized_share").desc(), "market")
 
 
 def heat_points(markets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -95,24 +97,28 @@ def heat_points(markets: DataFrame, sources: DataFrame) -> DataFrame:
     return markets.where(F.col("latitude").isNotNull()).join(backed, ["market", "latitude", "longitude"], "left_semi")
 
 
+def _placed(clusters: DataFrame, locations: DataFrame) -> DataFrame:
+    """Each cluster once in each of its regions, by its best location there."""
+    best = F.struct((-F.col("confidence")).alias("c"), (-F.col("evidence_count")).alias("e"), F.col("location_id").alias("i"))
+    one = locations.groupBy("cluster_id", "region").agg(F.min(F.struct(best.alias("o"), "label", "latitude", "longitude", "confidence")).alias("l"))
+    return one.join(clusters.select("cluster_id", "raw", "normalized"), "cluster_id")
+
+
 def region_rollup(clusters: DataFrame, locations: DataFrame, articles: DataFrame) -> DataFrame:
-    """(region, label, latitude, longitude, raw_prominence, normalized_prominence, story_count, source_count, top_clusters) of each region.
+    """(region, label, latitude, longitude, raw_prominence, normalized_prominence, story_count, source_count) of each region; region_stories has its stories.
 
     clusters: cluster_id, raw, normalized. locations: cluster_id, region, location_id, label, latitude, longitude, confidence, evidence_count. articles: cluster_id, domain. A cluster
-    counts once in a region, by its best location there. top_clusters: (normalized, raw, cluster_id), greatest first.
+    counts once in a region, by its best location there.
     """
-    best = F.struct((-F.col("confidence")).alias("c"), (-F.col("evidence_count")).alias("e"), F.col("location_id").alias("i"))
-    one = locations.groupBy("cluster_id", "region").agg(F.min(F.struct(best.alias("o"), "label", "latitude", "longitude", "confidence")).alias("l"))
-    placed = one.join(clusters.select("cluster_id", "raw", "normalized"), "cluster_id")
-    outlets = one.select("cluster_id", "region").join(articles.select("cluster_id", "domain").distinct(), "cluster_id").groupBy("region").agg(F.countDistinct("domain").alias("source_count"))
-    top = F.sort_array(F.collect_list(F.struct("normalized", "raw", "cluster_id")), asc=False)
+    placed = _placed(clusters, locations)
+    outlets = placed.select("cluster_id", "region").join(articles.select("cluster_id", "domain").distinct(), "cluster_id").groupBy("region").agg(F.countDistinct("domain").alias("source_count"))
     rolled = placed.groupBy("region").agg(
-        F.min_by(F.col("l"), F.struct((-F.col("l.confidence")).alias("c"), "cluster_id")).alias("l"), F.sum("raw").alias("raw_prominence"), F.max("normalized").alias("normalized_prominence"),
-        F.count(F.lit(1)).alias("story_count"), top.alias("top_clusters"),
+        F.min_by(F.col("l"), F.struct((-F.col("l.confidence")).alias("c"), "cluster_id")).alias("l"), F.sum("raw").alias("raw_prominence"), F.max("normalized").alias("normalized_prominence"), F.count(F.lit(1)).alias("story_count"),
     )
-    return rolled.join(outlets, "region", "left").select("region", F.col("l.label").alias("label"), F.col("l.latitude").alias("latitude"), F.col("l.longitude").alias("longitude"), "raw_prominence", "normalized_prominence", "story_count", F.coalesce("source_count", F.lit(0)).alias("source_count"), "top_clusters")
+    return rolled.join(outlets, "region", "left").select("region", F.col("l.label").alias("label"), F.col("l.latitude").alias("latitude"), F.col("l.longitude").alias("longitude"), "raw_prominence", "normalized_prominence", "story_count", F.coalesce("source_count", F.lit(0)).alias("source_count"))
 
 
-def running_index(df: DataFrame, keys: list[str], order: list[str], name: str = "index") -> DataFrame:
-    """Rows numbered from 0 within their keys."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def region_stories(clusters: DataFrame, locations: DataFrame) -> DataFrame:
+    """(region, rank, cluster_id, normalized, raw): the stories of each region, greatest first. Rows as for region_rollup; a region's are sorted, never gathered into one."""
+    order = [F.col("normalized").desc(), F.col("raw").desc(), F.col("cluster_id").desc()]
+    return _placed(clusters, locations).select("region", F.row_number().over(Window.partitionBy("region").orderBy(*order)).alias("rank"), "cluster_id", "normalized", "raw")

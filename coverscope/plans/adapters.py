@@ -51,4 +51,4 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page as an article: its title element, URL and domain."""
     own = table(spark, sf_dir, "pages")
-    return own.select("page_id", "url", X.page_title(F.col("html"), "title", numeric=False).alias("title"), U.canonical_url(F.col("url")).alias("canonical_url"), U.domain(F.col("url")).alias("domain"))
+    return own.select("page_id", "url", X.page_title(F.col("html"), "title").alias("title"), U.canonical_url(F.col("url")).alias("canonical_url"), U.domain(F.col("url")).alias("domain"))

@@ -18,6 +18,7 @@ class Result:
     memberships: DataFrame
     clusters: DataFrame
     locations: DataFrame
+    evidence: DataFrame
     prominence: DataFrame
 
 
@@ -40,16 +41,17 @@ def run(articles: DataFrame, aliases: DataFrame, threshold: float = clustering.T
     full = members.join(own, "article_id")
     seen = F.coalesce("published_at", "retrieved_at")
     clusters = full.groupBy("cluster_id").agg(F.min_by("title", F.struct(~F.col("is_canonical"), "position")).alias("title"), F.min(seen).alias("first_observed_at"), F.max(seen).alias("last_observed_at"), F.count(F.lit(1)).alias("article_count"), F.countDistinct("outlet_id").alias("outlet_count"))
-    places = geocode.event_locations(matches.join(members.select("article_id", "cluster_id"), "article_id"), ["cluster_id"])
+    evidence = geocode.place_evidence(matches.join(members.select("article_id", "cluster_id"), "article_id"), ["cluster_id"])
+    places = geocode.event_locations(evidence, ["cluster_id"])
     known = aliases.select("place_id", "name", "kind", "country", "admin1", "latitude", "longitude").dropDuplicates(["place_id"])
     places = places.join(known, "place_id").withColumn("region", prominence.region_key(F.col("country"), F.col("admin1"), F.col("place_id")))
     shares = prominence.regional_prominence(full.select("cluster_id", "outlet_id"), places.select("cluster_id", "region"))
-    return Result(own, members, clusters, places, shares)
+    return Result(own, members, clusters, places, evidence, shares)
 
 
 def truth_slice(result: Result, start: Column, end: Column) -> DataFrame:
     """One row: the outcome (ok, or the first reason there is none) and the cluster of most outlets, then articles, that passes all checks."""
-    issues = validate.slice_issues(result.clusters, result.members_articles() if hasattr(result, "members_articles") else result.memberships.join(result.articles, "article_id"), result.locations, start, end)
+    issues = validate.slice_issues(result.clusters, result.memberships.join(result.articles, "article_id"), result.locations, start, end)
     full = result.memberships.join(result.articles, "article_id")
     at = F.coalesce("published_at", "retrieved_at")
     current = full.where(at.between(start, end)).select("cluster_id", F.lit(True).alias("current")).distinct()

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions import numbers as N
 from coverscope.functions import text as X
 from coverscope.functions import urls as U
-from coverscope.functions.dates import age_seconds
+from coverscope.functions.dates import age_seconds, window_start
 from coverscope.operators import clustering, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
 from coverscope.plans import adapters as A
+from coverscope.plans import snapshot
 from coverscope.runtime import settle
+from coverscope.sources import batch
 from coverscope.streaming import micro_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A serving table, written once for a session and read by every query that lists, details or sums up stories, as a store's tables are."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = settle(make())
+    return _STORED[key]
+
+
 # Events, mentions that pass the gates (one for each event and document), and articles, as SQL.
 GATED = """
 with ev as (
@@ -58,14 +71,22 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles of each story: event_id as cluster_id, outlet, document, title, confidence, time."""
-    own = _joined(spark, sf_dir).where("outcome = 'joined'")
-    return own.select(F.col("event_id").alias("cluster_id"), "outlet_id", F.col("identifier").alias("document_id"), F.col("doc_title").alias("title"), "confidence", "mention_time")
+
+    def make() -> DataFrame:
+        own = _joined(spark, sf_dir).where("outcome = 'joined'")
+        return own.select(F.col("event_id").alias("cluster_id"), "outlet_id", F.col("identifier").alias("document_id"), F.col("doc_title").alias("title"), "confidence", "mention_time")
+
+    return _stored(spark, sf_dir, "articles", make)
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).where("geo is not null").select(F.col("event_id").alias("cluster_id"), "region")
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "prominence", lambda: prominence.regional_prominence(_articles(spark, sf_dir), _regions(spark, sf_dir)))
+
+
 @query(GATED + "select event_id, document_id, outlet_id, confidence, mention_time, title from ar")
 def gated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _joined(spark, sf_dir).where("outcome = 'joined'")
@@ -123,14 +144,17 @@ cl as (select event_id as cluster_id, any_value(region) as region, count(*) as a
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _articles(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"), F.countDistinct("outlet_id").alias("outlet_count"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
-    return own.join(_regions(spark, sf_dir), "cluster_id", "left")
+    def make() -> DataFrame:
+        own = _articles(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"), F.countDistinct("outlet_id").alias("outlet_count"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
+        return own.join(_regions(spark, sf_dir), "cluster_id", "left")
+
+    return _stored(spark, sf_dir, "clusters", make)
 
 
 @query(_CLUSTERS + "select cluster_id, article_count, outlet_count, first_observed_at, last_observed_at from cl order by outlet_count desc, article_count desc, last_observed_at desc, cluster_id limit 200")
 def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _clusters(spark, sf_dir).drop("region")
-    return own.orderBy(F.col("outlet_count").desc(), F.col("article_count").desc(), F.col("last_observed_at").desc(), "cluster_id").limit(200)
+    headers = _clusters(spark, sf_dir).select("cluster_id", "first_observed_at", "last_observed_at")
+    return snapshot.ranked_clusters(headers, _articles(spark, sf_dir), 200).select("cluster_id", "article_count", "outlet_count", "first_observed_at", "last_observed_at")
 
 
 # A story's locations: the nations of its line items' suppliers.
@@ -141,6 +165,10 @@ lo as (select l_orderkey as cluster_id, n_name as location_id, n_regionkey as re
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "locations", lambda: _placed(spark, sf_dir))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = A.table(spark, sf_dir, "supplier"), A.table(spark, sf_dir, "nation")
     outlets = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name", "n_regionkey")
     own = A.table(spark, sf_dir, "lineitem").join(outlets, "l_suppkey")
@@ -188,9 +216,9 @@ def story_detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     articles = own.select("cluster_id", F.concat_ws(":", pad("outlet_id"), pad("document_id")).alias("article_id"), F.concat_ws(":", "outlet_id", "document_id").alias("name"), F.col("mention_time").alias("published_at"))
     places = _places(spark, sf_dir)
-    claims = A.claims(spark, sf_dir).join(own.select("cluster_id").distinct(), "cluster_id", "left_semi").select("cluster_id", "claim_id", "confidence")
-    shares = prominence.regional_prominence(own, _regions(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    full = serving.story_details(own.select("cluster_id").distinct(), articles, places, claims, shares)
+    claims = A.claims(spark, sf_dir).join(_clusters(spark, sf_dir).select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "claim_id", "confidence")
+    shares = _shares(spark, sf_dir).withColumn("score", F.round("score", 9))
+    full = serving.story_details(_clusters(spark, sf_dir).select("cluster_id"), articles, places, claims, shares)
     joined = lambda c: F.array_join(c, ",")
     return full.select("cluster_id", joined(F.col("articles.name")).alias("articles"), F.nullif(joined(F.col("locations.location_id")), F.lit("")).alias("locations"), F.nullif(joined(F.col("regional_prominence.region")), F.lit("")).alias("regions"))
 
@@ -215,17 +243,17 @@ def pipeline_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.drop("reasons")
 
 
-def _rolling(hours: int) -> Query:
+def _rolling(window: str) -> Query:
     def count(spark: SparkSession, sf_dir: str) -> DataFrame:
-        now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-        own = A.table(spark, sf_dir, "events").where(F.col("ts").between(now - F.expr(f"interval {hours} hours"), now))
+        now = F.lit(NOW).cast("timestamp_ntz")
+        own = A.table(spark, sf_dir, "events").where(F.col("ts").between(F.lit(window_start(window, NOW)).cast("timestamp_ntz"), now))
         return own.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.min(age_seconds(F.col("ts"), now)).alias("youngest"))
 
     return count
 
 
 for _name, _hours in (("6h", 6), ("24h", 24), ("7d", 168)):
-    QUERIES[f"rolling_window_{_name}"] = _rolling(_hours)
+    QUERIES[f"rolling_window_{_name}"] = _rolling(_name)
     ORACLES[f"rolling_window_{_name}"] = f"""
 select event_type, count(*) as n, count(distinct user_id) as users, min(floor(epoch(timestamp '2024-01-31') - epoch(ts)))::bigint as youngest
 from events where ts between timestamp '2024-01-31' - interval {_hours} hours and timestamp '2024-01-31' group by event_type
@@ -284,17 +312,66 @@ def claim_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.claim_positions(claims.select(F.col("evidence_article_id").alias("article_id")), claims)
 
 
-@query(_LIST.replace("cl as (", "cl as (") + """,
-one as (select cluster_id, region_code, arg_min(location_id, (-confidence, -evidence_count, location_id)) as label, max(confidence) as confidence from lo group by all),
-pl2 as (select o.*, article_count as raw from one o join cl using (cluster_id)),
+# Stories of GATED and _REGIONAL with places: each in each of its regions by its best place there, and the rollup of regions; {stories} are those that count.
+_ROLLUP = """,
+one as (select cluster_id, region_code, arg_min(location_id, (-confidence, -evidence_count, location_id)) as label, max(confidence) as confidence from lo where cluster_id in (select cluster_id from {stories}) group by all),
+pl2 as (select o.*, cl.article_count as raw, coalesce(score, 0) as normalized from one o join cl using (cluster_id) left join pr using (cluster_id)),
 so as (select region_code, count(distinct outlet_id) as source_count from one join ar on event_id = cluster_id group by all)
-select region_code as region, arg_min(label, (-confidence, cluster_id)) as label, sum(raw)::bigint as raw_prominence, count(*) as story_count, any_value(source_count) as source_count from pl2 join so using (region_code) group by region_code
-""")
+select region_code as region, arg_min(label, (-confidence, cluster_id)) as label, sum(raw)::bigint as raw_prominence, round(max(normalized), 9) as normalized_prominence, count(*) as story_count, any_value(source_count) as source_count
+from pl2 join so using (region_code) group by region_code
+"""
+
+
+def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, locations, articles) with the columns of the serving tables."""
+    primary = prominence.primary_prominence(_shares(spark, sf_dir), _regions(spark, sf_dir))
+    clusters = _clusters(spark, sf_dir).join(primary, "cluster_id", "left").withColumn("raw_article_count", F.col("article_count")).withColumn("normalized_prominence", F.coalesce("normalized_prominence", F.lit(0.0)))
+    none = F.lit(None).cast("string")
+    locations = _places(spark, sf_dir).select("*", F.col("location_id").alias("label"), F.lit("country").alias("granularity"), none.alias("country_code"), F.lit("a").alias("evidence_article_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    articles = _articles(spark, sf_dir).select("cluster_id", F.col("outlet_id").alias("domain"), (F.col("outlet_id") % 3).alias("language"), (F.col("confidence") / 100).alias("membership_confidence"))
+    return clusters, locations, articles
+
+
+@query(_LIST.replace("with ev", "with ev", 1).replace(_CLUSTERS, _REGIONAL + "," + _CLUSTERS[len(GATED) + 1:], 1) + _ROLLUP.format(stories="cl"))
 def region_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters = _clusters(spark, sf_dir).select("cluster_id", F.col("article_count").alias("raw"), F.lit(0.0).alias("normalized"))
-    places = _places(spark, sf_dir).withColumn("region", F.col("region_code")).withColumn("label", F.col("location_id")).withColumn("latitude", F.lit(0.0)).withColumn("longitude", F.lit(0.0))
-    own = signals.region_rollup(clusters, places, _articles(spark, sf_dir).withColumn("domain", F.col("outlet_id")))
-    return own.select("region", "label", "raw_prominence", "story_count", "source_count")
+    clusters, locations, articles = _served(spark, sf_dir)
+    own = signals.region_rollup(clusters.select("cluster_id", F.col("raw_article_count").alias("raw"), F.col("normalized_prominence").alias("normalized")), locations.withColumn("region", F.col("region_code")), articles)
+    return own.select("region", "label", "raw_prominence", F.round("normalized_prominence", 9).alias("normalized_prominence"), "story_count", "source_count")
+
+
+_SEEN = datetime(2000, 6, 1)
+_RECENT = _LIST.replace(_CLUSTERS, _REGIONAL + "," + _CLUSTERS[len(GATED) + 1:], 1) + """,
+st as (select cl.*, region_code as primary_region from cl join (select cluster_id, region_code from lo qualify row_number() over (partition by cluster_id order by confidence desc, evidence_count desc, location_id) = 1) using (cluster_id)
+  where last_observed_at >= timestamp '2000-06-01' - interval 7 days and first_observed_at <= timestamp '2000-06-01')
+"""
+
+
+@query(_RECENT + """
+select cluster_id, primary_region, count(distinct outlet_id) as outlet_count, count(distinct outlet_id % 3) as language_count, round(avg(confidence / 100), 9) as membership_confidence, any_value(round(coalesce(score, 0), 9)) as normalized_prominence
+from st join ar on event_id = cluster_id left join pr using (cluster_id) group by cluster_id, primary_region
+""")
+def intelligence_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, locations, articles = _served(spark, sf_dir)
+    stories, _ = serving.intelligence(clusters.drop("outlet_count"), locations, articles, "7d", _SEEN)
+    return stories.select("cluster_id", "primary_region", "outlet_count", "language_count", F.round("membership_confidence", 9).alias("membership_confidence"), F.round("normalized_prominence", 9).alias("normalized_prominence"))
+
+
+@query(_RECENT + _ROLLUP.format(stories="st"))
+def intelligence_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, locations, articles = _served(spark, sf_dir)
+    _, regions = serving.intelligence(clusters.drop("outlet_count"), locations, articles, "7d", _SEEN)
+    return regions.select("region", "label", "raw_prominence", F.round("normalized_prominence", 9).alias("normalized_prominence"), "story_count", "source_count")
+
+
+@query(_RECENT + """,
+one as (select cluster_id, region_code from lo where cluster_id in (select cluster_id from st) group by all)
+select region_code as region, row_number() over (partition by region_code order by coalesce(score, 0) desc, cl.article_count desc, cluster_id desc) as rank, cluster_id, cl.article_count as raw from one join cl using (cluster_id) left join pr using (cluster_id)
+""")
+def region_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, locations, articles = _served(spark, sf_dir)
+    stories, _ = serving.intelligence(clusters.drop("outlet_count"), locations, articles, "7d", _SEEN)
+    own = stories.select("cluster_id", F.col("raw_article_count").alias("raw"), F.round("normalized_prominence", 15).alias("normalized"))
+    return signals.region_stories(own, locations.withColumn("region", F.col("region_code"))).select("region", "rank", "cluster_id", "raw")
 
 
 _FNV = "lower(lpad(to_hex(list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::bigint), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::bigint)), 8, '0'))"
@@ -356,11 +433,14 @@ def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with w as (select item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark)
-select item_id, len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as n_shingles, len(list_distinct(list_filter(w, lambda x: length(x) >= 4))) as n_words from w
+with w as (select item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' '), lambda x: x <> '') as every from benchmark),
+s as (select item_id, every, every[1:1200] as w from w)
+select item_id, md5(array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))), '|')) as shingles,
+  md5(array_to_string(list_sort(list_distinct(list_filter(every, lambda x: length(x) >= 4)[1:900])), '|')) as words from s
 """)
 def word_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "benchmark").select("item_id", F.size(X.word_shingles(F.col("text"))).cast("long").alias("n_shingles"), F.size(X.text_tokens(F.col("text"))).cast("long").alias("n_words"))
+    digest = lambda x: F.md5(F.array_join(F.array_sort(x), "|"))
+    return A.table(spark, sf_dir, "benchmark").select("item_id", digest(X.word_shingles(F.col("text"))).alias("shingles"), digest(X.text_tokens(F.col("text"))).alias("words"))
 
 
 def _page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,20 +461,164 @@ def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters_of(_page_articles(spark, sf_dir))
 
 
-@query(GATED + """,
+_MERGED = GATED + """,
 top as (select event_id, arg_min(title, (-confidence, -epoch_us(mention_time), document_id)) as title from ar group by all),
-keys as (select event_id, 'l' || title || '|' || region as k from top join ev using (event_id) union select event_id, 'd' || title || '|' || document_id from top join ar using (event_id, title) ),
 allkeys as (select event_id, 'l' || title || '|' || region as k from top join ev using (event_id) union select t.event_id, 'd' || t.title || '|' || a.document_id from top t join ar a on t.event_id = a.event_id),
 link as (select distinct a.event_id as u, b.event_id as v from allkeys a join allkeys b using (k)),
 lab as (with recursive r(u, v) as (select u, v from link union select r.u, link.v from r join link on r.v = link.u) select u as cluster_id, min(v) as merged_id from r group by u)
-select cluster_id, merged_id from lab
-""")
+"""
+
+
+@query(_MERGED + "select cluster_id, merged_id from lab")
 def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = settle(_articles(spark, sf_dir))
+    return _merged(spark, sf_dir).select("cluster_id", "merged_id")
+
+
+def _headers(articles: DataFrame) -> DataFrame:
     order = F.struct((-F.col("confidence")).alias("a"), (-F.unix_micros(F.col("mention_time").cast("timestamp"))).alias("b"), F.col("document_id").alias("c"))
-    clusters = own.groupBy("cluster_id").agg(F.min_by("title", order).alias("title"))
+    return articles.groupBy("cluster_id").agg(F.min_by("title", order).alias("title"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _articles(spark, sf_dir)
     places = _regions(spark, sf_dir).withColumnRenamed("region", "location_key")
-    return merge.merged_ids(clusters, own.select("cluster_id", F.col("document_id").cast("string").alias("canonical_url")), places).select("cluster_id", "merged_id")
+    make = lambda: merge.merged_ids(_headers(own), own.select("cluster_id", F.col("document_id").cast("string").alias("canonical_url")), places)
+    return _stored(spark, sf_dir, "merged", make)
+
+
+def _half(spark: SparkSession, sf_dir: str, old: bool) -> snapshot.Snapshot:
+    """The stories of events before a day, or from it on, as a snapshot."""
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    dated = A.events(spark, sf_dir).where(F.col("date_added") < cut if old else F.col("date_added") >= cut).select(F.col("event_id").alias("cluster_id"))
+    own = _articles(spark, sf_dir).join(dated, "cluster_id", "left_semi")
+    name = F.col("document_id").cast("string")
+    articles = own.select("cluster_id", name.alias("article_id"), name.alias("canonical_url"), "outlet_id", F.col("confidence").alias("provider_score"), F.col("mention_time").alias("published_at"))
+    places = _regions(spark, sf_dir).join(own.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    locations = places.select("cluster_id", F.col("region").alias("location_id"), F.col("region").alias("location_key"), F.col("region").alias("country"), F.lit(None).cast("string").alias("admin1"), F.lit(1.0).alias("confidence"), F.array(F.struct(F.lit("place").alias("quote"))).alias("evidence"))
+    return snapshot.Snapshot(_headers(own), articles, locations, prominence.regional_prominence(own, places), spark.range(1))
+
+
+@query(_MERGED + """,
+art as (select merged_id as cluster_id, document_id, arg_min(outlet_id, (-confidence, event_id)) as outlet_id from ar join lab on lab.cluster_id = event_id group by all),
+hd as (select merged_id as cluster_id, max(mention_time) as last_observed_at from ar join lab on lab.cluster_id = event_id group by all),
+kept as (select cluster_id from art join hd using (cluster_id) group by cluster_id order by count(distinct outlet_id) desc, count(*) desc, any_value(last_observed_at) desc, cluster_id limit 300),
+rg as (select distinct merged_id as cluster_id, region from ev join lab on lab.cluster_id = event_id),
+co as (select region, cluster_id, outlet_id, count(*) as n from art join rg using (cluster_id) where cluster_id in (select cluster_id from kept) group by all),
+ot as (select region, outlet_id, sum(n) as total from co group by all),
+rt as (select region, sum(total) as regional_articles, count(*) as regional_outlets from ot group by all),
+sh as (select co.region, cluster_id, sum(n)::bigint as article_count, count(*) as outlet_count, sum(n / total) as own from co join ot using (region, outlet_id) group by all)
+select cluster_id, region, article_count, outlet_count, round((article_count / regional_articles + own / regional_outlets) / 2, 9) as score from sh join rt using (region)
+""")
+def compose_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = snapshot.composed([_half(spark, sf_dir, True), _half(spark, sf_dir, False)], 300)
+    return both.prominence.select("cluster_id", "region", "article_count", "outlet_count", F.round("score", 9).alias("score"))
+
+
+@query(_MERGED + """,
+m as (select ar.*, merged_id as cluster_id, case when outlet_id % 2 = 0 then ['even', 'surely'] else ['odd'] end as reasons from ar join lab on lab.cluster_id = event_id),
+cl as (select merged_id as cluster_id, l_partkey as claim, l_returnflag as polarity, round(1 - l_discount, 6) as confidence, l_suppkey from lineitem join lab on lab.cluster_id = l_orderkey)
+select 'header' as kind, cluster_id, arg_min(title, event_id) as item, null::double as value, count(*)::varchar as detail from (
+  select merged_id as cluster_id, top.title, event_id from top join lab on lab.cluster_id = event_id) group by cluster_id
+union all select 'article', cluster_id, document_id::varchar, max(confidence), arg_min(outlet_id, (-confidence, event_id))::varchar from m group by cluster_id, document_id
+union all select 'membership', cluster_id, document_id::varchar, max(confidence), min(outlet_id) || ':' || case when count(*) > 1 then array_to_string(list_sort(list_distinct(flatten(list(reasons)))), ',') else array_to_string(any_value(reasons), ',') end from m group by cluster_id, document_id
+union all select 'location', merged_id, region, 1.0, '1' from (select distinct merged_id, region from ev join lab on lab.cluster_id = event_id)
+union all select 'claim', cluster_id, claim || polarity, max(confidence), count(distinct l_suppkey)::varchar from cl group by cluster_id, claim, polarity
+""")
+def merge_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _merged(spark, sf_dir).select("cluster_id", "merged_id")
+    own = _articles(spark, sf_dir)
+    name = F.col("document_id").cast("string")
+    none = F.lit(None).cast("double")
+    headers = merge.merged_headers(_headers(own), ids).select(F.lit("header").alias("kind"), "cluster_id", F.col("title").alias("item"), none.alias("value"), F.col("merged_from").cast("string").alias("detail"))
+    articles = own.select("cluster_id", name.alias("article_id"), name.alias("canonical_url"), "outlet_id", F.col("confidence").alias("provider_score"), F.col("mention_time").alias("published_at"))
+    articles = merge.merged_articles(articles, ids).select(F.lit("article"), "cluster_id", "article_id", "provider_score", F.col("outlet_id").cast("string"))
+    reasons = F.when(F.col("outlet_id") % 2 == 0, F.array(F.lit("even"), F.lit("surely"))).otherwise(F.array(F.lit("odd")))
+    members = own.select("cluster_id", name.alias("article_id"), "confidence", F.col("outlet_id").alias("matched_article_id"), F.lit(0.8).alias("threshold"), F.lit("c").alias("components"), reasons.alias("reasons"))
+    members = merge.merged_memberships(members, ids).select(F.lit("membership"), "cluster_id", "article_id", "confidence", F.concat_ws(":", "matched_article_id", F.array_join("reasons", ",")))
+    places = _regions(spark, sf_dir).select("cluster_id", F.col("region").alias("location_key"), F.lit(1.0).alias("confidence"), F.array(F.lit("place")).alias("evidence"))
+    places = merge.merged_locations(places, ids).select(F.lit("location"), "cluster_id", "location_key", "confidence", F.size("evidence").cast("string"))
+    claims = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").cast("string").alias("claim_id"), F.lit("t").alias("text"), F.col("l_returnflag").alias("polarity"), F.round(1 - F.col("l_discount"), 6).alias("confidence"), F.array("l_suppkey").alias("evidence"))
+    claims = merge.merged_claims(claims, ids).select(F.lit("claim"), "cluster_id", F.concat("claim_id", "polarity"), "confidence", F.size("evidence").cast("string"))
+    return headers.unionAll(articles).unionAll(members).unionAll(places).unionAll(claims)
+
+
+def _line(fields: dict[int, Column], width: int) -> Column:
+    """A row of tab-separated text with these fields, the others empty."""
+    return F.concat_ws("\t", *[F.coalesce(fields[i].cast("string"), F.lit("")) if i in fields else F.lit("") for i in range(width)])
+
+
+@query("""
+select 'event' as kind, o_orderkey::varchar as id, case when o_orderkey % 11 <> 0 then o_orderdate end as at,
+  case when o_custkey * 37 % 200 - 100 between -90 and 90 and o_custkey % 4 <> 0 then 'Place ' || o_custkey end as name, o_orderkey % 11 <> 0 as valid from orders
+union all select 'mention', l_orderkey || ':' || l_linenumber || ':' || l_suppkey || ':' || l_partkey, l_shipdate, case when l_linenumber % 3 <> 2 then (l_linenumber % 3 = 1)::varchar end,
+  l_linenumber % 3 <> 2 and l_quantity * 3 <= 100 and l_partkey % 9 <> 0 from lineitem
+union all select 'document', p_partkey::varchar, timestamp '2024-01-02 03:04:05', case when p_partkey % 5 <> 0 then p_name || ' & more – live' end, p_partkey % 7 <> 0 from part
+""")
+def batch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = lambda c: F.date_format(c, "yyyyMMddHHmmss")
+    url = lambda c, good: F.concat(F.when(good, "https").otherwise("ftp"), F.lit("://wire.example/"), c)
+    orders = A.table(spark, sf_dir, "orders")
+    place = {51: F.lit(4), 52: F.when(F.col("o_custkey") % 4 != 0, F.concat(F.lit("Place "), "o_custkey")), 56: F.col("o_custkey") * 37 % 200 - 100, 57: F.lit(12.5), 58: F.lit("f")}
+    lines = orders.select(F.monotonically_increasing_id().alias("ord"), _line({0: F.col("o_orderkey"), **place, 59: F.when(F.col("o_orderkey") % 11 != 0, stamp("o_orderdate")).otherwise("2024"), 60: F.lit("https://wire.example/x")}, 61).alias("value"))
+    events = batch.parsed_events(lines).select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("date_added").cast("timestamp_ntz").alias("at"), F.col("geo.full_name").alias("name"), "valid")
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    raw = F.when(F.col("l_linenumber") % 3 == 2, "x").otherwise((F.col("l_linenumber") % 3).cast("string"))
+    lines = A.table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("ord"), _line({0: key, 1: stamp("l_shipdate"), 2: stamp("l_shipdate"), 3: F.lit(1), 4: F.lit("wire"), 5: url(key, F.col("l_partkey") % 9 != 0), 6: F.lit(1), 10: raw, 11: F.col("l_quantity") * 3}, 15).alias("value"))
+    mentions = batch.parsed_mentions(lines).select(F.lit("mention"), "event_id", F.col("mention_time").cast("timestamp_ntz"), F.col("in_raw_text").cast("string"), "valid")
+    title = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("<PAGE_TITLE>"), "p_name", F.lit(" &amp;  more &#x2013; live</PAGE_TITLE>")))
+    lines = A.table(spark, sf_dir, "part").select(F.monotonically_increasing_id().alias("ord"), _line({0: F.col("p_partkey"), 1: F.lit("20240102030405"), 2: F.col("p_size"), 3: F.lit("wire"), 4: url(F.col("p_partkey").cast("string"), F.col("p_partkey") % 7 != 0), 26: title}, 27).alias("value"))
+    documents = batch.parsed_documents(lines).select(F.lit("document"), "record_id", F.col("published_at").cast("timestamp_ntz"), "title", "valid")
+    return events.unionAll(mentions).unionAll(documents)
+
+
+@query("""
+with s as (select s_suppkey as k, s_nationkey as n, s_acctbal as a from supplier),
+i as (
+  select k, unnest(list_filter([
+    case when a / 9000 < 0 or a / 9000 > 1 then 'locations.confidence invalid_confidence' end, case when abs(k * 37 % 200 - 100) > 90 then 'locations.latitude invalid_latitude' end,
+    case when abs(k * 53 % 400 - 200) > 180 then 'locations.longitude invalid_longitude' end, case when k % 5 = 0 then 'locations.evidence missing_location_evidence' end,
+    case when k % 5 <> 0 and k % 7 = 0 then 'locations.evidence.url invalid_url' end, case when k % 5 <> 0 and k % 11 = 0 then 'locations.evidence.quote empty_quote' end,
+    case when k % 5 <> 0 and k % 13 = 0 then 'locations.evidence.method invalid_event_location_evidence_method' end, case when k % 5 <> 0 and n > 19 then 'locations.evidence.article_id unknown_evidence_article' end,
+    case when a / 9000 < 0 or a / 9000 > 1 then 'claims.confidence invalid_confidence' end, case when k % 5 = 0 then 'claims.evidence missing_claim_evidence' end,
+    case when k % 5 <> 0 and k % 7 = 0 then 'claims.evidence.url invalid_url' end, case when k % 5 <> 0 and k % 11 = 0 then 'claims.evidence.quote empty_quote' end,
+    case when k % 5 <> 0 and n > 19 then 'claims.evidence.article_id unknown_evidence_article' end,
+    case when n < 3 then 'prominence.raw invalid_raw_prominence' end, case when k % 17 = 0 then 'prominence.basis invalid_prominence_basis' end, case when a / 9000 < 0 or a / 9000 > 1 then 'prominence.score invalid_confidence' end,
+    case when k % 17 = 0 then 'region invalid_region' end, case when k % 17 <> 0 and k % 7 = 0 then 'region.code missing_region_code' end, case when k % 17 <> 0 and k % 11 = 0 then 'region.label missing_region_label' end,
+    case when k % 17 <> 0 and abs(k * 37 % 200 - 100) > 90 then 'region.latitude invalid_latitude' end, case when k % 17 <> 0 and (k % 3 = 0 or abs(k * 53 % 400 - 200) > 180) then 'region.longitude invalid_longitude' end,
+    case when n > 12 then 'health.successful_source_count invalid_health_counts' end,
+    case when k % 4 = 1 and a < 0 then 'tone.confidence invalid_confidence' end, case when k % 4 = 1 and k % 7 = 0 then 'tone.value invalid_tone' end, case when k % 4 = 1 and k % 5 = 0 then 'tone.evidence missing_assessment_evidence' end,
+    case when k % 4 = 0 and k % 11 = 0 then 'tone.reason missing_unknown_reason' end, case when k % 4 = 2 then 'tone.status invalid_assessment_status' end, case when k % 4 = 3 then 'tone missing_assessment' end
+  ], lambda x: x is not null)) as issue from s)
+select issue, count(*) as n from i group by issue
+""")
+def validation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n, a = F.col("s_suppkey"), F.col("s_nationkey"), F.col("s_acctbal")
+    own = A.table(spark, sf_dir, "supplier").withColumn("cluster_id", k)
+    lat, lon = (k * 37 % 200 - 100).cast("double"), (k * 53 % 400 - 200).cast("double")
+    item = F.struct(n.alias("article_id"), F.when(k % 7 == 0, "ftp://h/x").otherwise("https://h.example/x").alias("url"), F.when(k % 11 == 0, " ").otherwise("q").alias("quote"), F.when(k % 13 == 0, "guess").otherwise("article_text").alias("method"))
+    evidence = F.when(k % 5 != 0, F.array(item)).alias("evidence")
+    articles = own.where(n <= 19).select("cluster_id", n.alias("article_id"))
+    places = own.select("cluster_id", (a / 9000).alias("confidence"), lat.alias("latitude"), lon.alias("longitude"), evidence)
+    found = validate.location_issues(places, articles).unionAll(validate.claim_issues(places.select("cluster_id", "confidence", "evidence"), articles))
+    shares = own.select("cluster_id", (n - 3).alias("article_count"), n.alias("outlet_count"), (a / 9000).alias("score"), *[F.lit(0.5).alias(c) for c in ("article_share", "outlet_share", "source_normalized_share")], F.when(k % 17 == 0, "market").otherwise("event_location").alias("basis"))
+    found = found.unionAll(validate.prominence_issues(shares))
+    there = k % 3 != 0
+    region = F.when(k % 17 != 0, F.struct(F.when(k % 7 != 0, "C").alias("code"), F.when(k % 11 != 0, "L").alias("label"), lat.alias("latitude"), F.when(there, lon).alias("longitude")))
+    found = found.unionAll(validate.issues_of(own.withColumn("r", region), validate.region_rules(F.col("r"), "region")))
+    found = found.unionAll(validate.health_issues(own.select("cluster_id", n.alias("successful_source_count"), F.lit(12).alias("source_count"))))
+    text = lambda x: x.cast("string")
+    kind = F.array(F.struct(F.lit("k").alias("kind")))
+    observed = F.struct(F.lit("observed").alias("status"), F.when(k % 7 == 0, "wild").otherwise("neutral").alias("value"), F.when(a < 0, -1.0).otherwise(0.5).alias("confidence"), F.lit("model_analysis").alias("method"), text(F.lit(None)).alias("reason"), F.when(k % 5 != 0, kind).alias("evidence"))
+    unknown = F.struct(F.lit("unknown").alias("status"), text(F.lit(None)).alias("value"), F.lit(None).cast("double").alias("confidence"), F.lit("unavailable").alias("method"), F.when(k % 11 != 0, "why").alias("reason"), kind_none(kind).alias("evidence"))
+    odd = F.struct(F.lit("odd").alias("status"), text(F.lit(None)).alias("value"), F.lit(None).cast("double").alias("confidence"), F.lit("x").alias("method"), text(F.lit(None)).alias("reason"), kind_none(kind).alias("evidence"))
+    tone = F.when(k % 4 == 0, unknown).when(k % 4 == 1, observed).when(k % 4 == 2, odd)
+    found = found.unionAll(validate.issues_of(own.withColumn("t", tone), validate.assessment_rules("tone", F.col("t"), True)))
+    return found.groupBy(F.concat_ws(" ", "path", "code").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kind_none(kind: Column) -> Column:
+    """No evidence, of the same type."""
+    return F.filter(kind, lambda x: F.lit(False))
 
 
 @query("""
@@ -408,12 +632,9 @@ def gazetteer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = [("with", 1, "city"), ("and", 2, "country"), ("der", 3, "admin1"), ("le", 4, "point"), ("con", 5, "city"), ("con", 6, "city")]
     aliases = spark.createDataFrame(places, "alias string, place_id long, kind string")
     texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("outlet_id"), F.lit("").alias("url"), F.lit("summary").alias("field"), "text")
-    found = geocode.gazetteer_matches(texts, F.broadcast(aliases), longest=1)
-    located = found.withColumn("confidence", N.match_confidence(F.col("field"), F.col("kind"), F.col("ambiguity")))
-    # The counts of evidence are what is asked for here, so mentions are summed by article before places are.
-    per = located.groupBy("place_id", "article_id", "outlet_id").agg(F.max("confidence").alias("c"))
-    own = per.groupBy("place_id").agg(F.countDistinct("article_id").alias("articles"), F.countDistinct("outlet_id").alias("outlets"), F.max("c").alias("c"))
-    return own.select("place_id", "articles", "outlets", F.round(N.clamp(F.col("c") + (F.col("articles") - 1) * 0.06 + (F.col("outlets") - 1) * 0.04), 6).alias("confidence"))
+    found = geocode.gazetteer_matches(texts, aliases, longest=2)
+    own = geocode.event_locations(geocode.place_evidence(geocode.located_matches(found)))
+    return own.select("place_id", "articles", "outlets", F.round("confidence", 6).alias("confidence"))
 
 
 @query("""
@@ -496,9 +717,10 @@ def _bounded(pattern: str) -> str:
 
 
 @query("with" + _TITLE + f"""
-select page_id, case when {_YIELD.format(_bounded(X.HIGH_YIELD))} then 100 else 0 end + least(30, len({_TOKENS})) + least(10, 2) - case when {_YIELD.format(_bounded(X.LOW_YIELD))} then 100 else 0 end as priority
-from tl where title is not null
+select page_id, case when {_YIELD.format(_bounded(X.HIGH_YIELD))} then 100 else 0 end + least(30, len({_TOKENS})) + least(10, 2 * n) - case when {_YIELD.format(_bounded(X.LOW_YIELD))} then 100 else 0 end as priority
+from (select *, count(*) over (partition by title) as n from tl where title is not null)
 """)
 def search_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = A.pages(spark, sf_dir).where("title is not null")
-    return own.select("page_id", enrich.priority(F.col("title"), F.lit(1)).cast("long").alias("priority"))
+    counts = own.groupBy("title").agg(F.count(F.lit(1)).alias("article_count"))
+    return own.join(counts, "title").select("page_id", enrich.priority(F.col("title"), F.col("article_count")).cast("long").alias("priority"))

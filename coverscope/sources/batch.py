@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions import dates as D
@@ -198,9 +198,17 @@ def archive_lines(files: DataFrame, most_bytes: int = 512 << 20) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, value) of landed tables of plain text; ord is in the order of the files' parts."""
+    """(path, ord, value) of landed tables of plain text, without blank lines; ord numbers a file's lines from 0.
+
+    Files are read in blocks. A line's number is its place in its block, by ids that follow each other in a task, and the lines of the file's blocks before,
+    from one row for each block.
+    """
     own = spark.read.text(path).where(F.length(F.rtrim("value")) > 0)
-    return own.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    own = own.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    blocks = own.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("path", "block", "first", F.coalesce(before, F.lit(0).cast("long")).alias("before"))
+    return own.join(blocks, ["path", "block"]).select("path", (F.col("id") - F.col("first") + F.col("before")).alias("ord"), "value")
 
 
 def first_rows(lines: DataFrame, most: int) -> tuple[DataFrame, Column]:

@@ -84,3 +84,35 @@ def test_dates(spark):
     assert D.retry_after("7", now) == 7 and D.retry_after("x", now) is None
     with pytest.raises(ValueError):
         D.request_window(now, 200)
+
+
+def one(spark, rows, schema, column):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
+
+
+def test_errors_without_keys(spark):
+    said = ["bad key tvly-AbC_1.2-z here", "Authorization: Bearer  abc.DEF-1", "an early-stage failure of a family-owned server", "  ", None, "sk-live_1 and TVLY-x"]
+    assert one(spark, [(x,) for x in said], "x string", X.redacted_error(F.col("x"))) == [
+        "bad key [redacted] here", "Authorization: [redacted]", "an early-stage failure of a family-owned server", "Unknown upstream failure.", "Unknown upstream failure.", "sk-live_1 and [redacted]",
+    ]
+    assert one(spark, [("sk-live_1",)], "x string", X.redacted_error(F.col("x"), ("sk-",))) == ["[redacted]"]
+
+
+def test_seen_dates_with_and_without_z(spark):
+    got = one(spark, [("20260827T010203Z",), ("20260827T010203",), ("2026-08-27T01:02:03Z",), ("20261327T010203",), ("x",)], "x string", F.date_format(D.seen_date(F.col("x")), "yyyyMMddHHmmss"))
+    assert got == ["20260827010203"] * 3 + [None, None]
+
+
+def test_strict_times(spark):
+    times = ["2026-08-27T06:00:00Z", "2026-08-27T06:00:00.123Z", "2026-08-27T06:00:00.1Z", "2026-08-27T06:00:00.12Z", "2026-08-27T06:00:00+00:00", "2026-02-30T06:00:00Z", "2026-08-27", None]
+    assert one(spark, [(x,) for x in times], "x string", D.is_iso_utc(F.col("x"))) == [True, True, False, False, False, False, False, False]
+    offsets = ["2026-08-27T06:00:00+23:59", "2026-08-27t06:00:00.5-18:30", "2026-08-27T06:00:00+24:00", "2026-08-27T06:00:00+01:60", "2024-02-29T00:00:00z", "2023-02-29T00:00:00Z"]
+    got = one(spark, [(x,) for x in offsets], "x string", F.date_format(D.rfc3339(F.col("x")), "yyyy-MM-dd HH:mm:ss.S"))
+    assert got == ["2026-08-26 06:01:00.0", "2026-08-28 00:30:00.5", None, None, "2024-02-29 00:00:00.0", None]
+
+
+def test_titles_are_composed(spark):
+    rows = [("Ｑｕａｋｅ Ｔｏｋｙｏ",), ("Quake Tokyo",), ("Cafe\u0301 fire",), ("Café fire",), (None,)]
+    assert one(spark, rows, "x string", X.headline_key(F.col("x"))) == ["quake tokyo", "quake tokyo", "café fire", "café fire", None]
+    assert one(spark, rows[:4], "x string", F.array_join(X.title_tokens(F.col("x")), " ")) == ["quake tokyo", "quake tokyo", "café fire", "café fire"]
+    assert one(spark, rows[:4], "x string", F.array_join(X.entities(F.col("x")), "|")) == ["quake tokyo", "quake tokyo", "café", "café"]

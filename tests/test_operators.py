@@ -95,7 +95,7 @@ def test_geocoding(spark):
     aliases = spark.createDataFrame([("tokyo", "tyo", "city"), ("paris", "par", "city"), ("paris", "ptx", "city"), ("new york", "nyc", "city")], "alias string, place_id string, kind string")
     texts = spark.createDataFrame([("a1", "o1", "u", "title", "Quake in Tokyo."), ("a2", "o2", "u", "title", "TOKYO and Paris"), ("a3", "o2", "u", "summary", "In New York")], "article_id string, outlet_id string, url string, field string, text string")
     matches = geocode.located_matches(geocode.gazetteer_matches(texts, aliases))
-    got = {r["place_id"]: round(r["confidence"], 2) for r in geocode.event_locations(matches).collect()}
+    got = {r["place_id"]: round(r["confidence"], 2) for r in geocode.event_locations(geocode.place_evidence(matches)).collect()}
     assert got == {"tyo": 0.94, "par": 0.76, "ptx": 0.76, "nyc": 0.68}
     wrong = matches.withColumn("start", F.col("start") + 1).select(*texts.columns, "start", "end", "matched_text", "place_id", "kind", "ambiguity")
     assert geocode.located_matches(wrong).count() == 0
@@ -168,3 +168,44 @@ def test_limits():
     assert Limits().resolve(clusters=500).clusters == 500
     with pytest.raises(ValueError):
         Limits().resolve(clusters=501)
+
+
+def test_curation_goes_by_cluster_then_title_then_url(spark):
+    stories = spark.createDataFrame([("c1", "Quake"), ("c2", "Flood")], "cluster_id string, title string")
+    searches = spark.createDataFrame([("Quake", "https://a.example/1?utm_source=x"), ("Quake", "https://b.example/2"), ("Flood", "https://c.example/3"), ("Other", "https://d.example/4")], "query string, url string")
+    contents = spark.createDataFrame([("https://a.example/1", "x"), ("https://c.example/3", "y"), ("https://d.example/4", "z")], "url string, raw_content string")
+    kept = enrich.curated(stories, searches, contents, ["c1"])
+    assert [sorted(r[0] for r in x.collect()) for x in kept] == [["c1"], ["Quake", "Quake"], ["https://a.example/1"]]
+    with pytest.raises(ValueError, match="c9"):
+        enrich.curated(stories, searches, contents, ["c1", "c9"])
+
+
+def test_approved_clusters_need_three_articles(spark):
+    clusters = spark.createDataFrame([("a",), ("b",)], "cluster_id string")
+    articles = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2, "cluster_id string")
+    enrich.require_approved(clusters, articles, ["a"])
+    for wanted in (["a", "b"], ["z"]):
+        with pytest.raises(ValueError, match=wanted[-1]):
+            enrich.require_approved(clusters, articles, wanted)
+
+
+def test_url_batches_are_full(spark):
+    urls = spark.createDataFrame([(f"https://h.example/{i % 107}",) for i in range(200)], "url string")
+    sizes = sorted((r["batch"], r["count"]) for r in enrich.url_batches(urls, 20).groupBy("batch").count().collect())
+    assert sizes == [(i, 20) for i in range(5)] + [(5, 7)]
+
+
+def test_stances_points_and_shown_health(spark):
+    claims = spark.createDataFrame([("asserts",), ("denies",), (None,)], "polarity string")
+    assert [r["stance"] for r in signals.with_stance(claims).collect()] == ["supports", "disputes", "unclear"]
+    markets = spark.createDataFrame([("M1", 1.0, 2.0), ("M2", 3.0, 4.0), ("M3", None, None)], "market string, latitude double, longitude double")
+    assert [r["market"] for r in signals.heat_points(markets, spark.createDataFrame([("M1", 1.0, 2.0), ("M2", 9.0, 9.0)], markets.schema)).collect()] == ["M1"]
+    row = spark.createDataFrame([("degraded", T0, 9, 2, ["latest story is stale"])], "status string, latest_story_at timestamp, freshness_age_seconds long, active_source_count int, reasons array<string>")
+    got = serving.shown_health(row, F.lit(4), F.lit(2), F.lit(0)).first()
+    assert (got["status"], got["message"]) == ("degraded", "latest story is stale; 2 cluster(s) omitted without cited event locations")
+    assert validate.snapshot_issues("2", ["events"], 1, 2) == [("invalid_snapshot_version", "schema_version"), ("missing_source_files", "source.files"), ("invalid_cluster_count", "statistics.clusters_emitted")]
+
+
+def test_legacy_prominence_is_left_out(spark):
+    rows = spark.createDataFrame([("a", "v2"), ("b", "v1-legacy-components-unavailable"), ("c", None)], "cluster_id string, formula_version string")
+    assert sorted(r["cluster_id"] for r in prominence.current_formula(rows).collect()) == ["a", "c"]

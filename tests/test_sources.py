@@ -191,3 +191,17 @@ def test_fetch_tries_again_and_caps():
     assert B.fetch("https://h/x", 10, opener=opener, sleep=lambda s: None) == b"xxxxx"
     with pytest.raises(B.SourceError):
         B.fetch("https://h/x", 3, opener=opener, sleep=lambda s: None)
+
+
+def test_first_rows_of_each_file(spark, tmp_path):
+    for name, n in (("a", 5), ("b", 2000)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name}{i}\r\n" + "\n" * (i % 3 == 0) for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # several blocks a file
+    try:
+        own = B.text_lines(spark, str(tmp_path / "*.csv"))
+        assert sorted((r["path"][-5], r["ord"], r["value"]) for r in own.collect()) == [("a", i, f"a{i}") for i in range(5)] + [("b", i, f"b{i}") for i in range(2000)]
+        kept, more = B.first_rows(own, 3)
+        assert sorted(r["value"] for r in kept.collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"] and own.where(more).count() == 1999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

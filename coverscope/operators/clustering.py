@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +16,8 @@ from coverscope.operators.components import connected_components
 from coverscope.runtime import first_by, settle
 
 THRESHOLD, SLACK = 0.5, 0.08
+#: Hours beyond which a pair needs more words in common, as time gives it little.
+FAR = 72
 
 
 def earliest_of_url(articles: DataFrame) -> DataFrame:
@@ -21,22 +25,26 @@ def earliest_of_url(articles: DataFrame) -> DataFrame:
     return first_by(articles, ["canonical_url"], [F.coalesce("published_at", "retrieved_at"), F.col("article_id")])
 
 
-def bounds(threshold: float = THRESHOLD) -> tuple[float, float]:
+def bounds(threshold: float = THRESHOLD, places: bool = True, time: float = 1.0, semantic: bool = False) -> tuple[float, float]:
     """(title, entities): a pair that reaches the threshold has a title similarity or an entity similarity of as much.
 
-    Follows from the weights: time and location can give all of theirs, and parts that are missing leave the others' weight.
+    Follows from the weights: location and meaning can give all of theirs if there are any (places, semantic), time as much as `time`, and parts that are missing
+    leave the others' weight.
     """
     w = N.WEIGHTS
-    rest = w["time"] + w["location"]
-    title = (threshold * (w["title"] + rest) - rest) / w["title"]
-    entities = (threshold * (w["title"] + w["entities"] + rest) - rest - w["title"] * title) / w["entities"]
+    free = (w["location"] if places else 0.0) + (w["semantic"] if semantic else 0.0)
+    rest, given = free + w["time"], free + w["time"] * time
+    # Without a time a pair has one part less, which can't raise what is needed of the others.
+    title = min((threshold * (w["title"] + rest) - given) / w["title"], (threshold * (w["title"] + free) - free) / w["title"])
+    entities = (threshold * (w["title"] + w["entities"] + rest) - given - w["title"] * title) / w["entities"]
     if title <= 0 or entities <= 0:
         raise ValueError(f"a threshold of {threshold} admits pairs that share no word; such pairs can't be blocked")
     return title, entities
 
 
-def candidate_pairs(items: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
-    """(a, b), a < b: pairs whose token sets may have a Jaccard similarity of `least` or more; none that has is left out.
+def candidate_pairs(items: DataFrame, key: str, tokens: str, least: float, buckets: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: pairs whose token sets may have a Jaccard similarity of `least` or more; none that has is left out. With buckets (key, bucket), only pairs
+    that have buckets which are equal or next to each other, so that a word which many have is many keys.
 
     Prefix filtering: each set's tokens are put in order of how rare they are, and only as many of the rarest are joined on as two such
     sets must share one of. Equal sets are one class, linked as a chain from its least member, so that copies aren't paired with one another.
@@ -49,10 +57,15 @@ def candidate_pairs(items: DataFrame, key: str, tokens: str, least: float) -> Da
     ordered = words.join(ranks, "w").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
     keys = ordered.select("c", "n", F.explode(prefix).alias("p")).select("c", "n", F.col("p.w").alias("w"))
-    left, right = keys.alias("l"), keys.alias("r")
+    other, same = keys, F.col("l.w") == F.col("r.w")
+    if buckets is not None:
+        of = sized.select("c", "k").join(buckets.withColumnRenamed(key, "k"), "k").select("c", "bucket").distinct()
+        keys = keys.join(of, "c")
+        other, same = keys.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)]))), same & (F.col("l.bucket") == F.col("r.bucket"))
+    left, right = keys.alias("l"), other.alias("r")
     # Sizes too far apart can't be alike.
     near = (F.col("l.c") < F.col("r.c")) & (F.col("l.n") >= F.col("r.n") * least - 1e-9) & (F.col("r.n") >= F.col("l.n") * least - 1e-9)
-    pairs = left.join(right, (F.col("l.w") == F.col("r.w")) & near).select(F.col("l.c").alias("x"), F.col("r.c").alias("y")).distinct()
+    pairs = left.join(right, same & near).select(F.col("l.c").alias("x"), F.col("r.c").alias("y")).distinct()
     named = classes.select("c", "k")
     between = pairs.join(named.withColumnsRenamed({"c": "x", "k": "ka"}), "x").join(named.withColumnsRenamed({"c": "y", "k": "kb"}), "y")
     return between.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
@@ -73,39 +86,49 @@ def _profile(articles: DataFrame, extractor: Callable[[Column, Column], Column])
     )
 
 
-def _candidates(own: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs whose words allow the threshold, and each article with the least one of the same title words or names; they connect what can reach it."""
-    title, names = bounds(threshold)
-    named = own.where(F.size("names") > 0)
-    copies = lambda df, c: classes_of(df, "article_id", c).where("article_id <> representative").select(F.col("representative").alias("a"), F.col("article_id").alias("b"))
-    pairs = candidate_pairs(own, "article_id", "tokens", title).unionAll(candidate_pairs(named, "article_id", "names", names))
-    return pairs.unionAll(copies(own.where(F.size("tokens") > 0), "tokens")).unionAll(copies(named, "names")).distinct()
+def _variants(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variants, members): articles of the same title words and names are one variant (v, tokens, names, first and last time); members are article_id, v, at."""
+    sets = own.select("article_id", F.array_sort("tokens").alias("tokens"), F.array_sort("names").alias("names"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    variants = settle(sets.groupBy("tokens", "names").agg(F.min("article_id").alias("v"), F.min("at").alias("first"), F.max("at").alias("last"), F.bool_or(F.col("at").isNull()).alias("untimed")))
+    return variants, settle(sets.join(variants, ["tokens", "names"]).select("article_id", "v", "at"))
 
 
-def _reaching(own: DataFrame, threshold: float, most: dict[str, Column]) -> DataFrame:
-    """(a, b), a < b: all pairs whose words reach the threshold if their other parts are at `most`.
+def _near_variants(own: DataFrame, variants: DataFrame, members: DataFrame, threshold: float, semantic: bool) -> DataFrame:
+    """(va, vb), va <= vb: pairs of variants of which articles can reach the threshold, whatever their places and their semantic similarity are.
 
-    Articles of the same title words and names are one variant. Classes of title words, or of names, that may be alike give pairs of
-    their variants; only pairs of variants that can reach the threshold are expanded to their articles, at any time and place.
+    Words are joined within buckets of time, FAR hours wide, where articles that are near in time need little in common, and without buckets where more is needed
+    as they are further apart. Articles without a time are of every bucket's second kind, at the bound that needs no time.
     """
-    title, names = bounds(threshold)
-    sets = own.select("article_id", F.array_sort("tokens").alias("tokens"), F.array_sort("names").alias("names"))
-    variants = settle(sets.groupBy("tokens", "names").agg(F.min("article_id").alias("v")))
-    members = settle(sets.join(variants, ["tokens", "names"]).select("article_id", "v"))
-
-    def alike(items: DataFrame, tokens: str, least: float) -> DataFrame:
+    places = own.where(F.size("places") > 0).limit(1).count() > 0
+    buckets = members.where("at is not null").select("v", F.floor(F.col("at") / F.lit(FAR * 3_600_000_000)).alias("bucket")).distinct()
+    near, far = bounds(threshold, places, 1.0, semantic), bounds(threshold, places, math.exp(-FAR / 36), semantic)
+    found = []
+    for i, tokens in enumerate(("tokens", "names")):
+        items = variants.where(F.size(tokens) > 0)
         classes = settle(classes_of(items, "v", tokens))
-        same = classes.select(F.col("representative").alias("a"), F.col("representative").alias("b")).distinct()
-        pairs = candidate_pairs(items, "v", tokens, least).unionAll(same)
-        x, y = classes.select(F.col("v").alias("va"), F.col("representative").alias("a")), classes.select(F.col("v").alias("vb"), F.col("representative").alias("b"))
-        return pairs.join(x, "a").join(y, "b").select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"))
-
-    pairs = alike(variants.where(F.size("tokens") > 0), "tokens", title).unionAll(alike(variants.where(F.size("names") > 0), "names", names)).distinct()
+        held = classes.select("v", F.col("representative").alias("r"))
+        own_buckets = buckets.join(held, "v").select(F.col("r").alias("v"), "bucket").distinct()
+        reps = items.join(held.where("v = r").select("v"), "v", "left_semi")
+        pairs = candidate_pairs(reps, "v", tokens, near[i], own_buckets).unionAll(candidate_pairs(reps, "v", tokens, far[i])).unionAll(held.where("v = r").select(F.col("v").alias("a"), F.col("v").alias("b"))).distinct()
+        x, y = held.select(F.col("v").alias("va"), F.col("r").alias("a")), held.select(F.col("v").alias("vb"), F.col("r").alias("b"))
+        found.append(pairs.join(x, "a").join(y, "b").select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb")))
+    pairs = found[0].unionAll(found[1]).distinct()
     l, r = variants.alias("l"), variants.alias("r")  # noqa: E741
-    parts = {"title": N.jaccard(F.col("l.tokens"), F.col("r.tokens")), "entities": N.jaccard_if_any(F.col("l.names"), F.col("r.names"))}
     both = pairs.join(l, F.col("va") == F.col("l.v")).join(r, F.col("vb") == F.col("r.v"))
-    # A part that is missing or less than 1 doesn't raise a weighted mean above that with it at 1.
-    pairs = both.where(N.weighted_score(parts | most) >= threshold - 1e-9).select("va", "vb")
+    # Of two variants' articles none are nearer in time than their first and last ones allow. A part that is missing or less than 1 doesn't raise a
+    # weighted mean above that with it at 1, if that is what it needs.
+    gap = F.greatest(F.lit(0), F.col("l.first") - F.col("r.last"), F.col("r.first") - F.col("l.last"))
+    one = F.lit(1.0)
+    time = F.when(F.col("l.untimed") | F.col("r.untimed"), one).otherwise(F.coalesce(F.exp(-gap / 3.6e9 / 36), one))
+    parts = {"title": N.jaccard(F.col("l.tokens"), F.col("r.tokens")), "entities": N.jaccard_if_any(F.col("l.names"), F.col("r.names")), "time": time}
+    parts |= ({"location": one} if places else {}) | ({"semantic": one} if semantic else {})
+    return both.where(N.weighted_score(parts) >= threshold - 1e-9).select("va", "vb")
+
+
+def _reaching(own: DataFrame, threshold: float, semantic: bool) -> DataFrame:
+    """(a, b), a < b: all pairs of articles whose words reach the threshold if what isn't known is at most."""
+    variants, members = _variants(own)
+    pairs = _near_variants(own, variants, members, threshold, semantic)
     x, y = members.select(F.col("article_id").alias("x"), F.col("v").alias("va")), members.select(F.col("article_id").alias("y"), F.col("v").alias("vb"))
     found = pairs.join(x, "va").join(y, "vb").where((F.col("va") != F.col("vb")) | (F.col("x") < F.col("y")))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -114,11 +137,11 @@ def _reaching(own: DataFrame, threshold: float, most: dict[str, Column]) -> Data
 def scored_pairs(articles: DataFrame, threshold: float = THRESHOLD, extractor: Callable[[Column, Column], Column] = X.entities, semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(a, b, score, reasons and parts): all pairs of articles, a < b, whose score reaches the threshold, copies with one another too.
 
-    articles: article_id, title, published_at, retrieved_at; optionally summary and location_ids (array). semantic gives a similarity of two titles, or null; it
-    raises scores of candidates, which are found without it.
+    articles: article_id, title, published_at, retrieved_at; optionally summary and location_ids (array). semantic gives a similarity of two titles, or null; candidates
+    are those that reach the threshold with as much of it as there can be.
     """
     own = settle(_profile(articles, extractor))
-    pairs = _reaching(own, threshold, {k: F.lit(1.0) for k in ("time", "location", *(["semantic"] if semantic else []))})
+    pairs = _reaching(own, threshold, semantic is not None)
     l, r = own.alias("l"), own.alias("r")  # noqa: E741
     both = pairs.join(l, F.col("a") == F.col("l.article_id")).join(r, F.col("b") == F.col("r.article_id"))
     parts = {
@@ -136,60 +159,124 @@ def scored_pairs(articles: DataFrame, threshold: float = THRESHOLD, extractor: C
 def clusters_of(articles: DataFrame, threshold: float = THRESHOLD, extractor: Callable[[Column, Column], Column] = X.entities) -> DataFrame:
     """(cluster_id, article_id, position, confidence, matched_article_id, average, is_canonical): greedy groups in order of time.
 
-    An article joins the group where its best match reaches the threshold and its mean does too, less SLACK; the first of equal ones; else it begins
-    one. As it needs a match at the threshold, groups lie within components of the pairs that can reach it, where the greedy order is kept: each component is a
-    task's work. A story's articles are such a component; its pairs are scored there.
+    An article joins the group where its best match reaches the threshold and its mean does too, less SLACK; the first of equal ones (to 12 digits); else it begins
+    one. As it needs a match at the threshold, groups lie within components of the variants of which articles can reach it, at the times that they have; the greedy
+    order is kept within each, which is a task's work (Greedy). A story's articles are such a component.
     """
-    own = earliest_of_url(articles)
-    pairs = _candidates(settle(_profile(own, extractor)), threshold)
-    labels = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = own.select("article_id").join(labels.withColumnsRenamed({"node": "article_id", "label": "component"}), "article_id", "left").withColumn("component", F.coalesce("component", "article_id"))
-    rows = _profile(own, extractor).join(known, "article_id").withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))
+    own = settle(_profile(earliest_of_url(articles), extractor))
+    variants, members = _variants(own)
+    pairs = _near_variants(own, variants, members, threshold, False)
+    labels = connected_components(pairs.where("va <> vb").select(F.col("va").alias("u"), F.col("vb").alias("v")))
+    known = members.select("article_id", "v").join(labels.withColumnsRenamed({"node": "v", "label": "component"}), "v", "left").select("article_id", F.coalesce("component", "v").alias("component"))
+    rows = own.select("article_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.array_sort("tokens").alias("tokens"), F.array_sort("names").alias("names"), F.array_sort("places").alias("places")).join(known, "article_id")
     schema = "cluster_first string, article_id string, position int, confidence double, matched_article_id string, average double, is_canonical boolean"
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        import math
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(Greedy(threshold).clusters(frame.sort_values(["at", "article_id"])), columns=[x.split()[0] for x in schema.split(", ")])
+
+    found = rows.groupBy("component").applyInPandas(run, schema)
+    named = found.groupBy("cluster_first").agg(X.stable_id("cluster", F.array_join(F.array_sort(F.collect_list("article_id")), "|")).alias("cluster_id"))
+    return found.join(named, "cluster_first").select("cluster_id", "article_id", "position", "confidence", "matched_article_id", "average", "is_canonical")
 
-        w = N.WEIGHTS
-        items = frame.sort_values(["at", "article_id"]).to_dict("records")
 
-        def share(a: list, b: list) -> float:
-            x, y = set(a), set(b)
-            return len(x & y) / len(x | y) if x or y else 0.0
+class Greedy:
+    """Groups of articles that come in order of time, by what is told of each kind of them (words, names, places) instead of each of them.
 
-        def score(a: dict, b: dict) -> float:
-            parts = [(share(a["tokens"], b["tokens"]), w["title"])]
-            if len(a["names"]) and len(b["names"]):
-                parts.append((share(a["names"], b["names"]), w["entities"]))
-            if not (pd.isna(a["at"]) or pd.isna(b["at"])):
-                parts.append((math.exp(-abs(a["at"] - b["at"]) / 3.6e9 / 36), w["time"]))
-            if len(a["places"]) and len(b["places"]):
-                parts.append((share(a["places"], b["places"]), w["location"]))
-            return min(1.0, max(0.0, sum(s * v for s, v in parts) / sum(v for _, v in parts)))
+    Two articles differ from two others of their kinds in time alone. As articles come in order, a kind's best match in a group is its last one, or the first one
+    that is as good, and its sum of time similarities, of exp(-hours / 36), fades by one factor until the next article. So an article costs a step for each
+    kind of each group, however many copies of a text there are.
+    """
 
-        groups: list[list[dict]] = []
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.kinds: dict[tuple, int] = {}
+        self.sets: list[tuple] = []
+        self.known: dict[tuple[int, int], tuple[float, float, bool]] = {}
+
+    def kind(self, row) -> int:  # noqa: ANN001
+        key = (tuple(row.tokens), tuple(row.names), tuple(row.places), pd.isna(row.at))
+        if key not in self.kinds:
+            self.kinds[key] = len(self.kinds)
+            self.sets.append((frozenset(key[0]), frozenset(key[1]), frozenset(key[2]), not key[3]))
+        return self.kinds[key]
+
+    def fixed(self, a: int, b: int) -> tuple[float, float, bool]:
+        """(score without time, its weight with time's, whether there is a time) of two kinds."""
+        if (a, b) not in self.known:
+            w = N.WEIGHTS
+            x, y = self.sets[a], self.sets[b]
+            share = lambda p, q: len(p & q) / len(p | q) if p or q else 0.0
+            total, weight = share(x[0], y[0]) * w["title"], w["title"]
+            for i, name in ((1, "entities"), (2, "location")):
+                if x[i] and y[i]:
+                    total, weight = total + share(x[i], y[i]) * w[name], weight + w[name]
+            timed = x[3] and y[3]
+            self.known[a, b] = total, weight + (w["time"] if timed else 0.0), timed
+        return self.known[a, b]
+
+    @staticmethod
+    def fade(micros: float) -> float:
+        return math.exp(-micros / 3.6e9 / 36)
+
+    def clusters(self, rows: pd.DataFrame) -> list[tuple]:
+        w = N.WEIGHTS["time"]
+        groups: list[dict[int, list]] = []  # by kind: the sum at a time, that time, and its articles in order as (time, place, id)
+        members: list[list[tuple[int, float, str]]] = []
         out = []
-        for item in items:
+        for row in rows.itertuples():
+            kind, at = self.kind(row), row.at
+
+            def one(k: int, then: float, kind: int = kind, at: float = at) -> float:
+                score, weight, timed = self.fixed(kind, k)
+                return round((score + (w * self.fade(at - then) if timed else 0.0)) / weight, 12)
+
             best = None
             for g, group in enumerate(groups):
-                scores = [score(item, x) for x in group]
-                top = max(scores)
-                mean = sum(scores) / len(scores)
-                if top >= threshold and mean >= threshold - SLACK and (best is None or top > best[1]):
-                    best = (g, top, mean, group[scores.index(top)]["article_id"])
+                total, tops = 0.0, {}
+                for k, (sum_, when, own) in group.items():
+                    score, weight, timed = self.fixed(kind, k)
+                    total += (len(own) * score + (w * sum_ * self.fade(at - when) if timed else 0.0)) / weight
+                    tops[k] = one(k, own[-1][0])
+                top, mean = max(tops.values()), total / len(members[g])
+                if top >= self.threshold and round(mean, 11) >= self.threshold - SLACK and (best is None or top > best[1]):
+                    best = (g, top, mean, [k for k, x in tops.items() if x == top])
             if best is None:
-                groups.append([item])
-                out.append([len(groups) - 1, item["article_id"], 0, 1.0, None, None])
+                g, confidence, mean, matched = len(groups), 1.0, None, None
+                groups.append({})
+                members.append([])
             else:
-                groups[best[0]].append(item)
-                out.append([best[0], item["article_id"], len(groups[best[0]]) - 1, best[1], best[3], best[2]])
-        canonical = []
-        for group in groups:
-            means = [sum(score(x, y) for y in group if y is not x) / (len(group) - 1) if len(group) > 1 else 1.0 for x in group]
-            canonical.append(group[means.index(max(means))]["article_id"])
-        data = [[groups[g][0]["article_id"], a, p, c, m, v, a == canonical[g]] for g, a, p, c, m, v in out]
-        return pd.DataFrame(data, columns=[x.split()[0] for x in schema.split(", ")])
-
-    found = rows.groupBy("component").applyInPandas(greedy, schema)
-    named = found.groupBy("cluster_first").agg(X.stable_id("cluster", F.array_join(F.array_sort(F.collect_list("article_id")), "|")).alias("cluster_id"))
-    return found.join(named, "cluster_first").select("cluster_id", "article_id", "position", "confidence", "matched_article_id", "average", "is_canonical")
+                g, confidence, mean, equal = best
+                first = [groups[g][k][2][bisect.bisect_left(groups[g][k][2], confidence, key=lambda x, k=k: one(k, x[0]))] for k in equal]
+                matched = min(first, key=lambda x: x[1])[2]
+            sum_, when, own = groups[g].setdefault(kind, [0.0, at, []])
+            own.append((at, len(members[g]), row.article_id))
+            groups[g][kind] = [sum_ * self.fade(at - when) + 1 if self.sets[kind][3] else 0.0, at, own]
+            out.append((g, row.article_id, len(members[g]), confidence, matched, mean))
+            members[g].append((kind, at, row.article_id))
+        canonical = [self.canonical(x) for x in members]
+        return [(members[g][0][2], a, place, float(c), m, v, a == canonical[g]) for g, a, place, c, m, v in out]
+
+    def canonical(self, members: list[tuple[int, float, str]]) -> str:
+        """The member with the greatest mean score with the others; the first of equal ones."""
+        w = N.WEIGHTS["time"]
+        totals = [0.0] * len(members)
+        counts: dict[int, int] = {}
+        for k, _, _ in members:
+            counts[k] = counts.get(k, 0) + 1
+        for i, (k, _, _) in enumerate(members):
+            for other, n in counts.items():
+                score, weight, _ = self.fixed(k, other)
+                totals[i] += (n - (other == k)) * score / weight
+        for order in (range(len(members)), range(len(members) - 1, -1, -1)):
+            sums: dict[int, tuple[float, float]] = {}
+            for i in order:
+                k, at, _ = members[i]
+                for other, (sum_, when) in sums.items():
+                    _, weight, timed = self.fixed(k, other)
+                    if timed:
+                        totals[i] += w * sum_ * self.fade(abs(at - when)) / weight
+                if self.sets[k][3]:
+                    sum_, when = sums.get(k, (0.0, at))
+                    sums[k] = (sum_ * self.fade(abs(at - when)) + 1, at)
+        means = [round(x / max(1, len(members) - 1), 11) for x in totals]
+        return members[means.index(max(means))][2] if len(members) > 1 else members[0][2]

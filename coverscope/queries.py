@@ -450,7 +450,20 @@ def _page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.lpad(F.col("page_id").cast("string"), 10, "0").alias("article_id"), "canonical_url", "url", "title", at.alias("published_at"), at.alias("retrieved_at"), F.col("domain").alias("outlet_id"), "domain", F.lit(None).cast("string").alias("summary"))
 
 
-@query()
+_NAMES = "list_distinct(list_transform(regexp_extract_all(title || '. ', '\\p{Lu}[\\pL\\pM''’-]*(?:\\s+\\p{Lu}[\\pL\\pM''’-]*){0,3}'), lambda x: lower(x)))"
+_SHARE = "len(list_intersect(l.{0}, r.{0})) / (len(l.{0}) + len(r.{0}) - len(list_intersect(l.{0}, r.{0})))"
+_SAID = "case when {0} >= {1} then '{2}' || printf('%.2f', floor({0} * 100 + 0.5) / 100) || '{3}' end"
+
+
+@query("with" + _TITLE + f""",
+pt as (select lpad(page_id::varchar, 10, '0') as id, page_id * 600 / 3600.0 as h, {_TOKENS} as t, {_NAMES} as n from tl where title is not null),
+parts as (
+  select l.id as a, r.id as b, case when len(l.t) + len(r.t) = 0 then 0.0 else {_SHARE.format("t")} end as title, case when len(l.n) > 0 and len(r.n) > 0 then {_SHARE.format("n")} end as entities, exp(-abs(l.h - r.h) / 36) as near
+  from pt l join pt r on l.id < r.id),
+scored as (select *, (title * 0.38 + coalesce(entities * 0.23, 0) + near * 0.14) / (0.38 + 0.14 + case when entities is null then 0 else 0.23 end) as score from parts)
+select a, b, round(score, 6) as score, coalesce(nullif(concat_ws('; ', {_SAID.format("title", 0.45, "title token overlap ", "")}, {_SAID.format("entities", 0.35, "named-entity overlap ", "")}, {_SAID.format("near", 0.7, "publication times are close (", ")")}), ''), 'weighted similarity ' || printf('%.2f', floor(score * 100 + 0.5) / 100)) as reasons
+from scored where score >= 0.5
+""")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = clustering.scored_pairs(_page_articles(spark, sf_dir))
     return own.select("a", "b", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))

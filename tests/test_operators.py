@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -209,3 +211,55 @@ def test_stances_points_and_shown_health(spark):
 def test_legacy_prominence_is_left_out(spark):
     rows = spark.createDataFrame([("a", "v2"), ("b", "v1-legacy-components-unavailable"), ("c", None)], "cluster_id string, formula_version string")
     assert sorted(r["cluster_id"] for r in prominence.current_formula(rows).collect()) == ["a", "c"]
+
+
+def plain_clusters(rows, threshold=0.5):
+    """The greedy order over all articles, each compared with every member of every group. rows: (id, at in hours or None, tokens, names, places)."""
+    from coverscope.functions.numbers import WEIGHTS as w
+
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+
+    def score(x, y):
+        parts = [(share(x[2], y[2]), w["title"])]
+        parts += [(share(x[3], y[3]), w["entities"])] if x[3] and y[3] else []
+        parts += [(math.exp(-abs(x[1] - y[1]) / 36), w["time"])] if x[1] is not None and y[1] is not None else []
+        parts += [(share(x[4], y[4]), w["location"])] if x[4] and y[4] else []
+        return sum(s * v for s, v in parts) / sum(v for _, v in parts)
+
+    groups, out = [], {}
+    for row in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])):
+        best = None
+        for g, group in enumerate(groups):
+            scores = [round(score(row, x), 12) for x in group]
+            if max(scores) >= threshold and round(sum(scores) / len(scores), 11) >= threshold - 0.08 and (best is None or max(scores) > best[1]):
+                best = (g, max(scores), group[scores.index(max(scores))][0])
+        if best is None:
+            groups.append([row])
+            best = (len(groups) - 1, 1.0, None)
+        else:
+            groups[best[0]].append(row)
+        out[row[0]] = best
+    canonical = set()
+    for group in groups:
+        means = [round(sum(score(x, y) for y in group if y is not x) / max(1, len(group) - 1), 11) for x in group]
+        canonical.add(group[means.index(max(means))][0])
+    return {i: (groups[g][0][0], round(c, 6), m, i in canonical) for i, (g, c, m) in out.items()}
+
+
+def test_greedy_clusters_are_as_one_after_another(spark):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(14)]
+    rows = []
+    for i in range(160):
+        title = rng.choice(rows)[1] if rows and rng.random() < 0.4 else " ".join(rng.sample(words, rng.randint(2, 5))) + rng.choice(["", " Anna Berg", " Ben"])
+        hours = rng.choice([0, 3, 30, 90, 400, 2000]) + rng.randrange(3)
+        rows.append((f"a{i:03}", title, hours, rng.choice([[], [], ["p1"], ["p1", "p2"]])))
+    at = lambda h: T0 + timedelta(hours=h)
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", t, at(h), at(h), p) for i, t, h, p in rows], "article_id string, canonical_url string, title string, published_at timestamp, retrieved_at timestamp, location_ids array<string>")
+    got = clustering.clusters_of(df).collect()
+    tokens = lambda t: frozenset(w for w in t.lower().split())
+    names = lambda t: frozenset([x] if (x := " ".join(w.lower() for w in t.split() if w[0].isupper())) else [])
+    want = plain_clusters([(i, h, tokens(t), names(t), frozenset(p)) for i, t, h, p in rows])
+    first = {r["cluster_id"]: r["article_id"] for r in got if r["position"] == 0}
+    assert {r["article_id"]: (first[r["cluster_id"]], round(r["confidence"], 6), r["matched_article_id"], r["is_canonical"]) for r in got} == want
+    assert 10 < len(first) < 120

@@ -53,3 +53,49 @@ def same_story_context() -> Column:
         _assessment(never, none, F.lit(None).cast("double"), "model_analysis", "Framing was not assessed.").alias("framing"),
         _assessment(never, none, F.lit(None).cast("double"), "model_analysis", "Tone was not assessed.").alias("tone"),
     )
+
+
+# Fields of assessments as stored, and what stands for a market that older rows don't have.
+_ASSESSED = "struct<status:string,value:string,confidence:double,method:string,evidence:array<string>,reason:string>"
+_MARKET = (
+    "struct<status:string,value:struct<regionCode:string,label:string,coordinates:struct<latitude:double,longitude:double>>,confidence:double,method:string,"
+    "evidence:array<struct<kind:string,url:string,quote:string,articleId:string>>,reason:string>"
+)
+SAME_STORY = f"publisherOrigin {_ASSESSED}, editorialMarket {_MARKET}, framing {_ASSESSED}, tone {_ASSESSED}"
+LEGACY_REASON = "Legacy row has no verified primary editorial-market assessment; superseded fields are not reinterpreted."
+LEGACY_COLUMNS = ("publisher_origin_country", "audience_region_code")
+
+
+def parsed_articles(rows: DataFrame, column: str = "same_story_json") -> DataFrame:
+    """Stored articles with same_story, parsed from their JSON, and same_story_error, which is null where it is as it should be; without the legacy columns.
+
+    A row without a market is an older one, whose market is unknown; one that breaks a rule has an error and no same_story. Errors: invalid_json, not_an_object, invalid_ and the field,
+    inconsistent_editorialMarket where the evidence isn't of the kinds that the method needs.
+    """
+    text = F.col(column)
+    tree = F.try_parse_json(text)
+    x = F.from_json(text, SAME_STORY)
+    unsaid = lambda c: c.isNull() | (F.trim(c) == "")
+    no = F.lit(False)
+    known = lambda c: F.coalesce(c.isin("observed", "unknown"), no)
+    legacy = F.try_variant_get(tree, "$.editorialMarket", "variant").isNull()
+    m = x["editorialMarket"]
+    place = m["value"]["coordinates"]
+    item_ok = lambda e: F.coalesce(e["kind"].isin("outlet_market_documentation", "outlet_language", "publisher_location") & e["url"].rlike("(?i)^https?://") & ~unsaid(e["quote"]) & (e["articleId"].isNull() | (F.trim(e["articleId"]) != "")), no)
+    unknown_ok = m["value"].isNull() & m["confidence"].isNull() & (m["method"] == "unavailable") & (F.size(m["evidence"]) == 0) & ~unsaid(m["reason"])
+    seen_ok = (
+        ~unsaid(m["value"]["regionCode"]) & ~unsaid(m["value"]["label"]) & (place.isNull() | (place["latitude"].between(-90, 90) & place["longitude"].between(-180, 180))) & m["confidence"].between(0, 1)
+        & m["method"].isin("documented_outlet_market", "language_and_publisher_location", "manual_confirmed") & (F.size(m["evidence"]) > 0) & F.forall(m["evidence"], item_ok) & m["reason"].isNull()
+    )
+    kinds = F.transform(m["evidence"], lambda e: e["kind"])
+    has = lambda k: F.coalesce(F.array_contains(kinds, k), no)
+    consistent = F.when(m["method"] == "language_and_publisher_location", has("outlet_language") & has("publisher_location")).otherwise(has("outlet_market_documentation"))
+    error = F.when(text.isNull() | tree.isNull(), "invalid_json").when(~F.schema_of_variant(tree).startswith("OBJECT"), "not_an_object")
+    for field in ("publisherOrigin", "framing", "tone"):
+        error = error.when(~known(x[field]["status"]) | x[field]["evidence"].isNull(), f"invalid_{field}")
+    error = error.when(~legacy & (~known(m["status"]) | ~F.coalesce(F.when(m["status"] == "unknown", unknown_ok).otherwise(seen_ok), no)), "invalid_editorialMarket")
+    error = error.when(~legacy & (m["status"] == "observed") & ~consistent, "inconsistent_editorialMarket")
+    older = F.from_json(F.lit(f'{{"status": "unknown", "method": "unavailable", "evidence": [], "reason": "{LEGACY_REASON}"}}'), _MARKET)
+    own = rows.withColumn("same_story_error", error)
+    good = F.col("same_story_error").isNull()
+    return own.withColumn("same_story", F.when(good, F.when(legacy, x.withField("editorialMarket", older)).otherwise(x))).drop(column, *LEGACY_COLUMNS)

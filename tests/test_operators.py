@@ -263,3 +263,23 @@ def test_greedy_clusters_are_as_one_after_another(spark):
     first = {r["cluster_id"]: r["article_id"] for r in got if r["position"] == 0}
     assert {r["article_id"]: (first[r["cluster_id"]], round(r["confidence"], 6), r["matched_article_id"], r["is_canonical"]) for r in got} == want
     assert 10 < len(first) < 120
+
+
+def test_stored_contexts_are_parsed_or_refused(spark):
+    import json
+
+    plain = {"status": "unknown", "value": None, "confidence": None, "method": "unavailable", "evidence": [], "reason": "none"}
+    item = {"kind": "outlet_market_documentation", "url": "https://h.example", "quote": "q"}
+    market = {"status": "observed", "value": {"regionCode": "R", "label": "L", "coordinates": {"latitude": 1, "longitude": 2}}, "confidence": 0.9, "method": "documented_outlet_market", "evidence": [item], "reason": None}
+    whole = {"publisherOrigin": plain, "framing": plain, "tone": plain}
+    cases = {
+        "ok": {**whole, "editorialMarket": market}, "older": whole, "unknown": {**whole, "editorialMarket": plain},
+        "invalid_json": "{", "not_an_object": [1], "invalid_tone": {**whole, "tone": {"status": "odd"}},
+        "invalid_editorialMarket": {**whole, "editorialMarket": {**market, "confidence": 2}}, "inconsistent_editorialMarket": {**whole, "editorialMarket": {**market, "method": "language_and_publisher_location"}},
+    }
+    rows = [(k, v if isinstance(v, str) else json.dumps(v), "FR") for k, v in cases.items()] + [("null", None, "FR"), ("none", json.dumps({**whole, "editorialMarket": None}), "FR")]
+    own = registry.parsed_articles(spark.createDataFrame(rows, "article_id string, same_story_json string, audience_region_code string"))
+    assert own.columns == ["article_id", "same_story_error", "same_story"]
+    got = {r["article_id"]: r for r in own.collect()}
+    assert {k: r["same_story_error"] for k, r in got.items()} == {k: None if k in ("ok", "older", "unknown") else k for k in cases} | {"null": "invalid_json", "none": "invalid_editorialMarket"}
+    assert got["ok"]["same_story"]["editorialMarket"]["value"]["regionCode"] == "R" and got["older"]["same_story"]["editorialMarket"]["reason"] == registry.LEGACY_REASON and got["not_an_object"]["same_story"] is None

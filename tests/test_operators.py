@@ -283,3 +283,18 @@ def test_stored_contexts_are_parsed_or_refused(spark):
     got = {r["article_id"]: r for r in own.collect()}
     assert {k: r["same_story_error"] for k, r in got.items()} == {k: None if k in ("ok", "older", "unknown") else k for k in cases} | {"null": "invalid_json", "none": "invalid_editorialMarket"}
     assert got["ok"]["same_story"]["editorialMarket"]["value"]["regionCode"] == "R" and got["older"]["same_story"]["editorialMarket"]["reason"] == registry.LEGACY_REASON and got["not_an_object"]["same_story"] is None
+
+
+def test_enrichment_takes_independent_results_and_says_why_not(spark):
+    clusters = spark.createDataFrame([("c", "Tokyo quake shakes towers", 0)], "cluster_id string, title string, ord int")
+    articles = spark.createDataFrame([("c", "a0", "Tokyo quake shakes towers", None, T0, 0, "https://zero.example/0", "zero.example")], "cluster_id string, article_id string, title string, summary string, at timestamp, ord int, canonical_url string, domain string")
+    searches = spark.createDataFrame([("s", "Tokyo quake shakes towers"), ("n", "Parrots of Lima")], "search_id string, query string")
+    title = "Quake shakes Tokyo towers again"
+    found = [("s", "r1", "https://one.example/1", title, 0.9), ("s", "r2", "https://one.example/2", title, 0.8), ("s", "r3", "https://zero.example/0", title, 0.85), ("s", "r4", "https://two.example/4", title, 0.3), ("s", "r5", "nothing", title, 0.9),
+             ("s", "r6", "https://six.example/6", title, 0.9), ("s", "r7", "https://seven.example/7", "Parrots", 0.7), ("n", "r8", "https://eight.example/8", "Parrots of Lima", 0.9)]
+    results = spark.createDataFrame([(s, i, u, t, None, x, T0) for s, i, u, t, x in found], "search_id string, article_id string, url string, title string, summary string, score double, at timestamp")
+    contents = spark.createDataFrame([(u, "x" * 600) for _, i, u, _, _ in found if i != "r6"], "url string, raw_content string")
+    accepted, rejected = enrich.enriched(searches, results, clusters, articles, contents)
+    assert [(r["article_id"], r["matched_article_id"]) for r in accepted.collect()] == [("r1", "a0")]
+    R = enrich.REASONS
+    assert {r["article_id"]: r["reason"] for r in rejected.collect()} == {"r2": R[5], "r3": R[4], "r4": R[1], "r5": R[2], "r6": R[3], "r7": R[6], "r8": R[0]}

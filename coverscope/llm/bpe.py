@@ -7,7 +7,7 @@ import hashlib
 import heapq
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import as_texts
+from coverscope.llm.common import SLICE_ROWS, as_texts
 
 #: Words whose ids a worker keeps, and bytes of texts that it replays at once.
-KEPT_WORDS, REPLAYED_BYTES = 250_000, 8_000_000
+KEPT_WORDS, REPLAYED_BYTES = 150_000, 4_000_000
 
 
 class Vocabulary:
@@ -164,7 +164,7 @@ class Encoder:
             yield [x for i in each for x in ids[i]]
 
 
-def _portions(texts: list[str]) -> Iterator[list[str]]:
+def _portions(texts: Iterable[str]) -> Iterator[list[str]]:
     """Texts of about REPLAYED_BYTES together, at least one at a time."""
     some: list[str] = []
     size = 0
@@ -183,10 +183,11 @@ def encoded(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "
 
     Each match of the pattern in the whole text is encoded separately, without special tokens; the ids are then decoded.
     ids_sha256 is of decimal ids joined by commas, decoded_sha256 of the decoded bytes, both in lower-case hex. A null text counts as empty, which has
-    no tokens and decodes to nothing. Repeated rows each come back, as do rows with a null id; other columns aren't read; an empty table
+    no tokens and decodes to nothing; texts are taken whole, however long. Repeated rows each come back, as do rows with a null id; other columns aren't read; an empty table
     gives no rows. vocabulary_path names a file that the driver reads; executors get its contents, whose size doesn't depend on docs.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((*Vocabulary.read(vocabulary_path), pattern))
+    # A worker process builds its vocabulary once, and keeps it at the end of what it was sent.
+    sent = docs.sparkSession.sparkContext.broadcast([*Vocabulary.read(vocabulary_path), pattern])
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * ids]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -194,9 +195,13 @@ def encoded(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(Vocabulary(*sent.value))
+            if len(sent.value) == 3:
+                sent.value.append(Vocabulary(*sent.value))
+            encoder = encoder or Encoder(sent.value[3])
             keys, at = batch.column(0), 0
-            for some in _portions(as_texts(batch.column(1))):
+            # Texts become objects a portion at a time.
+            slices = (batch.column(1).slice(i, SLICE_ROWS) for i in range(0, batch.num_rows, SLICE_ROWS))
+            for some in _portions(x for part in slices for x in as_texts(part)):
                 rows = []
                 for got in encoder.encode(some):
                     decoded = hashlib.sha256(encoder.vocabulary.decode(got)).hexdigest()
@@ -204,6 +209,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(some)), *columns], names=names)
                 at += len(some)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -29,6 +29,7 @@ def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[s
             for at in range(0, batch.num_rows, rows):
                 out = fn(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], type=t) if not isinstance(out[c], pa.Array) else out[c] for c, t in columns], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     assert [x.split()[0] for x in schema.split(",")] == names
     return df.mapInArrow(run, schema)

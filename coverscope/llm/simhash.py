@@ -26,6 +26,8 @@ SALTS = 32
 WIDE_SHINGLE, WIDE_BITS, ALIKE, SURE_DISTANCE, WIDE_DISTANCE = 5, 1024, 0.8, 105, 201
 #: Shingles of a text up to which its fingerprint is too coarse to tell, so that its pairs are all compared by their shingles.
 FEW = 64
+#: Rows (of 16 bytes) up to which those that go are sent to all tasks; beyond, they are joined by shuffling.
+BROADCAST_ROWS = 500_000
 #: Members of a block's group that are written as pairs; larger groups are compared by chunks.
 PAIRED = 32
 #: Shingles that many texts share come last in the order of blocks: those that FREQUENT texts of one in SAMPLE have in theirs, MOST at most.
@@ -160,11 +162,10 @@ def chunk_links(shared: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, sizes = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
-            words = np.frombuffer(b"".join(batch.column(2).flatten().to_pylist()), np.uint64).reshape(len(flat), -1)
-            cuts = (np.asarray(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()).tolist()
-            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from _near_in_group(flat[at:to], sizes[at:to], words[at:to])
+            for i in range(batch.num_rows):
+                nodes, sizes, sigs = (batch.column(k)[i].values for k in range(3))
+                yield from _near_in_group(nodes.to_numpy(), sizes.to_numpy(), np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(len(nodes), -1))
+        pa.default_memory_pool().release_unused()
 
     return groups.mapInArrow(links, "u long, v long, sure boolean")
 
@@ -272,26 +273,25 @@ def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFra
 
     Blocks' groups give pairs that may be near by their fingerprints; those that are near beyond doubt are links, the others are compared by their shingles.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("size").alias("z"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = settle(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
     sigs = nodes.select("node", "size", "sig")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            flat, sizes = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             cuts = np.asarray(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()
             lengths = np.diff(cuts)
             for n in np.unique(lengths).tolist():
-                at = cuts[:-1][lengths == n][:, None] + np.arange(n)
+                members = flat[cuts[:-1][lengths == n][:, None] + np.arange(n)]
                 i, j = np.triu_indices(n, 1)
-                a, b, x, y = flat[at][:, i].ravel(), flat[at][:, j].ravel(), sizes[at][:, i].ravel(), sizes[at][:, j].ravel()
-                ok = 5 * np.minimum(x, y) >= 4 * np.maximum(x, y)
-                us.append(np.minimum(a, b)[ok])
-                vs.append(np.maximum(a, b)[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                us.append(members[:, i].ravel())
+                vs.append(members[:, j].ravel())
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    small = shared.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("node", "z")).alias("x")).select(F.col("x.node").alias("nodes"), F.col("x.z").alias("sizes"))
+    small = shared.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("node").alias("nodes")).select("nodes")
     pairs = small.mapInArrow(paired, "u long, v long").distinct()
     of = lambda c: sigs.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"))
     pairs = pairs.join(of("u"), "u").join(of("v"), "v")
@@ -300,11 +300,12 @@ def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFra
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("u_sig", "v_sig"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            few = np.minimum(batch.column("u_size").to_numpy(), batch.column("v_size").to_numpy()) <= FEW
-            sure = (apart <= SURE_DISTANCE) & ~few
-            keep = pa.array(few | (apart <= WIDE_DISTANCE))
+            small, large = (f(batch.column("u_size").to_numpy(), batch.column("v_size").to_numpy()) for f in (np.minimum, np.maximum))
+            sure = (apart <= SURE_DISTANCE) & (small > FEW)
+            keep = pa.array((5 * small >= 4 * large) & ((small <= FEW) | (apart <= WIDE_DISTANCE)))
             out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure)], names=["u", "v", "sure"])
             yield out.filter(keep)
+        pa.default_memory_pool().release_unused()
 
     found = pairs.mapInArrow(judged, "u long, v long, sure boolean")
     large = shared.where(F.col("n") > PAIRED).select("key", "node", "n")
@@ -332,6 +333,7 @@ def _alike(source: DataFrame, wide: DataFrame, pairs: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(5 * both >= 4 * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     both = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
@@ -380,10 +382,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     near = _near(docs, id_col, text_col).where("doc_id is not null")
     keep = near.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key").distinct()
-    again = near.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_key")
-    known = docs.where(F.col(id_col).isNotNull())
+    counted = near.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    marked = settle(counted.join(keep.withColumn("keep", F.lit(True)), ["doc_id", "text_key"], "left").where("keep is null or n > 1"))
+    # Rows that go, and rows that stay once; few beside the documents, and sent to all where they are few by count.
+    gone, again = marked.select("doc_id", "text_key"), marked.where("keep").select("doc_id", "text_key")
+    if marked.count() <= BROADCAST_ROWS:
+        gone, again = F.broadcast(gone), F.broadcast(again)
     id_of, key_of = F.col(f"d.{id_col}").cast("long"), F.xxhash64(F.coalesce(F.col(f"d.{text_col}").cast("string"), F.lit("")))
     matches = (id_of == F.col("k.doc_id")) & (key_of == F.col("k.text_key"))
-    kept = known.alias("d").join(keep.join(again, ["doc_id", "text_key"], "left_anti").alias("k"), matches, "left_semi")
-    repeated = known.alias("d").join(keep.join(again, ["doc_id", "text_key"], "left_semi").alias("k"), matches, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = docs.alias("d").join(gone.alias("k"), matches, "left_anti")
+    return kept.unionByName(docs.alias("d").join(again.alias("k"), matches, "left_semi").dropDuplicates([id_col, text_col]))

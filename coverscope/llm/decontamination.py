@@ -72,11 +72,10 @@ def _windows(hashes: Column, size: int) -> Column:
 
 
 def _rows(text: Column, sizes: list[int]) -> Column:
-    """For each place of a text its slot or null, and the hash of the window of each size that begins there or null."""
-    slots = lambda t: F.transform(t, lambda x: F.when(_is_slot(x), x))
+    """For each place of a text the hash of the window of each size that begins there, or null."""
     none = F.array().cast("array<bigint>")
     windows = lambda h, n: _windows(h, n) if n >= LEAST_WORDS else F.when(F.size(h) == n, _windows(h, n)).otherwise(none)
-    return _let(marked_tokens(text), lambda t: _let(_hashes(t), lambda h: F.arrays_zip(slots(t), *[windows(h, n) for n in sizes])))
+    return _let(_hashes(marked_tokens(text)), lambda h: F.arrays_zip(*[windows(h, n).alias(str(i)) for i, n in enumerate(sizes)]))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -118,13 +117,13 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         known = F.broadcast(known)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("text_key"), F.posexplode(_rows(text, sizes)).alias("pos", "x"))
-    rows = rows.select("text_key", "pos", F.col("x")["0"].alias("slot"), F.array(*[F.col("x")[str(i + 1)] for i in range(len(sizes))]).alias("hs"))
-    rows = rows.select("text_key", "pos", "slot", F.explode("hs").alias("h")) if len(sizes) > 1 else rows.select("text_key", "pos", "slot", F.col("hs")[0].alias("h"))
-    # A place without a window has a hash that meets none, and its own, so that such rows don't meet in one task.
-    rows = rows.where("h is not null or slot is not null").withColumn("h", F.coalesce("h", F.xxhash64("text_key", "pos", F.lit("none"))))
-    kept = rows.join(known, "h", "left").where("item_id is not null or slot is not null").drop("h").distinct()
-    kept = settle(kept)
-    hits = kept.where("item_id is not null")
+    rows = rows.select("text_key", "pos", F.explode(F.array(*[F.col("x")[str(i)] for i in range(len(sizes))])).alias("h")) if len(sizes) > 1 else rows.select("text_key", "pos", F.col("x")["0"].alias("h"))
+    hits = settle(rows.where("h is not null").join(known, "h").drop("h").distinct())
+    # The slots of the texts that have windows of items, which are few beside all texts.
+    held = hits.select("text_key").distinct()
+    held = F.broadcast(held) if held.count() <= BROADCAST_WINDOWS else held
+    slots = F.transform(marked_tokens(F.col("text")), lambda x: F.when(_is_slot(x), x))
+    values = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(held, "text_key", "left_semi").select("text_key", F.posexplode(slots).alias("pos", "slot")).where("slot is not null").distinct()
     words = lambda w: F.sequence(w["ipos"], w["ipos"] + w["size"] - 1)
     cover = lambda ws: F.array_distinct(F.flatten(F.transform(ws, words)))
     # Windows of one shift, and those of up to SHIFT shifts that follow each other. An alignment has at most SHIFT + 1 times as many as its item.
@@ -138,7 +137,6 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     at = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(words(w), lambda i: F.struct(i.alias("ipos"), w["delta"].alias("delta"))))))
     places = aligned.select("text_key", "item_id", "g", F.explode(at).alias("x")).select("text_key", "item_id", "g", "x.ipos", "x.delta")
     places = places.join(F.broadcast(item_slots) if sum(r["n"] for r in found) <= BROADCAST_WINDOWS else item_slots, ["item_id", "ipos"])
-    values = kept.where("slot is not null").select("text_key", "pos", "slot").distinct()
     filled = places.withColumn("pos", F.col("ipos") + F.col("delta")).join(values, ["text_key", "pos"])
     # A name at an end of the item may have run together with one beside it.
     beside = ((F.col("ipos") == 0) & F.col("slot").endswith(F.concat(F.lit(JOINED), "value"))) | ((F.col("ipos") == F.col("n") - 1) & F.col("slot").startswith(F.concat("value", F.lit(JOINED))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverscope.functions import numbers as N
@@ -711,8 +711,8 @@ def nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heat_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = A.table(spark, sf_dir, "documents")
     per = own.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # one row for each outlet
-    return per.withColumn("s", share).select("source", "n", F.round(N.heat_weight(F.col("n"), True), 9).alias("raw_weight"), F.round(N.heat_weight(F.col("s"), False), 9).alias("share_weight"))
+    every = own.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return per.crossJoin(every).withColumn("s", F.col("n") / F.col("total")).select("source", "n", F.round(N.heat_weight(F.col("n"), True), 9).alias("raw_weight"), F.round(N.heat_weight(F.col("s"), False), 9).alias("share_weight"))
 
 
 @query("select time_bucket(interval 60 minutes, ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n from events group by all")

@@ -17,10 +17,28 @@ LIMIT, WINDOW = 120, "60 seconds"
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 3) -> DataFrame:
-    """Landed Parquet files as a stream; three files are a batch."""
+    """Landed Parquet files as a stream, some at a time; coherent puts the files of a batch together."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def coherent(each: Callable[[DataFrame, int], None], pending: str, parts: int = 3) -> Callable[[DataFrame, int], None]:
+    """Passes on whole batches: the rows of each batch_id once all its `parts` kinds have come, in whatever triggers.
+
+    Rows have batch_id and kind. They wait in the folder `pending`, by batch and kind, so that a replay writes the same again and passes on the same batches; `each` must bear that.
+    """
+
+    def handle(batch: DataFrame, n: int) -> None:
+        if batch.isEmpty():
+            return
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "kind").parquet(pending)
+        here = batch.sparkSession.read.schema(batch.schema).parquet(pending)
+        come = here.join(batch.select("batch_id").distinct(), "batch_id", "left_semi")
+        whole = come.groupBy("batch_id").agg(F.countDistinct("kind").alias("kinds")).where(F.col("kinds") == parts).select("batch_id")
+        each(come.join(whole, "batch_id", "left_semi").select(*batch.columns), n)
+
+    return handle
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Handles what has come since the last time, then stops; a batch that was begun is done again from its start."""
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

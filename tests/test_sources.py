@@ -205,3 +205,14 @@ def test_first_rows_of_each_file(spark, tmp_path):
         assert sorted(r["value"] for r in kept.collect()) == ["a0", "a1", "a2", "b0", "b1", "b2"] and own.where(more).count() == 1999
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_batches_are_passed_on_when_they_are_whole(spark, tmp_path):
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    schema = "batch_id string, kind string, run_id string, n int"
+    for at, rows in enumerate(([("20260827060000", "events", "r1", 1), ("20260827061500", "events", "r2", 5)], [("20260827060000", "mentions", "r1", 2)], [("20260827060000", "documents", "r1", 3)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = micro_batch.read_stream(spark, str(source), spark.createDataFrame([], schema).schema, 1)
+        micro_batch.run_available(stream, str(tmp_path / "c"), micro_batch.coherent(micro_batch.idempotent_write(sink), str(tmp_path / "pending"))).awaitTermination()
+        written = spark.read.parquet(sink) if at == 2 else None
+    assert sorted((r["batch_id"], r["kind"], r["n"]) for r in written.collect()) == [("20260827060000", "documents", 3), ("20260827060000", "events", 1), ("20260827060000", "mentions", 2)]

@@ -12,7 +12,7 @@ from coverscope.queries import QUERIES
 
 HEADLINE = (
     "gated_join", "regional_prominence", "dedupe_mentions", "top_clusters", "primary_location", "story_list_region", "story_detail_nested", "pipeline_health", "rolling_window_24h",
-    "rate_limit_windows", "market_heat", "conflict_pairs", "framing", "region_rollup", "stable_ids", "canonical_urls", "title_jaccard", "validation_issues", "pair_scores", "greedy_clusters", "merge_components", "gazetteer_matches", "compose_snapshots", "intelligence_regions",
+    "rate_limit_windows", "market_heat", "conflict_pairs", "framing", "region_rollup", "stable_ids", "canonical_urls", "title_jaccard", "validation_issues", "merge_components", "compose_snapshots", "intelligence_regions",
 )
 
 

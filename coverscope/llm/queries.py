@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import bpe, chat, decontamination, lm, minhash, secrets, simhash, toxicity, url_filter, wrappers
+from coverscope.llm import alignment, bpe, chat, decontamination, lm, minhash, secrets, simhash, toxicity, url_filter, wrappers
 from coverscope.llm.common import table
 
 
@@ -137,6 +137,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
@@ -148,5 +154,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_rotation": op9_chat_rotation,
     "op10_lm_scores": op10_lm_scores,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op9_chat_rotation": OP9_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm import alignment, bpe, chat, decontamination, lm, minhash, secrets, simhash, toxicity, url_filter, wrappers
+from coverscope.llm import alignment, bpe, centroids, chat, decontamination, langid, lm, minhash, secrets, simhash, toxicity, url_filter, wrappers
 from coverscope.llm.common import table
 
 
@@ -137,12 +137,44 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256) -> str:
+    """Every vector against every centroid, round by round."""
+    steps = [
+        f"""kept as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v
+  from embeddings where len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dim})""",
+        f"""c0 as materialized (
+  select row_number() over (order by h, v) - 1 as k, v as c from (select sha256('2:' || vec_id) as h, v from kept order by h, v limit {k}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+  select r, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': d, 'k': k}}) as near
+  from (select r, vec_id, v, k, list_sum(list_transform(range(1, {dim + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint as d from kept, c{i}) group by r)""")
+        if i < rounds:
+            steps.append(f"""s{i} as (
+  select near.k as k, i, sum(v[i])::bigint as s, count(*) as n from a{i}, range(1, {dim + 1}) as t(i) group by 1, 2),
+c{i + 1} as materialized (
+  select c.k, coalesce(m.c, c.c) as c from c{i} c left join (select k, list((s - ((s % n) + n) % n) // n order by i) as c from s{i} group by k) m using (k))""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, near.k::int as cluster, near.d as distance, (sum(near.d) over (partition by near.k))::bigint as cluster_inertia, (sum(near.d) over ())::bigint as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on near.k = c{rounds}.k"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_minhash_fingerprints": op2_minhash_fingerprints,
@@ -154,6 +186,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_chat_rotation": op9_chat_rotation,
     "op10_lm_scores": op10_lm_scores,
+    "op11_language_spans": op11_language_spans,
     "op12_token_alignment": op12_token_alignment,
+    "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op9_chat_rotation": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op9_chat_rotation": OP9_SQL, "op13_dual_tree_lloyd": op13_sql()}

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.functions import numbers as N
 from coverscope.functions import text as X
-from coverscope.operators.components import connected_components
+from coverscope.operators.components import LOCAL_LINKS, connected_components
 from coverscope.runtime import first_by, settle
 
 THRESHOLD, SLACK = 0.5, 0.08
@@ -42,9 +43,8 @@ def bounds(threshold: float = THRESHOLD, places: bool = True, time: float = 1.0,
     return title, entities
 
 
-def candidate_pairs(items: DataFrame, key: str, tokens: str, least: float, buckets: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: pairs whose token sets may have a Jaccard similarity of `least` or more; none that has is left out. With buckets (key, bucket), only pairs
-    that have buckets which are equal or next to each other, so that a word which many have is many keys.
+def candidate_pairs(items: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
+    """(a, b), a < b: pairs whose token sets may have a Jaccard similarity of `least` or more; none that has is left out.
 
     Prefix filtering: each set's tokens are put in order of how rare they are, and only as many of the rarest are joined on as two such
     sets must share one of. Equal sets are one class, linked as a chain from its least member, so that copies aren't paired with one another.
@@ -57,27 +57,15 @@ def candidate_pairs(items: DataFrame, key: str, tokens: str, least: float, bucke
     ordered = words.join(ranks, "w").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
     keys = ordered.select("c", "n", F.explode(prefix).alias("p")).select("c", "n", F.col("p.w").alias("w"))
-    other, same = keys, F.col("l.w") == F.col("r.w")
-    if buckets is not None:
-        of = sized.select("c", "k").join(buckets.withColumnRenamed(key, "k"), "k").select("c", "bucket").distinct()
-        keys = keys.join(of, "c")
-        other, same = keys.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)]))), same & (F.col("l.bucket") == F.col("r.bucket"))
-    left, right = keys.alias("l"), other.alias("r")
+    left, right = keys.alias("l"), keys.alias("r")
     # Sizes too far apart can't be alike.
     near = (F.col("l.c") < F.col("r.c")) & (F.col("l.n") >= F.col("r.n") * least - 1e-9) & (F.col("r.n") >= F.col("l.n") * least - 1e-9)
-    pairs = left.join(right, same & near).select(F.col("l.c").alias("x"), F.col("r.c").alias("y")).distinct()
+    pairs = left.join(right, (F.col("l.w") == F.col("r.w")) & near).select(F.col("l.c").alias("x"), F.col("r.c").alias("y")).distinct()
     named = classes.select("c", "k")
     between = pairs.join(named.withColumnsRenamed({"c": "x", "k": "ka"}), "x").join(named.withColumnsRenamed({"c": "y", "k": "kb"}), "y")
     return between.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
 
 
-def classes_of(items: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, representative): the least key that has the same token set."""
-    sized = items.select(F.col(key).alias("k"), F.xxhash64(F.array_sort(F.array_distinct(tokens))).alias("c"))
-    least = sized.groupBy("c").agg(F.min("k").alias("representative"))
-    return sized.join(least, "c").select(F.col("k").alias(key), "representative")
-
-
 def _profile(articles: DataFrame, extractor: Callable[[Column, Column], Column]) -> DataFrame:
     where = F.col("location_ids") if "location_ids" in articles.columns else F.array().cast("array<string>")
     summary = F.col("summary") if "summary" in articles.columns else F.lit(None).cast("string")
@@ -94,25 +82,34 @@ def _variants(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _near_variants(own: DataFrame, variants: DataFrame, members: DataFrame, threshold: float, semantic: bool) -> DataFrame:
-    """(va, vb), va <= vb: pairs of variants of which articles can reach the threshold, whatever their places and their semantic similarity are.
+    """(va, vb), va < vb: pairs of variants of which articles can reach the threshold, whatever their places and their semantic similarity are.
 
-    Words are joined within buckets of time, FAR hours wide, where articles that are near in time need little in common, and without buckets where more is needed
-    as they are further apart. Articles without a time are of every bucket's second kind, at the bound that needs no time.
+    Prefix filtering of title words and of names at once: a set's words are put in order of how rare they are, and as many of the rarest are joined on as two sets that are alike enough must share
+    one of. Words are joined within buckets of time, FAR hours wide, where articles that are near in time need little in common, and without buckets where more is needed
+    as they are further apart. Articles without a time are of the second kind alone, at the bound that needs no time.
     """
     places = own.where(F.size("places") > 0).limit(1).count() > 0
-    buckets = members.where("at is not null").select("v", F.floor(F.col("at") / F.lit(FAR * 3_600_000_000)).alias("bucket")).distinct()
     near, far = bounds(threshold, places, 1.0, semantic), bounds(threshold, places, math.exp(-FAR / 36), semantic)
-    found = []
-    for i, tokens in enumerate(("tokens", "names")):
-        items = variants.where(F.size(tokens) > 0)
-        classes = settle(classes_of(items, "v", tokens))
-        held = classes.select("v", F.col("representative").alias("r"))
-        own_buckets = buckets.join(held, "v").select(F.col("r").alias("v"), "bucket").distinct()
-        reps = items.join(held.where("v = r").select("v"), "v", "left_semi")
-        pairs = candidate_pairs(reps, "v", tokens, near[i], own_buckets).unionAll(candidate_pairs(reps, "v", tokens, far[i])).unionAll(held.where("v = r").select(F.col("v").alias("a"), F.col("v").alias("b"))).distinct()
-        x, y = held.select(F.col("v").alias("va"), F.col("r").alias("a")), held.select(F.col("v").alias("vb"), F.col("r").alias("b"))
-        found.append(pairs.join(x, "a").join(y, "b").select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb")))
-    pairs = found[0].unionAll(found[1]).distinct()
+    # A variant has a bucket for each FAR hours in which it has articles.
+    lived = members.where("at is not null").groupBy("v").agg(F.collect_set(F.floor(F.col("at") / F.lit(FAR * 3_600_000_000))).alias("buckets"))
+    sets = variants.select("v", F.posexplode(F.array("tokens", "names")).alias("part", "t"))
+    words = sets.select("v", "part", F.size("t").alias("n"), F.explode("t").alias("w"))
+    ranks = words.groupBy("part", "w").agg(F.count(F.lit(1)).alias("df"))
+    ordered = words.join(ranks, ["part", "w"]).groupBy("v", "part", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))  # a title's words
+
+    def keys(rows: DataFrame, least: tuple[float, float], bucket: Column) -> DataFrame:
+        own = rows.withColumn("least", F.when(F.col("part") == 0, least[0]).otherwise(least[1])).withColumn("bucket", bucket)
+        prefix = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.col("least") - 1e-9).cast("int") + 1)
+        return own.select("v", "part", "n", "least", "bucket", F.explode(prefix).alias("p")).select("v", "part", "n", "least", "bucket", F.col("p.w").alias("w"))
+
+    any_time = F.lit(-(1 << 60)).cast("long")
+    left = keys(ordered.join(lived, "v"), near, F.explode("buckets")).unionAll(keys(ordered, far, any_time))
+    beside = F.when(F.col("bucket") == any_time, F.array(any_time)).otherwise(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)]))
+    l, r = left.alias("l"), left.withColumn("bucket", F.explode(beside)).alias("r")  # noqa: E741
+    same = (F.col("l.part") == F.col("r.part")) & (F.col("l.w") == F.col("r.w")) & (F.col("l.bucket") == F.col("r.bucket"))
+    # Sizes too far apart can't be alike.
+    near_size = (F.col("l.v") < F.col("r.v")) & (F.col("l.n") >= F.col("r.n") * F.col("l.least") - 1e-9) & (F.col("r.n") >= F.col("l.n") * F.col("l.least") - 1e-9)
+    pairs = l.join(r, same & near_size).select(F.col("l.v").alias("va"), F.col("r.v").alias("vb")).distinct()
     l, r = variants.alias("l"), variants.alias("r")  # noqa: E741
     both = pairs.join(l, F.col("va") == F.col("l.v")).join(r, F.col("vb") == F.col("r.v"))
     # Of two variants' articles none are nearer in time than their first and last ones allow. A part that is missing or less than 1 doesn't raise a
@@ -128,7 +125,8 @@ def _near_variants(own: DataFrame, variants: DataFrame, members: DataFrame, thre
 def _reaching(own: DataFrame, threshold: float, semantic: bool) -> DataFrame:
     """(a, b), a < b: all pairs of articles whose words reach the threshold if what isn't known is at most."""
     variants, members = _variants(own)
-    pairs = _near_variants(own, variants, members, threshold, semantic)
+    worded = variants.where((F.size("tokens") > 0) | (F.size("names") > 0)).select(F.col("v").alias("va"), F.col("v").alias("vb"))
+    pairs = _near_variants(own, variants, members, threshold, semantic).unionAll(worded)
     x, y = members.select(F.col("article_id").alias("x"), F.col("v").alias("va")), members.select(F.col("article_id").alias("y"), F.col("v").alias("vb"))
     found = pairs.join(x, "va").join(y, "vb").where((F.col("va") != F.col("vb")) | (F.col("x") < F.col("y")))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -160,32 +158,101 @@ def clusters_of(articles: DataFrame, threshold: float = THRESHOLD, extractor: Ca
     """(cluster_id, article_id, position, confidence, matched_article_id, average, is_canonical): greedy groups in order of time.
 
     An article joins the group where its best match reaches the threshold and its mean does too, less SLACK; the first of equal ones (to 12 digits); else it begins
-    one. As it needs a match at the threshold, groups lie within components of the variants of which articles can reach it, at the times that they have; the greedy
-    order is kept within each, which is a task's work (Greedy). A story's articles are such a component.
+    one. As it needs a match at the threshold, groups lie within components of the variants of which articles can reach it, at the times that they have.
+
+    Each component's articles pass by in order of time, with the links of their variants from when both have come (Groups); what is kept of an article is its time and its place. Nothing else of a
+    component is in memory, so its size doesn't matter, but its order is one task's work. A second pass, backwards over each cluster, completes the means that tell its canonical article.
     """
     own = settle(_profile(earliest_of_url(articles), extractor))
     variants, members = _variants(own)
-    pairs = _near_variants(own, variants, members, threshold, False)
-    labels = connected_components(pairs.where("va <> vb").select(F.col("va").alias("u"), F.col("vb").alias("v")))
-    known = members.select("article_id", "v").join(labels.withColumnsRenamed({"node": "v", "label": "component"}), "v", "left").select("article_id", F.coalesce("component", "v").alias("component"))
-    rows = own.select("article_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.array_sort("tokens").alias("tokens"), F.array_sort("names").alias("names"), F.array_sort("places").alias("places")).join(known, "article_id")
-    schema = "cluster_first string, article_id string, position int, confidence double, matched_article_id string, average double, is_canonical boolean"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(Greedy(threshold).clusters(frame.sort_values(["at", "article_id"])), columns=[x.split()[0] for x in schema.split(", ")])
-
-    found = rows.groupBy("component").applyInPandas(run, schema)
-    named = found.groupBy("cluster_first").agg(X.stable_id("cluster", F.array_join(F.array_sort(F.collect_list("article_id")), "|")).alias("cluster_id"))
-    return found.join(named, "cluster_first").select("cluster_id", "article_id", "position", "confidence", "matched_article_id", "average", "is_canonical")
-
-
-class Greedy:
-    """Groups of articles that come in order of time, by what is told of each kind of them (words, names, places) instead of each of them.
-
-    Two articles differ from two others of their kinds in time alone. As articles come in order, a kind's best match in a group is its last one, or the first one
-    that is as good, and its sum of time similarities, of exp(-hours / 36), fades by one factor until the next article. So an article costs a step for each
-    kind of each group, however many copies of a text there are.
-    """
+    links = settle(_near_variants(own, variants, members, threshold, False))
+    labels = connected_components(links.select(F.col("va").alias("u"), F.col("vb").alias("v")), LOCAL_LINKS)
+    variants = settle(variants.join(labels.withColumnsRenamed({"node": "v", "label": "component"}), "v", "left").withColumn("component", F.coalesce("component", "v")))
+    order = ["untimed", "at", "article_id"]
+    timed = members.withColumn("untimed", F.col("at").isNull())
+    places = own.select("article_id", F.array_sort("places").alias("places"))
+    come = timed.join(variants.select("v", "component", "tokens", "names"), "v").join(places, "article_id").select("component", *order, F.lit(1).alias("kind"), "v", F.lit(None).cast("string").alias("other"), "tokens", "names", "places")
+    first = timed.groupBy("v").agg(F.min(F.struct(*order)).alias("f"))
+    of = lambda v: first.select(F.col("v").alias(v), F.col("f").alias(f"f{v}"))
+    linked = links.join(of("va"), "va").join(of("vb"), "vb").withColumn("f", F.greatest("fva", "fvb")).join(variants.select(F.col("v").alias("va"), "component"), "va")
+    none = F.lit(None).cast("array<string>")
+    linked = linked.select("component", *[F.col("f")[c].alias(c) for c in order], F.lit(0).alias("kind"), F.col("va").alias("v"), F.col("vb").alias("other"), none.alias("tokens"), none.alias("names"), none.alias("places"))
+    passing = come.unionAll(linked).repartition("component").sortWithinPartitions("component", *order, "kind")
+    kept = "article_id string, at long, tokens array<string>, names array<string>, places array<string>"
+    schema = f"cluster_first string, position long, confidence double, matched_position long, average double, {kept}"
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, groups = None, None
+        for batch in batches:
+            out = []
+            for component, _, at, article, kind, v, other, tokens, names, where in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if groups is None or component != now:
+                    now, groups = component, Groups(threshold)
+                if kind == 0:
+                    groups.link(v, other)
+                else:
+                    out.append((*groups.add(v, article, at, tokens, names, where), article, at, tokens, names, where))
+            yield _batch(out, [x.split()[0] for x in schema.split(", ")], _ARROW["group"])
+
+    found = settle(passing.mapInArrow(group, schema))
+    back = found.repartition("cluster_first").sortWithinPartitions("cluster_first", F.col("position").desc())
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, later = None, None
+        for batch in batches:
+            out = []
+            for cluster, position, average, article, at, tokens, names, where in zip(*(batch.column(c).to_pylist() for c in ("cluster_first", "position", "average", "article_id", "at", "tokens", "names", "places")), strict=True):
+                if later is None or cluster != now:
+                    now, later = cluster, Later(threshold)
+                out.append((cluster, position, article, later.mean((average or 0.0) * position, position, at, tokens, names, where)))
+            yield _batch(out, ["cluster_first", "position", "article_id", "mean"], _ARROW["means"])
+
+    best = back.mapInArrow(means, "cluster_first string, position long, article_id string, mean double").groupBy("cluster_first").agg(F.min_by("article_id", F.struct(-F.round("mean", 11), "position")).alias("canonical"))
+    ids = _cluster_ids(found.select("cluster_first", "article_id"))
+    matched = found.select("cluster_first", F.col("position").alias("matched_position"), F.col("article_id").alias("matched_article_id"))
+    named = found.join(matched, ["cluster_first", "matched_position"], "left").join(ids, "cluster_first").join(best, "cluster_first")
+    return named.select("cluster_id", "article_id", F.col("position").cast("int").alias("position"), "confidence", "matched_article_id", "average", (F.col("article_id") == F.col("canonical")).alias("is_canonical"))
+
+
+_TEXTS = pa.list_(pa.string())
+_KEPT = [pa.string(), pa.int64(), _TEXTS, _TEXTS, _TEXTS]
+_ARROW = {"group": [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), *_KEPT], "means": [pa.string(), pa.int64(), pa.string(), pa.float64()]}
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _cluster_ids(members: DataFrame) -> DataFrame:
+    """(cluster_first, cluster_id): the stable id (functions.text.stable_id) of the members' ids, in order, joined by |. Ids pass by in order; a cluster's aren't gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h = None, 0
+        for batch in batches:
+            out = []
+            for cluster, article in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if cluster != now:
+                    if now is not None:
+                        out.append((now, f"cluster_{h:08x}"))
+                    now, h, said = cluster, 0x811C9DC5, article
+                else:
+                    said = f"|{article}"
+                units = said.encode("utf-16-le", "surrogatepass")
+                for low, high in zip(units[::2], units[1::2], strict=True):
+                    h = ((h ^ (low | high << 8)) * 0x01000193) & 0xFFFFFFFF
+            yield _batch(out, ["cluster_first", "cluster_id"], [pa.string(), pa.string()])
+        if now is not None:
+            yield _batch([(now, f"cluster_{h:08x}")], ["cluster_first", "cluster_id"], [pa.string(), pa.string()])
+
+    return members.repartition("cluster_first").sortWithinPartitions("cluster_first", "article_id").mapInArrow(run, "cluster_first string, cluster_id string")
+
+
+class Kinds:
+    """Kinds of articles: those of the same words, names and places, all with a time or all without. Two articles differ from two others of their kinds in time alone."""
+
+    #: Pairs of kinds whose likeness is kept.
+    KEPT = 1_000_000
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
@@ -193,8 +260,8 @@ class Greedy:
         self.sets: list[tuple] = []
         self.known: dict[tuple[int, int], tuple[float, float, bool]] = {}
 
-    def kind(self, row) -> int:  # noqa: ANN001
-        key = (tuple(row.tokens), tuple(row.names), tuple(row.places), pd.isna(row.at))
+    def kind(self, at: int | None, tokens: list[str], names: list[str], places: list[str]) -> int:
+        key = (tuple(tokens), tuple(names), tuple(places), at is None)
         if key not in self.kinds:
             self.kinds[key] = len(self.kinds)
             self.sets.append((frozenset(key[0]), frozenset(key[1]), frozenset(key[2]), not key[3]))
@@ -211,72 +278,90 @@ class Greedy:
                 if x[i] and y[i]:
                     total, weight = total + share(x[i], y[i]) * w[name], weight + w[name]
             timed = x[3] and y[3]
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
             self.known[a, b] = total, weight + (w["time"] if timed else 0.0), timed
         return self.known[a, b]
 
     @staticmethod
-    def fade(micros: float) -> float:
+    def fade(micros: int) -> float:
         return math.exp(-micros / 3.6e9 / 36)
 
-    def clusters(self, rows: pd.DataFrame) -> list[tuple]:
-        w = N.WEIGHTS["time"]
-        groups: list[dict[int, list]] = []  # by kind: the sum at a time, that time, and its articles in order as (time, place, id)
-        members: list[list[tuple[int, float, str]]] = []
-        out = []
-        for row in rows.itertuples():
-            kind, at = self.kind(row), row.at
 
-            def one(k: int, then: float, kind: int = kind, at: float = at) -> float:
+class Groups(Kinds):
+    """Groups of a component's articles, which come in order of time.
+
+    Of each kind in a group are kept the times and places of its articles, and their sum of time similarities, of exp(-hours / 36), which fades by one factor until the next article. A kind's best match in a group
+    is its last article, or the first one that is as good. Only groups that have an article of a linked variant are looked at, as others can't reach the threshold.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        super().__init__(threshold)
+        self.links: dict[str, list[str]] = {}
+        self.groups_of: dict[str, set[int]] = {}
+        self.first: list[str] = []
+        self.sizes: list[int] = []
+        #: Of each group by kind: the sum at a time, that time, and its articles' times and places in order.
+        self.groups: list[dict[int, list]] = []
+
+    def link(self, a: str, b: str) -> None:
+        self.links.setdefault(a, []).append(b)
+        self.links.setdefault(b, []).append(a)
+
+    def add(self, variant: str, article: str, at: int | None, tokens: list[str], names: list[str], places: list[str]) -> tuple[str, int, float, int | None, float | None]:
+        """(first article of its group, position, confidence, position of its match, mean) of the next article."""
+        w, kind, best = N.WEIGHTS["time"], self.kind(at, tokens, names, places), None
+
+        def one(k: int, then: int) -> float:
+            score, weight, timed = self.fixed(kind, k)
+            return round((score + (w * self.fade(at - then) if timed else 0.0)) / weight, 12)
+
+        near = set().union(*(self.groups_of.get(v, ()) for v in (variant, *self.links.get(variant, ()))))
+        for g in sorted(near):
+            total, tops = 0.0, {}
+            for k, (sum_, when, times, _) in self.groups[g].items():
                 score, weight, timed = self.fixed(kind, k)
-                return round((score + (w * self.fade(at - then) if timed else 0.0)) / weight, 12)
-
-            best = None
-            for g, group in enumerate(groups):
-                total, tops = 0.0, {}
-                for k, (sum_, when, own) in group.items():
-                    score, weight, timed = self.fixed(kind, k)
-                    total += (len(own) * score + (w * sum_ * self.fade(at - when) if timed else 0.0)) / weight
-                    tops[k] = one(k, own[-1][0])
-                top, mean = max(tops.values()), total / len(members[g])
-                if top >= self.threshold and round(mean, 11) >= self.threshold - SLACK and (best is None or top > best[1]):
-                    best = (g, top, mean, [k for k, x in tops.items() if x == top])
-            if best is None:
-                g, confidence, mean, matched = len(groups), 1.0, None, None
-                groups.append({})
-                members.append([])
-            else:
-                g, confidence, mean, equal = best
-                first = [groups[g][k][2][bisect.bisect_left(groups[g][k][2], confidence, key=lambda x, k=k: one(k, x[0]))] for k in equal]
-                matched = min(first, key=lambda x: x[1])[2]
-            sum_, when, own = groups[g].setdefault(kind, [0.0, at, []])
-            own.append((at, len(members[g]), row.article_id))
-            groups[g][kind] = [sum_ * self.fade(at - when) + 1 if self.sets[kind][3] else 0.0, at, own]
-            out.append((g, row.article_id, len(members[g]), confidence, matched, mean))
-            members[g].append((kind, at, row.article_id))
-        canonical = [self.canonical(x) for x in members]
-        return [(members[g][0][2], a, place, float(c), m, v, a == canonical[g]) for g, a, place, c, m, v in out]
-
-    def canonical(self, members: list[tuple[int, float, str]]) -> str:
-        """The member with the greatest mean score with the others; the first of equal ones."""
-        w = N.WEIGHTS["time"]
-        totals = [0.0] * len(members)
-        counts: dict[int, int] = {}
-        for k, _, _ in members:
-            counts[k] = counts.get(k, 0) + 1
-        for i, (k, _, _) in enumerate(members):
-            for other, n in counts.items():
-                score, weight, _ = self.fixed(k, other)
-                totals[i] += (n - (other == k)) * score / weight
-        for order in (range(len(members)), range(len(members) - 1, -1, -1)):
-            sums: dict[int, tuple[float, float]] = {}
-            for i in order:
-                k, at, _ = members[i]
-                for other, (sum_, when) in sums.items():
-                    _, weight, timed = self.fixed(k, other)
-                    if timed:
-                        totals[i] += w * sum_ * self.fade(abs(at - when)) / weight
-                if self.sets[k][3]:
-                    sum_, when = sums.get(k, (0.0, at))
-                    sums[k] = (sum_ * self.fade(abs(at - when)) + 1, at)
-        means = [round(x / max(1, len(members) - 1), 11) for x in totals]
-        return members[means.index(max(means))][2] if len(members) > 1 else members[0][2]
+                total += (len(times) * score + (w * sum_ * self.fade(at - when) if timed else 0.0)) / weight
+                tops[k] = one(k, times[-1])
+            top, mean = max(tops.values()), total / self.sizes[g]
+            if top >= self.threshold and round(mean, 11) >= self.threshold - SLACK and (best is None or top > best[1]):
+                best = (g, top, mean, [k for k, x in tops.items() if x == top])
+        if best is None:
+            g, confidence, mean, matched = len(self.groups), 1.0, None, None
+            self.groups.append({})
+            self.sizes.append(0)
+            self.first.append(article)
+        else:
+            g, confidence, mean, equal = best
+            matched = min(self.groups[g][k][3][bisect.bisect_left(self.groups[g][k][2], confidence, key=lambda then, k=k: one(k, then))] for k in equal)
+        own = self.groups[g].setdefault(kind, [0.0, at or 0, array("q"), array("q")])
+        own[0], own[1] = (own[0] * self.fade(at - own[1]) + 1, at) if at is not None else (0.0, 0)
+        own[2].append(at or 0)
+        own[3].append(self.sizes[g])
+        self.groups_of.setdefault(variant, set()).add(g)
+        self.sizes[g] += 1
+        return self.first[g], self.sizes[g] - 1, confidence, matched, mean
+
+
+class Later(Kinds):
+    """A cluster's articles from its last to its first, to add to each one's scores with those before it its scores with those after it."""
+
+    def __init__(self, threshold: float) -> None:
+        super().__init__(threshold)
+        #: By kind: how many, the sum at a time, that time.
+        self.after: dict[int, list] = {}
+        self.n = 0
+
+    def mean(self, before: float, position: int, at: int | None, tokens: list[str], names: list[str], places: list[str]) -> float:
+        """The mean score of the article with all others of its cluster; 1 of an only one."""
+        w, kind, total = N.WEIGHTS["time"], self.kind(at, tokens, names, places), before
+        for k, (n, sum_, when) in self.after.items():
+            score, weight, timed = self.fixed(kind, k)
+            total += (n * score + (w * sum_ * self.fade(when - at) if timed else 0.0)) / weight
+        n = position + self.n
+        own = self.after.setdefault(kind, [0, 0.0, at or 0])
+        own[0] += 1
+        if at is not None:
+            own[1], own[2] = own[1] * self.fade(own[2] - at) + 1, at
+        self.n += 1
+        return total / n if n else 1.0

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions import numbers as N
 from coverscope.functions import text as X
 from coverscope.functions import urls as U
-from coverscope.runtime import first_by, settle
+from coverscope.runtime import counted_so_far, first_by, settle
 
 # Sites that hold no articles.
 NON_ARTICLE_DOMAINS = "facebook.com instagram.com reddit.com tiktok.com x.com youtube.com".split()
@@ -178,64 +180,100 @@ def framed(articles: DataFrame, rules: DataFrame) -> DataFrame:
 # Reasons why a search result doesn't join a cluster, in the order in which they are looked for; the score below which it isn't looked at.
 REASONS = ("no matching cluster", "relevance score below 0.4", "invalid article URL or record", "no successful extraction", "canonical URL already present", "publisher network already represented", "same-story threshold not met")
 LEAST_SCORE = 0.4
-PARTS = "title_overlap double, entity_overlap double, time_overlap double"
+#: Reasons of results that come after a cap was reached.
+SEARCH_FULL, ALL_FULL = "the search has given its most articles", "all searches have given their most articles"
+PARTS = ("title_overlap", "entity_overlap", "time_overlap")
 
 
-def enriched(searches: DataFrame, results: DataFrame, clusters: DataFrame, articles: DataFrame, contents: DataFrame, per_cluster: int = 3, total: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): search results that join clusters as articles, with their confidence and what it rests on; and those that don't, with the first reason of REASONS.
+def enriched(searches: DataFrame, results: DataFrame, clusters: DataFrame, articles: DataFrame, contents: DataFrame, per_search: int = 3, total: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): search results that join clusters as articles, with their confidence and what it rests on; and all others, with the first reason of REASONS or the cap that was reached.
 
-    searches: search_id, query. results: search_id, article_id, url, title, summary, score, at. clusters: cluster_id, title, ord. articles: cluster_id, article_id, title, summary, at, ord, canonical_url, domain. contents:
-    url, raw_content. A search is for the cluster that target_clusters tells. Results go by score in each cluster, and one that joins counts for those after it: its URL, its network, and as
-    a match. A cluster takes per_cluster at most, and all clusters together the best `total`; results beyond a cap have no reason. A cluster's results, of its searches, are a task's group.
+    searches: search_id, query, and ord, their order (else that of their ids). results: search_id, article_id, url, title, summary, score, at. clusters: cluster_id, title, ord. articles: cluster_id, article_id, title, summary,
+    at, ord, canonical_url, domain. contents: url, raw_content. A search is for the cluster that target_clusters tells.
+
+    It is as if searches were gone through in order, and the results of each by score (then URL and id; those without a score last): one that joins counts for those after it, of the same or a later search for the
+    cluster: its URL, its network, and as a match. A search gives per_search articles at most, all together `total`, and what comes after that isn't looked at. A cluster's results pass by in
+    order, and only the articles that joined are kept; the order of all results is a prefix sum over ranges (counted_so_far).
     """
+    searches = searches if "ord" in searches.columns else searches.withColumn("ord", F.col("search_id"))
     asked = searches.select("search_id", F.col("query").alias("text")).unionAll(results.select("search_id", F.col("title").alias("text")))
     target = target_clusters(asked, clusters).select("search_id", "cluster_id")
     query_overlap = N.jaccard(X.title_tokens(F.col("cluster_title")), X.title_tokens(F.col("query")))
     known = clusters.select("cluster_id", F.col("title").alias("cluster_title"))
-    own = results.join(searches, "search_id").join(target, "search_id", "left").join(known, "cluster_id", "left").withColumn("query_overlap", query_overlap)
-    own = own.withColumn("canonical_url", U.canonical_url(F.col("url"))).withColumn("domain", U.domain(F.col("canonical_url")))
+    own = results.join(searches.select("search_id", "query", F.col("ord").alias("search_ord")), "search_id").join(target, "search_id", "left").join(known, "cluster_id", "left").withColumn("query_overlap", query_overlap)
+    own = own.withColumn("score", F.nanvl("score", F.lit(None).cast("double"))).withColumn("canonical_url", U.canonical_url(F.col("url"))).withColumn("domain", U.domain(F.col("canonical_url")))
     own = own.join(extracted_contents(contents).select("canonical_url", F.col("sha256")), "canonical_url", "left").withColumn("network", X.network(F.col("domain"), F.lit("")))
     have = articles.groupBy("cluster_id").agg(F.collect_set("canonical_url").alias("urls"), F.collect_set(X.network(F.col("domain"), F.lit(""))).alias("networks"))  # a cluster's articles are capped
     own = own.join(have, "cluster_id", "left")
-    reason = F.when(F.col("cluster_id").isNull(), REASONS[0]).when(F.col("score").isNull() | F.isnan("score") | (F.col("score") < LEAST_SCORE), REASONS[1]).when(F.col("canonical_url").isNull() | (F.trim(F.coalesce("title", F.lit(""))) == ""), REASONS[2])
-    reason = reason.when(F.col("sha256").isNull(), REASONS[3])
-    own = own.withColumn("reason", reason)
+    reason = F.when(F.col("cluster_id").isNull(), REASONS[0]).when(F.col("score").isNull() | (F.col("score") < LEAST_SCORE), REASONS[1]).when(F.col("canonical_url").isNull() | (F.trim(F.coalesce("title", F.lit(""))) == ""), REASONS[2])
+    own = settle(own.withColumn("reason", reason.when(F.col("sha256").isNull(), REASONS[3])).withColumn("row", F.monotonically_increasing_id()))
     # The best match among the articles that the cluster has.
     before = articles.select("cluster_id", F.col("article_id").alias("matched"), "ord", X.title_tokens(F.col("title")).alias("kt"), X.entities(F.col("title"), F.col("summary")).alias("ke"), F.col("at").alias("ka"))
-    left = own.where("reason is null").withColumn("t", X.title_tokens(F.col("title"))).withColumn("e", X.entities(F.col("title"), F.col("summary")))
-    parts = left.select("cluster_id", "article_id", "t", "e", "at").join(before, "cluster_id").select(
-        "cluster_id", "article_id", "matched", "ord", N.jaccard(F.col("t"), F.col("kt")).alias("title_overlap"), F.coalesce(N.jaccard_if_any(F.col("e"), F.col("ke")), F.lit(0.0)).alias("entity_overlap"), F.coalesce(N.time_similarity(F.col("at"), F.col("ka")), F.lit(0.0)).alias("time_overlap")
+    own = own.withColumn("t", X.title_tokens(F.coalesce("title", F.lit("")))).withColumn("e", X.entities(F.coalesce("title", F.lit("")), F.col("summary")))
+    parts = own.where("reason is null").select("row", "cluster_id", "t", "e", "at").join(before, "cluster_id").select(
+        "row", "matched", "ord", N.jaccard(F.col("t"), F.col("kt")).alias("title_overlap"), F.coalesce(N.jaccard_if_any(F.col("e"), F.col("ke")), F.lit(0.0)).alias("entity_overlap"), F.coalesce(N.time_similarity(F.col("at"), F.col("ka")), F.lit(0.0)).alias("time_overlap")
     )
     score = F.col("title_overlap") * 0.45 + F.col("entity_overlap") * 0.35 + F.col("time_overlap") * 0.2
-    best = first_by(parts.withColumn("match_score", score), ["cluster_id", "article_id"], [-F.col("match_score"), F.col("ord")], ["matched", "match_score", "title_overlap", "entity_overlap", "time_overlap"])
-    rows = left.join(best, ["cluster_id", "article_id"], "left").select("cluster_id", "article_id", "url", "canonical_url", "network", "score", "query_overlap", "sha256", "urls", "networks", "t", "e", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "matched", "match_score", "title_overlap", "entity_overlap", "time_overlap")
-    schema = f"cluster_id string, article_id string, url string, matched_article_id string, confidence double, sha256 string, {PARTS}, reason string"
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
-        out, taken, urls, networks = [], [], None, None
-        for row in frame.sort_values(["score", "canonical_url"], ascending=[False, True]).itertuples():
-            urls = set(row.urls if row.urls is not None else ()) if urls is None else urls
-            networks = set(row.networks if row.networks is not None else ()) if networks is None else networks
-            if len(taken) == per_cluster:
-                break
-            match = (row.match_score, row.title_overlap, row.entity_overlap, row.time_overlap, row.matched) if row.matched is not None else None
-            for x in taken:
-                title, names = share(set(row.t), set(x.t)), share(set(row.e), set(x.e)) if len(row.e) and len(x.e) else 0.0
-                time = 0.0 if pd.isna(row.at) or pd.isna(x.at) else math.exp(-abs(row.at - x.at) / 3.6e9 / 36)
-                one = title * 0.45 + names * 0.35 + time * 0.2
-                match = (one, title, names, time, x.article_id) if match is None or one > match[0] else match
-            confidence = match[0] * 0.45 + row.query_overlap * 0.3 + row.score * 0.25 if match else 0.0
-            alike = match is not None and row.score >= 0.5 and row.query_overlap >= 0.35 and match[3] >= 0.35 and (match[1] >= 0.08 or match[2] >= 0.1) and confidence >= 0.35
-            reason = REASONS[4] if row.canonical_url in urls else REASONS[5] if row.network in networks else None if alike else REASONS[6]
-            out.append((row.cluster_id, row.article_id, row.url, match[4] if match else None, min(0.95, confidence), row.sha256, *(match[1:4] if match else (None,) * 3), reason))
-            if reason is None:
-                taken.append(row)
-                urls.add(row.canonical_url)
-                networks.add(row.network)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    judged = settle(rows.groupBy("cluster_id").applyInPandas(pick, schema))
-    accepted = judged.where("reason is null").drop("reason").orderBy(F.col("confidence").desc(), "article_id").limit(total)
-    rejected = own.where("reason is not null").select("article_id", "url", "reason").unionAll(judged.where("reason is not null").select("article_id", "url", "reason"))
-    return accepted, rejected
+    best = first_by(parts.withColumn("match_score", score), ["row"], [-F.col("match_score"), F.col("ord")], ["matched", "match_score", *PARTS])
+    order = [F.col("search_ord").asc(), F.col("search_id").asc(), F.col("score").desc_nulls_last(), F.col("canonical_url").asc_nulls_last(), F.col("article_id").asc_nulls_last(), F.col("row").asc()]
+    rows = own.where("cluster_id is not null").join(best, "row", "left").withColumn("micros", F.unix_micros(F.col("at").cast("timestamp"))).repartition("cluster_id").sortWithinPartitions("cluster_id", *order)
+    columns = ("row", "cluster_id", "search_id", "article_id", "canonical_url", "network", "score", "query_overlap", "urls", "networks", "t", "e", "micros", "matched", "match_score", *PARTS, "reason")
+    schema = "row long, matched_article_id string, confidence double, title_overlap double, entity_overlap double, time_overlap double, reason string"
+    types = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if cluster is None or cluster.id != row["cluster_id"]:
+                    cluster = Growing(row, per_search)
+                out.append((row["row"], *cluster.judged(row)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    judged = rows.select(*columns).mapInArrow(judge, schema)
+    every = own.drop("reason").join(judged, "row", "left").withColumn("reason", F.when(F.col("cluster_id").isNull(), REASONS[0]).otherwise(F.col("reason")))
+    every = counted_so_far(every, order, F.col("reason").isNull(), "n")
+    every = settle(every.withColumn("reason", F.when(F.col("n") - F.col("reason").isNull().cast("long") >= total, ALL_FULL).otherwise(F.col("reason"))))
+    accepted = every.where("reason is null").select("cluster_id", "article_id", "url", "matched_article_id", "confidence", "sha256", *PARTS, F.col("n").alias("position"))
+    return accepted, every.where("reason is not null").select("search_id", "article_id", "url", "reason")
+
+
+class Growing:
+    """A cluster that results join one after another."""
+
+    def __init__(self, row: dict, per_search: int) -> None:
+        self.id, self.per_search = row["cluster_id"], per_search
+        self.urls, self.networks = set(row["urls"] or ()), set(row["networks"] or ())
+        self.taken: list[dict] = []
+        self.search, self.given = None, 0
+
+    def judged(self, row: dict) -> tuple:
+        """(matched_article_id, confidence, parts, reason) of the next result."""
+        if row["search_id"] != self.search:
+            self.search, self.given = row["search_id"], 0
+        if self.given == self.per_search:
+            return None, None, None, None, None, SEARCH_FULL
+        if row["reason"] is not None:
+            return None, None, None, None, None, row["reason"]
+        if row["canonical_url"] in self.urls or row["network"] in self.networks:
+            return None, None, None, None, None, REASONS[4] if row["canonical_url"] in self.urls else REASONS[5]
+        best = (row["match_score"], *(row[p] for p in PARTS), row["matched"]) if row["matched"] is not None else None
+        for x in self.taken:
+            title, names = _share(row["t"], x["t"]), _share(row["e"], x["e"]) if row["e"] and x["e"] else 0.0
+            time = 0.0 if row["micros"] is None or x["micros"] is None else math.exp(-abs(row["micros"] - x["micros"]) / 3.6e9 / 36)
+            one = title * 0.45 + names * 0.35 + time * 0.2
+            best = (one, title, names, time, x["article_id"]) if best is None or one > best[0] else best
+        confidence = best[0] * 0.45 + row["query_overlap"] * 0.3 + row["score"] * 0.25 if best else 0.0
+        if best is None or row["score"] < 0.5 or row["query_overlap"] < 0.35 or best[3] < 0.35 or (best[1] < 0.08 and best[2] < 0.1) or confidence < 0.35:
+            return best[4] if best else None, min(0.95, confidence), *(best[1:4] if best else (None,) * 3), REASONS[6]
+        self.taken.append(row)
+        self.urls.add(row["canonical_url"])
+        self.networks.add(row["network"])
+        self.given += 1
+        return best[4], min(0.95, confidence), *best[1:4], None
+
+
+def _share(a: list, b: list) -> float:
+    x, y = set(a), set(b)
+    return len(x & y) / len(x | y) if x | y else 0.0

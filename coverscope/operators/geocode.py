@@ -2,55 +2,120 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from coverscope.functions.numbers import clamp, match_confidence
 from coverscope.functions.text import quote_window, same_ignoring_case
 
 MINIMUM, CONTEXT = 0.5, 70
+#: Aliases that are sent to the workers at once; more go in several passes over the texts.
+SENT_ALIASES = 250_000
+#: Texts that become objects at once.
+_SLICE = 256
 
 
-_RUNS = "array<struct<start:int,end:int,matched_text:string,alias:string>>"
-
-
-def word_runs(text: Column, longest: int) -> Column:
-    """The runs of one to `longest` words of a text with their places, and as aliases are written: lower-cased, with single blanks. Time grows with the text's length."""
-
-    @F.pandas_udf(_RUNS)
-    def runs(texts: pd.Series) -> pd.Series:
-        import regex
-
-        word = regex.compile(r"[\p{L}\p{N}\p{M}'’.-]*[\p{L}\p{N}\p{M}]")
+class AliasTrie:
+    """A trie of aliases over words, whose nodes are known by what leads to them: words in lower case, with what stands between two words as it is, white space as a blank.
 
-        def one(x: str | None) -> list[dict]:
-            places = [m.span() for m in word.finditer(x or "")]
-            each = ((places[i][0], places[i + k][1]) for i in range(len(places)) for k in range(min(longest, len(places) - i)))
-            return [{"start": a, "end": b, "matched_text": x[a:b], "alias": " ".join(x[a:b].lower().split()) if b - a > 1 else x[a:b].lower()} for a, b in each]
-
-        return texts.map(one)
-
-    return runs(text)
-
-
-def gazetteer_matches(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """(texts' columns, place columns, start, end, matched_text, ambiguity): where a text names a place, word for word.
+    One pass over a text finds all its aliases: from each word on it goes down as far as the text does.
+    """
 
-    texts: text, more. aliases: alias (lower-cased words with single blanks), place_id, more; ambiguity is how many places have the alias. Runs of one to `longest`
-    words are joined with the aliases by equality, so the size of the gazetteer doesn't matter.
+    def __init__(self, aliases: list[str], longest: int) -> None:
+        self.nodes: dict[str, bool] = {}
+        self.longest, self.pattern = longest, None
+        for alias in aliases:
+            ends = [e for _, e in self.words(alias)]
+            if ends and len(ends) <= longest and ends[-1] == len(alias) and self.words(alias)[0][0] == 0:
+                for e in ends[:-1]:
+                    self.nodes.setdefault(alias[:e], False)
+                self.nodes[alias] = True
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "pattern": None}
+
+    def words(self, text: str) -> list[tuple[int, int]]:
+        if self.pattern is None:
+            import regex
+
+            self.pattern = regex.compile(r"[\p{L}\p{N}\p{M}'’.-]*[\p{L}\p{N}\p{M}]")
+        return [m.span() for m in self.pattern.finditer(text)]
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, alias) of every run of words that is an alias, by start, then end."""
+        places, nodes, blank = self.words(text), self.nodes, re.compile(r"\s+")
+        for i, (a, b) in enumerate(places):
+            node = text[a:b].lower()
+            if (found := nodes.get(node)) is None:
+                continue
+            if found:
+                yield a, b, node
+            for c, d in places[i + 1 : i + self.longest]:
+                node += blank.sub(" ", text[b:c]).lower() + text[c:d].lower()
+                b = d
+                if (found := nodes.get(node)) is None:
+                    break
+                if found:
+                    yield a, d, node
+
+
+def gazetteer_matches(texts: DataFrame, aliases: DataFrame, longest: int = 4, context: int = CONTEXT) -> DataFrame:
+    """(texts' columns but text, place columns, start, end, matched_text, quote, ambiguity): where a text names a place, word for word, with what surrounds it.
+
+    texts: text, more. aliases: alias (lower-cased words with single blanks), place_id, more; ambiguity is how many places have the alias. An alias has `longest` words at most. A text is passed over
+    once, and isn't part of what comes back. Up to SENT_ALIASES aliases are sent to the workers as a trie; a larger gazetteer is split by the hash of its aliases' first words, each part with a pass of its own.
     """
     meanings = aliases.groupBy("alias").agg(F.countDistinct("place_id").alias("ambiguity"))
-    runs = texts.select("*", F.explode(word_runs(F.col("text"), longest)).alias("_r")).select(*texts.columns, "_r.*")
-    return runs.join(aliases.join(meanings, "alias"), "alias").drop("alias")
+    names = aliases.select("alias").where("alias is not null").distinct()
+    parts = -(-names.count() // SENT_ALIASES) or 1
+    part = F.pmod(F.xxhash64(F.regexp_extract("alias", r"^[\p{L}\p{N}\p{M}'’.-]*[\p{L}\p{N}\p{M}]", 0)), F.lit(parts))
+    others = [c for c in texts.columns if c != "text"]
+    schema = StructType([*texts.select(*others).schema.fields, StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("matched_text", StringType()), StructField("alias", StringType()), StructField("quote", StringType())])
+    found = [texts.select(*others, "text").mapInArrow(_scan(texts, names.where(part == i), longest, context), schema) for i in range(parts)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    return every.join(aliases.join(meanings, "alias"), "alias").drop("alias")
+
+
+def _scan(texts: DataFrame, names: DataFrame, longest: int, context: int):  # noqa: ANN202
+    """A pass over Arrow batches of texts (the last column) with the trie of the names."""
+    sent = texts.sparkSession.sparkContext.broadcast(AliasTrie([r["alias"] for r in names.toLocalIterator()], longest))  # SENT_ALIASES or so
+
+    def quote(text: str, start: int, end: int) -> str:
+        a, b = max(0, start - context), min(len(text), end + context)
+        return ("…" if a > 0 else "") + text[a:b].strip(" ") + ("…" if b < len(text) else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                rows, out = [], []
+                for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    for start, end, alias in trie.matches(text or ""):
+                        rows.append(i)
+                        out.append((start, end, text[start:end], alias, quote(text, start, end)))
+                kept = part.select(range(part.num_columns - 1)).take(pa.array(rows, pa.int64())).columns
+                new = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, *new], names=[*part.schema.names[:-1], "start", "end", "matched_text", "alias", "quote"])
+
+    return run
 
 
 def located_matches(matches: DataFrame, minimum: float = MINIMUM) -> DataFrame:
-    """Matches that stand where they say and are sure enough, with confidence and quote. matches: article_id, outlet_id, url, field, text, start, end, matched_text, place_id, kind, ambiguity."""
-    there = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    good = matches.where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("text")) & same_ignoring_case(there, F.col("matched_text")))
-    sure = good.withColumn("confidence", match_confidence(F.col("field"), F.col("kind"), F.col("ambiguity"))).where(F.col("confidence") >= minimum)
-    return sure.withColumn("quote", quote_window(F.col("text"), F.col("start"), F.col("end"), CONTEXT))
+    """Matches that are sure enough, with confidence and quote. matches: article_id, outlet_id, url, field, start, end, matched_text, place_id, kind, ambiguity; and quote, as gazetteer_matches
+    gives it, or text, for matches from elsewhere, which must stand where they say."""
+    good = matches.where((F.col("start") >= 0) & (F.col("end") > F.col("start")))
+    if "text" in matches.columns:
+        there = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+        good = good.where((F.col("end") <= F.length("text")) & same_ignoring_case(there, F.col("matched_text"))).withColumn("quote", quote_window(F.col("text"), F.col("start"), F.col("end"), CONTEXT))
+    return good.withColumn("confidence", match_confidence(F.col("field"), F.col("kind"), F.col("ambiguity"))).where(F.col("confidence") >= minimum)
 
 
 def place_evidence(located: DataFrame, keys: list[str] | None = None) -> DataFrame:

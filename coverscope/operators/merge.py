@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.functions.text import headline_key
-from coverscope.operators.components import connected_components
+from coverscope.operators.components import LOCAL_LINKS, connected_components
 from coverscope.runtime import first_by
 
 
@@ -29,7 +29,7 @@ def merged_ids(clusters: DataFrame, articles: DataFrame, locations: DataFrame) -
     keys = evidence_keys(clusters, articles, locations)
     least = keys.groupBy("key").agg(F.min("cluster_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     links = keys.join(least, "key").select(F.col("cluster_id").alias("u"), "v")
-    labels = connected_components(links)
+    labels = connected_components(links, LOCAL_LINKS)
     return clusters.select("cluster_id").join(labels.withColumnsRenamed({"node": "cluster_id", "label": "merged_id"}), "cluster_id", "left").withColumn("merged_id", F.coalesce("merged_id", "cluster_id"))
 
 

@@ -634,18 +634,27 @@ def kind_none(kind: Column) -> Column:
     return F.filter(kind, lambda x: F.lit(False))
 
 
-@query("""
-with words as (select doc_id, source, unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM''’.-]*[\\pL\\pN\\pM]')) as w from documents),
-places as (select * from (values ('with', 1, 'city'), ('and', 2, 'country'), ('der', 3, 'admin1'), ('le', 4, 'point'), ('con', 5, 'city'), ('con', 6, 'city')) p(alias, place_id, kind)),
+_PLACES = (("with", 1, "city"), ("and", 2, "country"), ("der", 3, "admin1"), ("le", 4, "point"), ("con", 5, "city"), ("con", 6, "city"), ("of the", 7, "city"), ("in the and of", 8, "country"), ("the", 9, "point"))
+
+
+def _named(alias: str) -> str:
+    """Whether a document's text, in lower case, has these words with white space between them."""
+    inside = r"\pL\pN\pM''’.-"
+    return rf"regexp_matches(t, '(^|[^{inside}]){alias.replace(' ', r'\s+')}($|[^{inside}]|[''’.-]+($|[^{inside}]))')"
+
+
+@query(f"""
+with places as (select * from (values {", ".join(map(str, _PLACES))}) p(alias, place_id, kind)),
+docs as (select doc_id, source, lower(text) as t from documents),
+named as ({" union all ".join(f"select doc_id, source, '{a}' as alias from docs where {_named(a)}" for a in dict.fromkeys(a for a, *_ in _PLACES))}),
 amb as (select alias, count(*) as a from places group by all),
-hit as (select place_id, doc_id, source, greatest(0, least(1, 0.58 + case kind when 'city' then 0.1 when 'admin1' then 0.07 when 'country' then 0.04 else 0.02 end - least(0.28, greatest(0, (a - 1) * 0.08))))::double as c from words join places on w = alias join amb using (alias))
+hit as (select place_id, doc_id, source, greatest(0, least(1, 0.58 + case kind when 'city' then 0.1 when 'admin1' then 0.07 when 'country' then 0.04 else 0.02 end - least(0.28, greatest(0, (a - 1) * 0.08))))::double as c from named join places using (alias) join amb using (alias))
 select place_id, count(distinct doc_id) as articles, count(distinct source) as outlets, round(least(1.0, max(c) + (count(distinct doc_id) - 1) * 0.06 + (count(distinct source) - 1) * 0.04), 6) as confidence from hit group by place_id
 """)
 def gazetteer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = [("with", 1, "city"), ("and", 2, "country"), ("der", 3, "admin1"), ("le", 4, "point"), ("con", 5, "city"), ("con", 6, "city")]
-    aliases = spark.createDataFrame(places, "alias string, place_id long, kind string")
+    aliases = spark.createDataFrame(list(_PLACES), "alias string, place_id long, kind string")
     texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("outlet_id"), F.lit("").alias("url"), F.lit("summary").alias("field"), "text")
-    found = geocode.gazetteer_matches(texts, aliases, longest=2)
+    found = geocode.gazetteer_matches(texts, aliases, longest=4)
     own = geocode.event_locations(geocode.place_evidence(geocode.located_matches(found)))
     return own.select("place_id", "articles", "outlets", F.round("confidence", 6).alias("confidence"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,17 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str
     value = F.struct(*[F.col(c) for c in names])
     best = df.groupBy(*keys).agg(F.min_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_first"))
     return best.select(*keys, *[F.col("_first")[c].alias(c) for c in names])
+
+
+def counted_so_far(df: DataFrame, order: list[Column], counted: Column, to: str) -> DataFrame:
+    """df with the number of counted rows up to each row, itself included, in an order of all rows: a prefix sum over partitions.
+
+    Rows are dealt out in ranges of the order, and sums within a range are given what all ranges before it have, a row for each. No task sees more than its range. order should tell rows apart, or one range
+    takes all rows that are equal in it; those are in any order.
+    """
+    ranged = df.withColumn("_own", counted.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = settle(ranged.withColumn("_part", F.shiftright("_id", 33)))
+    sums = placed.groupBy("_part").agg(F.sum("_own").alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    within = F.sum("_own").over(Window.partitionBy("_part").orderBy("_id"))
+    return placed.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(to, F.col("_within") + F.col("_before")).drop("_own", "_id", "_part", "_within", "_before")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverscope.operators import clustering, components, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
+from coverscope.operators.components import connected_components
+from coverscope.runtime import counted_so_far
 from coverscope.schemas import Limits
 
 T0 = datetime(2026, 8, 27, 1)
@@ -99,8 +101,41 @@ def test_geocoding(spark):
     matches = geocode.located_matches(geocode.gazetteer_matches(texts, aliases))
     got = {r["place_id"]: round(r["confidence"], 2) for r in geocode.event_locations(geocode.place_evidence(matches)).collect()}
     assert got == {"tyo": 0.94, "par": 0.76, "ptx": 0.76, "nyc": 0.68}
-    wrong = matches.withColumn("start", F.col("start") + 1).select(*texts.columns, "start", "end", "matched_text", "place_id", "kind", "ambiguity")
-    assert geocode.located_matches(wrong).count() == 0
+    there = matches.drop("quote", "confidence").join(texts.select("article_id", "text"), "article_id")
+    assert {(r["article_id"], r["quote"]) for r in geocode.located_matches(there).collect()} == {(r["article_id"], r["quote"]) for r in matches.collect()}
+    assert geocode.located_matches(there.withColumn("start", F.col("start") + 1)).count() == 0
+
+
+def plain_matches(text, aliases, longest):
+    """Every run of words, compared with every alias."""
+    import regex
+
+    places = [m.span() for m in regex.finditer(r"[\p{L}\p{N}\p{M}'’.-]*[\p{L}\p{N}\p{M}]", text or "")]
+    for i, (a, _) in enumerate(places):
+        for _, b in places[i : i + longest]:
+            if " ".join(text[a:b].lower().split()) in aliases:
+                yield a, b, text[a:b]
+
+
+@pytest.mark.parametrize("sent", [250_000, 3])
+def test_a_trie_finds_every_run_that_is_an_alias(spark, monkeypatch, sent):
+    monkeypatch.setattr(geocode, "SENT_ALIASES", sent)
+    rng = random.Random(4)
+    words = ["new", "york", "st.", "john's", "los", "ångström", "北京", "x-ray", "o’hara", "7"]
+    aliases = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)} | {"new, york", "york -", "", " new", "los\tnew"}
+    texts = [("", None), ("t1", "")] + [(f"x{i}", "".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" ", "  ", "\n", ", ", ". ", " - ", "—"]) for w in rng.choices(words, k=rng.randint(0, 60)))) for i in range(80)]
+    texts.append(("long", "new york los " * 7000))
+    rows = spark.createDataFrame([(i, t, 1.5) for i, t in texts], "article_id string, text string, more double").repartition(3)
+    names = spark.createDataFrame([(a, f"p{k}") for k, a in enumerate(sorted(aliases))] + [("new york", "again")], "alias string, place_id string")
+    for longest in (1, 4):
+        got = geocode.gazetteer_matches(rows, names, longest)
+        assert got.columns == ["article_id", "more", "start", "end", "matched_text", "quote", "place_id", "ambiguity"]
+        once = got.dropDuplicates(["article_id", "start", "end"]).collect()
+        assert sorted((r["article_id"], r["start"], r["end"], r["matched_text"]) for r in once) == sorted((i, *m) for i, t in texts for m in plain_matches(t, aliases | {"new york"}, longest))
+    quoted = {(r["article_id"], r["start"]): r["quote"] for r in once if r["article_id"] == "long"}
+    whole = texts[-1][1]
+    end = next(r["end"] for r in once if (r["article_id"], r["start"]) == ("long", 1300))
+    assert end and quoted["long", 1300].startswith("…") and quoted["long", 1300].endswith("…") and quoted["long", 1300][1:-1] in whole
 
 
 def test_conflict_needs_two_networks(spark):
@@ -298,3 +333,94 @@ def test_enrichment_takes_independent_results_and_says_why_not(spark):
     assert [(r["article_id"], r["matched_article_id"]) for r in accepted.collect()] == [("r1", "a0")]
     R = enrich.REASONS
     assert {r["article_id"]: r["reason"] for r in rejected.collect()} == {"r2": R[5], "r3": R[4], "r4": R[1], "r5": R[2], "r6": R[3], "r7": R[6], "r8": R[0]}
+
+
+def plain_enriched(searches, results, clusters, articles, contents, per_search, total):
+    """One search after another, one result after another."""
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    words = lambda t: frozenset(w for w in t.lower().split() if len(w) > 1)
+    names = lambda t: frozenset([x] if (x := " ".join(w.lower() for w in t.split() if w[0].isupper())) else [])
+    have = {c: [(a, t, h, u, d) for k, a, t, h, u, d in articles if k == c] for c, _ in clusters}
+    accepted, rejected, R = [], [], enrich.REASONS
+    for search, query in searches:
+        own = sorted((r for r in results if r[0] == search), key=lambda r: (r[4] is None, -(r[4] or 0), r[2], r[1]))
+        score = lambda t: max(share(words(t), words(x)) for x in [query, *(r[3] for r in own)])
+        best = max(clusters, key=lambda c: score(c[1]), default=None)
+        cluster = best[0] if best and score(best[1]) >= 0.3 else None
+        overlap, given = share(words(query), words(best[1])) if cluster else 0.0, 0
+        for _, article, url, title, sure, hours in own:
+            if len(accepted) >= total:
+                rejected.append((article, enrich.ALL_FULL))
+                continue
+            if cluster is not None and given >= per_search:
+                rejected.append((article, enrich.SEARCH_FULL))
+                continue
+            domain = url.split("/")[2]
+            scores = [(share(words(title), words(t)) * 0.45 + share(names(title), names(t)) * (0.35 if names(title) and names(t) else 0) + math.exp(-abs(hours - h) / 36) * 0.2, t, h) for _, t, h, _, _ in have.get(cluster, [])]
+            top = max(scores, key=lambda x: x[0], default=None)
+            if cluster is None:
+                reason = R[0]
+            elif sure is None or sure < 0.4:
+                reason = R[1]
+            elif url not in contents:
+                reason = R[3]
+            elif url in {u for *_, u, _ in have[cluster]}:
+                reason = R[4]
+            elif domain in {d for *_, d in have[cluster]}:
+                reason = R[5]
+            else:
+                t, e = share(words(title), words(top[1])), share(names(title), names(top[1])) if names(title) and names(top[1]) else 0.0
+                time = math.exp(-abs(hours - top[2]) / 36)
+                good = sure >= 0.5 and overlap >= 0.35 and time >= 0.35 and (t >= 0.08 or e >= 0.1) and top[0] * 0.45 + overlap * 0.3 + sure * 0.25 >= 0.35
+                reason = None if good else R[6]
+            if reason is None:
+                accepted.append((cluster, article))
+                have[cluster].append((article, title, hours, url, domain))
+                given += 1
+            else:
+                rejected.append((article, reason))
+    return accepted, rejected
+
+
+@pytest.mark.parametrize("per_search,total", [(3, 6), (1, 1000), (2, 17), (100, 0)])
+def test_enrichment_is_as_one_result_after_another(spark, per_search, total):
+    rng = random.Random(11)
+    topics = [[f"{t}{w}" for w in ("quake", "flood", "mayor", "train", "court", "river")] for t in "abcdef"]
+    title = lambda t: " ".join(rng.sample(t, rng.randint(3, 6))) + rng.choice(["", " Anna", " Ben"])
+    clusters = [(f"c{i}", title(t)) for i, t in enumerate(topics)]
+    articles = [(f"c{i}", f"o{i}{k}", title(t), rng.randrange(50), f"https://old{k}.example/{i}", f"old{k}.example") for i, t in enumerate(topics) for k in range(2)]
+    searches = [(f"s{i:02}", clusters[i % 6][1] if i % 5 else "nothing of the kind") for i in range(14)]
+    results = [(s, f"r{i}{k}", f"https://{rng.choice(['old0', 'old1', 'n1', 'n2', 'n3', 'n4'])}.example/{rng.randrange(60)}", title(topics[i % 6]) if i % 5 else "other things", rng.choice([None, 0.3, 0.45, 0.6, 0.8, 0.9]), rng.randrange(60)) for i, (s, _) in enumerate(searches) for k in range(12)]
+    contents = {r[2] for r in results if rng.random() < 0.8}
+    at = lambda h: T0 + timedelta(hours=h)
+    frames = [
+        spark.createDataFrame([(s, q, i) for i, (s, q) in enumerate(searches)], "search_id string, query string, ord int"),
+        spark.createDataFrame([(s, a, u, t, None, x, at(h)) for s, a, u, t, x, h in results], "search_id string, article_id string, url string, title string, summary string, score double, at timestamp"),
+        spark.createDataFrame([(c, t, i) for i, (c, t) in enumerate(clusters)], "cluster_id string, title string, ord int"),
+        spark.createDataFrame([(c, a, t, None, at(h), i, u, d) for i, (c, a, t, h, u, d) in enumerate(articles)], "cluster_id string, article_id string, title string, summary string, at timestamp, ord int, canonical_url string, domain string"),
+        spark.createDataFrame([(u, "x" * 600) for u in contents], "url string, raw_content string"),
+    ]
+    accepted, rejected = enrich.enriched(*frames, per_search, total)
+    want = plain_enriched(searches, results, clusters, articles, contents, per_search, total)
+    assert [(r["cluster_id"], r["article_id"]) for r in accepted.orderBy("position").collect()] == want[0]
+    assert sorted((r["article_id"], r["reason"]) for r in rejected.collect()) == sorted(want[1])
+    assert len(want[0]) + len(want[1]) == len(results)
+
+
+def test_prefix_sums_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(500), i, rng.random() < 0.3) for i in range(3000)]
+    got = counted_so_far(spark.createDataFrame(rows, "a int, b int, c boolean"), [F.col("a").desc(), F.col("b").asc()], F.col("c"), "n")
+    n, want = 0, []
+    for a, b, c in sorted(rows, key=lambda r: (-r[0], r[1])):
+        n += c
+        want.append((a, b, c, n))
+    assert sorted(map(tuple, got.select("a", "b", "c", "n").collect())) == sorted(want)
+    assert counted_so_far(got.where("false").drop("n"), [F.col("a")], F.col("c"), "n").count() == 0
+
+
+def test_components_in_one_task_are_those_of_rounds(spark):
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(200)], "u string, v string")
+    assert sorted(connected_components(edges, 1000).collect()) == sorted(connected_components(edges).collect())
+    assert connected_components(edges.where("false"), 10).count() == 0

@@ -12,6 +12,8 @@ from coverscope.functions import urls as U
 from coverscope.runtime import first_by
 
 MOST_DOCUMENTS, MOST_NEWS = 250, 20
+#: Columns that answers carry only to give retrieved_at.
+_TIMES = ("finished_at",)
 
 
 def read_json(spark: SparkSession, path: str, news: bool) -> DataFrame:
@@ -30,17 +32,18 @@ def _article(url: Column, title: Column, retrieved_at: Column, **more: Column) -
     return [own[name].cast(kind).alias(name) for name, kind in (x.split(" ") for x in schemas.ARTICLES.split(", "))]
 
 
-def document_articles(answers: DataFrame, retrieved_at: Column, most: int = MOST_DOCUMENTS) -> DataFrame:
-    """Articles of a document search; records without a title or a readable URL are dropped. origin_country: the country it states, sure to 0.8."""
-    rows = answers.select(F.inline(F.slice("articles", 1, most)))
-    own = rows.select(*_article(F.trim("url"), X.optional(F.col("title")), retrieved_at, language=F.lower(X.optional(F.col("language"))), published_at=D.seen_date(F.trim("seendate")), provider=F.lit("documents")), X.optional(F.col("sourcecountry")).alias("origin_country"))
+def document_articles(answers: DataFrame, retrieved_at: Column, most: int = MOST_DOCUMENTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Articles of a document search; records without a title or a readable URL are dropped. origin_country: the country it states, sure to 0.8. carry: columns of the answers
+    that their articles keep."""
+    rows = answers.select(*carry, F.inline(F.slice("articles", 1, most)))
+    own = rows.select(*(c for c in carry if c not in _TIMES), *_article(F.trim("url"), X.optional(F.col("title")), retrieved_at, language=F.lower(X.optional(F.col("language"))), published_at=D.seen_date(F.trim("seendate")), provider=F.lit("documents")), X.optional(F.col("sourcecountry")).alias("origin_country"))
     return own.where("canonical_url is not null and title is not null")
 
 
-def news_articles(answers: DataFrame, retrieved_at: Column, most: int = MOST_NEWS) -> DataFrame:
-    """Articles of a news search, with summaries and scores."""
-    rows = answers.select(F.inline(F.slice("results", 1, most)))
-    own = rows.select(*_article(F.trim("url"), X.optional(F.col("title")), retrieved_at, summary=X.optional(F.col("content")), published_at=X.optional(F.col("published_date")).try_cast("timestamp"), provider=F.lit("news"), provider_score=F.col("score")))
+def news_articles(answers: DataFrame, retrieved_at: Column, most: int = MOST_NEWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Articles of a news search, with summaries and scores. carry: columns of the answers that their articles keep."""
+    rows = answers.select(*carry, F.inline(F.slice("results", 1, most)))
+    own = rows.select(*(c for c in carry if c not in _TIMES), *_article(F.trim("url"), X.optional(F.col("title")), retrieved_at, summary=X.optional(F.col("content")), published_at=X.optional(F.col("published_date")).try_cast("timestamp"), provider=F.lit("news"), provider_score=F.col("score")))
     return own.where("canonical_url is not null and title is not null")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import re
 import time
 import urllib.error
@@ -14,7 +13,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +26,8 @@ from coverscope.functions.urls import is_http_url
 SUFFIXES = {"events": ".export.CSV.zip", "mentions": ".mentions.CSV.zip", "documents": ".gkg.csv.zip"}
 STEP = timedelta(minutes=15)
 MOST_FALLBACKS = 8
+#: Bytes of a table that come out of an archive at once.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -158,24 +159,51 @@ def verify(data: bytes, entry: ManifestEntry) -> None:
         raise SourceError("invalid_response", "the archive isn't the one of the manifest")
 
 
-def unzip_one(data: bytes, most_bytes: int) -> str:
-    """The text of an archive's only table; nothing else may be in it, nor a path that leads out of it."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def unzipped(data, most_bytes: int) -> Iterator[bytes]:  # noqa: ANN001
+    """The bytes of an archive's only table, a block at a time; nothing else may be in it, nor a path that leads out of it. data: bytes or a buffer of them.
+
+    The size is capped as the archive states it, and again as it comes out.
+    """
+    with zipfile.ZipFile(pa.BufferReader(data)) as z:
         files = [f for f in z.infolist() if not f.is_dir()]
         if len(files) != 1 or not files[0].filename.lower().endswith(".csv") or ".." in files[0].filename.split("/") or files[0].filename.startswith("/"):
             raise SourceError("invalid_response", "an archive must hold one table")
         if files[0].file_size > most_bytes:
             raise SourceError("invalid_response", "the table is larger than allowed")
+        size = 0
         with z.open(files[0]) as f:
-            body = f.read(most_bytes + 1)
-    if len(body) > most_bytes:
-        raise SourceError("invalid_response", "the table is larger than allowed")
-    return body.decode("utf-8", "replace")
+            while block := f.read(BLOCK_BYTES):
+                size += len(block)
+                if size > most_bytes:
+                    raise SourceError("invalid_response", "the table is larger than allowed")
+                yield block
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, md5, content) of landed archives."""
-    return spark.read.format("binaryFile").load(path).select("path", F.length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"), "content")
+def unzip_one(data: bytes, most_bytes: int) -> str:
+    """The text of an archive's only table, whole (unzipped)."""
+    return b"".join(unzipped(data, most_bytes)).decode("utf-8", "replace")
+
+
+def lines_of(blocks: Iterator[bytes]) -> Iterator[list[str]]:
+    """The lines of a text that comes in blocks, without those that are empty, some at a time. A line ends with \\n or \\r\\n; bytes that are no UTF-8 are U+FFFD."""
+    rest: list[bytes] = []
+    for block in blocks:
+        head, found, tail = block.rpartition(b"\n")
+        if not found:
+            rest.append(block)
+            continue
+        whole = b"".join([*rest, head])
+        rest = [tail]
+        yield [x for line in whole.split(b"\n") if (x := line.removesuffix(b"\r").decode("utf-8", "replace"))]
+    yield [x] if (x := b"".join(rest).decode("utf-8", "replace")) else []
+
+
+def archives(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFrame:
+    """(path, bytes, md5, content) of landed archives. Files of over most_bytes aren't read: their content is null."""
+    files = spark.read.format("binaryFile").load(path)
+    small, large = files.where(F.col("length") <= most_bytes), files.where(F.col("length") > most_bytes)  # both conditions reach the reader
+    own = small.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"), "content")
+    return own.unionAll(large.select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("md5"), F.lit(None).cast("binary").alias("content")))
 
 
 def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -184,17 +212,19 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def archive_lines(files: DataFrame, most_bytes: int = 512 << 20) -> DataFrame:
-    """(path, ord, value): the lines of archives' tables, in order; a task reads one archive at a time."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                lines = [x for x in unzip_one(bytes(row.content), most_bytes).replace("\r\n", "\n").split("\n") if x]
-                for at in range(0, len(lines), 10_000):
-                    some = lines[at : at + 10_000]
-                    yield pd.DataFrame({"path": row.path, "ord": range(at, at + len(some)), "value": some})
-
-    return files.select("path", "content").mapInPandas(run, "path string, ord long, value string")
+    """(path, ord, value): the lines of archives' tables, in order, without empty ones. A task holds an archive as it is landed, and of its table a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not content.is_valid:
+                    raise SourceError("invalid_response", "the archive is larger than allowed")
+                at = 0
+                for some in lines_of(unzipped(content.as_buffer(), most_bytes)):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.string())], names=["path", "ord", "value"])
+                    at += len(some)
+
+    return files.select("path", "content").mapInArrow(run, "path string, ord long, value string")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import os
 import zipfile
 from datetime import datetime
 
@@ -59,6 +60,37 @@ def test_archives():
             call()
 
 
+def test_archives_come_out_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_BYTES", 7)
+    tables = {"a": "x\ty\r\n\r\nlonger than a block é\n\n\nlast", "b": "", "c": "one\n", "d": "ü" * 40 + "\n" + "z" * 50}
+    for name, text in tables.items():
+        (tmp_path / f"{name}.zip").write_bytes(zipped(text))
+    found = B.archive_lines(B.archives(spark, str(tmp_path / "*.zip"))).collect()
+    assert sorted((r["path"][-5], r["ord"], r["value"]) for r in found) == sorted((k, i, x) for k, t in tables.items() for i, x in enumerate(y for y in t.replace("\r\n", "\n").split("\n") if y))
+    for bad in (zipped("x", "../a.csv"), zipped("x" * 99)):
+        (tmp_path / "e.zip").write_bytes(bad)
+        with pytest.raises(Exception, match="an archive must hold one table|larger than allowed"):
+            B.archive_lines(B.archives(spark, str(tmp_path / "e.zip")), 90).collect()
+    large = B.archives(spark, str(tmp_path / "*.zip"), 150)
+    assert {r["path"][-5]: r["content"] is None for r in large.collect()} == {k: (tmp_path / f"{k}.zip").stat().st_size > 150 for k in "abcde"}
+    with pytest.raises(Exception, match="the archive is larger than allowed"):
+        B.archive_lines(B.archives(spark, str(tmp_path / "*.zip"), 10)).collect()
+
+
+def test_a_table_of_any_size_takes_a_block_of_memory(tmp_path):
+    import subprocess
+    import sys
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z, z.open("t.csv", "w", force_zip64=True) as f:
+        block = b"".join(b"%d\tsome text of a line\n" % i for i in range(40_000))
+        for _ in range(6 * 10**8 // len(block)):
+            f.write(block)
+    code = "import resource, sys; from coverscope.sources import batch as B; print(sum(len(x) for x in B.lines_of(B.unzipped(open(sys.argv[1], 'rb').read(), 10**9))), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    lines, kilobytes = map(int, subprocess.run([sys.executable, "-c", code, str(tmp_path / "big.zip")], capture_output=True, text=True, check=True, timeout=300, cwd=root).stdout.split())
+    assert lines == 6 * 10**8 // len(block) * 40_000 and kilobytes < 300_000
+
+
 def test_fallback_only_for_missing_files():
     def load(x):
         if x < 2:

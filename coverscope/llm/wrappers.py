@@ -10,19 +10,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.llm.common import as_texts, partitions
-from coverscope.runtime import salted_join, settle
+from coverscope.runtime import settle
 
 #: Bytes of all wrappers and fixed texts together up to which they are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 24_000_000
 #: Pages that a task remembers as seen; places that a host's wrappers and pages are dealt to.
 KNOWN_PAGES, SALTS = 100_000, 16
-#: Distinct pages of a host from which its wrapper decides, and that have a text which it fixes.
+#: Distinct pages of a host from which its wrapper decides, and that have a place whose text it fixes.
 LEAST_PAGES = 4
+#: Stands for the text of a place that has several.
+VARIES = -1
 #: Nodes of two sequences that are aligned at a time; longer ones go on from the middle of what was aligned.
 ALIGNED = 400
 #: Levels of elements that are told apart; deeper ones are of their ancestor at this level, with their texts and marks.
@@ -354,20 +355,30 @@ def inferred(wrapper: Wrapper | None, page: Wrapper) -> Wrapper:
     return page if wrapper is None else merged(wrapper, page)
 
 
-def text_keys(root: Node) -> set[int]:
-    """A number for each text of a page with the elements that it is in."""
-    found = set()
+def places(root: Node) -> dict[int, int]:
+    """For each place of a page (its elements, by tags and names) that has text, the number of its text, or VARIES where it has several."""
+    found: dict[int, int] = {}
     todo = [root]
     while todo:
         node = todo.pop()
         for x in node.items:
             if isinstance(x, str):
-                found.add(_text_key(node, x))
+                key = _text_key(node, x)
+                place = node.path >> 1
+                found[place] = key if found.get(place, key) == key else VARIES
             else:
                 todo.append(x)
     return found
 
 
+def add_places(to: dict[int, list[int]], found: dict[int, int]) -> None:
+    """Adds a page's places to those of other pages: [text, pages that have the place] of each. A place whose text differs is a slot of the wrapper (VARIES); else it is fixed."""
+    for place, key in found.items():
+        own = to.setdefault(place, [key, 0])
+        own[0] = key if own[0] == key else VARIES
+        own[1] += 1
+
+
 def _text_key(node: Node, text: str) -> int:
     return xxhash.xxh64_intdigest(text, node.path) >> 1
 
@@ -383,11 +394,11 @@ def _tagged(w: Wrapper) -> int:
 
 
 class Host:
-    """What a host's pages have in common: its wrapper, and the texts that it fixes."""
+    """What a host's pages have in common: its wrapper, inferred from all its distinct pages, their number, and the texts that it fixes."""
 
-    def __init__(self, wrapper: Wrapper, fixed: set[int]) -> None:
+    def __init__(self, wrapper: Wrapper, fixed: set[int], pages: int) -> None:
         self.wrapper, self.fixed = wrapper, fixed
-        self.decides = wrapper[PAGES] >= LEAST_PAGES
+        self.decides = pages >= LEAST_PAGES
         total = _weight(wrapper)
         #: Whether tags say where the article is: they do where they hold half of the text at least.
         self.tagged = 2 * _tagged(wrapper) >= total
@@ -453,7 +464,7 @@ def _of_links(node: Node) -> bool:
 def main_text(page: str, host: Host | None = None) -> str:
     """The article of a page: its blocks that are neither marked as something else nor fixed by the host.
 
-    Where the host has LEAST_PAGES, its wrapper says what is fixed and which element holds the article: <article> or <main>, where these hold most of the
+    Where the host has LEAST_PAGES, its wrapper says what is fixed, which is what stands around its slots, and which element holds the article: <article> or <main>, where these hold most of the
     host's text, or else the element that does. Of a host with fewer pages that is told from the page alone: the <article> with the most
     text, else <main>, else an element that is named so, else the one that holds most text outside of links.
     """
@@ -469,9 +480,10 @@ def main_text(page: str, host: Host | None = None) -> str:
 
     live = [b for b in blocks if not b[1].gone and not any(linked(n) for n in b[2])]
 
-    def unfixed(some: list) -> list:
-        """Without what the host fixes, unless it is so much that the pages are copies. A heading may be the article's own though several pages have it."""
-        own = [b for b in some if b[1].tag in HEADINGS or _text_key(b[1], b[0]) not in host.fixed] if decides else some
+    def unfixed(some: list, article: bool = False) -> list:
+        """Without what the host fixes, unless it is so much that the pages are copies. A heading may be the article's own though several pages have it, and so may, in what tags say is the article,
+        any paragraph, list item, quotation and the like: only texts of plain boxes go there."""
+        own = [b for b in some if b[1].tag in HEADINGS or (article and b[1].tag in TEXTS) or _text_key(b[1], b[0]) not in host.fixed] if decides else some
         return own if 2 * sum(len(b[0]) for b in own) >= sum(len(b[0]) for b in some) else some
 
     if decides and not host.tagged and (held := [b for b in live if b[3]]):
@@ -482,11 +494,15 @@ def main_text(page: str, host: Host | None = None) -> str:
         for b, n in zip(live, outer, strict=True):
             if n is not None:
                 sizes[id(n)] += len(b[0])
+        nodes = {id(n): n for n in outer if n is not None}
+        if told := {k: n for k, n in sizes.items() if not _of_links(nodes[k])}:
+            sizes = Counter(told)
         if sizes:
             best = max(sizes.values())
-            # Parts of one article can be siblings; small ones beside it are teasers.
-            keep = {k for k, n in sizes.items() if n == best or (kind != "article" and 4 * n >= best)}
-            return "\n".join(b[0] for b in unfixed([b for b, n in zip(live, outer, strict=True) if n is not None and id(n) in keep]))
+            # Parts of one article can be siblings; small ones beside it, and those that are links for the most part, are teasers.
+            beside = {id(x) for b in live for parent in b[2] if any(isinstance(x, Node) and sizes[id(x)] == best for x in parent.items) for x in parent.items if isinstance(x, Node)}
+            keep = {k for k, n in sizes.items() if n == best or (4 * n >= best and (kind != "article" or (2 * n >= best and k in beside)))}
+            return "\n".join(b[0] for b in unfixed([b for b, n in zip(live, outer, strict=True) if n is not None and id(n) in keep], True))
     live = unfixed(live)
     if not live:
         return ""
@@ -502,7 +518,8 @@ def main_text(page: str, host: Host | None = None) -> str:
     if deepest and total:
         key = max(deepest)[1]
         live = [b for b in live if any(id(n) == key for n in b[2])] or live
-    return "\n".join(b[0] for b in live if links(b) < 0.7 * len(b[0]) or b[1].tag == "p" or b[1].tag in HEADINGS)
+    # A list item that is a link stays if its list isn't one of links.
+    return "\n".join(b[0] for b in live if links(b) < 0.7 * len(b[0]) or b[1].tag == "p" or b[1].tag in HEADINGS or (b[1].tag in TEXTS and len(b[2]) > 1 and not _of_links(b[2][-2])))
 
 
 def host_of(url: Column) -> Column:
@@ -515,93 +532,101 @@ def _source(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     return own.withColumn("host", F.xxhash64(host_of(F.col("url")))).withColumn("page", F.xxhash64("host", F.coalesce("html", F.lit(""))))
 
 
+def _distinct(source: DataFrame) -> DataFrame:
+    """(host, salt, page, html), by host and salt in order of page: the distinct pages of each host, in SALTS places. Copies in a task are left out before they are sent."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for batch in batches:
+            new = []
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                if page not in known:
+                    known.add(page)
+                    new.append(i)
+            if len(known) >= KNOWN_PAGES:
+                known.clear()  # what comes twice then is left out below
+            yield batch.take(pa.array(new, pa.int64()))
+
+    own = source.select("host", "page", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"), "html").mapInArrow(once, "host long, page long, salt int, html string")
+    return own.repartition(partitions(source.sparkSession), "host", "salt").sortWithinPartitions("host", "salt", "page").select("host", "salt", "page", "html")
+
+
 def _observed(source: DataFrame) -> DataFrame:
-    """What tasks see of hosts: rows (host, wrapper, task) with a wrapper as JSON of all distinct pages of the host in the task, and rows (host, key, page) for
-    each text of them, LEAST_PAGES of each at most in a task, which is what counts of it."""
+    """(host, salt, wrapper, place, key, pages): for each host and salt a row with the wrapper of its pages as JSON and their number, and a row for each place of text."""
+    types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, Wrapper] = {}
-        known: set[int] = set()
-        often: Counter = Counter()
-        task = TaskContext.get().partitionId()
-        out: list[tuple] = []
+        last, page_before, own, found, n = None, None, None, {}, 0
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["host", "key", "page", "task", "wrapper"])
+            out = [(*last, json.dumps(own), None, None, n), *((*last, None, place, key, m) for place, (key, m) in found.items())] if last else []
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names=["host", "salt", "wrapper", "place", "key", "pages"])
 
         for batch in batches:
-            for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_texts(batch.column(2)), strict=True):
-                if page in known:
+            for host, salt, page, text in zip(*(batch.column(i).to_pylist() for i in range(3)), as_texts(batch.column(3)), strict=True):
+                if (host, salt) != last:
+                    if last:
+                        yield rows()
+                    last, page_before, own, found, n = (host, salt), None, None, {}, 0
+                if page == page_before:
                     continue
-                known.add(page)
+                page_before, n = page, n + 1
                 root = parse(text)
-                own[host] = inferred(own.get(host), folded(root))
-                for key in text_keys(root):
-                    if often[host ^ key] < LEAST_PAGES:
-                        often[host ^ key] += 1
-                        out.append((host, key, page, None, None))
-                if len(known) >= KNOWN_PAGES:
-                    # Counts begin anew, so that what a worker holds is bounded; the sums after the shuffle are of all.
-                    known.clear()
-                    often.clear()
-            yield rows()
-        out += [(host, None, None, task, json.dumps(w)) for host, w in own.items()]
+                own = inferred(own, folded(root))
+                add_places(found, places(root))
         yield rows()
 
-    return source.select("host", "page", "html").mapInArrow(look, "host long, key long, page long, task int, wrapper string")
+    return _distinct(source).mapInArrow(look, "host long, salt int, wrapper string, place long, key long, pages long")
 
 
-def wrappers(observed: DataFrame) -> DataFrame:
-    """(host, wrapper): each host's wrapper as JSON, of all its pages: tasks' ones are aligned one after another, those of a host in SALTS places at first."""
+def hosts(source: DataFrame) -> DataFrame:
+    """(host, wrapper, pages, fixed): each host's wrapper as JSON, of all its distinct pages, their number, and the keys of the texts that it fixes, which LEAST_PAGES of them have at a place where no page has another.
+
+    Wrappers of a host's salts are aligned in their order, so it doesn't matter how the table is split.
+    """
+    observed = settle(_observed(source))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own, n = None, None, 0
         for batch in batches:
             done = []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if host != last and own is not None:
-                    done.append((last, json.dumps(own)))
-                    own = None
-                last, own = host, inferred(own, json.loads(text))
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.int64()), pa.array([w for _, w in done], pa.string())], names=["host", "wrapper"])
+            for host, text, pages in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if host != last:
+                    if own is not None:
+                        done.append((last, json.dumps(own), n))
+                    last, own, n = host, None, 0
+                own, n = inferred(own, json.loads(text)), n + pages
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["host", "wrapper", "pages"])
         if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([json.dumps(own)], pa.string())], names=["host", "wrapper"])
-
-    n = partitions(observed.sparkSession)
-    some = observed.where("wrapper is not null").repartition(n, "host", F.pmod("task", F.lit(SALTS))).sortWithinPartitions("host", "task").select("host", "wrapper")
-    some = some.mapInArrow(align, "host long, wrapper string")
-    return some.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(align, "host long, wrapper string")
-
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([json.dumps(own)], pa.string()), pa.array([n], pa.int64())], names=["host", "wrapper", "pages"])
 
-def fixed_texts(observed: DataFrame) -> DataFrame:
-    """(host, key): the texts that LEAST_PAGES distinct pages of a host have in the same elements."""
-    each = observed.where("key is not null").select("host", "key", "page").distinct()
-    return each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "key")
+    some = observed.where("wrapper is not null").repartition(partitions(source.sparkSession), "host").sortWithinPartitions("host", "salt").select("host", "wrapper", "pages")
+    found = some.mapInArrow(align, "host long, wrapper string, pages long")
+    each = observed.where("place is not null").groupBy("host", "place").agg(F.min("key").alias("key"), F.max("key").alias("most"), F.sum("pages").alias("n"))
+    fixed = each.where((F.col("n") >= LEAST_PAGES) & (F.col("key") == F.col("most")) & (F.col("key") != VARIES))
+    return found.join(fixed.groupBy("host").agg(F.collect_list("key").alias("fixed")), "host", "left")  # places of a template
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages: the main text of the whole html.
 
     Blocks go in page order, joined by line breaks; white space in a block is one blank. A null html counts as empty, whose text is empty; a null url
-    is of the host "", whose pages share a wrapper. Very long and very deep pages are taken whole, in time that grows with their length. Repeated rows each
-    come back, rows with a null id too. Other columns aren't read; an empty table gives no rows.
+    is of the host "", whose pages share a wrapper. Very long and very deep pages are taken whole, in time that grows with their length: of over ALIGNED nodes in an element wrappers are aligned a part at a time, and elements
+    below DEEP levels are of their ancestor there. Repeated rows each come back, rows with a null id too, and neither they nor how the table is split change what a host's wrapper is. Other columns aren't
+    read; an empty table gives no rows.
+
+    What several pages of a host share stays in an article that tags show, but for texts of plain boxes at a place where all pages have the same.
     """
     source = _source(pages, id_col, url_col, html_col)
-    observed = settle(_observed(source))
-    found, fixed = settle(wrappers(observed)), settle(fixed_texts(observed))
-    size = (found.agg(F.sum(F.length("wrapper") + 100)).first()[0] or 0) + 100 * fixed.count()
+    found = settle(hosts(source))
+    size = found.agg(F.sum(F.length("wrapper") + 100 + 8 * F.coalesce(F.size("fixed"), F.lit(0)))).first()[0] or 0
     schema = "page_id long, url string, text string, n_chars long"
 
-    def result(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def result(ids: list[int], urls: list[str], texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if size <= BROADCAST_BYTES:
-        keys: dict[int, set[int]] = {}
-        for r in fixed.collect():
-            keys.setdefault(r["host"], set()).add(r["key"])
-        sent = pages.sparkSession.sparkContext.broadcast(({r["host"]: r["wrapper"] for r in found.collect()}, keys))
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["wrapper"], r["fixed"] or (), r["pages"]) for r in found.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read: dict[int, Host] = {}
@@ -609,30 +634,28 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = []
                 for host, page in zip(batch.column(3).to_pylist(), as_texts(batch.column(2)), strict=True):
                     if host not in read:
-                        read[host] = Host(json.loads(sent.value[0][host]), sent.value[1].get(host, set()))
+                        wrapper, fixed, n = sent.value[host]
+                        read[host] = Host(json.loads(wrapper), set(fixed), n)
                     texts.append(main_text(page, read[host]))
-                yield result(batch.column(0), batch.column(1), texts)
+                yield result(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)
 
         return source.select("page_id", "url", "html", "host").mapInArrow(run, schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        own = None
         for batch in batches:
-            texts = []
-            for page, wrapper, own_keys in zip(as_texts(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if wrapper != last:
-                    last, own = wrapper, Host(json.loads(wrapper), set())
-                own.fixed = set(own_keys or ())
-                texts.append(main_text(page, own))
-            yield result(batch.column(0), batch.column(1), texts)
-
-    # Of what a host fixes a page gets what it has itself.
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(h, k, p) for h, p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_texts(batch.column(2)), strict=True) for k in text_keys(parse(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["host", "key", "page"])
-
-    has = source.select("host", "page", "html").mapInArrow(keys_of, "host long, key long, page long").distinct()
-    own_fixed = salted_join(has, fixed, ["host", "key"], F.col("page"), SALTS).groupBy("page").agg(F.collect_list("key").alias("keys"))
-    with_keys = salted_join(source, own_fixed, ["page"], F.coalesce("page_id", F.lit(0)), SALTS, "left")
-    return salted_join(with_keys, found, ["host"], F.col("page"), SALTS).select("page_id", "url", "html", "wrapper", "keys").mapInArrow(each, schema)
+            out = []
+            for page_id, url, page, wrapper, fixed, n in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if wrapper is not None:
+                    own = Host(json.loads(wrapper), set(fixed or ()), n)
+                else:
+                    out.append((page_id, url, main_text(page or "", own)))
+            yield result([r[0] for r in out], [r[1] for r in out], [r[2] for r in out])
+
+    # A host's wrapper goes once to each of its places, ahead of the pages there.
+    none = lambda kind: F.lit(None).cast(kind)
+    ahead = found.select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("order"), none("long").alias("page_id"), none("string").alias("url"), none("string").alias("html"), "wrapper", "fixed", "pages")
+    spread = F.pmod(F.xxhash64("page", F.coalesce("page_id", F.lit(0))), F.lit(SALTS)).cast("int")
+    rows = source.select("host", spread.alias("salt"), F.lit(1).alias("order"), "page_id", "url", "html", none("string").alias("wrapper"), none("array<long>").alias("fixed"), none("long").alias("pages"))
+    sent = ahead.unionAll(rows).repartition(partitions(pages.sparkSession), "host", "salt").sortWithinPartitions("host", "salt", "order")
+    return sent.select("page_id", "url", "html", "wrapper", "fixed", "pages").mapInArrow(each, schema)

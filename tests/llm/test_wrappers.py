@@ -1,5 +1,6 @@
 import time
-from collections import Counter
+
+from pyspark.sql import functions as F
 
 from coverscope.llm import wrappers as W
 
@@ -14,12 +15,12 @@ def page(title, paragraphs, extra=""):
 
 def host(pages):
     """What several pages have in common, plainly."""
-    wrapper, seen = None, Counter()
-    for p in set(pages):
+    wrapper, seen = None, {}
+    for p in sorted(set(pages)):
         root = W.parse(p)
         wrapper = W.inferred(wrapper, W.folded(root))
-        seen.update(W.text_keys(root))
-    return W.Host(wrapper, {k for k, n in seen.items() if n >= W.LEAST_PAGES})
+        W.add_places(seen, W.places(root))
+    return W.Host(wrapper, {k for k, n in seen.values() if n >= W.LEAST_PAGES and k != W.VARIES}, len(set(pages)))
 
 
 def test_article_without_what_is_around_it():
@@ -118,13 +119,46 @@ def test_rows_broadcast_or_joined(spark, monkeypatch):
     assert W.extracted(pages.where("false")).count() == 0
 
 
-def test_given_pages():
+def blocks_of_article(h):
     import html
     import re
 
-    import duckdb
-
-    for _, h in duckdb.sql("select page_id, html from '/root/testdata/sf0.001/pages.parquet'").fetchall():
-        inner = h[h.index("<article>") : h.index("</article>")].replace("<br>", " ")
-        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", inner)]
-        assert W.main_text(h, host([h])) == "\n".join(b for b in blocks if b)
+    inner = h[h.index("<article>") : h.index("</article>")].replace("<br>", " ")
+    return "\n".join(x for b in re.split(r"</?(?:p|h1)[^>]*>", inner) if (x := " ".join(html.unescape(re.sub("<[^>]*>", "", b)).split())))
+
+
+def test_given_pages_whole_hosts(spark):
+    """Every page of every host, extracted with its host's wrapper, is the blocks of its article: none is lost, none added."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r["page_id"]: blocks_of_article(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in W.extracted(pages).collect()}
+    assert len(got) == 2500 and got == want
+
+
+def test_paragraphs_that_pages_share_stay(spark):
+    shared = ["Released under the MIT License.", "The same sentence in several articles."]
+    texts = [f"<body><nav>Menu</nav><article><h1>T{i}</h1><p>Text {i} is long enough to be the most of it.</p><p>{shared[i % 2]}</p><ul><li>Same item</li></ul><div class='box'>Read us daily</div></article></body>" for i in range(12)]
+    pages = spark.createDataFrame([(i, "https://h.example/x", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    for r in W.extracted(pages).collect():
+        i = r["page_id"]
+        assert r["text"] == f"T{i}\nText {i} is long enough to be the most of it.\n{shared[i % 2]}\nSame item"
+
+
+def test_any_split_gives_the_same_texts(spark, monkeypatch):
+    texts = [untold(i, f"<p>Paragraph {i} of the article that tells of many things that happened and will be told.</p>" * (1 + 3 * i)) for i in range(3)]
+    rows = [(10 * i + k, "https://h.example/x", t) for i, t in enumerate(texts) for k in range(4)] + [(100 + i, f"https://h{i % 2}.example/", page(f"T{i}", ["a b c"])) for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(map(tuple, W.extracted(x).collect())) for x in (frame.coalesce(1), frame.repartition(4), frame.repartition(7, "html"), frame.orderBy(F.desc("page_id")))]
+    monkeypatch.setattr(W, "KNOWN_PAGES", 1)
+    got.append(sorted(map(tuple, W.extracted(frame.repartition(3)).collect())))
+    assert all(x == got[0] for x in got)
+    # Copies don't make a host's wrapper decide.
+    alone = {r[0]: r[2] for r in got[0]}
+    assert all(alone[10 * i] == W.main_text(t, None) for i, t in enumerate(texts))
+
+
+def test_an_article_in_two_siblings_and_items_that_are_links():
+    two = "<body><article><h1>A</h1><p>The first half of the story is told in this element.</p></article><article><p>The second half of the story is told in this one.</p></article><article><p><a href=1>Another story that is only linked to from here, at some length</a></p></article></body>"
+    assert W.main_text(two) == "A\nThe first half of the story is told in this element.\nThe second half of the story is told in this one."
+    items = "<body><div><h1>List</h1><p>Here is what we think of each of these, in order of how good they are to us.</p><ul><li><a href=1>A book with a long title</a></li><li>A film without a link, of which we tell more here than of the book</li></ul></div></body>"
+    assert W.main_text(items).split("\n")[2:] == ["A book with a long title", "A film without a link, of which we tell more here than of the book"]

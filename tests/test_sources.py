@@ -1,8 +1,9 @@
 import hashlib
 import io
 import os
+import random
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,11 +241,65 @@ def test_first_rows_of_each_file(spark, tmp_path):
 
 
 def test_batches_are_passed_on_when_they_are_whole(spark, tmp_path):
-    source, sink = tmp_path / "in", str(tmp_path / "out")
+    source, folder, seen = tmp_path / "in", tmp_path / "folder", []
     schema = "batch_id string, kind string, run_id string, n int"
-    for at, rows in enumerate(([("20260827060000", "events", "r1", 1), ("20260827061500", "events", "r2", 5)], [("20260827060000", "mentions", "r1", 2)], [("20260827060000", "documents", "r1", 3)])):
+    handle = micro_batch.coherent(lambda df, n: seen.append((n, sorted((r["batch_id"], r["kind"], r["n"]) for r in df.collect()))), str(folder), keep=2)
+    b1, b2, b3 = "20260827060000", "20260827061500", "20260827063000"
+    triggers = [
+        [(b1, "events", "r1", 1), (b2, "events", "r2", 5)], [(b1, "mentions", "r1", 2)], [(b1, "documents", "r1", 3), (b3, "events", "r3", 9)],
+        [(b1, "documents", "r1", 4)],  # the second half of a kind
+        [(b2, "mentions", "r2", 6)], [(b2, "documents", "r2", 7)], [(b3, "mentions", "r3", 9)], [(b1, "events", "r1", 8)],  # too late
+    ]
+    for rows in triggers:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = micro_batch.read_stream(spark, str(source), spark.createDataFrame([], schema).schema, 1)
-        micro_batch.run_available(stream, str(tmp_path / "c"), micro_batch.coherent(micro_batch.idempotent_write(sink), str(tmp_path / "pending"))).awaitTermination()
-        written = spark.read.parquet(sink) if at == 2 else None
-    assert sorted((r["batch_id"], r["kind"], r["n"]) for r in written.collect()) == [("20260827060000", "documents", 3), ("20260827060000", "events", 1), ("20260827060000", "mentions", 2)]
+        micro_batch.run_available(stream, str(tmp_path / "c"), handle).awaitTermination()
+    whole = [(b1, "documents", 3), (b1, "events", 1), (b1, "mentions", 2)]
+    assert seen == [(2, whole), (3, sorted([*whole, (b1, "documents", 4)])), (5, [(b2, "documents", 7), (b2, "events", 5), (b2, "mentions", 6)])]
+    assert sorted(x.name for x in (folder / "pending").glob("batch_id=*")) == [f"batch_id={b2}", f"batch_id={b3}"]
+    assert [r["n"] for r in spark.read.parquet(str(folder / "late")).collect()] == [8]
+    # A trigger that is done again passes on the same.
+    handle(spark.createDataFrame(triggers[5], schema), 5)
+    assert seen[-1] == seen[-2]
+
+
+def test_windows_are_put_together_from_panes(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(NOW + timedelta(seconds=rng.randrange(9 * 86400)), rng.choice("ab"), rng.choice("xyz")) for _ in range(3000)] + [(NOW + timedelta(minutes=15 * i), "a", "edge") for i in range(900)] + [(None, "a", "x")]
+    events = spark.createDataFrame(rows, "at timestamp, kind string, outlet string")
+    add = micro_batch.add_to_panes(str(tmp_path / "panes"), "at", ["kind"], "outlet")
+    parts = events.randomSplit([1.0, 1.0, 1.0], 5)
+    for n, part in enumerate(parts):
+        add(part, n)
+        here = parts[0] if n == 0 else here.unionAll(part)  # noqa: F821
+        stored = spark.read.parquet(str(tmp_path / "panes"))
+        for hours, off in ((6, 0), (24, 7), (168, 899)):
+            end = NOW + timedelta(days=8, seconds=off)
+            got = micro_batch.window_of(stored, here, "at", ["kind"], "outlet", F.lit(end), f"{hours} hours")
+            want = here.where(F.col("at").between(F.lit(end - timedelta(hours=hours)), F.lit(end))).groupBy("kind").agg(F.count(F.lit(1)), F.countDistinct("outlet"), F.min("at"), F.max("at"))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    add(parts[1], 1)  # a replay
+    micro_batch.compacted_panes(spark, str(tmp_path / "panes"), str(tmp_path / "whole"), ["kind"], "outlet")
+    got, want = spark.read.parquet(str(tmp_path / "whole")).drop("day"), micro_batch.panes(events, "at", ["kind"], "outlet")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_requests_are_decided_as_they_come(spark, tmp_path):
+    spark.conf.set(*micro_batch.STATE_STORE)
+    rng = random.Random(3)
+    portions = [[(rng.choice("abc"), NOW + timedelta(seconds=rng.randrange(60 * k, 60 * k + 400))) for _ in range(150)] for k in range(4)]
+    portions += [[("a", NOW + timedelta(hours=6))], [("a", NOW + timedelta(seconds=5)), ("b", NOW + timedelta(hours=6, seconds=1))]]
+    for k, rows in enumerate(portions):
+        spark.createDataFrame(rows, "user string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = spark.readStream.schema("user string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = micro_batch.decided(stream, "user", "ts", limit=10)
+    query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    in_time = spark.createDataFrame([r for rows in portions for r in rows if r != ("a", NOW + timedelta(seconds=5))], "user string, ts timestamp")
+    want = {(r["window_start"], r["user"]): (r["requests"], r["over"]) for r in micro_batch.limited(in_time, "user", "ts", limit=10).collect()}
+    found = got.where("not late").groupBy("window_start", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("limited").alias("over")).collect()
+    assert {(r["window_start"], r["source"]): (r["n"], r["over"]) for r in found} == want and any(over for _, over in want.values())
+    assert got.where("late and at > '2026-09-01'").count() == 0 and got.where("not late and (remaining < 0 or retry_after_seconds not between 1 and 60)").count() == 0
+    state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "counts").load()
+    assert state.count() == 2  # windows of hours ago are gone

@@ -36,7 +36,7 @@ def validity(entries: DataFrame) -> DataFrame:
     Of entries of one key at one time the one of the greatest action holds. Rows with a null are dropped. A key's entries are ordered within
     buckets of time; what ends the last of a bucket is the first of the key's next one, so that a much-changed key isn't a single task's work.
     """
-    one = _entries(entries).withColumn("bucket", _bucket(_micros(F.col("dated"))))
+    one = _entries(entries).withColumn("bucket", _bucket(_micros(F.col("dated"), _plain(entries, "dated"))))
     firsts = one.groupBy("key", "bucket").agg(F.min("dated").alias("first"))
     after = firsts.select("key", "bucket", F.lead("first").over(Window.partitionBy("key").orderBy("bucket")).alias("after"))
     following = F.lead("dated").over(Window.partitionBy("key", "bucket").orderBy("dated"))
@@ -44,8 +44,22 @@ def validity(entries: DataFrame) -> DataFrame:
     return ended.select("key", "action", F.col("dated").alias("valid_from"), F.coalesce("following", "after").alias("valid_to"))
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+def _plain(df: DataFrame, column: str) -> bool:
+    """Whether a time has no zone."""
+    return dict(df.select(column).dtypes)[column] != "timestamp"
+
+
+def _micros(c: Column, plain: bool) -> Column:
+    """Microseconds of a time without a zone as it is written, and of one with a zone since the epoch."""
+    if not plain:
+        return F.unix_micros(c.cast("timestamp"))
+    c = c.cast("timestamp_ntz")
+    seconds = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
+def _time(micros: Column, plain: bool) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, F.expr("timestamp_ntz'1970-01-01 00:00:00'")) if plain else F.timestamp_micros(micros)
 
 
 def _bucket(t: Column) -> Column:
@@ -64,16 +78,21 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     was before), dated. Of a capture's keys the longest whose interval at that time says block or allow decides; verdict is "blocked", "allowed",
     or "none". A capture with a null time or without a host has "none".
 
+    Times without a zone are compared as they are written, whatever the session's zone is, and times with one as instants; if only one side has a zone, its times are taken as the session's zone writes them. since is of
+    the kind that was compared.
+
     As-of join of captures with validity's intervals: of a key the one that begins last until then, if it hasn't ended. Time is cut into buckets. Within a bucket captures and intervals are sorted
     together by their begin, each key's captures dealt to SALTS places with its intervals of the bucket; across buckets the interval
     that reaches out of a key's last one is carried forward, a row for each bucket. So neither a hot host nor a much-changed entry gathers in one task, and nothing is
     compared with all entries.
     """
     pairs = captures.select(F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at")).distinct()
-    until = lambda c: F.when(c.isNotNull(), _micros(c))
-    listed = settle(validity(entries)).select("key", "action", _micros(F.col("valid_from")).alias("t"), until(F.col("valid_to")).alias("until")).withColumn("bucket", _bucket(F.col("t")))
+    plain = _plain(captures, time_col) or _plain(entries, "dated")
+    micros = lambda c: _micros(c, plain)
+    until = lambda c: F.when(c.isNotNull(), micros(c))
+    listed = settle(validity(entries)).select("key", "action", micros(F.col("valid_from")).alias("t"), until(F.col("valid_to")).alias("until")).withColumn("bucket", _bucket(F.col("t")))
     asked = pairs.where(F.col("fetched_at").isNotNull()).select("url", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
-    asked = asked.join(listed.select("key").distinct(), "key", "left_semi").withColumn("t", _micros(F.col("fetched_at"))).withColumn("bucket", _bucket(F.col("t")))
+    asked = asked.join(listed.select("key").distinct(), "key", "left_semi").withColumn("t", micros(F.col("fetched_at"))).withColumn("bucket", _bucket(F.col("t")))
     salted = asked.withColumn("salt", F.pmod(F.xxhash64("url", "t"), F.lit(SALTS)).cast("int"))
     # Within a bucket.
     every = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -88,9 +107,9 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("key", "bucket", F.last("state", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
     carried = carried.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    states = within.join(carried, ["key", "bucket", "salt"], "left").select("url", "fetched_at", "key", F.coalesce("state", "carried").alias("state"), _micros(F.col("fetched_at")).alias("t"))
+    states = within.join(carried, ["key", "bucket", "salt"], "left").select("url", "fetched_at", "key", F.coalesce("state", "carried").alias("state"), micros(F.col("fetched_at")).alias("t"))
     active = states.where("state.action in ('block', 'allow') and (state.until is null or t < state.until)").groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("key").alias("n"), "key", "state")).alias("best"))
-    active = active.select("url", "fetched_at", F.when(F.col("best.state.action") == "block", "blocked").otherwise("allowed").alias("verdict"), F.col("best.key").alias("rule"), F.timestamp_micros("best.state.since").cast("timestamp_ntz").alias("since"))
+    active = active.select("url", "fetched_at", F.when(F.col("best.state.action") == "block", "blocked").otherwise("allowed").alias("verdict"), F.col("best.key").alias("rule"), _time(F.col("best.state.since"), plain).alias("since"))
     same = F.col("p.url").eqNullSafe(F.col("a.url")) & F.col("p.fetched_at").eqNullSafe(F.col("a.fetched_at"))
     return pairs.alias("p").join(active.alias("a"), same, "left").select("p.url", "p.fetched_at", F.coalesce("a.verdict", F.lit("none")).alias("verdict"), "a.rule", "a.since")
 

@@ -71,3 +71,22 @@ def test_intervals(spark):
 
 def test_query_is_as_its_sql(spark):
     same(spark, "/root/testdata/sf0.001", QUERIES["op4_url_filter"], ORACLES["op4_url_filter"])
+
+
+def test_the_zone_of_the_session_does_not_matter(spark):
+    rows = spark.sql("select 'https://a.example/' as url, timestamp_ntz'2024-03-31 02:30:00' as fetched_at union all select 'https://a.example/', timestamp_ntz'2024-03-31 03:00:00'")
+    listed = spark.sql("select 'a.example' as key, 'block' as action, timestamp_ntz'2024-03-31 03:00:00' as dated")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = U.filtered(rows, listed)
+            assert [(r["verdict"], str(r["since"])) for r in got.orderBy("fetched_at").collect()] == [("none", "None"), ("blocked", "2024-03-31 03:00:00")]
+            assert got.schema["since"].dataType.simpleString() == "timestamp_ntz"
+            # Instants an hour apart that are written alike.
+            both = spark.sql("select 'https://a.example/' as url, timestamp_seconds(1729989000 + id * 3600) as fetched_at from range(2)")
+            dated = spark.sql("select 'a.example' as key, 'block' as action, timestamp_seconds(1729991000) as dated")
+            got = U.filtered(both, dated)
+            assert [r["verdict"] for r in got.orderBy("fetched_at").collect()] == ["none", "blocked"] and got.schema["since"].dataType.simpleString() == "timestamp"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverscope.functions.text import headline_key
+from coverscope.functions.text import collated, headline_key
 from coverscope.operators.components import LOCAL_LINKS, connected_components
 from coverscope.runtime import first_by
 
@@ -47,8 +47,8 @@ def merged_articles(articles: DataFrame, ids: DataFrame) -> DataFrame:
     """Each article of a merged cluster once: the higher provider score, then the lesser URL; with its rank."""
     own = _renamed(articles, ids)
     score = F.coalesce("provider_score", F.lit(0.0))
-    kept = first_by(own, ["cluster_id", "article_id"], [-score, F.col("canonical_url"), F.col("source_cluster_id")])
-    order = Window.partitionBy("cluster_id").orderBy(score.desc(), F.col("published_at").desc_nulls_last(), "canonical_url")
+    kept = first_by(own, ["cluster_id", "article_id"], [-score, collated(F.col("canonical_url")), F.col("source_cluster_id")])
+    order = Window.partitionBy("cluster_id").orderBy(score.desc(), F.col("published_at").desc_nulls_last(), collated(F.col("canonical_url")), "canonical_url")
     return kept.withColumn("rank", F.row_number().over(order))
 
 
@@ -74,7 +74,7 @@ def merged_locations(locations: DataFrame, ids: DataFrame) -> DataFrame:
         F.max("confidence").alias("confidence"), F.min_by(F.struct(*fields), F.struct((-F.col("confidence")).alias("c"), "source_cluster_id")).alias("b"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
     )
-    order = Window.partitionBy("cluster_id").orderBy(F.col("confidence").desc(), "location_key")
+    order = Window.partitionBy("cluster_id").orderBy(F.col("confidence").desc(), collated(F.col("location_key")), "location_key")
     return out.select("cluster_id", "location_key", "confidence", "evidence", *[F.col(f"b.{c}").alias(c) for c in fields]).withColumn("rank", F.row_number().over(order))
 
 

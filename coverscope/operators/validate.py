@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coverscope.functions.urls import is_http_url
 
+# What values, methods and kinds of evidence may be.
 LOCATION_METHODS = ("article_text", "provider_event_geotag", "manual_confirmed")
 FRAMINGS = ("supports", "disputes", "straight_report", "mixed", "unclear")
 TONES = ("positive", "negative", "neutral", "mixed", "unclear")
@@ -127,6 +128,19 @@ def assessment_rules(kind: str, a: Column, evidence: bool) -> list[tuple[str, st
     return rules
 
 
+def context_issues(articles: DataFrame, json_col: str = "same_story_json", keys: list[str] | None = None) -> DataFrame:
+    """Of stored comparison contexts: one that isn't there, one that is no object, and regions whose coordinates are there but no object."""
+    keys = keys or ["cluster_id"]
+    value = F.try_parse_json(F.col(json_col))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    rules = [("missing_same_story_context", "same_story", F.col(json_col).isNull()), ("invalid_same_story_context", "same_story", F.col(json_col).isNotNull() & ~is_object(F.col("_v")))]
+    for name in ("publisherOrigin", "editorialMarket"):
+        there = F.try_variant_get("_v", f"$.{name}.value.coordinates", "variant")
+        observed = F.try_variant_get("_v", f"$.{name}.status", "string") == "observed"
+        rules.append(("invalid_coordinates", f"same_story.{name}.value.coordinates", observed & there.isNotNull() & ~is_object(there)))
+    return issues_of(articles.withColumn("_v", value), rules, keys)
+
+
 def health_issues(health: DataFrame) -> DataFrame:
     return issues_of(health, [("invalid_health_counts", "health.successful_source_count", F.col("successful_source_count") > F.col("source_count"))])
 

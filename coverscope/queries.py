@@ -12,7 +12,7 @@ from coverscope.functions import numbers as N
 from coverscope.functions import text as X
 from coverscope.functions import urls as U
 from coverscope.functions.dates import age_seconds, window_start
-from coverscope.operators import clustering, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
+from coverscope.operators import clustering, constraints, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
 from coverscope.plans import adapters as A
 from coverscope.plans import snapshot
 from coverscope.runtime import settle
@@ -746,3 +746,78 @@ def search_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = A.pages(spark, sf_dir).where("title is not null")
     counts = own.groupBy("title").agg(F.count(F.lit(1)).alias("article_count"))
     return own.join(counts, "title").select("page_id", enrich.priority(F.col("title"), F.col("article_count")).cast("long").alias("priority"))
+
+
+@query(r"""
+with w as (select lang, source, regexp_extract(text, '[\pL]+') as first, regexp_extract(text, '([\pL]+)[^\pL]*$', 1) as last from documents),
+every as (select lang, source, first as word from w union all select lang, source, last from w)
+select lang, source, count(distinct word) as n, first(word order by word collate en, word) as least, first(word order by word collate en desc, word desc) as most from every where word <> '' group by lang, source
+""")
+def collation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "documents")
+    words = F.array(F.regexp_extract("text", r"\p{L}+", 0), F.regexp_extract("text", r"(\p{L}+)[^\p{L}]*$", 1))
+    every = own.select("lang", "source", F.explode(words).alias("word")).where("word <> ''")
+    order = F.struct(X.collated(F.col("word")).alias("order"), F.col("word").alias("plain"))
+    return every.groupBy("lang", "source").agg(F.countDistinct("word").alias("n"), F.min_by("word", order).alias("least"), F.max_by("word", order).alias("most"))
+
+
+_STORAGE = {
+    "pipeline_runs": constraints.SERVING["pipeline_runs"], "story_clusters": constraints.SERVING["story_clusters"], "articles": constraints.SERVING["articles"], "story_locations": constraints.SERVING["story_locations"],
+}
+
+
+@query("""
+with runs as (select c_custkey as run_id, case when c_nationkey % 5 = 4 then 'odd' else 'running' end as status, c_acctbal as seen from customer where c_custkey % 10 <> 0),
+cl as (select o_orderkey as cluster_id, o_custkey as run_id, case when o_orderkey % 7 <> 0 then 't' end as title, o_totalprice / 300000 as confidence from orders),
+ar as (select l_orderkey || ':' || l_linenumber as article_id, l_orderkey as cluster_id, l_partkey as url, l_discount * 11 as confidence from lineitem),
+lo as (select s_suppkey % 90 as location_id, s_suppkey as cluster_id, s_suppkey * 37 % 200 - 100 as latitude, case when s_nationkey > 20 then 'orbit' else 'city' end as granularity, s_suppkey || ':1' as article from supplier),
+v as (
+  select 'pipeline_runs' as t, 'check status' as c, 1 as n from runs where status = 'odd' union all select 'pipeline_runs', 'check records_seen', 1 from runs where seen < 0
+  union all select 'story_clusters', 'not null canonical_title', 1 from cl where title is null union all select 'story_clusters', 'check cluster_confidence', 1 from cl where not confidence between 0 and 1
+  union all select 'story_clusters', 'foreign key ingestion_run_id', 1 from cl where run_id not in (select run_id from runs)
+  union all select 'articles', 'check membership_confidence', 1 from ar where not confidence between 0 and 1 union all select 'articles', 'foreign key cluster_id', 1 from ar where cluster_id not in (select cluster_id from cl)
+  union all select 'articles', 'unique article_id', count(*) - 1 from ar group by article_id having count(*) > 1 union all select 'articles', 'unique cluster_id,canonical_url', count(*) - 1 from ar group by cluster_id, url having count(*) > 1
+  union all select 'story_locations', 'unique location_id', count(*) - 1 from lo group by location_id having count(*) > 1 union all select 'story_locations', 'check latitude', 1 from lo where not latitude between -90 and 90
+  union all select 'story_locations', 'check location_granularity', 1 from lo where granularity = 'orbit' union all select 'story_locations', 'foreign key cluster_id', 1 from lo where cluster_id not in (select cluster_id from cl)
+  union all select 'story_locations', 'foreign key evidence_article_id', 1 from lo where article not in (select article_id from ar))
+select t as "table", c as "constraint", count(*) as issues, sum(n)::bigint as n from v group by t, c
+""")
+def storage_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = F.lit("x")
+    full = lambda df, name: df.withColumns({c: there for c in constraints.SERVING[name].required if c not in df.columns})
+    runs = A.table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_nationkey") % 5 == 4, "odd").otherwise("running").alias("status"), F.col("c_acctbal").alias("records_seen"), F.lit(0).alias("records_upserted"), F.lit(0).alias("retryable"))
+    clusters = A.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("cluster_id"), F.col("o_custkey").alias("ingestion_run_id"), F.when(F.col("o_orderkey") % 7 != 0, "t").alias("canonical_title"), (F.col("o_totalprice") / 300000).alias("cluster_confidence"),
+        *[F.lit(1).alias(c) for c in ("raw_article_count", "unique_publisher_count", "normalized_prominence")],
+    )
+    lines = A.table(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("long").alias("ingestion_run_id")
+    articles = lines.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("article_id"), F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("canonical_url"), (F.col("l_discount") * 11).alias("membership_confidence"), none)
+    k = F.col("s_suppkey")
+    places = A.table(spark, sf_dir, "supplier").select(
+        (k % 90).alias("location_id"), k.alias("cluster_id"), F.lit("event").alias("location_type"), F.when(F.col("s_nationkey") > 20, "orbit").otherwise("city").alias("location_granularity"), (k * 37 % 200 - 100).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit(1.0).alias("confidence"),
+        F.concat(k.cast("string"), F.lit(":1")).alias("evidence_article_id"), none,
+    )
+    tables = {"pipeline_runs": full(runs, "pipeline_runs"), "story_clusters": full(clusters, "story_clusters"), "articles": full(articles, "articles"), "story_locations": full(places, "story_locations")}
+    found = constraints.violations(tables, _STORAGE).where("constraint <> 'not null ingestion_run_id'")
+    return found.groupBy("table", "constraint").agg(F.count(F.lit(1)).alias("issues"), F.sum("n").alias("n"))
+
+
+@query("""
+with cl as (select o_custkey as snapshot_id, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders),
+ar as (select cl.snapshot_id, i, l_quantity, l_discount, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity, l_discount) - 1 as j from cl join lineitem on l_orderkey = o_orderkey)
+select snapshot_id, 'invalid_confidence' as code, 'clusters[' || i || '].confidence' as path from cl where o_totalprice > 400000
+union all select snapshot_id, 'invalid_url', 'clusters[' || i || '].articles[' || j || '].url' from ar where l_quantity > 49
+union all select snapshot_id, 'invalid_article', 'clusters[' || i || '].articles[' || j || ']' from ar where l_quantity > 48 and l_discount > 0.08
+""")
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = A.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount")))).alias("articles")
+    )
+    orders = A.table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    documents = orders.groupBy(F.col("o_custkey").alias("snapshot_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_totalprice").alias("price"), "articles"))).alias("clusters"))
+    rules = {
+        "clusters[]": [("invalid_confidence", "confidence", lambda x: x["price"] > 400000)],
+        "clusters[].articles[]": [("invalid_url", "url", lambda x: x["quantity"] > 49), ("invalid_article", "", lambda x: (x["quantity"] > 48) & (x["discount"] > 0.08))],
+    }
+    return constraints.nested_issues(documents, {"clusters": F.col("clusters")}, rules, ["snapshot_id"])

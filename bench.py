@@ -1,4 +1,4 @@
-"""Runs the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line."""
+"""Runs the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], each once, from its tables to its last row, and prints one JSON line."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from coverscope.queries import QUERIES
 HEADLINE = (
     "gated_join", "regional_prominence", "dedupe_mentions", "top_clusters", "primary_location", "story_list_region", "story_detail_nested", "pipeline_health", "rolling_window_24h",
     "rate_limit_windows", "market_heat", "conflict_pairs", "framing", "region_rollup", "stable_ids", "canonical_urls", "title_jaccard", "validation_issues", "merge_components", "compose_snapshots", "intelligence_regions",
+    "pair_scores", "greedy_clusters", "gazetteer_matches", "storage_constraints", "nested_paths", "collation_order",
 )
 
 
@@ -30,10 +31,10 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count().collect()  # the engine itself has started
     seconds = {}
     for name in HEADLINE:
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()  # compiles and reads once
-        began = time.perf_counter()
+        began = time.perf_counter()  # the first run: nothing of a query is kept for another
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))

@@ -105,7 +105,8 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Table] = SERVING)
             found.append(many.select(F.lit(name), F.lit(f"unique {','.join(columns)}"), _named(columns), "n"))
         for column, (other, target) in rule.references.items():
             if other in tables:
-                values = tables[other].select(F.col(target).alias(column)).distinct()
+                there = tables[other] if target in tables[other].columns else tables[other].withColumn(target, F.lit(None).cast(own.schema[column].dataType))
+                values = there.select(F.col(target).alias(column)).distinct()
                 absent = own.where(F.col(column).isNotNull()).join(values, column, "left_anti")
                 found.append(absent.select(F.lit(name), F.lit(f"foreign key {column}"), _named(rule.key), F.lit(1).cast("long")))
     every = found[0]

@@ -88,7 +88,7 @@ def build(events: DataFrame, mentions: DataFrame, documents: DataFrame, retrieve
 
 def composed(snapshots: list[Snapshot], most: int, include: list[str] | None = None) -> Snapshot:
     """Several snapshots as one: their clusters together, merged again, with prominence over all of them."""
-    union = lambda name: _union([getattr(s, name) for s in snapshots])
+    union = lambda name: settle(_union([getattr(s, name) for s in snapshots]))
     clusters, articles, locations = union("clusters"), union("articles"), union("locations")
     if include:
         clusters = clusters.where(F.col("cluster_id").isin(*include))

@@ -35,17 +35,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A serving table, written once for a session and read by every query that lists, details or sums up stories, as a store's tables are."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        _STORED[key] = settle(make())
-    return _STORED[key]
-
-
 # Events, mentions that pass the gates (one for each event and document), and articles, as SQL.
 GATED = """
 with ev as (
@@ -70,23 +59,15 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles of each story: event_id as cluster_id, outlet, document, title, confidence, time."""
-
-    def make() -> DataFrame:
-        own = _joined(spark, sf_dir).where("outcome = 'joined'")
-        return own.select(F.col("event_id").alias("cluster_id"), "outlet_id", F.col("identifier").alias("document_id"), F.col("doc_title").alias("title"), "confidence", "mention_time")
-
-    return _stored(spark, sf_dir, "articles", make)
+    """The articles of each story: event_id as cluster_id, outlet, document, title, confidence, time. Queries that use them several times write them once, in each call (settle)."""
+    own = _joined(spark, sf_dir).where("outcome = 'joined'")
+    return own.select(F.col("event_id").alias("cluster_id"), "outlet_id", F.col("identifier").alias("document_id"), F.col("doc_title").alias("title"), "confidence", "mention_time")
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).where("geo is not null").select(F.col("event_id").alias("cluster_id"), "region")
 
 
-def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "prominence", lambda: prominence.regional_prominence(_articles(spark, sf_dir), _regions(spark, sf_dir)))
-
-
 @query(GATED + "select event_id, document_id, outlet_id, confidence, mention_time, title from ar")
 def gated_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _joined(spark, sf_dir).where("outcome = 'joined'")
@@ -143,18 +124,16 @@ cl as (select event_id as cluster_id, any_value(region) as region, count(*) as a
 """
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        own = _articles(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"), F.countDistinct("outlet_id").alias("outlet_count"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
-        return own.join(_regions(spark, sf_dir), "cluster_id", "left")
-
-    return _stored(spark, sf_dir, "clusters", make)
+def _clusters(articles: DataFrame, regions: DataFrame) -> DataFrame:
+    own = articles.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"), F.countDistinct("outlet_id").alias("outlet_count"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
+    return own.join(regions, "cluster_id", "left")
 
 
 @query(_CLUSTERS + "select cluster_id, article_count, outlet_count, first_observed_at, last_observed_at from cl order by outlet_count desc, article_count desc, last_observed_at desc, cluster_id limit 200")
 def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = _clusters(spark, sf_dir).select("cluster_id", "first_observed_at", "last_observed_at")
-    return snapshot.ranked_clusters(headers, _articles(spark, sf_dir), 200).select("cluster_id", "article_count", "outlet_count", "first_observed_at", "last_observed_at")
+    own = settle(_articles(spark, sf_dir))
+    headers = _clusters(own, _regions(spark, sf_dir)).select("cluster_id", "first_observed_at", "last_observed_at")
+    return snapshot.ranked_clusters(headers, own, 200).select("cluster_id", "article_count", "outlet_count", "first_observed_at", "last_observed_at")
 
 
 # A story's locations: the nations of its line items' suppliers.
@@ -165,10 +144,6 @@ lo as (select l_orderkey as cluster_id, n_name as location_id, n_regionkey as re
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "locations", lambda: _placed(spark, sf_dir))
-
-
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, nation = A.table(spark, sf_dir, "supplier"), A.table(spark, sf_dir, "nation")
     outlets = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_name", "n_regionkey")
     own = A.table(spark, sf_dir, "lineitem").join(outlets, "l_suppkey")
@@ -186,8 +161,8 @@ pl as (select cluster_id, location_id as primary_location_id, confidence as prim
 
 
 def _listed(spark: SparkSession, sf_dir: str, q: serving.StoryQuery) -> DataFrame:
-    clusters = _clusters(spark, sf_dir).withColumn("raw_article_count", F.col("article_count"))
-    places = _places(spark, sf_dir).withColumn("region_code", F.concat(F.lit("R"), F.col("region_code")))
+    clusters = _clusters(_articles(spark, sf_dir), _regions(spark, sf_dir)).withColumn("raw_article_count", F.col("article_count"))
+    places = settle(_places(spark, sf_dir)).withColumn("region_code", F.concat(F.lit("R"), F.col("region_code")))
     return serving.list_stories(clusters, places, q).select("cluster_id", "article_count", "outlet_count", "first_observed_at", "last_observed_at", "primary_location_id", "primary_confidence")
 
 
@@ -212,13 +187,14 @@ left join (select cluster_id, string_agg(location_id, ',' order by confidence de
 left join (select cluster_id, string_agg(region, ',' order by round(score, 9) desc, region) as regions from pr group by all) p using (cluster_id)
 """)
 def story_detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _articles(spark, sf_dir)
+    own = settle(_articles(spark, sf_dir))
     pad = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
     articles = own.select("cluster_id", F.concat_ws(":", pad("outlet_id"), pad("document_id")).alias("article_id"), F.concat_ws(":", "outlet_id", "document_id").alias("name"), F.col("mention_time").alias("published_at"))
     places = _places(spark, sf_dir)
-    claims = A.claims(spark, sf_dir).join(_clusters(spark, sf_dir).select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "claim_id", "confidence")
-    shares = _shares(spark, sf_dir).withColumn("score", F.round("score", 9))
-    full = serving.story_details(_clusters(spark, sf_dir).select("cluster_id"), articles, places, claims, shares)
+    ids = own.select("cluster_id").distinct()
+    claims = A.claims(spark, sf_dir).join(ids, "cluster_id", "left_semi").select("cluster_id", "claim_id", "confidence")
+    shares = prominence.regional_prominence(own, _regions(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    full = serving.story_details(ids, articles, places, claims, shares)
     joined = lambda c: F.array_join(c, ",")
     return full.select("cluster_id", joined(F.col("articles.name")).alias("articles"), F.nullif(joined(F.col("locations.location_id")), F.lit("")).alias("locations"), F.nullif(joined(F.col("regional_prominence.region")), F.lit("")).alias("regions"))
 
@@ -324,12 +300,13 @@ from pl2 join so using (region_code) group by region_code
 
 def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clusters, locations, articles) with the columns of the serving tables."""
-    primary = prominence.primary_prominence(_shares(spark, sf_dir), _regions(spark, sf_dir))
-    clusters = _clusters(spark, sf_dir).join(primary, "cluster_id", "left").withColumn("raw_article_count", F.col("article_count")).withColumn("normalized_prominence", F.coalesce("normalized_prominence", F.lit(0.0)))
+    own, regions = settle(_articles(spark, sf_dir)), settle(_regions(spark, sf_dir))
+    primary = prominence.primary_prominence(prominence.regional_prominence(own, regions), regions)
+    clusters = _clusters(own, regions).join(primary, "cluster_id", "left").withColumn("raw_article_count", F.col("article_count")).withColumn("normalized_prominence", F.coalesce("normalized_prominence", F.lit(0.0)))
     none = F.lit(None).cast("string")
-    locations = _places(spark, sf_dir).select("*", F.col("location_id").alias("label"), F.lit("country").alias("granularity"), none.alias("country_code"), F.lit("a").alias("evidence_article_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
-    articles = _articles(spark, sf_dir).select("cluster_id", F.col("outlet_id").alias("domain"), (F.col("outlet_id") % 3).alias("language"), (F.col("confidence") / 100).alias("membership_confidence"))
-    return clusters, locations, articles
+    locations = settle(_places(spark, sf_dir)).select("*", F.col("location_id").alias("label"), F.lit("country").alias("granularity"), none.alias("country_code"), F.lit("a").alias("evidence_article_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    articles = own.select("cluster_id", F.col("outlet_id").alias("domain"), (F.col("outlet_id") % 3).alias("language"), (F.col("confidence") / 100).alias("membership_confidence"))
+    return settle(clusters), locations, articles
 
 
 @query(_LIST.replace("with ev", "with ev", 1).replace(_CLUSTERS, _REGIONAL + "," + _CLUSTERS[len(GATED) + 1:], 1) + _ROLLUP.format(stories="cl"))
@@ -469,9 +446,35 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("a", "b", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query()
+# One article after another, each with its scores with all before it; the groups so far are a list.
+@query("with recursive" + _TITLE + f""",
+pt as (select lpad(page_id::varchar, 10, '0') as id, page_id * 600 / 3600.0 as h, {_TOKENS} as t, {_NAMES} as n from tl where title is not null qualify row_number() over (partition by url order by page_id) = 1),
+od as (select *, row_number() over (order by h, id) as i from pt),
+parts as (
+  select l.i as j, r.i as i, case when len(l.t) + len(r.t) = 0 then 0.0 else {_SHARE.format("t")} end as title, case when len(l.n) > 0 and len(r.n) > 0 then {_SHARE.format("n")} end as entities, exp(-abs(l.h - r.h) / 36) as near
+  from od l join od r on l.i < r.i),
+sc as materialized (select j, i, round((title * 0.38 + coalesce(entities * 0.23, 0) + near * 0.14) / (0.38 + 0.14 + case when entities is null then 0 else 0.23 end), 12) as score from parts),
+rows as materialized (select i, list(score order by j) as s from sc group by i),
+g as (
+  select 1::bigint as i, [1::bigint] as grp, [1.0::double] as conf, [null::bigint] as matched, [null::double] as mean
+  union all
+  select i, list_append(grp, coalesce(best.k, list_max(grp) + 1)), list_append(conf, coalesce(best.top, 1.0)), list_append(matched, best.at), list_append(mean, best.mean)
+  from (
+    select rows.i, grp, conf, matched, mean,
+      list_sort(list_filter(list_transform(list_distinct(list_filter(grp, lambda k, p: s[p] >= 0.5)), lambda k: {{
+        'low': -list_max(list_filter(s, lambda x, p: grp[p] = k)), 'k': k, 'top': list_max(list_filter(s, lambda x, p: grp[p] = k)), 'mean': list_avg(list_filter(s, lambda x, p: grp[p] = k)),
+        'at': list_min(list_filter(range(1, len(grp) + 1), lambda p: grp[p] = k and s[p] = list_max(list_filter(s, lambda x, q: grp[q] = k))))}}), lambda c: c.top >= 0.5 and round(c.mean, 11) >= 0.42))[1] as best
+    from g join rows on rows.i = g.i + 1)),
+fin as (select unnest(range(1, len(grp) + 1)) as i, unnest(grp) as grp, unnest(conf) as conf, unnest(matched) as matched, unnest(mean) as mean from (select * from g order by i desc limit 1)),
+mem as (select fin.*, od.id, row_number() over (partition by grp order by fin.i) - 1 as position from fin join od on od.i = fin.i),
+oth as (select a.i, coalesce(round(avg(score), 11), 1.0) as own from mem a left join mem b on a.grp = b.grp and a.i <> b.i left join sc on sc.i = greatest(a.i, b.i) and sc.j = least(a.i, b.i) group by a.i),
+can as (select grp, arg_min(id, (-own, position)) as canonical from mem join oth using (i) group by grp),
+ids as (select grp, string_agg(id, '|' order by id) as every from mem group by grp)
+select 'cluster_' || {_FNV.format("every")} as cluster_id, mem.id as article_id, position::int as position, round(conf, 6) as confidence, m.id as matched_article_id, round(mean, 6) as average, mem.id = canonical as is_canonical
+from mem join ids using (grp) join can using (grp) left join od m on m.i = mem.matched
+""")
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.clusters_of(_page_articles(spark, sf_dir))
+    return clustering.clusters_of(_page_articles(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("confidence", "average")})
 
 
 _MERGED = GATED + """,
@@ -484,7 +487,7 @@ lab as (with recursive r(u, v) as (select u, v from link union select r.u, link.
 
 @query(_MERGED + "select cluster_id, merged_id from lab")
 def merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).select("cluster_id", "merged_id")
+    return _merged(settle(_articles(spark, sf_dir)), _regions(spark, sf_dir)).select("cluster_id", "merged_id")
 
 
 def _headers(articles: DataFrame) -> DataFrame:
@@ -492,18 +495,15 @@ def _headers(articles: DataFrame) -> DataFrame:
     return articles.groupBy("cluster_id").agg(F.min_by("title", order).alias("title"), F.min("mention_time").alias("first_observed_at"), F.max("mention_time").alias("last_observed_at"))
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _articles(spark, sf_dir)
-    places = _regions(spark, sf_dir).withColumnRenamed("region", "location_key")
-    make = lambda: merge.merged_ids(_headers(own), own.select("cluster_id", F.col("document_id").cast("string").alias("canonical_url")), places)
-    return _stored(spark, sf_dir, "merged", make)
+def _merged(own: DataFrame, regions: DataFrame) -> DataFrame:
+    return merge.merged_ids(_headers(own), own.select("cluster_id", F.col("document_id").cast("string").alias("canonical_url")), regions.withColumnRenamed("region", "location_key"))
 
 
-def _half(spark: SparkSession, sf_dir: str, old: bool) -> snapshot.Snapshot:
+def _half(spark: SparkSession, sf_dir: str, every: DataFrame, old: bool) -> snapshot.Snapshot:
     """The stories of events before a day, or from it on, as a snapshot."""
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     dated = A.events(spark, sf_dir).where(F.col("date_added") < cut if old else F.col("date_added") >= cut).select(F.col("event_id").alias("cluster_id"))
-    own = _articles(spark, sf_dir).join(dated, "cluster_id", "left_semi")
+    own = every.join(dated, "cluster_id", "left_semi")
     name = F.col("document_id").cast("string")
     articles = own.select("cluster_id", name.alias("article_id"), name.alias("canonical_url"), "outlet_id", F.col("confidence").alias("provider_score"), F.col("mention_time").alias("published_at"))
     places = _regions(spark, sf_dir).join(own.select("cluster_id").distinct(), "cluster_id", "left_semi")
@@ -523,7 +523,8 @@ sh as (select co.region, cluster_id, sum(n)::bigint as article_count, count(*) a
 select cluster_id, region, article_count, outlet_count, round((article_count / regional_articles + own / regional_outlets) / 2, 9) as score from sh join rt using (region)
 """)
 def compose_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = snapshot.composed([_half(spark, sf_dir, True), _half(spark, sf_dir, False)], 300)
+    own = settle(_articles(spark, sf_dir))
+    both = snapshot.composed([_half(spark, sf_dir, own, True), _half(spark, sf_dir, own, False)], 300)
     return both.prominence.select("cluster_id", "region", "article_count", "outlet_count", F.round("score", 9).alias("score"))
 
 
@@ -538,8 +539,8 @@ union all select 'location', merged_id, region, 1.0, '1' from (select distinct m
 union all select 'claim', cluster_id, claim || polarity, max(confidence), count(distinct l_suppkey)::varchar from cl group by cluster_id, claim, polarity
 """)
 def merge_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _merged(spark, sf_dir).select("cluster_id", "merged_id")
-    own = _articles(spark, sf_dir)
+    own = settle(_articles(spark, sf_dir))
+    ids = settle(_merged(own, _regions(spark, sf_dir)).select("cluster_id", "merged_id"))
     name = F.col("document_id").cast("string")
     none = F.lit(None).cast("double")
     headers = merge.merged_headers(_headers(own), ids).select(F.lit("header").alias("kind"), "cluster_id", F.col("title").alias("item"), none.alias("value"), F.col("merged_from").cast("string").alias("detail"))
@@ -690,18 +691,6 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.unionAll(sure).unionAll(unknown).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cluster_id").alias("clusters"))
 
 
-@query(GATED + """
-select o.half, a.region, count(distinct a.event_id) as clusters, count(*) as articles from ar a join (select o_orderkey, case when o_orderdate < timestamp '1998-01-01' then 'old' else 'new' end as half from orders) o on o_orderkey = event_id group by all
-""")
-def compose_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _articles(spark, sf_dir)
-    dated = A.events(spark, sf_dir).select(F.col("event_id").alias("cluster_id"), "date_added", "region")
-    both = own.join(dated, "cluster_id")
-    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    old, new = both.where(F.col("date_added") < cut).withColumn("half", F.lit("old")), both.where(F.col("date_added") >= cut).withColumn("half", F.lit("new"))
-    return old.unionByName(new).groupBy("half", "region").agg(F.countDistinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("articles"))
-
-
 _POINTS = [("north", 60.0, 10.0), ("south", -30.0, 20.0), ("west", 10.0, -100.0), ("east", 20.0, 120.0)]
 
 

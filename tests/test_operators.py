@@ -424,3 +424,51 @@ def test_components_in_one_task_are_those_of_rounds(spark):
     edges = spark.createDataFrame([(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(200)], "u string, v string")
     assert sorted(connected_components(edges, 1000).collect()) == sorted(connected_components(edges).collect())
     assert connected_components(edges.where("false"), 10).count() == 0
+
+
+def test_constraints_of_stored_tables(spark):
+    from coverscope.operators import constraints
+
+    rules = {
+        "parents": constraints.Table(("id",), ("name",), {"size": constraints.at_least("size", 0)}),
+        "children": constraints.Table(("a", "b"), ("missing",), {"kind": constraints.one_of("kind", "x")}, (("kind", "size"),), {"parent": ("parents", "id"), "other": ("elsewhere", "id")}),
+    }
+    parents = spark.createDataFrame([(1, "n", 1), (1, None, -1), (None, "n", None), (2, "n", 3)], "id int, name string, size int")
+    children = spark.createDataFrame([(1, 1, "x", 1, 1, 9), (1, 1, "y", 1, 3, 9), (1, 2, "x", 1, None, 9), (2, 2, None, None, 2, 9), (2, 3, None, None, 2, 9)], "a int, b int, kind string, size int, parent int, other int")
+    got = sorted(map(tuple, constraints.violations({"parents": parents, "children": children}, rules).collect()))
+    assert got == sorted(
+        [("parents", "not null name", "1", 1), ("parents", "check size", "1", 1), ("parents", "not null id", "null", 1), ("parents", "unique id", "1", 1), ("children", "unique a,b", "1|1", 1), ("children", "unique kind,size", "x|1", 1), ("children", "check kind", "1|1", 1), ("children", "foreign key parent", "1|1", 1)]
+        + [("children", "not null missing", k, 1) for k in ("1|1", "1|1", "1|2", "2|2", "2|3")]
+    )
+    # Every serving table's rules can be evaluated, whatever columns it has.
+    assert constraints.violations({n: parents for n in constraints.SERVING}).count() > 0
+
+
+def test_paths_of_nested_documents(spark):
+    from coverscope.operators import constraints
+
+    rows = spark.sql("select 's' as id, array(named_struct('v', 1, 'inner', array(named_struct('w', 1), null, named_struct('w', 5))), null, named_struct('v', 9, 'inner', null)) as outer union all select 'none', null")
+    rules = {"outer[]": [("large", "v", lambda x: x["v"] > 5), ("null_item", "", lambda x: x.isNull())], "outer[].inner[]": [("large", "w", lambda x: x["w"] > 3)]}
+    got = sorted(tuple(r) for r in constraints.nested_issues(rows, {"outer": F.col("outer")}, rules, ["id"]).collect())
+    assert got == [("s", "large", "outer[0].inner[2].w"), ("s", "large", "outer[2].v"), ("s", "null_item", "outer[1]")]
+    assert constraints.nested_issues(rows, {"outer": F.col("outer")}, {"outer[].inner[]": rules["outer[].inner[]"]}, ["id"]).count() == 1
+
+
+def test_contexts_of_odd_shapes(spark):
+    import json
+
+    market = lambda c: json.dumps({"editorialMarket": {"status": "observed", "value": {"regionCode": "R", "coordinates": c}}})
+    rows = [("none", None), ("text", '"x"'), ("list", "[1]"), ("broken", "{"), ("ok", market({"latitude": 1})), ("absent", "{}"), ("list_of", market([1, 2])), ("number", market(7)), ("unknown", json.dumps({"editorialMarket": {"status": "unknown", "value": {"coordinates": 1}}}))]
+    got = sorted((r["cluster_id"], r["code"]) for r in validate.context_issues(spark.createDataFrame(rows, "cluster_id string, same_story_json string")).collect())
+    assert got == sorted([("none", "missing_same_story_context"), ("text", "invalid_same_story_context"), ("list", "invalid_same_story_context"), ("broken", "invalid_same_story_context"), ("list_of", "invalid_coordinates"), ("number", "invalid_coordinates")])
+
+
+def test_ties_go_in_collated_order(spark):
+    from coverscope.functions import text as X
+
+    words = ["b", "B", "á", "a", "A", "ab", "a-c", "a/b", "_a", "1", "Z", "é"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r["w"] for r in rows.orderBy(X.collated(F.col("w"))).collect()] == ["_a", "1", "a", "A", "á", "a-c", "a/b", "ab", "b", "B", "é", "Z"]
+    ids = spark.createDataFrame([("c1", "m"), ("c2", "m")], "cluster_id string, merged_id string")
+    articles = spark.createDataFrame([("c1", "x", "https://h.example/B", "o", 1.0, None), ("c2", "x", "https://h.example/a", "o", 1.0, None)], "cluster_id string, article_id string, canonical_url string, outlet_id string, provider_score double, published_at timestamp")
+    assert merge.merged_articles(articles, ids).first()["canonical_url"] == "https://h.example/a"

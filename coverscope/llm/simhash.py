@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverscope.llm.common import as_bytes, map_slices
-from coverscope.operators.components import connected_components
+from coverscope.operators.components import LOCAL_LINKS, connected_components
 from coverscope.runtime import salted_join, settle
 
 SEED = 42
 #: Members of a block's group that one task compares with as many others; larger groups are dealt out as pairs of such chunks.
 CHUNK = 1024
+#: Members, and distinct shingles, of a family's chunk that one task compares with as many others by their shingles.
+FAMILY_CHUNK, FAMILY_SHINGLES = 512, 4_000_000
 #: Salts of joins on a key that a great part of the rows may have.
 SALTS = 32
 #: Wide fingerprints, for texts alike by WIDE_SHINGLE-word shingles to ALIKE or more: their bits; and bits in which two may differ
@@ -26,6 +28,8 @@ SALTS = 32
 WIDE_SHINGLE, WIDE_BITS, ALIKE, SURE_DISTANCE, WIDE_DISTANCE = 5, 1024, 0.8, 105, 201
 #: Shingles of a text up to which its fingerprint is too coarse to tell, so that its pairs are all compared by their shingles.
 FEW = 64
+#: Shingles of a text up to which they go with it, in 32 bits: those of the texts that can be alike to one of FEW.
+SHORT = FEW * 5 // 4
 #: Rows (of 16 bytes) up to which those that go are sent to all tasks; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 500_000
 #: Members of a block's group that are written as pairs; larger groups are compared by chunks.
@@ -145,47 +149,79 @@ def _forest(nodes: np.ndarray, sigs: np.ndarray, distance: int) -> tuple[list[in
     return us, vs
 
 
-def _dealt(shared: DataFrame) -> DataFrame:
-    """(key, a, b, node) of (key, node, n): a key's n nodes in chunks by hash, and each pair a <= b of chunks."""
+def _dealt(shared: DataFrame, chunks: Column | None = None) -> DataFrame:
+    """(key, a, b, node) of (key, node, n): a key's n nodes in chunks (of CHUNK) by hash, and each pair a <= b of chunks."""
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("c")).cast("int")
-    dealt = shared.withColumn("c", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("a", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    dealt = shared.withColumn("c", (F.ceil(F.col("n") / CHUNK) if chunks is None else chunks).cast("int")).withColumn("a", mine).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     return dealt.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "node")
 
 
 def chunk_links(shared: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(u, v, sure): the pairs of large groups of (key, node, n) that are or may be near, by (node, size, sig).
-
-    Pairs that are near beyond doubt are as few as connect the same nodes; those that may be are all that these don't connect in their chunks.
-    """
+    """(u, v, sure): pairs of large groups of (key, node, n) that are near beyond doubt, or may be, by (node, size, sig, own): as few as connect the same nodes in their chunks."""
     dealt = salted_join(_dealt(shared), sigs, ["node"], F.col("key"), 1)
-    groups = dealt.groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "size", "sig")).alias("x")).select(F.col("x.node").alias("nodes"), F.col("x.size").alias("sizes"), F.col("x.sig").alias("sigs"))
+    groups = dealt.groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "size", "sig", "own")).alias("x")).select(*[F.col(f"x.{c}").alias(f"{c}s") for c in ("node", "size", "sig", "own")])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                nodes, sizes, sigs = (batch.column(k)[i].values for k in range(3))
-                yield from _near_in_group(nodes.to_numpy(), sizes.to_numpy(), np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(len(nodes), -1))
+                nodes, sizes, sigs, own = (batch.column(k)[i].values for k in range(4))
+                nodes = nodes.to_numpy()
+                yield _near_in_group(nodes, sizes.to_numpy(), np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(len(nodes), -1), own.to_pylist())
         pa.default_memory_pool().release_unused()
 
     return groups.mapInArrow(links, "u long, v long, sure boolean")
 
 
-def _near_in_group(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    many = sizes > FEW
-    us, vs = _forest(nodes[many], sigs[many], SURE_DISTANCE)
-    number = {x: i for i, x in enumerate(nodes.tolist())}
+def _forest_of_short(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links (of numbers of sets) that connect what is alike to ALIKE, directly or through others; fewer links than sets."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate([np.empty(0, np.uint32), *sets])
+    _, kind = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(kind, kind="stable")
+    having, begin = owner[order], np.concatenate(([0], np.cumsum(np.bincount(kind))))  # by shingle, the sets that have it
+    at = np.cumsum(sizes) - sizes
+    us, vs = [], []
+    left = np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first], queue = False, [first]
+        while queue:
+            x = queue.pop()
+            shared = np.bincount(np.concatenate([np.empty(0, np.int64), *(having[begin[k] : begin[k + 1]] for k in kind[at[x] : at[x] + sizes[x]].tolist())]), minlength=len(sets))
+            near = np.flatnonzero(left & (5 * shared >= 4 * (sizes + sizes[x] - shared)))
+            left[near] = False
+            us += [x] * len(near)
+            vs += near.tolist()
+            queue += near.tolist()
+    return us, vs
+
+
+def _near_in_group(nodes: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, own: list[bytes]) -> pa.RecordBatch:
+    """(u, v, sure) of a group: links that connect what is near beyond doubt by fingerprints or, of short texts, by their shingles; then links that connect what may be near besides. Together fewer than its nodes."""
+    many, short = np.flatnonzero(sizes > FEW), np.flatnonzero(sizes <= SHORT)
+    us, vs = _forest(many, sigs[many], SURE_DISTANCE)
+    found = _forest_of_short([np.frombuffer(own[i], np.uint32) for i in short.tolist()])
     part = np.arange(len(nodes))
-    for u, v in zip(us, vs, strict=True):  # a forest: each v comes once, after its u
-        part[number[v]] = part[number[u]]
-    x, y = [np.array(us, np.int64)], [np.array(vs, np.int64)]
+    x, y = [], []
+    for u, v in zip([*us, *short[found[0]].tolist()], [*vs, *short[found[1]].tolist()], strict=True):
+        if part[u] != part[v]:
+            part[part == part[v]] = part[u]
+            x.append(u)
+            y.append(v)
+    n_sure = len(x)
     for i in range(len(nodes) - 1):
-        ok = (part[i + 1 :] != part[i]) & (5 * np.minimum(sizes[i + 1 :], sizes[i]) >= 4 * np.maximum(sizes[i + 1 :], sizes[i]))
+        later = sizes[i + 1 :]
+        ok = (part[i + 1 :] != part[i]) & (5 * np.minimum(later, sizes[i]) >= 4 * np.maximum(later, sizes[i])) & (np.maximum(later, sizes[i]) > SHORT)
         at = np.flatnonzero(ok) + i + 1
-        at = at[(np.minimum(sizes[at], sizes[i]) <= FEW) | (np.bitwise_count(sigs[at] ^ sigs[i]).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE)]
-        x.append(np.full(len(at), nodes[i]))
-        y.append(nodes[at])
-    a, b = np.concatenate(x), np.concatenate(y)
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(a)) < len(us))], names=["u", "v", "sure"])
+        at = at[np.bitwise_count(sigs[at] ^ sigs[i]).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE]
+        for other in np.unique(part[at]).tolist():
+            x.append(i)
+            y.append(int(at[part[at] == other][0]))
+        part[np.isin(part, part[at])] = part[i]
+    a, b = nodes[np.array(x, np.int64)], nodes[np.array(y, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.arange(len(a)) < n_sure)], names=["u", "v", "sure"])
 
 
 def block_links(keyed: DataFrame, distance: int) -> DataFrame:
@@ -271,11 +307,12 @@ def frequent_shingles(source: DataFrame) -> np.ndarray:
 def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): links between nodes that connect all that are alike to ALIKE or more.
 
-    Blocks' groups give pairs that may be near by their fingerprints; those that are near beyond doubt are links, the others are compared by their shingles.
+    Blocks' groups give links between what is near beyond doubt by its fingerprints (or, of short texts, by its shingles), and between what may be near: not all pairs, but as few as connect the same nodes. What is connected
+    so is a family, and within a family that has a doubtful link all pairs are compared by fingerprints and, where these can't tell, by shingles.
     """
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = settle(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
-    sigs = nodes.select("node", "size", "sig")
+    sigs = nodes.select("node", "size", "sig", "own")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +330,7 @@ def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFra
 
     small = shared.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("node").alias("nodes")).select("nodes")
     pairs = small.mapInArrow(paired, "u long, v long").distinct()
-    of = lambda c: sigs.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"))
+    of = lambda c: sigs.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("sig").alias(f"{c}_sig"), F.col("own").alias(f"{c}_own"))
     pairs = pairs.join(of("u"), "u").join(of("v"), "v")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,41 +339,84 @@ def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFra
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             small, large = (f(batch.column("u_size").to_numpy(), batch.column("v_size").to_numpy()) for f in (np.minimum, np.maximum))
             sure = (apart <= SURE_DISTANCE) & (small > FEW)
-            keep = pa.array((5 * small >= 4 * large) & ((small <= FEW) | (apart <= WIDE_DISTANCE)))
+            keep = (5 * small >= 4 * large) & (apart <= WIDE_DISTANCE)
+            # Of short texts the shingles tell.
+            for i in np.flatnonzero((5 * small >= 4 * large) & (large <= SHORT)).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint32) for c in ("u_own", "v_own"))
+                keep[i] = sure[i] = alike(x, y)
             out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure)], names=["u", "v", "sure"])
-            yield out.filter(keep)
+            yield out.filter(pa.array(keep))
         pa.default_memory_pool().release_unused()
 
     found = pairs.mapInArrow(judged, "u long, v long, sure boolean")
     large = shared.where(F.col("n") > PAIRED).select("key", "node", "n")
-    found = settle(found.unionAll(chunk_links(large, sigs)).distinct())
-    doubtful = found.where("not sure").join(found.where("sure"), ["u", "v"], "left_anti")
-    return found.where("sure").select("u", "v").unionAll(_alike(source, wide, doubtful))
+    found = settle(found.unionAll(chunk_links(large, sigs)).groupBy("u", "v").agg(F.bool_or("sure").alias("sure")))
+    families = settle(connected_components(found, LOCAL_LINKS)).select("node", F.col("label").alias("key"))
+    doubtful = found.where("not sure").select(F.col("u").alias("node")).join(families, "node").select("key").distinct()
+    members = families.join(doubtful, "key", "left_semi").join(nodes.select("node", "size", "sig"), "node")
+    return found.where("sure").select("u", "v").unionAll(_family_links(source, wide, settle(members)))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have a similarity of ALIKE or more; exact, as 4 / 5 of integers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _alike(source: DataFrame, wide: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingles are alike to ALIKE or more; each text's are hashed again, in 32 bits."""
-    asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    one = wide.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+def _family_links(source: DataFrame, wide: DataFrame, members: DataFrame) -> DataFrame:
+    """(u, v): links that connect the nodes of each family (key, node, size, sig) that are alike to ALIKE or more, directly or through others; fewer than its nodes for each pair of its chunks.
+
+    Each text's shingles are hashed again, in 32 bits. A family is dealt out as pairs of chunks of so many nodes and shingles that a task can hold them.
+    """
+    one = wide.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
 
     def of(batch: pa.RecordBatch) -> dict[str, list]:
         return {"node": batch.column(0), "set": [np.unique(shingle_hashes(x, WIDE_SHINGLE).astype(np.uint32)).tobytes() for x in as_bytes(batch.column(1))]}
 
     texts = source.select("text_key", "text").join(one, "text_key").select("node", "text").dropDuplicates(["node"])
     sets = settle(map_slices(texts, "node long, set binary", of, [("node", pa.int64()), ("set", pa.binary())]))
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    chunks = F.ceil(F.greatest(F.col("n") / FAMILY_CHUNK, F.col("total") / FAMILY_SHINGLES))
+    dealt = _dealt(salted_join(members.select("key", "node"), large, ["key"], F.col("node"), 4), chunks)
+    rows = dealt.join(members.select("node", "size", "sig"), "node").join(sets, "node")
+    groups = rows.groupBy("key", "a", "b").agg(F.collect_list(F.struct("node", "size", "sig", "set")).alias("x")).select(*[F.col(f"x.{c}").alias(f"{c}s") for c in ("node", "size", "sig", "set")])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(5 * both >= 4 * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(batch.num_rows):
+                nodes, sizes, sigs, own = (batch.column(k)[i].values for k in range(4))
+                nodes = nodes.to_numpy()
+                x, y = _alike_in_family(sizes.to_numpy(), np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(len(nodes), -1), [np.frombuffer(z, np.uint32) for z in own.to_pylist()])
+                a, b = nodes[x], nodes[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
         pa.default_memory_pool().release_unused()
 
-    both = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
+    return groups.mapInArrow(compared, "u long, v long")
+
+
+def _alike_in_family(sizes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is alike: a pair is compared by its shingles if its fingerprints can't tell and its two aren't connected."""
+    part = np.arange(len(sizes))
+    x, y = [], []
+
+    def link(i: int, j: int) -> None:
+        part[part == part[j]] = part[i]
+        x.append(i)
+        y.append(j)
+
+    many = np.flatnonzero(sizes > FEW)
+    for u, v in zip(*_forest(many, sigs[many], SURE_DISTANCE), strict=True):
+        link(u, v)
+    for i in range(len(sizes) - 1):
+        later = sizes[i + 1 :]
+        at = np.flatnonzero((part[i + 1 :] != part[i]) & (5 * np.minimum(later, sizes[i]) >= 4 * np.maximum(later, sizes[i]))) + i + 1
+        apart = np.bitwise_count(sigs[at] ^ sigs[i]).sum(axis=1, dtype=np.int64)
+        near = (np.minimum(sizes[at], sizes[i]) <= FEW) | (apart <= WIDE_DISTANCE)
+        at, apart = at[near], apart[near]
+        for j in at[np.argsort(apart, kind="stable")].tolist():  # the likeliest first
+            if part[j] != part[i] and alike(sets[i], sets[j]):
+                link(i, j)
+    return np.array(x, np.int64), np.array(y, np.int64)
 
 
 def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -348,12 +428,12 @@ def _near(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         each = [np.unique(shingle_hashes(x, WIDE_SHINGLE)) for x in as_bytes(batch.column(2))]
         nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in each], np.uint64).view(np.int64)
         keys = [block_shingles(h, sent.value).view(np.int64) for h in each]
-        return {"doc_id": batch.column(0), "text_key": batch.column(1), "node": nodes.tolist(), "size": list(map(len, each)), "sig": [wide_fingerprint(h) for h in each], "keys": keys}
+        return {"doc_id": batch.column(0), "text_key": batch.column(1), "node": nodes.tolist(), "size": list(map(len, each)), "sig": [wide_fingerprint(h) for h in each], "own": [np.unique(h.astype(np.uint32)).tobytes() if len(h) <= SHORT else b"" for h in each], "keys": keys}
 
-    columns = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]
-    wide = settle(map_slices(source, "doc_id long, text_key long, node long, size long, sig binary, keys array<long>", of, columns))
+    columns = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("own", pa.binary()), ("keys", pa.list_(pa.int64()))]
+    wide = settle(map_slices(source, "doc_id long, text_key long, node long, size long, sig binary, own binary, keys array<long>", of, columns))
     # Texts of the same shingles are one node.
-    nodes = wide.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    nodes = wide.groupBy("node").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("own").alias("own"), F.first("keys").alias("keys"))
     labels = settle(connected_components(_near_links(source, wide.select("node", "text_key"), nodes)).withColumnRenamed("label", "group"))
     rows = wide.select("doc_id", "text_key", "node")
     return settle(salted_join(rows, labels, ["node"], F.coalesce("doc_id", F.lit(0)), SALTS, "left").select("doc_id", "text_key", F.coalesce("group", "node").alias("group")))

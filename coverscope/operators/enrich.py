@@ -18,6 +18,8 @@ from coverscope.runtime import counted_so_far, first_by, settle
 # Sites that hold no articles.
 NON_ARTICLE_DOMAINS = "facebook.com instagram.com reddit.com tiktok.com x.com youtube.com".split()
 MINIMUM_SCORE, MOST_RESULTS, HOURS, RAW_CHARS = 0.5, 8, 38, 500
+# How alike two results of a story may be in words, in runs of five words, and in title.
+MOST_WORDS, MOST_SHINGLES, MOST_TITLE = 0.72, 0.12, 0.6
 
 
 def priority(title: Column, article_count: Column) -> Column:
@@ -70,24 +72,6 @@ def memberships(candidates: DataFrame, articles: DataFrame) -> DataFrame:
     return best.withColumn("confidence", confidence).where(good & (F.col("confidence") >= 0.35)).withColumn("confidence", F.least(F.lit(0.95), "confidence")).drop("ord")
 
 
-def preliminary(results: DataFrame, clusters: DataFrame, articles: DataFrame) -> DataFrame:
-    """Search results that may join their cluster: sure, new, of a site with articles, alike in words or names, near in time; the best of each domain, MOST_RESULTS of a cluster.
-
-    results: cluster_id, url, title, score, published_at. clusters: cluster_id, title, last_observed_at. articles: cluster_id, canonical_url, domain.
-    """
-    own = results.withColumn("canonical_url", U.canonical_url(F.col("url"))).withColumn("domain", U.domain(F.col("canonical_url")))
-    own = own.where((F.col("score") >= MINIMUM_SCORE) & ~F.isnan("score") & F.col("domain").isNotNull() & ~F.col("domain").isin(*NON_ARTICLE_DOMAINS))
-    own = own.join(articles.select("cluster_id", "canonical_url"), ["cluster_id", "canonical_url"], "left_anti").join(articles.select("cluster_id", U.normalized_domain(F.col("domain")).alias("domain")), ["cluster_id", "domain"], "left_anti")
-    joined = own.join(clusters.select("cluster_id", F.col("title").alias("cluster_title"), "last_observed_at"), "cluster_id")
-    joined = joined.withColumn("title_overlap", N.jaccard(X.title_tokens(F.col("cluster_title")), X.title_tokens(F.col("title"))))
-    joined = joined.withColumn("entity_overlap", F.coalesce(N.jaccard_if_any(X.entities(F.col("cluster_title")), X.entities(F.col("title"))), F.lit(0.0)))
-    near = N.seconds_between(F.col("published_at"), F.col("last_observed_at")) <= HOURS * 3600
-    joined = joined.where(((F.col("title_overlap") >= 0.08) | (F.col("entity_overlap") >= 0.1)) & near)
-    one = first_by(joined, ["cluster_id", "domain"], [-F.col("score"), F.col("canonical_url")])
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("score").desc(), "canonical_url"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= MOST_RESULTS)
-
-
 def url_batches(urls: DataFrame, size: int = 20, groups: int = 1024) -> DataFrame:
     """(url, batch): distinct URLs in batches of `size`, all of them full but the last.
 
@@ -123,7 +107,7 @@ def independent_pairs(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
         taken: list = []
         for row in frame.sort_values(["rank", "canonical_url"]).itertuples():
-            clash = any(t.network == row.network or share(t.words, row.words) > 0.72 or share(t.shingles, row.shingles) >= 0.12 or share(t.title_words, row.title_words) > 0.6 for t in taken)
+            clash = any(t.network == row.network or share(t.words, row.words) > MOST_WORDS or share(t.shingles, row.shingles) >= MOST_SHINGLES or share(t.title_words, row.title_words) > MOST_TITLE for t in taken)
             if not clash:
                 taken.append(row)
             if len(taken) == 2:
@@ -135,13 +119,6 @@ def independent_pairs(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return own.groupBy("cluster_id").applyInPandas(pick, schema)
 
 
-def capped(ranked: DataFrame, per_cluster: int, total: int) -> DataFrame:
-    """Accepted rows under a cap for each cluster and one for all, best first. ranked: cluster_id, score, article_id."""
-    order = [F.col("score").desc(), F.col("article_id")]
-    own = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).where(F.col("_r") <= per_cluster).drop("_r")
-    return own.orderBy(*order).limit(total)
-
-
 def curated(stories: DataFrame, searches: DataFrame, contents: DataFrame, selected: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A receipt's stories, searches and extracted contents that are of the selected clusters: stories by id, searches by those stories' titles, contents by those
     searches' results. Raises if a selected id isn't there.

@@ -362,10 +362,13 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _URL = "regexp_extract(url, '^([A-Za-z]+)://([^/?#:]+)([^?#]*)(?:\\?([^#]*))?', {0})"
 
 
-@query(f"""
-with p as (select page_id, lower({_URL.format(1)}) as scheme, lower({_URL.format(2)}) as host, {_URL.format(3)} as path, list_sort(list_filter(string_split({_URL.format(4)}, '&'), lambda x: x <> '' and not starts_with(lower(x), 'utm_'))) as q from pages)
-select page_id, scheme || '://' || host || case when path in ('', '/') then '/' else regexp_replace(path, '/+$', '') end || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical_url from p
-""")
+_CANONICAL = f"""
+p as (select page_id, lower({_URL.format(1)}) as scheme, lower({_URL.format(2)}) as host, {_URL.format(3)} as path, list_sort(list_filter(string_split({_URL.format(4)}, '&'), lambda x: x <> '' and not starts_with(lower(x), 'utm_'))) as q from pages),
+cu as (select page_id, scheme || '://' || host || case when path in ('', '/') then '/' else regexp_replace(path, '/+$', '') end || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical_url from p)
+"""
+
+
+@query("with" + _CANONICAL + "select page_id, canonical_url from cu")
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical_url"))
 
@@ -447,8 +450,8 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # One article after another, each with its scores with all before it; the groups so far are a list.
-@query("with recursive" + _TITLE + f""",
-pt as (select lpad(page_id::varchar, 10, '0') as id, page_id * 600 / 3600.0 as h, {_TOKENS} as t, {_NAMES} as n from tl where title is not null qualify row_number() over (partition by url order by page_id) = 1),
+@query("with recursive" + _TITLE + "," + _CANONICAL + f""",
+pt as (select lpad(page_id::varchar, 10, '0') as id, page_id * 600 / 3600.0 as h, {_TOKENS} as t, {_NAMES} as n from tl join cu using (page_id) where title is not null qualify row_number() over (partition by canonical_url order by page_id) = 1),
 od as (select *, row_number() over (order by h, id) as i from pt),
 parts as (
   select l.i as j, r.i as i, case when len(l.t) + len(r.t) = 0 then 0.0 else {_SHARE.format("t")} end as title, case when len(l.n) > 0 and len(r.n) > 0 then {_SHARE.format("n")} end as entities, exp(-abs(l.h - r.h) / 36) as near

@@ -472,3 +472,91 @@ def test_ties_go_in_collated_order(spark):
     ids = spark.createDataFrame([("c1", "m"), ("c2", "m")], "cluster_id string, merged_id string")
     articles = spark.createDataFrame([("c1", "x", "https://h.example/B", "o", 1.0, None), ("c2", "x", "https://h.example/a", "o", 1.0, None)], "cluster_id string, article_id string, canonical_url string, outlet_id string, provider_score double, published_at timestamp")
     assert merge.merged_articles(articles, ids).first()["canonical_url"] == "https://h.example/a"
+
+
+def plain_collected(clusters, articles, results, contents, target):
+    """One cluster after another, one result after another."""
+    from coverscope.plans import collect as C
+
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    stories, additions, rejected = [], [], []
+    for cluster, title, _, _ in sorted(clusters, key=lambda c: (-c[3], -c[2], c[0])):
+        domains, networks = {a[2] for a in articles if a[0] == cluster}, {a[2] for a in articles if a[0] == cluster}
+        urls, taken, candidates = {a[1] for a in articles if a[0] == cluster}, [], 0
+        own = []
+        for _, url, said, score, hours in sorted((r for r in results if r[0] == cluster), key=lambda r: (r[3] is None, -(r[3] or 0), r[1])):
+            domain, words = url.split("/")[2], said.split()
+            text = contents.get(url)
+            reason = None
+            if score is None or score < 0.5:
+                reason = C.LOW
+            elif domain == "x.com":
+                reason = C.NO_ARTICLE
+            elif url in urls:
+                reason = C.KNOWN_URL
+            elif domain in domains:
+                reason = C.KNOWN_DOMAIN
+            elif share(title.split(), words) < 0.08:
+                reason = C.UNLIKE
+            elif abs(hours) > 38:
+                reason = C.FAR
+            elif candidates == 8:
+                reason = C.FULL
+            else:
+                candidates += 1
+                domains.add(domain)
+                runs = [tuple(text.split()[i : i + 5]) for i in range(len(text.split()) - 4)] if text else []
+                if text is None:
+                    reason = C.NO_TEXT
+                elif len(taken) == 2:
+                    reason = C.ENOUGH
+                elif domain in networks | {t[0] for t in taken}:
+                    reason = C.KNOWN_NETWORK
+                elif any(share(t[1], text.split()) > 0.72 for t in taken):
+                    reason = C.SAME_WORDS
+                elif any(share(t[2], runs) >= 0.12 for t in taken):
+                    reason = C.SAME_RUNS
+                elif any(share(t[3], words) > 0.6 for t in taken):
+                    reason = C.SAME_TITLE
+                else:
+                    taken.append((domain, text.split(), runs, words, url))
+            if reason:
+                own.append((cluster, url, reason))
+        good = len(taken) == 2 and len(stories) < target
+        own += [] if good else [(cluster, t[4], C.TOO_FEW if len(taken) < 2 else C.NOT_NEEDED) for t in taken]
+        rejected += own
+        if good:
+            additions += [(cluster, i, t[4]) for i, t in enumerate(taken)]
+            stories.append(cluster)
+    return stories, additions, rejected
+
+
+@pytest.mark.parametrize("target", [4, 100, 0])
+def test_collection_is_as_one_cluster_after_another(spark, target):
+    from coverscope.plans import collect
+
+    rng = random.Random(12)
+    clusters = [(f"c{i:02}", " ".join(f"k{i}word{j}" for j in range(5)), rng.randint(1, 3), rng.choice([10, 20, 130])) for i in range(14)]
+    articles = [(c, f"https://old{k}.example/{c}", f"old{k}.example") for c, *_ in clusters for k in range(2)]
+    body = lambda seed: " ".join(f"body{seed}token{k}" for k in range(60))
+    results, contents = [], {}
+    for i, (c, title, *_) in enumerate(clusters):
+        for k in range(25):
+            url = f"https://{rng.choice(['old0', 'old1', 'x', *(f'n{q}' for q in range(12))])}.{'com' if rng.random() < 0.05 else 'example'}/{c}{k}"
+            said = rng.choice([" ".join(rng.sample(title.split(), 2) + [f"own{k}", f"more{k}", f"yet{k}"]), title, "nothing of it"])
+            results.append((c, url.replace("x.example", "x.com"), said, rng.choice([None, 0.3, 0.5, 0.7, 0.9]), rng.choice([0, 5, 20, 60])))
+            if rng.random() < 0.8:
+                contents[results[-1][1]] = rng.choice([body(f"{i}a"), body(f"{i}{k}b"), body(f"{i}{k}c"), body(f"{i}a") + f" with some more of {k} " + body(k)])
+    results += [(clusters[0][0], articles[0][1], clusters[0][1], 0.9, 0)]
+    at = lambda h: T0 + timedelta(hours=h)
+    got = collect.collected(
+        spark.createDataFrame([(c, t, n, p, at(0)) for c, t, n, p in clusters], "cluster_id string, title string, article_count int, priority int, last_observed_at timestamp"),
+        spark.createDataFrame([(*a, None) for a in articles], "cluster_id string, canonical_url string, domain string, summary string"),
+        spark.createDataFrame([(c, u, t, s, at(h)) for c, u, t, s, h in results], "cluster_id string, url string, title string, score double, published_at timestamp"),
+        spark.createDataFrame(list(contents.items()), "url string, raw_content string"), target,
+    )
+    stories, additions, rejected = plain_collected(clusters, articles, results, contents, target)
+    assert [r["cluster_id"] for r in got.stories.orderBy("position").collect()] == stories
+    assert sorted((r["cluster_id"], r["position"], r["url"]) for r in got.additions.collect()) == sorted(additions)
+    assert sorted(map(tuple, got.rejected.select("cluster_id", "url", "reason").collect())) == sorted(rejected)
+    assert len(additions) + len(rejected) == len(results) and (target < 100 or len({r for *_, r in rejected}) > 10)

@@ -11,7 +11,7 @@ from coverscope.functions import text as X
 from coverscope.operators import gates, merge, prominence
 from coverscope.operators.serving import primary_locations
 from coverscope.runtime import first_by, settle
-from coverscope.schemas import Gates, Limits
+from coverscope.schemas import RUNS, Gates, Limits
 from coverscope.sources.articles import joined_articles
 
 
@@ -130,11 +130,20 @@ def serving_tables(snapshot: Snapshot, run_id: str, memberships: DataFrame | Non
     }
 
 
-def run_record(spark: SparkSession, run_id: str, batch_id: str, md5s: dict[str, str], cluster_ids: DataFrame, started_at: Column, counts: dict[str, int]) -> DataFrame:
-    """The run of a batch, with a fingerprint of what went in and came out."""
-    ids = cluster_ids.agg(F.array_sort(F.collect_set("cluster_id")).alias("ids"))  # as many as the cap of clusters
+def run_record(spark: SparkSession, run_id: str, batch_id: str, md5s: dict[str, str], clusters: DataFrame, tables: dict[str, DataFrame], started_at: Column, completed_at: Column, seen: dict[str, int], healthy: bool = True) -> DataFrame:
+    """The run of a batch, with the columns of schemas.RUNS: a fingerprint of what went in and came out (as many ids as the cap of clusters), rows seen, and rows of all serving tables."""
+    counted = None
+    for table in tables.values():
+        one = table.agg(F.count(F.lit(1)).alias("n"))
+        counted = one if counted is None else counted.unionAll(one)
+    upserted = counted.agg(F.sum("n").alias("records_upserted"))  # a row for each table
+    ids = clusters.agg(F.array_sort(F.collect_set("cluster_id")).alias("ids"))
     body = F.to_json(F.struct(F.lit(batch_id).alias("batch"), F.array(*[F.lit(md5s[k]) for k in sorted(md5s)]).alias("files"), F.col("ids").alias("clusters")))
-    return ids.select(
-        F.lit(run_id).alias("run_id"), F.lit("batch").alias("source"), F.lit("succeeded").alias("status"), F.concat(F.lit(batch_id + ":"), X.stable_id("input", body)).alias("input_fingerprint"), started_at.alias("started_at"),
-        F.lit(sum(counts.values())).cast("long").alias("records_seen"),
+    watermark = F.to_timestamp(F.lit(batch_id), "yyyyMMddHHmmss")
+    none = F.lit(None).cast("string")
+    own = ids.crossJoin(upserted).select(  # one row each
+        F.lit(run_id).alias("run_id"), F.lit("batch").alias("source"), F.lit("succeeded" if healthy else "degraded").alias("status"), F.concat(F.lit(batch_id + ":"), X.stable_id("snapshot", body)).alias("input_fingerprint"), started_at.cast("timestamp").alias("started_at"),
+        completed_at.cast("timestamp").alias("completed_at"), watermark.alias("source_watermark_at"), F.lit(sum(seen.values())).cast("long").alias("records_seen"), F.coalesce("records_upserted", F.lit(0)).cast("long").alias("records_upserted"), none.alias("error_kind"),
+        none.alias("error_message"), F.lit(False).alias("retryable"), none.alias("receipt"), completed_at.cast("timestamp").alias("updated_at"),
     )
+    return spark.createDataFrame([], RUNS).unionByName(own)

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverscope.functions.text import sql_literal
@@ -46,13 +44,14 @@ def without_runs(df: DataFrame, retired: list[str], current: str, run_col: str =
 
 
 def sql_script(df: DataFrame, table: str, run_id: str, order: list[str]) -> DataFrame:
-    """(value): statements that replace a run's rows of a table, in order. Rendered by partitions; written with write.text."""
+    """(value): statements that replace a run's rows of a table, in order. Rendered by partitions; written with write.text. Numbers that aren't finite fail the job."""
     checked_run_id(run_id)
     if not re.fullmatch(r"[a-z_]+", table):
         raise ValueError(f"invalid table: {table}")
     columns = df.columns
     numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
-    shown = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) if t in numeric else F.when(F.col(c).isNull(), "NULL").otherwise(F.when(F.col(c), "1").otherwise("0")) if t == "boolean" else sql_literal(F.col(c)) for c, t in df.dtypes]
+    whole = lambda c, t: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"a number of {c} isn't finite"))).otherwise(F.col(c)) if t in ("float", "double") else F.col(c)
+    shown = [F.coalesce(whole(c, t).cast("string"), F.lit("NULL")) if t in numeric else F.when(F.col(c).isNull(), "NULL").otherwise(F.when(F.col(c), "1").otherwise("0")) if t == "boolean" else sql_literal(F.col(c)) for c, t in df.dtypes]
     insert = F.concat(F.lit(f"INSERT INTO {table} ({', '.join(columns)}) VALUES ("), F.concat_ws(", ", *shown), F.lit(");"))
     head = df.sparkSession.createDataFrame([(f"DELETE FROM {table} WHERE run_id = '{run_id}';",)], "value string")
     return head.unionAll(df.orderBy(*order).select(insert.alias("value")))
@@ -100,14 +99,3 @@ def snapshot_rows(documents: DataFrame) -> DataFrame:
     """The snapshots of documents that hold one, bare or in an envelope, with the envelope's receipt. documents: snapshot (struct), receipt, and the bare fields."""
     fields = [f.name for f in documents.schema["snapshot"].dataType.fields]
     return documents.select(*[F.coalesce(F.col(f"snapshot.{c}"), F.col(c)).alias(c) for c in fields], "receipt")
-
-
-def receipt_is_consistent(before: Column, after: Column, delta: Column) -> Column:
-    """Whether a receipt's balance moved by what it says."""
-    return F.abs((after - before) - delta) <= 1e-9
-
-
-def rendered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of statements as one text each, for a sink that takes texts."""
-    for frame in frames:
-        yield pd.DataFrame({"value": ["\n".join(frame["value"])]})

@@ -560,3 +560,50 @@ def test_collection_is_as_one_cluster_after_another(spark, target):
     assert sorted((r["cluster_id"], r["position"], r["url"]) for r in got.additions.collect()) == sorted(additions)
     assert sorted(map(tuple, got.rejected.select("cluster_id", "url", "reason").collect())) == sorted(rejected)
     assert len(additions) + len(rejected) == len(results) and (target < 100 or len({r for *_, r in rejected}) > 10)
+
+
+def test_receipts(spark):
+    import json
+
+    from coverscope.operators import receipts
+
+    item = {"provider": "p", "capability": "c", "observed_at": "2026-08-27T01:00:00Z", "status": "succeeded", "external_request_id": None, "usage": {"unit": "credits", "before": 5, "after": 3.5, "delta": -1.5}, "evidence_urls": ["u"]}
+    good = {"agent": " a ", "task_id": "t", "commit": "abcdef0", "tests": ["x"], "next": None, "integrations": [item]}
+    cases = {
+        "good": good, "plain": {"agent": "a", "task_id": "t"}, "list": [1], "agent": {**good, "agent": " "}, "task": {**good, "task_id": 7}, "commit": {**good, "commit": "XYZ"}, "next": {**good, "next": 1}, "tests": {**good, "tests": ["x", 1]}, "urls": {**good, "evidence_urls": "u"},
+        "items": {**good, "integrations": 3}, "item": {**good, "integrations": [item, 4]}, "status": {**good, "integrations": [{**item, "status": "odd"}]}, "provider": {**good, "integrations": [{**item, "provider": ""}]}, "time": {**good, "integrations": [{**item, "observed_at": "soon"}]},
+        "usage": {**good, "integrations": [item, {**item, "usage": {**item["usage"], "delta": 2}}]}, "usage_text": {**good, "integrations": [{**item, "usage": {**item["usage"], "before": "5"}}]}, "id": {**good, "integrations": [{**item, "external_request_id": 3}]}, "no_usage": {**good, "integrations": [{**item, "usage": None}]},
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()] + [("none", None), ("broken", "{")], "run_id string, receipt string")
+    got = sorted((r["run_id"], r["code"], r["path"]) for r in receipts.receipt_issues(rows).collect())
+    assert got == sorted([
+        ("list", "invalid_receipt", ""), ("broken", "invalid_receipt", ""), ("agent", "missing_agent", "agent"), ("task", "missing_task_id", "task_id"), ("commit", "invalid_commit", "commit"), ("next", "invalid_next", "next"), ("tests", "invalid_list", "tests"), ("urls", "invalid_list", "evidence_urls"),
+        ("items", "invalid_integrations", "integrations"), ("item", "invalid_integration", "integrations[1]"), ("status", "invalid_status", "integrations[0].status"), ("provider", "missing_provider", "integrations[0].provider"), ("time", "invalid_observed_at", "integrations[0].observed_at"),
+        ("usage", "inconsistent_usage", "integrations[1].usage"), ("usage_text", "inconsistent_usage", "integrations[0].usage"), ("id", "invalid_external_request_id", "integrations[0].external_request_id"),
+    ])
+    own = {r["run_id"]: r for r in receipts.with_receipts(rows).collect()}
+    assert (own["good"]["agent"], own["good"]["commit"], own["good"]["integrations"], own["plain"]["integrations"], own["usage"]["agent"]) == ("a", "abcdef0", 1, 0, None)
+
+
+def test_lists_are_searched_and_counted(spark):
+    from coverscope.functions import numbers as N
+    from coverscope.sources import batch
+
+    stories = spark.createDataFrame([("a", "Quake", None, ["Tokyo"], ["Wire"], ["w.example"], ["JP"]), ("b", "Flood", "In the north", None, ["Other"], ["o.example"], ["DE", "FR"]), ("b", None, None, [], [], [], None)], "cluster_id string, title string, summary string, labels array<string>, publishers array<string>, domains array<string>, regions array<string>")
+    found = lambda t: sorted(r["title"] or "" for r in serving.search(stories, t).collect())
+    assert (found(" TOKYO "), found("north"), found("example"), found("q")) == (["Quake"], ["Flood"], ["Flood", "Quake"], ["Quake"])
+    assert [r["title"] for r in serving.within_region(stories, "FR").collect()] == ["Flood"] and serving.duplicate_rows(stories).first()["duplicates"] == 1
+    assert [round(r[0], 2) for r in spark.createDataFrame([(0.0,), (0.5,), (9.0,), (-9.0,)], "v double").select(N.marker_scale(F.col("v"))).collect()] == [0.72, 1.22, 1.8, 0.72]
+    parsed = spark.createDataFrame([(True,), (False,), (True,)], "valid boolean")
+    assert tuple(batch.summed_diagnostics(batch.diagnostics(parsed).unionAll(batch.diagnostics(parsed, True))).first()) == (6, 4, 2, True)
+    assert signals.omission()["status"] == "not_assessed"
+
+
+def test_searches_go_to_the_most_promising_story_of_a_title(spark):
+    rows = [("c1", "Quake shakes Tokyo towers", 2), ("c2", "Tokyo towers: quake shakes", 5), ("c3", "Parrots of Lima", 1), ("c4", "!!", 1)]
+    clusters = spark.createDataFrame(rows, "cluster_id string, title string, article_count int")
+    assert [r["cluster_id"] for r in enrich.searchable(clusters, 9).collect()] == ["c2", "c3"]
+    assert [r["cluster_id"] for r in enrich.searchable(clusters, 9, include=["c1", "c3"], exclude=["c3"]).collect()] == ["c1"]
+    articles = spark.createDataFrame([("a1", "w.example", "Opinion: no"), ("a2", "w.example", "News"), ("a3", "o.example", "Opinion")], "article_id string, domain string, title string")
+    rules = spark.createDataFrame([("w.example", "^Opinion", "disputes", "negative", 0), ("w.example", None, "straight_report", "neutral", 1)], "domain string, title_pattern string, framing string, tone string, priority int")
+    assert sorted((r["article_id"], r["framing"]) for r in enrich.framed(articles, rules).collect()) == [("a1", "disputes"), ("a2", "straight_report"), ("a3", None)]

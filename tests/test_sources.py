@@ -303,3 +303,31 @@ def test_requests_are_decided_as_they_come(spark, tmp_path):
     assert got.where("late and at > '2026-09-01'").count() == 0 and got.where("not late and (remaining < 0 or retry_after_seconds not between 1 and 60)").count() == 0
     state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "counts").load()
     assert state.count() == 2  # windows of hours ago are gone
+
+
+def test_scripts_and_approved_inputs(spark, tmp_path):
+    seed = "PRAGMA foreign_keys = ON;\n-- run: batch:2\nINSERT INTO t (a) VALUES (1);\n"
+    out = sinks.refreshed_script(seed, ["batch:1", "batch:0"])
+    assert out.endswith("DELETE FROM pipeline_runs WHERE run_id = 'batch:0';\nDELETE FROM pipeline_runs WHERE run_id = 'batch:1';\n") and out.startswith(seed.rstrip())
+    for bad, retired in ((seed.replace("PRAGMA", "--"), ["batch:1"]), (seed, ["batch:2"]), (seed, []), (seed, ["x; y"]), ("PRAGMA foreign_keys = ON;", ["batch:1"])):
+        with pytest.raises(ValueError):
+            sinks.refreshed_script(bad, retired)
+    (tmp_path / "in.json").write_bytes(b"{}")
+    assert sinks.pinned(spark, str(tmp_path / "in.json"), hashlib.sha256(b"{}").hexdigest().upper()) == b"{}"
+    with pytest.raises(ValueError):
+        sinks.pinned(spark, str(tmp_path / "in.json"), "0" * 64)
+    rows = spark.createDataFrame([(1, "it's", 0.5, None, True)], "a int, b string, c double, d double, e boolean")
+    assert [r["value"] for r in sinks.sql_script(rows, "t", "batch:2", ["a"]).collect()][1] == "INSERT INTO t (a, b, c, d, e) VALUES (1, 'it''s', 0.5, NULL, 1);"
+    for value in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="isn't finite"):
+            sinks.sql_script(spark.createDataFrame([(1, value)], "a int, c double"), "t", "batch:2", ["a"]).collect()
+
+
+def test_run_record(spark):
+    clusters = spark.createDataFrame([("c2",), ("c1",)], "cluster_id string")
+    tables = {"story_clusters": clusters, "articles": spark.range(5), "regional_prominence": spark.range(0)}
+    record = lambda df: snapshot.run_record(spark, "batch:1", "20260827060000", {"events": "a", "mentions": "b"}, df, tables, F.lit(NOW), F.lit(NOW), {"events": 3, "mentions": 4})
+    row = record(clusters).first()
+    assert (row["records_seen"], row["records_upserted"], row["status"], str(row["source_watermark_at"])) == (7, 7, "succeeded", "2026-08-27 06:00:00")
+    assert row["input_fingerprint"].startswith("20260827060000:snapshot_") and row["input_fingerprint"] == record(clusters.orderBy("cluster_id")).first()["input_fingerprint"] != record(clusters.limit(1)).first()["input_fingerprint"]
+    assert sinks.upserted_runs(spark.createDataFrame([], schemas.RUNS), record(clusters)).first()["outcome"] == "inserted"

@@ -45,7 +45,7 @@ def target_clusters(searches: DataFrame, clusters: DataFrame, least: float = 0.3
     without one is made; the words are those of titles, without stop words.
     """
     words = clusters.select("cluster_id", "ord", X.title_tokens(F.col("title")).alias("t"))
-    said = searches.select("search_id", X.title_tokens(F.col("text")).alias("s"))
+    said = searches.select("search_id", F.array_sort(X.title_tokens(F.col("text"))).alias("s")).distinct()  # texts of the same words are one
     pairs = said.select("search_id", "s", F.explode("s").alias("w")).join(words.select("cluster_id", "ord", F.size("t").alias("n"), F.explode("t").alias("w")), "w")
     shared = pairs.groupBy("search_id", "s", "cluster_id", "ord", "n").agg(F.count(F.lit(1)).alias("k"))
     score = F.col("k") / (F.size("s") + F.col("n") - F.col("k"))

@@ -813,3 +813,45 @@ def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clusters[].articles[]": [("invalid_url", "url", lambda x: x["quantity"] > 49), ("invalid_article", "", lambda x: (x["quantity"] > 48) & (x["discount"] > 0.08))],
     }
     return constraints.nested_issues(documents, {"clusters": F.col("clusters")}, rules, ["snapshot_id"])
+
+
+_REASON = {name: enrich.REASONS[i] for i, name in enumerate(("cluster", "score", "record", "text", "url", "network", "story"))}
+
+
+# One result after another, with the URLs and networks that each story has so far.
+@query(f"""
+with recursive base as (
+  select s_suppkey as k, s_nationkey as n, n_regionkey as c, case when s_suppkey % 29 <> 0 then round((s_acctbal + 1000) / 11000, 3) end as score, 'https://outlet' || (s_suppkey * 7 % 61) || '.example/' || (s_suppkey % 45) as url,
+    'outlet' || (s_suppkey * 7 % 61) || '.example' as network from supplier join nation on s_nationkey = n_nationkey),
+texts as (select distinct url from base where k % 6 <> 0),
+rows as materialized (
+  select base.*, case when n % 8 = 7 then '{_REASON["cluster"]}' when score is null or score < 0.4 then '{_REASON["score"]}' when k % 23 = 0 then '{_REASON["record"]}' when url not in (select url from texts) then '{_REASON["text"]}' end as early,
+    row_number() over (order by n, score desc nulls last, url, k) as i from base),
+g as (
+  select 0::bigint as i, list_transform(range(0, 5), lambda c: c || '|https://old.example/' || c) as urls, list_transform(range(0, 5), lambda c: c || '|old.example') as networks, -1 as n, 0 as given, 0 as total, null::varchar as reason
+  union all
+  select i, case when reason is null then list_append(urls, c || '|' || url) else urls end, case when reason is null then list_append(networks, c || '|' || network) else networks end, n, given + (reason is null)::int, total + (reason is null)::int, reason
+  from (
+    select rows.i, urls, networks, rows.n, c, url, network, case when rows.n = g.n then given else 0 end as given, total,
+      case when total >= 60 then '{enrich.ALL_FULL}' when early = '{_REASON["cluster"]}' then early when rows.n = g.n and given >= 4 then '{enrich.SEARCH_FULL}' when early is not null then early
+        when list_contains(urls, c || '|' || url) then '{_REASON["url"]}' when list_contains(networks, c || '|' || network) then '{_REASON["network"]}' when score < 0.5 then '{_REASON["story"]}' end as reason
+    from g join rows on rows.i = g.i + 1))
+select k as result, coalesce(reason, 'joined') as outcome, case when reason is null then round(least(0.95, 0.75 + score * 0.25), 6) end as confidence from g join rows using (i)
+""")
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, title = F.col("s_suppkey"), F.format_string("Quake Number%d shakes towers of Region%d", F.col("n_regionkey"), F.col("n_regionkey"))
+    nations = A.table(spark, sf_dir, "nation")
+    own = A.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    at, name = F.lit(NOW), lambda c: F.col(c).cast("string")
+    asked = F.when(F.col("n_nationkey") % 8 == 7, F.lit("nothing of the kind")).otherwise(title)
+    searches = nations.select(F.lpad(name("n_nationkey"), 4, "0").alias("search_id"), asked.alias("query"), F.col("n_nationkey").alias("ord"))
+    url = F.concat(F.lit("https://outlet"), (k * 7 % 61).cast("string"), F.lit(".example/"), (k % 45).cast("string"))
+    said = F.when(F.col("n_nationkey") % 8 == 7, F.lit("other things")).otherwise(F.when(k % 23 == 0, F.lit("")).otherwise(title))
+    results = own.select(F.lpad(name("s_nationkey"), 4, "0").alias("search_id"), F.lpad(name("s_suppkey"), 10, "0").alias("article_id"), url.alias("url"), said.alias("title"), F.lit(None).cast("string").alias("summary"), F.when(k % 29 != 0, F.round((F.col("s_acctbal") + 1000) / 11000, 3)).alias("score"), at.alias("at"))
+    regions = nations.select("n_regionkey").distinct()
+    clusters = regions.select(name("n_regionkey").alias("cluster_id"), title.alias("title"), F.col("n_regionkey").alias("ord"))
+    articles = regions.select(name("n_regionkey").alias("cluster_id"), F.concat(F.lit("a"), name("n_regionkey")).alias("article_id"), title.alias("title"), F.lit(None).cast("string").alias("summary"), at.alias("at"), F.col("n_regionkey").alias("ord"), F.concat(F.lit("https://old.example/"), name("n_regionkey")).alias("canonical_url"), F.lit("old.example").alias("domain"))
+    contents = own.where(k % 6 != 0).select(url.alias("url"), F.repeat(F.lit("x"), 600).alias("raw_content"))
+    accepted, rejected = enrich.enriched(searches, results, clusters, articles, contents, 4, 60)
+    both = accepted.select("article_id", F.lit("joined").alias("outcome"), F.round("confidence", 6).alias("confidence")).unionAll(rejected.select("article_id", "reason", F.lit(None).cast("double")))
+    return both.select(F.col("article_id").cast("long").alias("result"), "outcome", "confidence")

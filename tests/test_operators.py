@@ -196,7 +196,7 @@ def test_independent_pairs(spark):
 
 
 def test_target_cluster(spark):
-    searches = spark.createDataFrame([("s", "quake tokyo towers"), ("n", "nothing alike")], "search_id string, text string")
+    searches = spark.createDataFrame([("s", "quake tokyo towers"), ("s", "Towers: Tokyo quake"), ("s", "quake Tokyo towers"), ("n", "nothing alike")] + [("m", "Tokyo")] * 9, "search_id string, text string")
     clusters = spark.createDataFrame([("c1", "Tokyo quake shakes towers", 0), ("c2", "Paris museum", 1)], "cluster_id string, title string, ord int")
     assert [(r["search_id"], r["cluster_id"]) for r in enrich.target_clusters(searches, clusters).collect()] == [("s", "c1")]
 

@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from coverscope.llm import bpe, decontamination, secrets, simhash, toxicity
-from coverscope.llm.common import table
+from coverscope.llm.common import small_batches, table
 from coverscope.runtime import settle
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 7 predicts to be toxic go; it learns from the labelled ones that aren't held out."""
+    small_batches(spark)  # five operators share the executors' memory
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import SLICE_ROWS, as_texts
+from coverscope.llm.common import SLICE_ROWS, as_texts, tidy
 
 #: Words whose ids a worker keeps, and bytes of texts that it replays at once.
 KEPT_WORDS, REPLAYED_BYTES = 150_000, 4_000_000
@@ -209,7 +209,7 @@ def encoded(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(some)), *columns], names=names)
                 at += len(some)
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import SLICE_ROWS, as_texts, map_slices
+from coverscope.llm.common import SLICE_ROWS, as_texts, map_slices, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 # A run of the last class is taken whole by + as by {n,}; so a short one fails here instead of being dropped afterwards.
@@ -222,6 +222,8 @@ def without_secrets(docs: DataFrame, text_col: str = "text", vocabulary_path: st
     def clean(texts: pa.Array) -> pa.Array:
         slices = [texts.slice(i, SLICE_ROWS) for i in range(0, len(texts), SLICE_ROWS)]
         done = [pa.array([None if x is None else redacted(x, scan(x, words())) for x in part.to_pylist()], pa.string()) for part in slices]
-        return pa.concat_arrays(done) if done else pa.array([], pa.string())
+        out = pa.concat_arrays(done) if done else pa.array([], pa.string())
+        tidy()
+        return out
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string"))).select(*kept)

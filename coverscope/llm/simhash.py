@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import as_bytes, map_slices
+from coverscope.llm.common import as_bytes, map_slices, tidy
 from coverscope.operators.components import LOCAL_LINKS, connected_components
 from coverscope.runtime import salted_join, settle
 
@@ -167,7 +167,7 @@ def chunk_links(shared: DataFrame, sigs: DataFrame) -> DataFrame:
                 nodes, sizes, sigs, own = (batch.column(k)[i].values for k in range(4))
                 nodes = nodes.to_numpy()
                 yield _near_in_group(nodes, sizes.to_numpy(), np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(len(nodes), -1), own.to_pylist())
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return groups.mapInArrow(links, "u long, v long, sure boolean")
 
@@ -346,7 +346,7 @@ def _near_links(source: DataFrame, wide: DataFrame, nodes: DataFrame) -> DataFra
                 keep[i] = sure[i] = alike(x, y)
             out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure)], names=["u", "v", "sure"])
             yield out.filter(pa.array(keep))
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     found = pairs.mapInArrow(judged, "u long, v long, sure boolean")
     large = shared.where(F.col("n") > PAIRED).select("key", "node", "n")
@@ -389,7 +389,7 @@ def _family_links(source: DataFrame, wide: DataFrame, members: DataFrame) -> Dat
                 x, y = _alike_in_family(sizes.to_numpy(), np.frombuffer(b"".join(sigs.to_pylist()), np.uint64).reshape(len(nodes), -1), [np.frombuffer(z, np.uint32) for z in own.to_pylist()])
                 a, b = nodes[x], nodes[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return groups.mapInArrow(compared, "u long, v long")
 

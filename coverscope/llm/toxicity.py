@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import SLICE_ROWS, as_texts, map_slices
+from coverscope.llm.common import SLICE_ROWS, as_texts, map_slices, tidy
 
 #: Documents of each label that the field and the calibration are fitted on at most; those of least hash.
 MOST_TOXIC, MOST_CLEAN = 2000, 3000
@@ -379,5 +379,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 part = batch.slice(i, SLICE_ROWS)
                 tags = own.tags(as_texts(part.column(at)), known)
                 yield part.filter(pa.array([own.score(p) < THRESHOLD for p, _ in tags], pa.bool_()))
+        known.clear()
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)

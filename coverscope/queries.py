@@ -8,15 +8,18 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coverscope import schemas
+from coverscope.functions import dates as D
 from coverscope.functions import numbers as N
 from coverscope.functions import text as X
 from coverscope.functions import urls as U
 from coverscope.functions.dates import age_seconds, window_start
-from coverscope.operators import clustering, constraints, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
+from coverscope.operators import clustering, constraints, enrich, gates, geocode, merge, prominence, receipts, registry, serving, signals, validate
 from coverscope.plans import adapters as A
 from coverscope.plans import snapshot
 from coverscope.runtime import settle
-from coverscope.sources import batch
+from coverscope.sources import articles as search_sources
+from coverscope.sources import batch, sinks
 from coverscope.streaming import micro_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -638,7 +641,7 @@ def kind_none(kind: Column) -> Column:
     return F.filter(kind, lambda x: F.lit(False))
 
 
-_PLACES = (("with", 1, "city"), ("and", 2, "country"), ("der", 3, "admin1"), ("le", 4, "point"), ("con", 5, "city"), ("con", 6, "city"), ("of the", 7, "city"), ("in the and of", 8, "country"), ("the", 9, "point"))
+_NAMED_PLACES = (("with", 1, "city"), ("and", 2, "country"), ("der", 3, "admin1"), ("le", 4, "point"), ("con", 5, "city"), ("con", 6, "city"), ("of the", 7, "city"), ("in the and of", 8, "country"), ("the", 9, "point"))
 
 
 def _named(alias: str) -> str:
@@ -648,15 +651,15 @@ def _named(alias: str) -> str:
 
 
 @query(f"""
-with places as (select * from (values {", ".join(map(str, _PLACES))}) p(alias, place_id, kind)),
+with places as (select * from (values {", ".join(map(str, _NAMED_PLACES))}) p(alias, place_id, kind)),
 docs as (select doc_id, source, lower(text) as t from documents),
-named as ({" union all ".join(f"select doc_id, source, '{a}' as alias from docs where {_named(a)}" for a in dict.fromkeys(a for a, *_ in _PLACES))}),
+named as ({" union all ".join(f"select doc_id, source, '{a}' as alias from docs where {_named(a)}" for a in dict.fromkeys(a for a, *_ in _NAMED_PLACES))}),
 amb as (select alias, count(*) as a from places group by all),
 hit as (select place_id, doc_id, source, greatest(0, least(1, 0.58 + case kind when 'city' then 0.1 when 'admin1' then 0.07 when 'country' then 0.04 else 0.02 end - least(0.28, greatest(0, (a - 1) * 0.08))))::double as c from named join places using (alias) join amb using (alias))
 select place_id, count(distinct doc_id) as articles, count(distinct source) as outlets, round(least(1.0, max(c) + (count(distinct doc_id) - 1) * 0.06 + (count(distinct source) - 1) * 0.04), 6) as confidence from hit group by place_id
 """)
 def gazetteer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = spark.createDataFrame(list(_PLACES), "alias string, place_id long, kind string")
+    aliases = spark.createDataFrame(list(_NAMED_PLACES), "alias string, place_id long, kind string")
     texts = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("outlet_id"), F.lit("").alias("url"), F.lit("summary").alias("field"), "text")
     found = geocode.gazetteer_matches(texts, aliases, longest=4)
     own = geocode.event_locations(geocode.place_evidence(geocode.located_matches(found)))
@@ -855,3 +858,150 @@ def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted, rejected = enrich.enriched(searches, results, clusters, articles, contents, 4, 60)
     both = accepted.select("article_id", F.lit("joined").alias("outcome"), F.round("confidence", 6).alias("confidence")).unionAll(rejected.select("article_id", "reason", F.lit(None).cast("double")))
     return both.select(F.col("article_id").cast("long").alias("result"), "outcome", "confidence")
+
+
+@query("""
+select o_orderkey, case o_orderkey % 6 when 0 then o_orderdate when 1 then o_orderdate when 2 then o_orderdate when 3 then o_orderdate - interval 2 hours end as seen,
+  case o_orderkey % 6 when 2 then o_orderdate when 3 then o_orderdate - interval 2 hours when 4 then o_orderdate + interval 1410 minutes end as strict, o_orderkey % 6 = 2 as iso, case when o_orderkey % 6 = 5 then null when o_orderkey % 5 <> 0 then o_orderdate end as stamped
+from orders
+""")
+def time_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    form = lambda f: F.date_format(at, f)
+    compact, plain = form("yyyyMMdd'T'HHmmss"), form("yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k % 6 == 0, F.concat(compact, F.lit("Z"))).when(k % 6 == 1, compact).when(k % 6 == 2, F.concat(plain, F.lit("Z"))).when(k % 6 == 3, F.concat(plain, F.lit("+02:00"))).when(k % 6 == 4, F.concat(plain, F.lit("-23:30"))).otherwise("soon")
+    stamp = F.when(k % 6 == 5, "2024").otherwise(F.when(k % 5 == 0, F.lit("20240231000000")).otherwise(form("yyyyMMddHHmmss")))
+    own = A.table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"), stamp.alias("stamp"))
+    zone = lambda c: c.cast("timestamp_ntz")
+    return own.select("o_orderkey", zone(D.seen_date(F.col("said"))).alias("seen"), zone(D.rfc3339(F.col("said"))).alias("strict"), D.is_iso_utc(F.col("said")).alias("iso"), zone(D.batch_timestamp(F.col("stamp"))).alias("stamped"))
+
+
+@query(r"""
+select p_partkey, p_name as asked, case when p_partkey % 3 = 0 then 'fra' end as language, case when p_partkey % 4 = 0 then 'Unknown upstream failure.' else 'failed: [redacted] and [redacted] of ' || p_name end as message,
+  case when p_partkey % 5 = 0 then 'NULL' else '''it''''s ' || p_name || '''' end as literal, p_partkey % 2 = 0 as same, '…' || trim(substr(p_name, 3, 8)) || case when length(p_name) > 10 then '…' else '' end as quote,
+  trim(regexp_replace(lower(p_name), '[^\pL\pN]+', ' ', 'g')) as headline, 'city|FR||' || trim(regexp_replace(lower(p_name), '[^\pL\pN]+', ' ', 'g')) || '|' || printf('%.5f', p_size / 8) || '|-7.00000' as place
+from part
+""")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("p_partkey"), F.col("p_name")
+    lit = F.lit
+    message = F.when(k % 4 == 0, lit("  ")).otherwise(F.concat(lit("failed: tvly-abc-1 and Bearer x.y of "), name))
+    return A.table(spark, sf_dir, "part").select(
+        "p_partkey", X.search_query(F.concat(lit("BREAKING NEWS: "), name, lit(" | The Daily Site"))).alias("asked"), X.language_tag(F.when(k % 3 == 0, lit("a:b; srclc:FRA;x")).otherwise("none")).alias("language"), X.redacted_error(message).alias("message"),
+        X.sql_literal(F.when(k % 5 != 0, F.concat(lit("it's "), name))).alias("literal"), X.same_ignoring_case(F.when(k % 2 == 0, F.upper(name)).otherwise(F.concat(name, lit("é"))), F.when(k % 2 == 0, name).otherwise(F.concat(name, lit("e")))).alias("same"),
+        X.quote_window(name, lit(4), lit(8), 2).alias("quote"), X.headline_key(name).alias("headline"), X.location_key(lit("city"), lit("fr"), lit(None).cast("string"), name, F.col("p_size") / 8, lit(-7.0)).alias("place"),
+    )
+
+
+@query("with" + _CANONICAL + """,
+found as (
+  select canonical_url, 'T' || page_id as title, null as summary, 'documents' as provider, timestamp '2024-01-01' + to_seconds(page_id * 600) as published_at, page_id * 2 as ord from pages join cu using (page_id) where page_id % 11 <> 0
+  union all select canonical_url, 'N' || page_id, case when page_id % 6 = 0 then 'Summary of ' || page_id end, 'news', timestamp '2024-01-02' + to_seconds(page_id * 600), page_id * 2 + 1 from pages join cu using (page_id) where page_id % 3 = 0)
+select canonical_url, title, summary, provider, published_at from found qualify row_number() over (partition by canonical_url order by length(coalesce(summary, '')) desc, ord) = 1
+""")
+def search_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, k, none = A.table(spark, sf_dir, "pages"), F.col("page_id"), F.lit(None).cast("string")
+    at = lambda first: F.timestamp_seconds(F.lit(first) + k * 600)
+    record = F.struct("url", F.when(k % 11 != 0, F.concat(F.lit("T"), k)).alias("title"), F.date_format(at(1704067200), "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), none.alias("domain"), F.lit("English").alias("language"), none.alias("sourcecountry"))
+    found = search_sources.document_articles(pages.select("page_id", F.array(record).alias("articles")), F.lit(NOW), carry=("page_id",)).withColumn("ord", k * 2).drop("origin_country")
+    record = F.struct(F.concat(F.lit("N"), k).alias("title"), "url", F.when(k % 6 == 0, F.concat(F.lit("Summary of "), k)).alias("content"), F.date_format(at(1704153600), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_date"), F.lit(0.5).alias("score"))
+    news = search_sources.news_articles(pages.where(k % 3 == 0).select("page_id", F.array(record).alias("results")), F.lit(NOW), carry=("page_id",)).withColumn("ord", k * 2 + 1)
+    return search_sources.unique_articles(found.unionByName(news)).select("canonical_url", "title", "summary", "provider", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query("""
+select case when count(*) filter (n_nationkey % 4 <> 0) = 0 then 'unavailable' when count(*) filter (n_nationkey % 4 = 0) > 0 then 'degraded' else 'healthy' end as status, count(*) as sources, count(*) filter (n_nationkey % 4 <> 0) as good,
+  (select array_to_string(list_sort(list(w)), ',') from (select n_name || ': http — HTTP ' || (500 + n_nationkey) as w from nation where n_nationkey % 4 = 0 union all select n_name || ' omitted some' from nation where n_nationkey % 4 <> 0 and n_nationkey % 5 = 0)) as warnings
+from nation
+""")
+def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    own = A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("provider"), (n % 4 != 0).alias("ok"), F.lit("http").alias("kind"), F.concat(F.lit("HTTP "), 500 + n).alias("message"), F.when(n % 5 == 0, F.array(F.concat("n_name", F.lit(" omitted some")))).alias("warnings"))
+    return search_sources.source_health(own, F.lit(7)).select("status", F.col("source_count").alias("sources"), F.col("successful_source_count").alias("good"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("""
+with s as (select s_suppkey, s_name, n_name, n_regionkey, s_suppkey % 7 as shared from supplier join nation on s_nationkey = n_nationkey)
+select s_suppkey, contains(lower(n_name), 'an') or contains(lower(s_name), '7') as found, n_regionkey in (1, 2) as inside, (select count(*) - count(distinct shared) from s) as repeated from s where contains(lower(n_name), 'an') or contains(lower(s_name), '7') or n_regionkey in (1, 2)
+""")
+def story_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "supplier").join(A.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    none = F.array().cast("array<string>")
+    stories = settle(own.select("s_suppkey", (F.col("s_suppkey") % 7).alias("cluster_id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("summary"), F.array("n_name").alias("labels"), none.alias("publishers"), none.alias("domains"), F.array("n_regionkey").alias("regions")))
+    found = serving.search(stories, " AN ").unionAll(serving.search(stories, "7")).select("s_suppkey", F.lit(True).alias("found")).distinct()
+    inside = serving.within_region(stories, 1).unionAll(serving.within_region(stories, 2)).select("s_suppkey", F.lit(True).alias("inside"))
+    both = found.join(inside, "s_suppkey", "full").select("s_suppkey", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("found", "inside")])
+    return both.crossJoin(serving.duplicate_rows(stories).withColumnRenamed("duplicates", "repeated"))  # one row
+
+
+@query("""
+with o as (select c_custkey as run_id, 'f' || c_nationkey as fingerprint, 'running' as status from customer where c_custkey % 2 = 0),
+n as (select c_custkey as run_id, case when c_custkey % 9 = 0 then 'other' else 'f' || c_nationkey end as fingerprint, case when c_custkey % 5 = 0 then 'running' else 'succeeded' end as status from customer where c_custkey % 3 = 0)
+select run_id, case when n.run_id is null then 'kept' when o.run_id is null then 'inserted' when o.fingerprint <> n.fingerprint then 'conflict' when o.status = n.status then 'replayed' else 'updated' end as outcome,
+  case when o.run_id is null or (n.run_id is not null and o.fingerprint = n.fingerprint) then n.status else o.status end as status from o full join n using (run_id)
+""")
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    fields = [x.split(" ") for x in schemas.RUNS.split(", ")]
+
+    def runs(own: DataFrame, fingerprint: Column, status: Column) -> DataFrame:
+        known = {"run_id": k.cast("string"), "input_fingerprint": fingerprint, "status": status, "source": F.lit("batch"), "started_at": F.lit(NOW)}
+        return own.select(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+    customers, own = A.table(spark, sf_dir, "customer"), F.concat(F.lit("f"), "c_nationkey")
+    merged = sinks.upserted_runs(runs(customers.where(k % 2 == 0), own, F.lit("running")), runs(customers.where(k % 3 == 0), F.when(k % 9 == 0, "other").otherwise(own), F.when(k % 5 == 0, "running").otherwise("succeeded")))
+    return merged.select(F.col("run_id").cast("long").alias("run_id"), "outcome", "status")
+
+
+@query("""
+select 'DELETE FROM suppliers WHERE run_id = ''batch:1'';' as value
+union all select 'INSERT INTO suppliers (run_id, supplier_id, name, note, held) VALUES (''batch:1'', ' || s_suppkey || ', ''' || s_name || ''', ' || case when s_suppkey % 3 = 0 then 'NULL' else '''it''''s ' || s_nationkey || '''' end || ', ' || (s_nationkey > 9)::int || ');' from supplier
+""")
+def sql_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.table(spark, sf_dir, "supplier").select(F.lit("batch:1").alias("run_id"), F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("it's "), "s_nationkey")).alias("note"), (F.col("s_nationkey") > 9).alias("held"))
+    return sinks.sql_script(own, "suppliers", "batch:1", ["supplier_id"])
+
+
+@query("with n as (select count(distinct url) as n from pages) select b::bigint as batch, least(20, n - b * 20)::bigint as urls from n, range(0, (select ceil(n / 20)::bigint from n)) r(b)")
+def url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.url_batches(A.table(spark, sf_dir, "pages"), 20).groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("urls"))
+
+
+@query("""
+with per as (select l_orderkey as cluster_id, count(distinct l_suppkey) as outlets, count(*) filter (l_shipdate between timestamp '1996-01-01' and timestamp '1998-01-01') as inside from lineitem group by l_orderkey)
+select code, count(*) as n from (
+  select 'insufficient_independent_outlets' as code from orders left join per on o_orderkey = cluster_id where coalesce(outlets, 0) < 2 union all select 'missing_event_location' from orders where o_custkey % 4 = 0
+  union all select 'outside_window' from orders left join per on o_orderkey = cluster_id where coalesce(inside, 0) = 0) group by code
+""")
+def slice_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = A.table(spark, sf_dir, "orders")
+    articles = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_suppkey").alias("outlet_id"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.col("l_shipdate").alias("retrieved_at"))
+    places = orders.where("o_custkey % 4 <> 0").select(F.col("o_orderkey").alias("cluster_id"))
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    found = validate.slice_issues(orders.select(F.col("o_orderkey").alias("cluster_id")), articles, places, day("1996-01-01"), day("1998-01-01"))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with c as (select c_custkey as k from customer),
+i as (select unnest(list_filter([
+  case when k % 10 = 1 then ' invalid_receipt' end, case when k % 10 = 2 then 'agent missing_agent' end, case when k % 10 = 3 then 'commit invalid_commit' end, case when k % 10 = 4 then 'tests invalid_list' end, case when k % 10 = 5 then 'integrations[1].status invalid_status' end,
+  case when k % 10 = 6 then 'integrations[0].usage inconsistent_usage' end, case when k % 10 = 7 then 'integrations invalid_integrations' end, case when k % 10 = 8 then 'integrations[0].provider missing_provider' end], lambda x: x is not null)) as issue from c)
+select issue, count(*) as n from i group by issue
+""")
+def receipt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 10
+    item = lambda status, delta, provider: F.concat(F.lit('{"provider":"'), provider, F.lit('","capability":"search","observed_at":"2026-08-27T01:00:00Z","status":"'), status, F.lit('","usage":{"unit":"credits","before":5,"after":3.5,"delta":'), delta, F.lit("}}"))
+    right = item(F.lit("succeeded"), F.lit("-1.5"), F.lit("p"))
+    items = F.concat(F.lit("["), item(F.lit("failed"), F.when(k == 6, "2").otherwise("-1.5"), F.when(k == 8, "").otherwise("p")), F.lit(","), F.when(k == 5, item(F.lit("odd"), F.lit("-1.5"), F.lit("p"))).otherwise(right), F.lit("]"))
+    text = F.concat(F.lit('{"agent":"'), F.when(k == 2, " ").otherwise("a"), F.lit('","task_id":"t","commit":'), F.when(k == 3, '"XYZ"').otherwise('"abcdef0"'), F.lit(',"tests":'), F.when(k == 4, '["x",1]').otherwise('["x"]'), F.lit(',"integrations":'), F.when(k == 7, "3").otherwise(items), F.lit("}"))
+    own = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.when(k == 1, "[1]").when(k == 9, F.lit(None).cast("string")).otherwise(text).alias("receipt"))
+    return receipts.receipt_issues(own).groupBy(F.concat_ws(" ", "path", "code").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with" + _PLACES + ", pl as (select *, row_number() over (partition by cluster_id order by confidence desc, evidence_count desc, location_id) = 1 as is_primary from lo) select location_id as region, is_primary, count(*) as n from pl where cluster_id % 5 <> 0 group by all")
+def shown_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    kind = F.when(F.col("cluster_id") % 5 == 0, "mentioned").otherwise("event")
+    own = _places(spark, sf_dir).withColumns({"location_type": kind, "granularity": F.lit("country"), "region_code": none, "country_code": none, "evidence_article_id": F.lit("a")})
+    return serving.shown_locations(own).groupBy("region", "is_primary").agg(F.count(F.lit(1)).alias("n"))

@@ -1005,3 +1005,65 @@ def shown_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("cluster_id") % 5 == 0, "mentioned").otherwise("event")
     own = _places(spark, sf_dir).withColumns({"location_type": kind, "granularity": F.lit("country"), "region_code": none, "country_code": none, "evidence_article_id": F.lit("a")})
     return serving.shown_locations(own).groupBy("region", "is_primary").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with l as (select (s_suppkey - 1) // 3 as b, (s_suppkey - 1) % 3 as kind from supplier where s_suppkey % 7 <> 0)
+select strftime(timestamp '2024-01-01' + to_minutes(15 * b), '%Y%m%d%H%M%S') as batch_id, timestamp '2024-01-01' + to_minutes(15 * b) as batch_time from l where b between 12 and 19 group by b having count(*) = 3
+""")
+def complete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.floor((F.col("s_suppkey") - 1) / 3)
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + b * 900), "yyyyMMddHHmmss")
+    end = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(batch.SUFFIXES.values()) for x in (i, s)]), ((F.col("s_suppkey") - 1) % 3).cast("int"))
+    line = F.concat((F.col("s_suppkey") * 100).cast("string"), F.lit(" "), F.md5("s_name"), F.lit(" http://data.example/v2/"), stamp, end)
+    lines = A.table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(line.alias("value"))
+    noise = lines.limit(0).unionAll(spark.createDataFrame([("not a line",), (f"0 {'a' * 32} http://data.example/x.export.CSV.zip",)], "value string"))
+    found = batch.complete_batches(batch.manifest_rows(lines.unionAll(noise)), "20240101050000")
+    return found.select("batch_id", F.col("batch_time").cast("timestamp_ntz").alias("batch_time"))
+
+
+@query("""
+with c as (select s_suppkey as k, n_regionkey as r, s_suppkey % 60 as hours, round((s_acctbal + 1000) / 11000, 3) as score, (s_suppkey % 10) / 10.0 as overlap from supplier join nation on s_nationkey = n_nationkey),
+p as (select *, 0.45 + 0.35 + exp(-hours / 36.0) * 0.2 as match from c)
+select k, round(least(0.95, match * 0.45 + overlap * 0.3 + score * 0.25), 6) as confidence, round(exp(-hours / 36.0), 6) as time_overlap from p where score >= 0.5 and overlap >= 0.35 and exp(-hours / 36.0) >= 0.35 and match * 0.45 + overlap * 0.3 + score * 0.25 >= 0.35
+""")
+def story_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, title = F.col("s_suppkey"), F.format_string("Quake Number%d shakes towers of Region%d", F.col("n_regionkey"), F.col("n_regionkey"))
+    nations = A.table(spark, sf_dir, "nation")
+    own = A.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    none, score = F.lit(None).cast("string").alias("summary"), F.round((F.col("s_acctbal") + 1000) / 11000, 3)
+    candidates = own.select(F.col("n_regionkey").alias("cluster_id"), k.alias("article_id"), title.alias("title"), none, F.timestamp_seconds(F.lit(1704067200) + k % 60 * 3600).alias("at"), score.alias("search_score"), (k % 10 / 10).alias("query_overlap"))
+    regions = nations.select("n_regionkey").distinct()
+    articles = regions.select(F.col("n_regionkey").alias("cluster_id"), F.lit(-1).cast("long").alias("article_id"), title.alias("title"), none, F.timestamp_seconds(F.lit(1704067200)).alias("at"), F.lit(0).alias("ord"))
+    return enrich.memberships(candidates, articles).select(F.col("article_id").alias("k"), F.round("confidence", 6).alias("confidence"), F.round("time_overlap", 6).alias("time_overlap"))
+
+
+@query("select case l_returnflag when 'A' then 'supports' when 'R' then 'disputes' else 'unclear' end as stance, count(*) as n from lineitem where l_suppkey % 6 <> 0 group by 1")
+def stances_without_retired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polarity = F.when(F.col("l_returnflag") == "A", "asserts").when(F.col("l_returnflag") == "R", "denies")
+    own = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("batch:"), (F.col("l_suppkey") % 6).cast("string")).alias("run_id"), polarity.alias("polarity"))
+    return signals.with_stance(sinks.without_runs(own, ["batch:0"], "batch:1")).groupBy("stance").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+select s_suppkey as article_id, case when s_suppkey % 3 = 0 and s_nationkey % 2 = 0 then 'disputes' when s_nationkey % 2 = 0 then 'straight_report' end as framing, case when s_suppkey % 3 = 0 and s_nationkey % 2 = 0 then 'negative' when s_nationkey % 2 = 0 then 'neutral' end as tone from supplier
+""")
+def cited_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("article_id"), F.concat(F.lit("outlet"), "s_nationkey").alias("domain"), F.when(F.col("s_suppkey") % 3 == 0, "Opinion: no").otherwise("News").alias("title"))
+    even = A.table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("outlet"), "n_nationkey").alias("domain"))
+    rules = even.selectExpr("domain", "'^Opinion' as title_pattern", "'disputes' as framing", "'negative' as tone", "0 as priority").unionAll(even.selectExpr("domain", "cast(null as string)", "'straight_report'", "'neutral'", "1"))
+    return enrich.framed(articles, rules).select("article_id", "framing", "tone")
+
+
+@query("""
+with c as (select c_custkey as k, n_regionkey as r from customer join nation on c_nationkey = n_nationkey)
+select code, path, count(*) as n from (
+  select 'missing_same_story_context' as code, 'same_story' as path from c where k % 7 = 0 union all select 'invalid_same_story_context', 'same_story' from c where k % 7 = 1
+  union all select 'invalid_coordinates', 'same_story.editorialMarket.value.coordinates' from c where k % 7 in (2, 3)) group by code, path
+""")
+def stored_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 7
+    market = lambda c: F.concat(F.lit('{"editorialMarket":{"status":"observed","value":{"regionCode":"R","coordinates":'), c, F.lit("}}}"))
+    text = F.when(k == 1, F.lit('"text"')).when(k == 2, market(F.lit("[1,2]"))).when(k == 3, market(F.lit("7"))).when(k == 4, F.lit("{}")).when(k != 0, market(F.lit('{"latitude":1,"longitude":2}')))
+    own = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cluster_id"), text.alias("same_story_json"))
+    return validate.context_issues(own).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))

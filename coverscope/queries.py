@@ -922,13 +922,13 @@ def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with s as (select s_suppkey, s_name, n_name, n_regionkey, s_suppkey % 7 as shared from supplier join nation on s_nationkey = n_nationkey)
-select s_suppkey, contains(lower(n_name), 'an') or contains(lower(s_name), '7') as found, n_regionkey in (1, 2) as inside, (select count(*) - count(distinct shared) from s) as repeated from s where contains(lower(n_name), 'an') or contains(lower(s_name), '7') or n_regionkey in (1, 2)
+select s_suppkey, contains(lower(n_name), 'tion_1') or contains(s_name, '7') or contains(n_name, '7') as found, n_regionkey in (1, 2) as inside, (select count(*) - count(distinct shared) from s) as repeated from s where contains(lower(n_name), 'tion_1') or contains(s_name, '7') or contains(n_name, '7') or n_regionkey in (1, 2)
 """)
 def story_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = A.table(spark, sf_dir, "supplier").join(A.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     none = F.array().cast("array<string>")
     stories = settle(own.select("s_suppkey", (F.col("s_suppkey") % 7).alias("cluster_id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("summary"), F.array("n_name").alias("labels"), none.alias("publishers"), none.alias("domains"), F.array("n_regionkey").alias("regions")))
-    found = serving.search(stories, " AN ").unionAll(serving.search(stories, "7")).select("s_suppkey", F.lit(True).alias("found")).distinct()
+    found = serving.search(stories, " Tion_1 ").unionAll(serving.search(stories, "7")).select("s_suppkey", F.lit(True).alias("found")).distinct()
     inside = serving.within_region(stories, 1).unionAll(serving.within_region(stories, 2)).select("s_suppkey", F.lit(True).alias("inside"))
     both = found.join(inside, "s_suppkey", "full").select("s_suppkey", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("found", "inside")])
     return both.crossJoin(serving.duplicate_rows(stories).withColumnRenamed("duplicates", "repeated"))  # one row

@@ -25,10 +25,8 @@ LEAST_SLOTS, MOST_SLOTS, LEAST_BYTES = (20, 21, 21), (23, 23, 23), 1 << 27
 NODES = 9
 #: Letters of a word after which its last 6 bytes stand for the word before.
 WORD_BEFORE = 3
-#: One in so many training documents serves to fit the mixing weights before it is counted in the tables too; passes over them.
-FITTED, PASSES = 128, 2
-#: Of these documents those that a task fits its weights on, about.
-FITTED_TOGETHER = 250
+#: Rate of the steps by which mixing weights are fitted.
+RATE = 0.12
 #: Weight sets: 4 levels of what the last two predictors have seen, and 3 states of the repeat predictor. Inputs: a bias, the predictors, the repeat predictor.
 GATES, INPUTS = 48, 6
 #: Bytes of a block of documents that are handled together, and of a piece of it.
@@ -362,25 +360,27 @@ class Mixer:
         return out
 
     def fit(self, docs: list[bytes]) -> int:
-        """Online gradient steps of the log likelihood, in stretches of bits; the number of bits that weights are from."""
+        """Online gradient steps of the log likelihood over docs, in stretches of bits; the number of bits."""
         size, total = 1 << 14, 0
-        for turn in range(PASSES):
-            rate = 0.6 / (1 + turn)
-            for some in pieces(docs):
-                piece = Piece(some, self.code, self.bits)
-                values, (where, says), gate = self.inputs(piece)
-                x = np.zeros((INPUTS, len(gate)), np.float32)
-                x[0], x[-1][where] = 1.0, says
-                for k, value in enumerate(values, 1):
-                    x[k] = value * np.float32(0.25 / _EXACT)
-                total += len(gate)
-                for a in range(0, len(gate), size):
-                    xs, g = x[:, a : a + size], gate[a : a + size]
-                    score = np.einsum("ij,ji->j", xs, self.weights[g])
-                    miss = piece.bit[a : a + size] - 1 / (1 + np.exp(-score.clip(-15, 15)))
-                    n = np.bincount(g, minlength=GATES) + 64.0
-                    for k in range(INPUTS):
-                        self.weights[:, k] += rate * 0.2 * np.bincount(g, miss * xs[k], GATES) / n
+        columns = np.ascontiguousarray(self.weights.T)
+        for some in pieces(docs):
+            piece = Piece(some, self.code, self.bits)
+            values, (where, says), gate = self.inputs(piece)
+            repeat = np.zeros(len(gate), np.float32)
+            repeat[where] = says
+            total += len(gate)
+            for a in range(0, len(gate), size):
+                g = gate[a : a + size]
+                xs = [value[a : a + size] * np.float32(0.25 / _EXACT) for value in values] + [repeat[a : a + size]]
+                score = columns[0][g]
+                for x, column in zip(xs, columns[1:], strict=True):
+                    score += x * column[g]
+                miss = piece.bit[a : a + size] - 1 / (1 + np.exp(-score.clip(-15, 15)))
+                step = RATE / (np.bincount(g, minlength=GATES) + 64.0)
+                columns[0] += step * np.bincount(g, miss, GATES)
+                for x, column in zip(xs, columns[1:], strict=True):
+                    column += step * np.bincount(g, miss * x, GATES)
+        self.weights = np.ascontiguousarray(columns.T)
         return total
 
     def units(self, docs: list[bytes]) -> np.ndarray:
@@ -603,13 +603,11 @@ def _triple_counts(blocks: DataFrame) -> np.ndarray:
 COUNTS = "part int, task int, counts binary"
 
 
-def fitting(block: int, n: int) -> np.ndarray:
-    """Which documents of a block serve to fit the weights, if they are training ones: one in FITTED, and one of the first block at least."""
+def half(block: int, n: int) -> np.ndarray:
+    """Which half of the training documents each document of a block is of, if it is one: 0 or 1."""
     at = np.arange(n, dtype=np.uint64) + np.uint64(block) * np.uint64(0x9E3779B97F4A7C15)
     at = (at ^ (at >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    chosen = (at >> np.uint64(33)) % np.uint64(FITTED) == 0
-    chosen[:1] |= block == 0
-    return chosen
+    return ((at >> np.uint64(33)) & np.uint64(1)).astype(np.int64)
 
 
 def _bins(code: Code, bits: tuple[int, ...]) -> tuple[list[int], list[tuple[int, int]]]:
@@ -618,8 +616,8 @@ def _bins(code: Code, bits: tuple[int, ...]) -> tuple[list[int], list[tuple[int,
     return sizes, [(k, a) for k, n in enumerate(sizes) for a in range(0, n, 2 * PART)]
 
 
-def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], chosen: bool) -> DataFrame:
-    """(part, task, counts): sums of the tables' slots over the training documents that do or don't serve to fit, in parts of PART slots.
+def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], which: int) -> DataFrame:
+    """(part, task, counts): sums of the tables' slots over one half of the training documents, in parts of PART slots.
 
     Sums have 64 bits; those of a task, whose bits are far fewer, 32 until they are added up.
     """
@@ -636,7 +634,7 @@ def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], chosen: bool)
                 some.clear()
 
         for number, block in each_block(batches):
-            lines = block.lines((block.folds != 1) & (fitting(number, len(block.sizes)) == chosen))
+            lines = block.lines((block.folds != 1) & (half(number, len(block.sizes)) == which))
             if lines and not totals:
                 totals = [np.zeros(n, np.int32) for n in sizes]
             for some in pieces(lines):
@@ -698,27 +696,32 @@ def tables_of(counts: DataFrame, code: Code, bits: tuple[int, ...]) -> list[np.n
     return tables
 
 
-def fitted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], tables: list[np.ndarray], tasks: int) -> np.ndarray:
-    """Mixing weights: each task fits its own from its share of the documents that serve to fit; their mean by bits. tables don't have those documents."""
+def fitted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], tables: list[np.ndarray], which: int) -> tuple[np.ndarray, float]:
+    """(weights times bits, bits): sums over blocks, each of which fits mixing weights on all its training documents of one half; tables are those of the other half."""
     sent = blocks.sparkSession.sparkContext.broadcast((code, tables))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in each_block(batches):
-            which = (block.folds != 1) & fitting(number, len(block.sizes))
-            yield pa.RecordBatch.from_arrays([pa.array([number] * int(which.sum()), pa.int64()), pa.array(np.flatnonzero(which)), pa.array(block.lines(which), pa.binary())], names=["block", "at", "line"])
-
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(Code.of(sent.value[0]), bits, sent.value[1])
-        n = float(own.fit([x for batch in batches for x in batch.column(0).to_pylist()]))
-        if n:
-            w = own.weights.reshape(-1).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w * n), pa.array(np.full(len(w), n))], names=["i", "w", "n"])
-
-    chosen = blocks.mapInArrow(choose, "block long, at long, line binary").repartition(tasks, "block", "at").sortWithinPartitions("block", "at").select("line")
-    out = Mixer(Code.of(code), bits, tables).weights.reshape(-1).copy()
-    for row in chosen.mapInArrow(fit, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect():  # GATES * INPUTS rows
-        out[row["i"]] = row["w"]
-    return out.reshape(GATES, INPUTS)
+        own, first = None, None
+        sums, bits_seen = np.zeros(GATES * INPUTS), 0.0
+        for number, block in each_block(batches):
+            lines = block.lines((block.folds != 1) & (half(number, len(block.sizes)) == which))
+            if not lines:
+                continue
+            if own is None:
+                own = Mixer(Code.of(sent.value[0]), bits, sent.value[1])
+                first = own.weights
+            own.weights = first
+            n = float(own.fit(lines))
+            sums += own.weights.reshape(-1).astype(np.float64) * n
+            bits_seen += n
+        if bits_seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums), pa.array(np.full(len(sums), bits_seen))], names=["i", "w", "n"])
+
+    out, total = np.zeros(GATES * INPUTS), 0.0
+    for row in blocks.mapInArrow(fit, "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():  # GATES * INPUTS rows
+        out[row["i"]], total = row["w"], row["n"]
+    sent.destroy()
+    return out.reshape(GATES, INPUTS), total
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -727,7 +730,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Tokens are words, with A-Z in lower case, then one end. Documents whose fold is 1 are held out; the others are learned from. base_score is
     the log10 probability by smoothed counts of single tokens in all training documents; score is that of the mixed model and of the smoothed counts, token
     by token. The model's tables are counted over all training documents; their size follows these documents' bytes (table_bits). Its weights are fitted on
-    one in FITTED of them, with tables that don't have these yet. bits per byte are -score * log2(10) / bytes. A null text counts as empty:
+    all of them: on each half of them with the tables of the other, which don't have what they are fitted on. bits per byte are -score * log2(10) / bytes. A null text counts as empty:
     its only token is the end. Texts are scored whole; those of over twice PIECE_BYTES are held in stretches, which begin anew what a document learns of itself.
     Rows with a null id are learned from, and not held out; repeated rows each count and come back. Other columns aren't read; an empty
     table gives no rows. The driver gets the predictors' tables, whose size table_bits bounds, and sums.
@@ -746,9 +749,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     code = whole_code.parts()
     # Few tasks, as each has tables of its own to add up.
     few = blocks.coalesce(tasks(spark, size, COUNTED_BYTES))
-    most = settle(counted(few, code, bits, False))
-    weights = fitted(blocks, code, bits, tables_of(most, whole_code, bits), max(1, ends // (FITTED * FITTED_TOGETHER)))
-    tables = tables_of(most.unionAll(counted(few, code, bits, True)), whole_code, bits)
+    halves = [settle(counted(few, code, bits, which)) for which in (0, 1)]
+    fits = [fitted(few, code, bits, tables_of(halves[1 - which], whole_code, bits), which) for which in (0, 1)]
+    fit_bits = sum(n for _, n in fits)
+    weights = (sum(w for w, _ in fits) / fit_bits).astype(np.float32) if fit_bits else None
+    tables = tables_of(halves[0].unionAll(halves[1]), whole_code, bits)
     sent = spark.sparkContext.broadcast((code, tables, weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

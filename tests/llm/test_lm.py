@@ -183,3 +183,14 @@ def test_tables_grow_with_the_corpus_and_are_counted_over_all_training_documents
 
 def test_empty_table(spark):
     assert lm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_weights_are_fitted_on_every_training_document(spark):
+    rows = corpus(300, 5)
+    blocks = lm.blocks_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    mixer, _ = small_mixer()
+    train = lm.spread([lm.tokens(t.encode()) for i, t in rows if not held(i)])
+    want = sum(len(lm.Piece(some, mixer.code, BITS).bit) for some in lm.pieces(train))
+    fits = [lm.fitted(blocks, mixer.code.parts(), BITS, mixer.tables, which) for which in (0, 1)]
+    assert all(n > want / 4 for _, n in fits) and sum(n for _, n in fits) == want
+    assert all(np.abs(w / n - mixer.weights).max() > 0.01 for w, n in fits)

@@ -44,12 +44,21 @@ def weighted_score(parts: dict[str, Column]) -> Column:
     return clamp(F.coalesce(total / F.nullif(weight, F.lit(0.0)), F.lit(0.0)))
 
 
-def score_reasons(parts: dict[str, Column], score: Column) -> Column:
-    """What a score rests on, in words."""
-    said = (("title", 0.45, "title token overlap %.2f"), ("entities", 0.35, "named-entity overlap %.2f"), ("time", 0.7, "publication times are close (%.2f)"), ("location", None, "shared event-location evidence %.2f"), ("semantic", 0.65, "semantic similarity %.2f"))
-    each = [F.when(parts[k] > 0 if least is None else parts[k] >= least, F.format_string(text, parts[k])) for k, least, text in said if k in parts]
-    found = F.filter(F.array(*each), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.format_string("weighted similarity %.2f", score)))
+# From how much on a part is a reason, and in which words.
+REASONS = {"title": (0.45, "title token overlap %.2f"), "entities": (0.35, "named-entity overlap %.2f"), "time": (0.7, "publication times are close (%.2f)"), "location": (None, "shared event-location evidence %.2f"), "semantic": (0.65, "semantic similarity %.2f")}
+
+
+def reason(name: str, part: Column) -> Column:
+    """What a part of a score says in words, or null if it is too little."""
+    least, text = REASONS[name]
+    return F.when(part > 0 if least is None else part >= least, F.format_string(text, part))
+
+
+def score_reasons(said: dict[str, Column], score: Column) -> Column:
+    """What a score rests on, in words. said: the parts' reasons."""
+    each = [said[k] for k in REASONS if k in said]
+    none = F.coalesce(*each).isNull()
+    return F.when(none, F.array(F.format_string("weighted similarity %.2f", score))).otherwise(F.array_compact(F.array(*each)))
 
 
 def match_confidence(field: Column, kind: Column, ambiguity: Column) -> Column:

@@ -19,6 +19,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly over a number of tasks that doesn't follow from its bytes, for rows that are quick to read and slow to work on."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int, how: str = "inner") -> DataFrame:
     """left join right on keys, where one key may hold a great part of left: left's rows of a key go to `salts` places by spread, right's rows to each of them.
 

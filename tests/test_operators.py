@@ -607,3 +607,15 @@ def test_searches_go_to_the_most_promising_story_of_a_title(spark):
     articles = spark.createDataFrame([("a1", "w.example", "Opinion: no"), ("a2", "w.example", "News"), ("a3", "o.example", "Opinion")], "article_id string, domain string, title string")
     rules = spark.createDataFrame([("w.example", "^Opinion", "disputes", "negative", 0), ("w.example", None, "straight_report", "neutral", 1)], "domain string, title_pattern string, framing string, tone string, priority int")
     assert sorted((r["article_id"], r["framing"]) for r in enrich.framed(articles, rules).collect()) == [("a1", "disputes"), ("a2", "straight_report"), ("a3", None)]
+
+
+def test_pairs_of_many_copies_arent_shuffled_and_have_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "CHUNK", 7)
+    rows = [article(f"{i:03}", "Flood hits the old river town" if i % 3 else "Flood hits an old river town again", i) for i in range(60)]
+    own = clustering.scored_pairs(articles_of(spark, rows))
+    assert own.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    got = [(r["a"], r["b"]) for r in own.collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert len(got) == 60 * 59 // 2
+    monkeypatch.setattr(clustering, "CHUNK", 1000)
+    assert {(r["a"], r["b"], r["score"], tuple(r["reasons"])) for r in clustering.scored_pairs(articles_of(spark, rows)).collect()} == {(r["a"], r["b"], r["score"], tuple(r["reasons"])) for r in own.collect()}

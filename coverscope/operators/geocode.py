@@ -12,12 +12,15 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from coverscope.functions.numbers import clamp, match_confidence
 from coverscope.functions.text import quote_window, same_ignoring_case
+from coverscope.runtime import salted_join
 
 MINIMUM, CONTEXT = 0.5, 70
 #: Aliases that are sent to the workers at once; more go in several passes over the texts.
 SENT_ALIASES = 250_000
 #: Texts that become objects at once.
 _SLICE = 256
+#: Places that the matches of an alias of a large gazetteer go to.
+SALTS = 16
 
 
 class AliasTrie:
@@ -80,19 +83,24 @@ def gazetteer_matches(texts: DataFrame, aliases: DataFrame, longest: int = 4, co
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
-    return every.join(aliases.join(meanings, "alias"), "alias").drop("alias")
+    # An alias may have most of the matches, so these don't go to where its meanings are.
+    meant = aliases.join(meanings, "alias")
+    if meant.count() <= SENT_ALIASES:
+        return every.join(F.broadcast(meant), "alias").drop("alias")  # SENT_ALIASES rows
+    return salted_join(every, meant, ["alias"], F.struct("start", "end", "quote"), SALTS).drop("alias")
 
 
 def _scan(texts: DataFrame, names: DataFrame, longest: int, context: int):  # noqa: ANN202
     """A pass over Arrow batches of texts (the last column) with the trie of the names."""
-    sent = texts.sparkSession.sparkContext.broadcast(AliasTrie([r["alias"] for r in names.toLocalIterator()], longest))  # SENT_ALIASES or so
+    sent = texts.sparkSession.sparkContext.broadcast(AliasTrie([r["alias"] for r in names.toLocalIterator()], longest).nodes)  # SENT_ALIASES or so
 
     def quote(text: str, start: int, end: int) -> str:
         a, b = max(0, start - context), min(len(text), end + context)
         return ("…" if a > 0 else "") + text[a:b].strip(" ") + ("…" if b < len(text) else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = sent.value
+        trie = AliasTrie([], longest)
+        trie.nodes = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
@@ -121,10 +129,10 @@ def located_matches(matches: DataFrame, minimum: float = MINIMUM) -> DataFrame:
 def place_evidence(located: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, place_id, article_id, start, end, url, quote, method, outlet_id, confidence): the evidence of places, a row each.
 
-    Of evidence at one place of an article the later field (summary after title) stands.
+    Of evidence at one place of an article the later field (summary after title) stands. Matches are dealt out by article first: nearly all differ, so a task that read many would only hold them all to count nothing together.
     """
     keys = keys or []
-    own = located.groupBy(*keys, "place_id", "article_id", "start", "end").agg(F.max_by(F.struct("url", "quote"), (F.col("field") == "summary").cast("int")).alias("e"), F.max("confidence").alias("confidence"), F.min("outlet_id").alias("outlet_id"))
+    own = located.repartition("article_id").groupBy(*keys, "place_id", "article_id", "start", "end").agg(F.max_by(F.struct("url", "quote"), (F.col("field") == "summary").cast("int")).alias("e"), F.max("confidence").alias("confidence"), F.min("outlet_id").alias("outlet_id"))
     return own.select(*keys, "place_id", "article_id", "start", "end", "e.url", "e.quote", F.lit("article_text").alias("method"), "outlet_id", "confidence")
 
 
@@ -134,7 +142,8 @@ def event_locations(evidence: DataFrame, keys: list[str] | None = None) -> DataF
     keys: what places are gathered within, such as a cluster. Evidence isn't gathered: a place may have that of any number of articles.
     """
     keys = keys or []
-    places = evidence.groupBy(*keys, "place_id").agg(F.max("confidence").alias("strongest"), F.countDistinct("article_id").alias("articles"), F.countDistinct("outlet_id").alias("outlets"))
+    per = evidence.groupBy(*keys, "place_id", "article_id", "outlet_id").agg(F.max("confidence").alias("confidence"))
+    places = per.groupBy(*keys, "place_id").agg(F.max("confidence").alias("strongest"), F.countDistinct("article_id").alias("articles"), F.countDistinct("outlet_id").alias("outlets"))
     return places.select(*keys, "place_id", clamp(F.col("strongest") + (F.col("articles") - 1) * 0.06 + (F.col("outlets") - 1) * 0.04).alias("confidence"), "articles", "outlets")
 
 

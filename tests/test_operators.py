@@ -619,3 +619,14 @@ def test_pairs_of_many_copies_arent_shuffled_and_have_many_tasks(spark, monkeypa
     assert len(got) == 60 * 59 // 2
     monkeypatch.setattr(clustering, "CHUNK", 1000)
     assert {(r["a"], r["b"], r["score"], tuple(r["reasons"])) for r in clustering.scored_pairs(articles_of(spark, rows)).collect()} == {(r["a"], r["b"], r["score"], tuple(r["reasons"])) for r in own.collect()}
+
+
+def test_matches_of_one_alias_are_dealt_out(spark):
+    texts = spark.createDataFrame([(str(i), "o", "u", "summary", "in the town of the river") for i in range(400)], "article_id string, outlet_id string, url string, field string, text string")
+    names = spark.createDataFrame([("the", 1, "city")], "alias string, place_id long, kind string")
+    found = geocode.gazetteer_matches(texts.repartition(3), names)
+    each = found.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(each) == 800 and max(each) < 400
+    own = geocode.place_evidence(geocode.located_matches(found))
+    plan = own._jdf.queryExecution().sparkPlan().toString()
+    assert own.count() == 800 and "Aggregate" in plan and "REPARTITION" in plan.upper()

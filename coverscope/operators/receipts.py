@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverscope.runtime import spread
+
 # How a commit is written, what an integration's status may be, and by how much a balance may be off.
 COMMIT, STATUSES, SLACK = r"^[0-9a-f]{7,64}$", ("succeeded", "degraded", "failed"), 1e-9
 LISTS = ("tests", "artifact_paths", "evidence_urls", "blockers")
@@ -40,10 +42,14 @@ def _issues(df: DataFrame, keys: list[str], path: Column, rules: list[tuple[str,
 
 
 def receipt_issues(receipts: DataFrame, json_col: str = "receipt", keys: list[str] | None = None) -> DataFrame:
-    """(keys, code, path): what breaks the form of a receipt. A null JSON is no receipt and has no issue."""
+    """(keys, code, path): what breaks the form of a receipt. A null JSON is no receipt and has no issue.
+
+    Receipts are dealt out over tasks, as their rules take far longer than reading them.
+    """
     keys = keys or ["run_id"]
-    own = receipts.where(F.col(json_col).isNotNull()).select(*keys, F.try_parse_json(F.col(json_col)).alias("_v"))
-    v, there = F.col("_v"), _kind(F.col("_v")).startswith("OBJECT")
+    own = spread(receipts.where(F.col(json_col).isNotNull()).select(*keys, F.col(json_col).alias("_j"))).select(*keys, F.try_parse_json("_j").alias("_v"))
+    own = own.select("*", _kind(F.col("_v")).startswith("OBJECT").alias("_there"))
+    v, there = F.col("_v"), F.col("_there")
     blank = lambda x: F.coalesce(F.trim(_text(x)) == "", F.lit(True))
     rules = [("invalid_receipt", "", ~there), ("missing_agent", "agent", there & blank(_at(v, "agent"))), ("missing_task_id", "task_id", there & blank(_at(v, "task_id")))]
     rules.append(("invalid_commit", "commit", there & (_kind(_at(v, "commit")) != "VOID") & ~F.coalesce(_text(_at(v, "commit")).rlike(COMMIT), F.lit(False))))
@@ -53,8 +59,8 @@ def receipt_issues(receipts: DataFrame, json_col: str = "receipt", keys: list[st
     rules.append(("invalid_integrations", "integrations", there & (_kind(_at(v, "integrations")) != "VOID") & items.isNull()))
     found = _issues(own, keys, F.lit(""), rules)
     each = own.where(there).select(*keys, F.posexplode(items).alias("_i", "_x"))
-    x, whole = F.col("_x"), _kind(F.col("_x")).startswith("OBJECT")
-    observed, usage = _text(_at(x, "observed_at")), _at(x, "usage")
+    each = each.select("*", _kind(F.col("_x")).startswith("OBJECT").alias("_whole"), _at(F.col("_x"), "usage").alias("_usage"), _text(_at(F.col("_x"), "observed_at")).alias("_observed"))
+    x, whole, observed, usage = (F.col(c) for c in ("_x", "_whole", "_observed", "_usage"))
     wrong = ~_kind(usage).startswith("OBJECT") | F.coalesce(_text(_at(usage, "unit")) == "", F.lit(True))
     before, after, delta = (_number(_at(usage, c)) for c in ("before", "after", "delta"))
     wrong = wrong | before.isNull() | after.isNull() | delta.isNull() | (F.abs((after - before) - delta) > SLACK)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from coverscope.operators import clustering, components, enrich, gates, geocode, merge, prominence, registry, serving, signals, validate
+from coverscope.operators import clustering, components, enrich, gates, geocode, merge, prominence, receipts, registry, serving, signals, validate
 from coverscope.operators.components import connected_components
 from coverscope.runtime import counted_so_far
 from coverscope.schemas import Limits
@@ -630,3 +630,9 @@ def test_matches_of_one_alias_are_dealt_out(spark):
     own = geocode.place_evidence(geocode.located_matches(found))
     plan = own._jdf.queryExecution().sparkPlan().toString()
     assert own.count() == 800 and "Aggregate" in plan and "REPARTITION" in plan.upper()
+
+
+def test_receipts_of_one_partition_are_dealt_out(spark):
+    rows = spark.createDataFrame([(i, '{"agent":" ","task_id":"t"}' if i % 2 else None) for i in range(40)], "run_id long, receipt string").coalesce(1)
+    own = receipts.receipt_issues(rows)
+    assert own.rdd.getNumPartitions() > 8 and {(r["code"], r["path"]) for r in own.collect()} == {("missing_agent", "agent")} and own.count() == 20

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverscope.runtime import spread
+
 
 @dataclass(frozen=True)
 class Table:
@@ -87,7 +89,7 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Table] = SERVING)
     """(table, constraint, key, n): each row of a table that breaks a constraint of its own, by its key; each set of equal values that should be unique, by them, with how many rows are too many; each row whose reference
     isn't there. Columns that a table lacks count as null.
 
-    A table's own constraints take one pass. Uniqueness is a count with partial sums, and a reference an anti join with the distinct values referred to; a table that isn't given can't be referred to, and its references
+    A table's own constraints take one pass. Uniqueness is a count after values are dealt out, as nearly all differ and partial sums would hold them all to reduce nothing, and a reference an anti join with the values referred to; a table that isn't given can't be referred to, and its references
     aren't looked at.
     """
     found: list[DataFrame] = []
@@ -101,12 +103,12 @@ def violations(tables: dict[str, DataFrame], rules: dict[str, Table] = SERVING)
         found.append(rows.select(F.lit(name).alias("table"), "constraint", "key", F.lit(1).cast("long").alias("n")))
         for columns in (rule.key, *rule.unique):
             there = own.where(" and ".join(f"`{c}` is not null" for c in columns))
-            many = there.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+            many = spread(there.select(*columns), *columns).groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
             found.append(many.select(F.lit(name), F.lit(f"unique {','.join(columns)}"), _named(columns), "n"))
         for column, (other, target) in rule.references.items():
             if other in tables:
                 there = tables[other] if target in tables[other].columns else tables[other].withColumn(target, F.lit(None).cast(own.schema[column].dataType))
-                values = there.select(F.col(target).alias(column)).distinct()
+                values = there.select(F.col(target).alias(column))
                 absent = own.where(F.col(column).isNotNull()).join(values, column, "left_anti")
                 found.append(absent.select(F.lit(name), F.lit(f"foreign key {column}"), _named(rule.key), F.lit(1).cast("long")))
     every = found[0]

@@ -19,10 +19,10 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt out evenly over a number of tasks that doesn't follow from its bytes, for rows that are quick to read and slow to work on."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out, evenly or by columns, over a number of tasks that doesn't follow from its bytes, for rows that are quick to read and slow or large to work on."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int, how: str = "inner") -> DataFrame:

@@ -636,3 +636,12 @@ def test_receipts_of_one_partition_are_dealt_out(spark):
     rows = spark.createDataFrame([(i, '{"agent":" ","task_id":"t"}' if i % 2 else None) for i in range(40)], "run_id long, receipt string").coalesce(1)
     own = receipts.receipt_issues(rows)
     assert own.rdd.getNumPartitions() > 8 and {(r["code"], r["path"]) for r in own.collect()} == {("missing_agent", "agent")} and own.count() == 20
+
+
+def test_values_that_should_be_unique_arent_held_before_they_are_dealt_out(spark):
+    from coverscope.operators import constraints
+
+    table = spark.createDataFrame([(str(i % 50), i) for i in range(51)], "run_id string, n int").coalesce(1)
+    found = constraints.violations({"t": table}, {"t": constraints.Table(("run_id",), ("n",))})
+    assert [(r["constraint"], r["key"], r["n"]) for r in found.collect()] == [("unique run_id", "0", 1)]
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

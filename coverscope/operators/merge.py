@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coverscope.functions.text import collated, headline_key
 from coverscope.operators.components import LOCAL_LINKS, connected_components
-from coverscope.runtime import first_by
+from coverscope.runtime import first_by, settle
 
 
 def evidence_keys(clusters: DataFrame, articles: DataFrame, locations: DataFrame) -> DataFrame:
@@ -24,13 +24,20 @@ def evidence_keys(clusters: DataFrame, articles: DataFrame, locations: DataFrame
 def merged_ids(clusters: DataFrame, articles: DataFrame, locations: DataFrame) -> DataFrame:
     """(cluster_id, merged_id): each cluster with the least id of those that share evidence with it, directly or through others.
 
-    The clusters of a key are linked with its least one, so a key of many clusters gives as many links as it has, not pairs.
+    A cluster first goes by the least one of those at its place under its headline, so what is left to link are places, not clusters: their number follows
+    that of headlines and places, however many clusters each has. All that go by one are linked with it by their key, and of a key all that its clusters go by
+    are linked with the least, so a key of many gives as many links as it has, not pairs, and no link is lost where a cluster has several places.
     """
-    keys = evidence_keys(clusters, articles, locations)
-    least = keys.groupBy("key").agg(F.min("cluster_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = keys.join(least, "key").select(F.col("cluster_id").alias("u"), "v")
-    labels = connected_components(links, LOCAL_LINKS)
-    return clusters.select("cluster_id").join(labels.withColumnsRenamed({"node": "cluster_id", "label": "merged_id"}), "cluster_id", "left").withColumn("merged_id", F.coalesce("merged_id", "cluster_id"))
+    keys = settle(evidence_keys(clusters, articles, locations))
+    placed = keys.where(F.col("key").startswith("location|"))
+    least = placed.groupBy("key").agg(F.min("cluster_id").alias("v"))
+    by = settle(placed.join(least, "key").groupBy("cluster_id").agg(F.min("v").alias("v")))
+    held = keys.join(by, "cluster_id", "left").select(F.coalesce("v", "cluster_id").alias("u"), "key").distinct()
+    least = held.groupBy("key").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    links = held.join(least, "key").where("u <> v").select("u", "v")
+    labels = connected_components(links, LOCAL_LINKS).select(F.col("node").alias("v"), F.col("label").alias("merged_id"))
+    own = clusters.select("cluster_id").join(by, "cluster_id", "left").withColumn("v", F.coalesce("v", "cluster_id"))
+    return own.join(labels, "v", "left").select("cluster_id", F.coalesce("merged_id", "v").alias("merged_id"))
 
 
 def _renamed(df: DataFrame, ids: DataFrame) -> DataFrame:

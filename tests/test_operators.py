@@ -52,6 +52,41 @@ def test_merge_needs_more_than_a_title(spark):
     assert got == {"c1": "c1", "c2": "c1", "c3": "c1", "c4": "c4", "c5": "c5"}
 
 
+def test_merge_links_places_not_clusters(spark, monkeypatch):
+    clusters = spark.createDataFrame([(f"c{i:03}", "Quake hits") for i in range(200)], "cluster_id string, title string")
+    articles = spark.createDataFrame([(f"c{i:03}", f"u{i // 2}") for i in range(200)], "cluster_id string, canonical_url string")
+    places = spark.createDataFrame([(f"c{i:03}", f"p{i % 2}") for i in range(200)], "cluster_id string, location_key string")
+    links = []
+
+    def counted(edges, local=0):
+        links.append(edges.distinct().count())
+        return connected_components(edges, local)
+
+    monkeypatch.setattr(merge, "connected_components", counted)
+    assert {r["merged_id"] for r in merge.merged_ids(clusters, articles, places).collect()} == {"c000"}
+    assert links == [1]  # of two places that share documents, not of 200 clusters
+
+
+def test_merge_is_as_every_link_has_it(spark):
+    rng = random.Random(5)
+    titles = {i: f"T{rng.randrange(6)}" for i in range(150)}
+    placed = [(i, f"p{rng.randrange(60)}") for i in range(150) for _ in range(rng.choice((0, 1, 1, 2)))]
+    written = [(i, f"u{rng.randrange(150)}") for i in range(150) for _ in range(rng.choice((0, 1, 2)))]
+    above = {i: i for i in range(150)}
+
+    def top(x):
+        return x if above[x] == x else top(above[x])
+
+    for kind in (placed, written):
+        first = {}
+        for i, k in kind:
+            a, b = sorted((top(i), top(first.setdefault((titles[i], k), i))))
+            above[b] = a
+    clusters = spark.createDataFrame(list(titles.items()), "cluster_id long, title string")
+    got = merge.merged_ids(clusters, spark.createDataFrame(written, "cluster_id long, canonical_url string"), spark.createDataFrame(placed, "cluster_id long, location_key string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, top(i)) for i in range(150)]
+
+
 def article(i, title, minutes, outlet="o"):
     at = T0 + timedelta(minutes=minutes)
     return (i, f"https://{outlet}.example/{i}", f"https://{outlet}.example/{i}", title, None, outlet, f"{outlet}.example", outlet, "en", at, at, "news", i, 0.9)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +37,8 @@ COMMON = 40
 FIRST_BITS = 2048
 #: How firmly these factors are held at 1 at first, in bits' worth of curvature.
 HELD = 60.0
-#: Bits that a worker gathers before it adds them to its tables, and bytes of texts that a task's tables are of.
-COUNTED_BITS, COUNTED_BYTES = 3_000_000, 96_000_000
+#: Bytes of texts that a task's tables are of.
+COUNTED_BYTES = 96_000_000
 #: Weight at first of single tokens' probabilities beside the mixed ones, units that it counts for, and units after which it first changes.
 SINGLE, PRIOR_UNITS, FIRST_UNITS = 0.3, 16, 32
 PART = 1 << 16
@@ -188,6 +188,26 @@ def node_hash(node: np.ndarray) -> np.ndarray:
     return (node + np.uint32(1)) * np.uint32(0x9E3779B1)
 
 
+def owners(length: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The number of each, as often as its length says; step: sums of the lengths."""
+    if not length.all():
+        return np.repeat(np.arange(len(length)), length)
+    first = np.zeros(int(step[-1]), np.int8)
+    first[step[:-1]] = 1
+    return np.cumsum(first, dtype=np.intp)
+
+
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Indices that sort keys of 64 bits, equal ones in order: by their first 44 bits with the index behind them, if that tells different ones apart."""
+    if len(keys) < 1 << 20:
+        low = np.uint64((1 << 20) - 1)
+        joined = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+        order = (joined & low).astype(np.intp)
+        if not (((joined[1:] ^ joined[:-1]) <= low) & (keys[order[1:]] != keys[order[:-1]])).any():
+            return order
+    return np.argsort(keys, kind="stable")
+
+
 class Piece:
     """Some documents as bits, with the slots that each predictor has for them.
 
@@ -211,70 +231,81 @@ class Piece:
         one, two = (eight >> np.uint64(56)).astype(np.int32), ((eight >> np.uint64(48)) & np.uint64(255)).astype(np.int32)
         # Words: where they begin; hashes of what of them lies before each byte.
         sums, inverse = prefix_sums(x)
-        begins = np.flatnonzero((place == 0) | (one == 32)).astype(np.int32)
+        begin = (place == 0) | (one == 32)
+        begins = np.flatnonzero(begin).astype(np.int32)
         lengths = np.diff(np.append(begins, np.int32(n)))
-        at = np.repeat(begins, lengths)
-        letters = every - at
-        prefix = (sums[:n] - np.repeat(sums[begins], lengths)) * np.repeat(inverse[begins], lengths)
+        # np.take of a number for each is quicker than np.repeat of what it has.
+        word = np.cumsum(begin, dtype=np.intp)
+        word -= 1
+        letters = every - np.take(begins, word, mode="clip")
+        prefix = sums[:n] - np.take(sums[begins], word, mode="clip")
+        prefix *= np.take(inverse[begins], word, mode="clip")
         whole = (sums[begins + lengths - 1] - sums[begins]) * inverse[begins]
         first = place[begins] == 0
         last = np.concatenate((np.zeros(1, np.uint64), whole[:-1]))
         last[first] = 0
-        joint = np.where(letters <= WORD_BEFORE, prefix ^ np.repeat(last * np.uint64(0x9E3779B97F4A7C15), lengths), (eight >> np.uint64(16)) + np.uint64(1))
+        joint = np.where(letters <= WORD_BEFORE, prefix ^ np.take(last * np.uint64(0x9E3779B97F4A7C15), word, mode="clip"), (eight >> np.uint64(16)) + np.uint64(1))
         # Bits.
-        where = np.take(code.context.reshape(-1), (two << 8) | one) << 8
+        where = np.take(code.context.reshape(-1), (two << 8) | one, mode="clip") << 8
         key = where + x
-        length = np.take(code.length, key)
+        length = np.take(code.length, key, mode="clip")
         if skips.any():
             length[place < np.repeat(skips, sizes)] = 0
         step = np.cumsum(length, dtype=np.int32)
         total = int(step[-1])
-        flat = np.repeat(np.take(code.offset, key) - (step - length), length)
-        flat += np.arange(total, dtype=np.int32)
-        taken = np.take(code.steps, flat)
+        owner = owners(length, step)
+        flat = np.take((np.take(code.offset, key, mode="clip") - (step - length)).astype(np.intp), owner, mode="clip")
+        flat += np.arange(total)
+        taken = np.take(code.steps, flat, mode="clip")
         node = taken >> 1
         self.bit = (taken & 1).astype(np.int8)
-        pair = np.repeat(where << (NODES - 8), length)
+        pair = np.take(where << (NODES - 8), owner, mode="clip")
         pair |= node
         self.slots = [pair]
         salt = node_hash(node.astype(np.uint32))
         for k, (context, size) in enumerate(zip((eight >> np.uint64(32), prefix, joint), bits, strict=True)):
             # A context tells the bytes before that the code depends on, and so a node's number tells the node.
-            h = np.repeat(mixed_bits(context, k, size), length)
+            h = np.take(mixed_bits(context, k, size), owner, mode="clip")
             h ^= (salt >> np.uint32(32 - size)).view(np.int32)
             self.slots.append(h)
         self.keys = key[length > 0] if skips.any() else key
         self.part_bits = np.add.reduceat(length, starts)
         counted = begins[place[begins] >= np.repeat(skips, sizes)[begins]]
         self.unit_bits = (step - length)[counted]
-        self._rest = code, x, where, begins, lengths, letters, last, first, length, step, taken
+        self._rest = code, x, where, begins, lengths, last, first, length, step, taken
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The repeat predictor: the word that came after the same two words the last time in this document, while its letters are right.
 
         The bits of which it says something; 1 or -1 for the bit it says; and its state: 1 in the first letters, 2 after them.
         """
-        code, x, context, begins, lengths, letters, last, first, length, step, taken = self._rest
-        n = len(x)
+        code, x, context, begins, lengths, last, first, length, step, taken = self._rest
         two = np.concatenate((np.zeros(1, np.uint64), last[:-1]))
         two[first] = 0
         doc_of = (np.cumsum(first) - 1).astype(np.uint64)
         keys = (last * np.uint64(3) ^ two * np.uint64(0xC2B2AE3D27D4EB4F)) + doc_of * np.uint64(0x165667B19E3779F9)
-        order = np.argsort(keys, kind="stable")
+        order = stable_order(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         source = np.full(len(begins), -1)
         source[order[1:][same]] = order[:-1][same]
         source[last == 0] = -1
-        where = np.repeat(source, lengths)
-        size = np.repeat(lengths[source], lengths)
-        guess = x[np.where((where >= 0) & (letters < size), np.repeat(begins[source], lengths) + letters, 0)]
-        wrong = np.concatenate((np.zeros(1, np.int64), np.cumsum(guess != x)))
-        live = (where >= 0) & (letters < size) & (wrong[:n] == np.repeat(wrong[begins], lengths))
-        other = context + guess
-        count = np.where(live, np.minimum(length, code.length[other]), 0)
+        # Of words that have such a word before them, and only as many letters as that has.
+        words = np.flatnonzero(source >= 0)
+        size = np.minimum(lengths[words], lengths[source[words]]).astype(np.intp)
+        to = np.cumsum(size)
+        each = np.repeat(np.arange(len(words)), size)
+        letters = np.arange(len(each)) - (to - size)[each]
+        at = begins[words][each] + letters
+        guess = x[begins[source[words]][each] + letters]
+        wrong = np.concatenate((np.zeros(1, np.int64), np.cumsum(guess != x[at])))
+        live = wrong[:-1] == wrong[to - size][each]
+        at, guess, letters = at[live], guess[live], letters[live]
+        other = context[at] + guess
+        count = np.minimum(length[at], code.length[other])
         ends = np.cumsum(count)
-        inside = np.arange(int(ends[-1])) - np.repeat(ends - count, count)
-        mine = np.repeat(step - length, count) + inside
+        inside = np.arange(int(ends[-1]) if len(ends) else 0)
+        inside -= np.repeat(ends - count, count)
+        mine = np.repeat((step - length)[at], count) + inside
         flat = np.repeat(code.offset[other], count) + inside
         other, own = np.take(code.steps, flat), np.take(taken, mine)
         agrees = (other >> 1) == (own >> 1)
@@ -335,7 +366,7 @@ class Mixer:
 
         The last two bits of a table's value, how much it has seen, are left in what it says, as they are less than its noise.
         """
-        values = [np.take(table, slots) for table, slots in zip(self.tables, piece.slots, strict=True)]
+        values = [np.take(table, slots, mode="clip") for table, slots in zip(self.tables, piece.slots, strict=True)]
         where, says, state = piece.repeats()
         gate = values[-1] & 3
         gate <<= 2
@@ -360,28 +391,29 @@ class Mixer:
         return out
 
     def fit(self, docs: list[bytes]) -> int:
-        """Online gradient steps of the log likelihood over docs, in stretches of bits; the number of bits."""
-        size, total = 1 << 14, 0
+        """Online gradient steps of the log likelihood over docs; the number of bits."""
+        return sum(self.fit_piece(Piece(some, self.code, self.bits)) for some in pieces(docs))
+
+    def fit_piece(self, piece: Piece) -> int:
+        """The same of a piece, in stretches of bits."""
+        size = 1 << 14
         columns = np.ascontiguousarray(self.weights.T)
-        for some in pieces(docs):
-            piece = Piece(some, self.code, self.bits)
-            values, (where, says), gate = self.inputs(piece)
-            repeat = np.zeros(len(gate), np.float32)
-            repeat[where] = says
-            total += len(gate)
-            for a in range(0, len(gate), size):
-                g = gate[a : a + size]
-                xs = [value[a : a + size] * np.float32(0.25 / _EXACT) for value in values] + [repeat[a : a + size]]
-                score = columns[0][g]
-                for x, column in zip(xs, columns[1:], strict=True):
-                    score += x * column[g]
-                miss = piece.bit[a : a + size] - 1 / (1 + np.exp(-score.clip(-15, 15)))
-                step = RATE / (np.bincount(g, minlength=GATES) + 64.0)
-                columns[0] += step * np.bincount(g, miss, GATES)
-                for x, column in zip(xs, columns[1:], strict=True):
-                    column += step * np.bincount(g, miss * x, GATES)
+        values, (where, says), gate = self.inputs(piece)
+        repeat = np.zeros(len(gate), np.float32)
+        repeat[where] = says
+        for a in range(0, len(gate), size):
+            g = gate[a : a + size]
+            xs = [value[a : a + size] * np.float32(0.25 / _EXACT) for value in values] + [repeat[a : a + size]]
+            score = np.take(columns[0], g, mode="clip")
+            for x, column in zip(xs, columns[1:], strict=True):
+                score += x * np.take(column, g, mode="clip")
+            miss = piece.bit[a : a + size] - 1 / (1 + np.exp(-score.clip(-15, 15)))
+            step = RATE / (np.bincount(g, minlength=GATES) + 64.0)
+            columns[0] += step * np.bincount(g, miss, GATES)
+            for x, column in zip(xs, columns[1:], strict=True):
+                column += step * np.bincount(g, miss * x, GATES)
         self.weights = np.ascontiguousarray(columns.T)
-        return total
+        return len(gate)
 
     def units(self, docs: list[bytes]) -> np.ndarray:
         """log10 of the probability of each word with what ends it, one document's after another's; of an empty document that of its end.
@@ -601,6 +633,8 @@ def _triple_counts(blocks: DataFrame) -> np.ndarray:
 
 
 COUNTS = "part int, task int, counts binary"
+#: Part of rows that have sums of fitted weights.
+FITTED = -1
 
 
 def half(block: int, n: int) -> np.ndarray:
@@ -616,39 +650,32 @@ def _bins(code: Code, bits: tuple[int, ...]) -> tuple[list[int], list[tuple[int,
     return sizes, [(k, a) for k, n in enumerate(sizes) for a in range(0, n, 2 * PART)]
 
 
-def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], which: int) -> DataFrame:
+def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], which: int, tables: Broadcast | None = None) -> DataFrame:
     """(part, task, counts): sums of the tables' slots over one half of the training documents, in parts of PART slots.
 
-    Sums have 64 bits; those of a task, whose bits are far fewer, 32 until they are added up.
+    Sums have 64 bits; those of a task, whose bits are far fewer, 32 until they are added up. With tables, code and tables of the other half, weights are
+    fitted as by `fitted` while the bits are at hand; these sums are rows of part FITTED, one for each task.
     """
     sizes, parts = _bins(Code.of(code), bits)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Code.of(code)
         totals: list[np.ndarray] = []
-        waiting: list[list[np.ndarray]] = [[] for _ in sizes]
-
-        def add() -> None:
-            for total, some in zip(totals, waiting, strict=True):
-                np.add(total, np.bincount(np.concatenate(some), minlength=len(total)), out=total, casting="unsafe")
-                some.clear()
-
+        fit = Fit(*tables.value, bits) if tables else None
         for number, block in each_block(batches):
             lines = block.lines((block.folds != 1) & (half(number, len(block.sizes)) == which))
             if lines and not totals:
                 totals = [np.zeros(n, np.int32) for n in sizes]
-            for some in pieces(lines):
-                piece = Piece(some, own, bits)
-                waiting[0].append(piece.keys)
-                for k, slots in enumerate(piece.slots[1:], 1):
+            made = (Piece(some, own, bits) for some in pieces(lines))
+            for piece in fit.over(made) if fit else made:
+                np.add.at(totals[0], piece.keys, np.int32(1))
+                for total, slots in zip(totals[1:], piece.slots[1:], strict=True):
                     slots *= 2
                     slots += piece.bit
-                    waiting[k].append(slots)
-                if sum(map(len, waiting[1])) > COUNTED_BITS:
-                    add()
-        if waiting[0]:
-            add()
+                    np.add.at(total, slots, np.int32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
+        if fit and fit.seen:
+            yield pa.RecordBatch.from_arrays([pa.array([FITTED], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.append(fit.sums, fit.seen).tobytes()], pa.binary())], names=["part", "task", "counts"])
         for i in range(0, len(parts) if totals else 0, 16):
             some_parts = [(j, totals[k][a : a + 2 * PART]) for j, (k, a) in list(enumerate(parts))[i : i + 16]]
             some_parts = [(j, x) for j, x in some_parts if x.any()]
@@ -658,7 +685,10 @@ def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], which: int) -
         totals: dict[int, np.ndarray] = {}
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for part, task, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part == FITTED:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([data.as_py()], pa.binary())], names=["part", "task", "counts"])
+                    continue
                 x = np.frombuffer(unpack(data.as_buffer().to_pybytes()), np.int32)
                 if part in totals:
                     totals[part] += x
@@ -696,26 +726,39 @@ def tables_of(counts: DataFrame, code: Code, bits: tuple[int, ...]) -> list[np.n
     return tables
 
 
+class Fit:
+    """Weights times bits, and bits: sums over blocks, each of which fits mixing weights from the first ones on."""
+
+    def __init__(self, code: tuple, tables: list[np.ndarray], bits: tuple[int, ...]) -> None:
+        self.mixer = Mixer(Code.of(code), bits, tables)
+        self.first = self.mixer.weights
+        self.sums, self.seen = np.zeros(GATES * INPUTS), 0.0
+
+    def over(self, made: Iterable[Piece]) -> Iterator[Piece]:
+        """The pieces of a block, each fitted on before it is passed on."""
+        self.mixer.weights, n = self.first, 0.0
+        for piece in made:
+            n += self.mixer.fit_piece(piece)
+            yield piece
+        self.sums += self.mixer.weights.reshape(-1).astype(np.float64) * n
+        self.seen += n
+
+
 def fitted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], tables: list[np.ndarray], which: int) -> tuple[np.ndarray, float]:
     """(weights times bits, bits): sums over blocks, each of which fits mixing weights on all its training documents of one half; tables are those of the other half."""
     sent = blocks.sparkSession.sparkContext.broadcast((code, tables))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, first = None, None
-        sums, bits_seen = np.zeros(GATES * INPUTS), 0.0
+        own = None
         for number, block in each_block(batches):
             lines = block.lines((block.folds != 1) & (half(number, len(block.sizes)) == which))
             if not lines:
                 continue
-            if own is None:
-                own = Mixer(Code.of(sent.value[0]), bits, sent.value[1])
-                first = own.weights
-            own.weights = first
-            n = float(own.fit(lines))
-            sums += own.weights.reshape(-1).astype(np.float64) * n
-            bits_seen += n
-        if bits_seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums), pa.array(np.full(len(sums), bits_seen))], names=["i", "w", "n"])
+            own = own or Fit(*sent.value, bits)
+            for _ in own.over(Piece(some, own.mixer.code, bits) for some in pieces(lines)):
+                pass
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.sums), dtype=np.int32)), pa.array(own.sums), pa.array(np.full(len(own.sums), own.seen))], names=["i", "w", "n"])
 
     out, total = np.zeros(GATES * INPUTS), 0.0
     for row in blocks.mapInArrow(fit, "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():  # GATES * INPUTS rows
@@ -724,6 +767,14 @@ def fitted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], tables: list[n
     return out.reshape(GATES, INPUTS), total
 
 
+def fitted_beside(counts: DataFrame) -> tuple[np.ndarray, float]:
+    """The same from what `counted` fitted: a row for each of its tasks, which are few."""
+    out = np.zeros(GATES * INPUTS + 1)
+    for row in counts.where(F.col("part") == FITTED).orderBy("task").toLocalIterator():
+        out += np.frombuffer(row["counts"])
+    return out[:-1].reshape(GATES, INPUTS), float(out[-1])
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
@@ -749,8 +800,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     code = whole_code.parts()
     # Few tasks, as each has tables of its own to add up.
     few = blocks.coalesce(tasks(spark, size, COUNTED_BYTES))
-    halves = [settle(counted(few, code, bits, which)) for which in (0, 1)]
-    fits = [fitted(few, code, bits, tables_of(halves[1 - which], whole_code, bits), which) for which in (0, 1)]
+    halves = [settle(counted(few, code, bits, 0))]
+    sent = spark.sparkContext.broadcast((code, tables_of(halves[0], whole_code, bits)))
+    both = settle(counted(few, code, bits, 1, sent))
+    sent.destroy()
+    halves.append(both.where(F.col("part") != FITTED))
+    fits = [fitted(few, code, bits, tables_of(halves[1], whole_code, bits), 0), fitted_beside(both)]
     fit_bits = sum(n for _, n in fits)
     weights = (sum(w for w, _ in fits) / fit_bits).astype(np.float32) if fit_bits else None
     tables = tables_of(halves[0].unionAll(halves[1]), whole_code, bits)

@@ -194,3 +194,25 @@ def test_weights_are_fitted_on_every_training_document(spark):
     fits = [lm.fitted(blocks, mixer.code.parts(), BITS, mixer.tables, which) for which in (0, 1)]
     assert all(n > want / 4 for _, n in fits) and sum(n for _, n in fits) == want
     assert all(np.abs(w / n - mixer.weights).max() > 0.01 for w, n in fits)
+
+
+def test_weights_fitted_beside_counts_are_the_same(spark):
+    rows = corpus(200, 6)
+    blocks = lm.blocks_of(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    mixer, _ = small_mixer()
+    code = mixer.code.parts()
+    sent = spark.sparkContext.broadcast((code, mixer.tables))
+    both = lm.counted(blocks, code, BITS, 1, sent)
+    (w, n), (want, bits) = lm.fitted_beside(both), lm.fitted(blocks, code, BITS, mixer.tables, 1)
+    assert n == bits > 0 and np.allclose(w, want, rtol=1e-12)
+    parts = lambda df: sorted((r["part"], lm.zstandard.ZstdDecompressor().decompress(bytes(r["counts"]))) for r in df.where(f"part <> {lm.FITTED}").collect())
+    assert parts(both) == parts(lm.counted(blocks, code, BITS, 1))
+
+
+def test_orders_are_stable_and_owners_repeat():
+    rng = np.random.default_rng(1)
+    for keys in (rng.integers(0, 50, 999), rng.integers(0, 1 << 63, 999), np.append(rng.integers(0, 1 << 63, 99), [5, 6, 5, 7])):
+        keys = keys.astype(np.uint64)
+        assert (lm.stable_order(keys) == np.argsort(keys, kind="stable")).all()
+    for length in (rng.integers(0, 4, 99), rng.integers(1, 4, 99)):
+        assert (lm.owners(length, np.cumsum(length)) == np.repeat(np.arange(99), length)).all()

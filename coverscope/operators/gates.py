@@ -19,7 +19,8 @@ def eligible_mentions(mentions: DataFrame, events: DataFrame, gates: Gates = Gat
 
     key_ord is the place of the pair's first eligible mention.
     """
-    located = last_of_event(events).where(F.col("geo").isNotNull()).select("event_id")
+    # Whether the last of an event has a place, and no more of it, so that it is summed by hash and what is shuffled is narrow.
+    located = events.groupBy("event_id").agg(F.max_by(F.col("geo").isNotNull(), "ord").alias("located")).where("located").select("event_id")
     passed = mentions.where((F.col("mention_type") == gates.mention_type) & (F.col("in_raw_text") == gates.in_raw_text) & (F.col("confidence") >= gates.minimum_confidence))
     return deduplicated_mentions(passed.join(located, "event_id", "left_semi"))
 

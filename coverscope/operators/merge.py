@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverscope.functions.text import collated, headline_key
+from coverscope.functions.text import collated, headline_key, headline_words, not_ascii
 from coverscope.operators.components import LOCAL_LINKS, connected_components
-from coverscope.runtime import first_by, settle
+from coverscope.runtime import by_hash, first_by, settle
 
 
 def evidence_keys(clusters: DataFrame, articles: DataFrame, locations: DataFrame) -> DataFrame:
@@ -15,7 +15,12 @@ def evidence_keys(clusters: DataFrame, articles: DataFrame, locations: DataFrame
 
     clusters: cluster_id, title. articles: cluster_id, canonical_url. locations: cluster_id, location_key, the primary ones.
     """
-    titled = clusters.select("cluster_id", headline_key(F.col("title")).alias("t")).where("t <> ''")
+    # Only titles that Python may change go there, and where there are none its workers aren't started.
+    title, other = F.col("title"), not_ascii(F.col("title"))
+    titled, rest = clusters.where(~other).select("cluster_id", headline_words(title).alias("t")), clusters.where(other)
+    if not rest.isEmpty():
+        titled = titled.unionAll(rest.select("cluster_id", headline_key(title).alias("t")))
+    titled = titled.where("t <> ''")
     by_place = titled.join(locations.select("cluster_id", "location_key"), "cluster_id").select("cluster_id", F.concat_ws("|", F.lit("location"), "t", "location_key").alias("key"))
     by_document = titled.join(articles.where("canonical_url <> ''").select("cluster_id", "canonical_url"), "cluster_id").select("cluster_id", F.concat_ws("|", F.lit("document"), "t", "canonical_url").alias("key"))
     return by_place.unionAll(by_document).distinct()
@@ -28,20 +33,21 @@ def merged_ids(clusters: DataFrame, articles: DataFrame, locations: DataFrame) -
     that of headlines and places, however many clusters each has. All that go by one are linked with it by their key, and of a key all that its clusters go by
     are linked with the least, so a key of many gives as many links as it has, not pairs, and no link is lost where a cluster has several places.
     """
+    clusters = settle(clusters.select("cluster_id", "title"))
     keys = settle(evidence_keys(clusters, articles, locations))
     placed = keys.where(F.col("key").startswith("location|"))
     least = placed.groupBy("key").agg(F.min("cluster_id").alias("v"))
-    by = settle(placed.join(least, "key").groupBy("cluster_id").agg(F.min("v").alias("v")))
-    held = keys.join(by, "cluster_id", "left").select(F.coalesce("v", "cluster_id").alias("u"), "key").distinct()
+    by = settle(placed.join(by_hash(least), "key").groupBy("cluster_id").agg(F.min("v").alias("v")))
+    held = keys.join(by_hash(by), "cluster_id", "left").select(F.coalesce("v", "cluster_id").alias("u"), "key").distinct()
     least = held.groupBy("key").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    links = held.join(least, "key").where("u <> v").select("u", "v")
+    links = held.join(by_hash(least), "key").where("u <> v").select("u", "v")
     labels = connected_components(links, LOCAL_LINKS).select(F.col("node").alias("v"), F.col("label").alias("merged_id"))
-    own = clusters.select("cluster_id").join(by, "cluster_id", "left").withColumn("v", F.coalesce("v", "cluster_id"))
-    return own.join(labels, "v", "left").select("cluster_id", F.coalesce("merged_id", "v").alias("merged_id"))
+    own = clusters.select("cluster_id").join(by_hash(by), "cluster_id", "left").withColumn("v", F.coalesce("v", "cluster_id"))
+    return own.join(by_hash(labels), "v", "left").select("cluster_id", F.coalesce("merged_id", "v").alias("merged_id"))
 
 
 def _renamed(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(ids, "cluster_id").withColumn("source_cluster_id", F.col("cluster_id")).withColumn("cluster_id", F.col("merged_id")).drop("merged_id")
+    return df.join(by_hash(ids), "cluster_id").withColumn("source_cluster_id", F.col("cluster_id")).withColumn("cluster_id", F.col("merged_id")).drop("merged_id")
 
 
 def merged_headers(clusters: DataFrame, ids: DataFrame) -> DataFrame:
@@ -50,13 +56,22 @@ def merged_headers(clusters: DataFrame, ids: DataFrame) -> DataFrame:
     return own.groupBy("cluster_id").agg(F.min_by("title", "source_cluster_id").alias("title"), F.min("first_observed_at").alias("first_observed_at"), F.max("last_observed_at").alias("last_observed_at"), F.count(F.lit(1)).alias("merged_from"))
 
 
-def merged_articles(articles: DataFrame, ids: DataFrame) -> DataFrame:
-    """Each article of a merged cluster once: the higher provider score, then the lesser URL; with its rank."""
+def distinct_articles(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each article of a merged cluster once: the higher provider score, then the lesser URL."""
     own = _renamed(articles, ids)
+    return first_by(own, ["cluster_id", "article_id"], [-F.coalesce("provider_score", F.lit(0.0)), collated(F.col("canonical_url")), F.col("source_cluster_id")])
+
+
+def ranked(articles: DataFrame) -> DataFrame:
+    """Articles of merged clusters with their rank."""
     score = F.coalesce("provider_score", F.lit(0.0))
-    kept = first_by(own, ["cluster_id", "article_id"], [-score, collated(F.col("canonical_url")), F.col("source_cluster_id")])
     order = Window.partitionBy("cluster_id").orderBy(score.desc(), F.col("published_at").desc_nulls_last(), collated(F.col("canonical_url")), "canonical_url")
-    return kept.withColumn("rank", F.row_number().over(order))
+    return articles.withColumn("rank", F.row_number().over(order))
+
+
+def merged_articles(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each article of a merged cluster once, with its rank."""
+    return ranked(distinct_articles(articles, ids))
 
 
 def merged_memberships(memberships: DataFrame, ids: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
+def by_hash(right: DataFrame) -> DataFrame:
+    """right, which has one row of each key, as what a join holds by hash: the other side, of many more rows, isn't sorted. A task holds its share of right's keys."""
+    return right.hint("shuffle_hash")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int, how: str = "inner") -> DataFrame:
     """left join right on keys, where one key may hold a great part of left: left's rows of a key go to `salts` places by spread, right's rows to each of them.
 

@@ -680,3 +680,12 @@ def test_values_that_should_be_unique_arent_held_before_they_are_dealt_out(spark
     found = constraints.violations({"t": table}, {"t": constraints.Table(("run_id",), ("n",))})
     assert [(r["constraint"], r["key"], r["n"]) for r in found.collect()] == [("unique run_id", "0", 1)]
     assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_only_titles_of_other_than_ascii_signs_go_to_python_for_merging(spark):
+    plan = lambda rows: merge.evidence_keys(spark.createDataFrame(rows, "cluster_id string, title string"), articles, places)._jdf.queryExecution().toString()
+    articles = spark.createDataFrame([("a", "u")], "cluster_id string, canonical_url string")
+    places = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "p"), ("d", "p")], "cluster_id string, location_key string")
+    assert "EvalPython" not in plan([("a", "Floods, again"), ("b", None)]) and "EvalPython" in plan([("a", "Été")])
+    clusters = spark.createDataFrame([("a", "Été 1"), ("b", "Été 1"), ("c", "ete 1"), ("d", None)], "cluster_id string, title string")
+    assert {tuple(r) for r in merge.merged_ids(clusters, articles, places).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}

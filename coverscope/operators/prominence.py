@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverscope.functions.numbers import clamp
+from coverscope.runtime import by_hash
 
 
 def region_key(country: Column, admin1: Column, location_id: Column) -> Column:
@@ -25,7 +26,7 @@ def regional_prominence(articles: DataFrame, regions: DataFrame) -> DataFrame:
     placed = outlets.join(regions, "cluster_id")
     by_outlet = placed.groupBy("region", "outlet_id").agg(F.sum("n").alias("outlet_articles"))
     corpus = by_outlet.groupBy("region").agg(F.sum("outlet_articles").alias("regional_articles"), F.count(F.lit(1)).alias("regional_outlets"))
-    shares = placed.join(by_outlet, ["region", "outlet_id"]).groupBy("cluster_id", "region").agg(
+    shares = placed.join(by_hash(by_outlet), ["region", "outlet_id"]).groupBy("cluster_id", "region").agg(
         F.sum("n").alias("article_count"), F.count(F.lit(1)).alias("outlet_count"), F.sum(F.col("n") / F.col("outlet_articles")).alias("_own")
     )
     out = shares.join(corpus, "region")

@@ -66,9 +66,9 @@ def ranked_clusters(headers: DataFrame, articles: DataFrame, most: int) -> DataF
 def assembled(clusters: DataFrame, articles: DataFrame, locations: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(clusters, articles, locations, prominence) after merging duplicates, ranking, the cap, and prominence over what the cap leaves."""
     ids = settle(merge.merged_ids(clusters, articles, locations))
-    headers, own, places = merge.merged_headers(clusters, ids), merge.merged_articles(articles, ids), merge.merged_locations(locations, ids)
+    headers, own, places = merge.merged_headers(clusters, ids), settle(merge.distinct_articles(articles, ids)), merge.merged_locations(locations, ids)
     kept = settle(ranked_clusters(headers, own, most))
-    own, places = own.join(kept.select("cluster_id"), "cluster_id", "left_semi"), places.join(kept.select("cluster_id"), "cluster_id", "left_semi")
+    own, places = merge.ranked(own.join(kept.select("cluster_id"), "cluster_id", "left_semi")), places.join(kept.select("cluster_id"), "cluster_id", "left_semi")
     regions = places.select("cluster_id", prominence.region_key(F.col("country"), F.col("admin1"), F.col("location_id")).alias("region"))
     return kept, own, places, prominence.regional_prominence(own, regions)
 

@@ -509,7 +509,7 @@ def _half(spark: SparkSession, sf_dir: str, every: DataFrame, old: bool) -> snap
     """The stories of events before a day, or from it on, as a snapshot."""
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     dated = A.events(spark, sf_dir).where(F.col("date_added") < cut if old else F.col("date_added") >= cut).select(F.col("event_id").alias("cluster_id"))
-    own = every.join(dated, "cluster_id", "left_semi")
+    own = settle(every.join(dated, "cluster_id", "left_semi"))
     name = F.col("document_id").cast("string")
     articles = own.select("cluster_id", name.alias("article_id"), name.alias("canonical_url"), "outlet_id", F.col("confidence").alias("provider_score"), F.col("mention_time").alias("published_at"))
     places = _regions(spark, sf_dir).join(own.select("cluster_id").distinct(), "cluster_id", "left_semi")

@@ -689,3 +689,15 @@ def test_only_titles_of_other_than_ascii_signs_go_to_python_for_merging(spark):
     assert "EvalPython" not in plan([("a", "Floods, again"), ("b", None)]) and "EvalPython" in plan([("a", "Été")])
     clusters = spark.createDataFrame([("a", "Été 1"), ("b", "Été 1"), ("c", "ete 1"), ("d", None)], "cluster_id string, title string")
     assert {tuple(r) for r in merge.merged_ids(clusters, articles, places).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+
+
+def test_articles_of_a_composed_snapshot_are_merged_once(spark):
+    from coverscope.plans.snapshot import assembled
+
+    clusters = spark.createDataFrame([(i, "t", i, i) for i in range(4)], "cluster_id long, title string, first_observed_at long, last_observed_at long")
+    articles = spark.createDataFrame([(i, f"a{i // 2}", f"u{i // 2}", i % 3, 0.5, i) for i in range(4)], "cluster_id long, article_id string, canonical_url string, outlet_id long, provider_score double, published_at long")
+    places = spark.createDataFrame([(i, "l", "l", "X", None, 1.0, ["e"]) for i in range(4)], "cluster_id long, location_id string, location_key string, country string, admin1 string, confidence double, evidence array<string>")
+    kept, own, _, shares = assembled(clusters, articles, places, 10)
+    assert "min_by(struct(canonical_url" not in shares._jdf.queryExecution().toString()
+    assert [(r["cluster_id"], r["article_id"], r["rank"]) for r in own.orderBy("rank").collect()] == [(0, "a1", 1), (0, "a0", 2)]
+    assert [(r["cluster_id"], r["article_count"]) for r in kept.collect()] == [(0, 2)]

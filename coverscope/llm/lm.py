@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ RATE = 0.12
 GATES, INPUTS = 48, 6
 #: Bytes of a block of documents that are handled together, and of a piece of it.
 BLOCK_BYTES, PIECE_BYTES = 8_000_000, 250_000
+#: Bits of a step by which weights are fitted, and how many sums there are of one: adding to the same one again and again waits each time for the last.
+FIT_BITS, LANES = 1 << 14, 4
 #: Bytes that have codes of their own after pairs of such bytes.
 COMMON = 40
 #: Bits after which a document first refines what the mix makes of each input; each later stretch is twice as long.
@@ -178,9 +180,13 @@ def prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixed_bits(h: np.ndarray, k: int, bits: int) -> np.ndarray:
-    """Hashes of contexts of predictor k as slots of 2**bits."""
-    h = (h + np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD)
-    return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int32)
+    """Hashes of contexts of predictor k as slots of 2**bits: the first bits of (m ^ (m >> 29)), which for up to 29 are those of m."""
+    m = h + np.uint64(k)
+    m *= np.uint64(0xFF51AFD7ED558CCD)
+    if bits > 29:
+        m ^= m >> np.uint64(29)
+    m >>= np.uint64(64 - bits)
+    return m.astype(np.int32)
 
 
 def node_hash(node: np.ndarray) -> np.ndarray:
@@ -198,9 +204,9 @@ def owners(length: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 def stable_order(keys: np.ndarray) -> np.ndarray:
-    """Indices that sort keys of 64 bits, equal ones in order: by their first 44 bits with the index behind them, if that tells different ones apart."""
-    if len(keys) < 1 << 20:
-        low = np.uint64((1 << 20) - 1)
+    """Indices that sort keys of 64 bits, equal ones in order: by their first 44 bits, or fewer of a million and more, with the index behind them, if that tells different ones apart."""
+    if len(keys) < 1 << 24:
+        low = np.uint64((1 << max(20, len(keys).bit_length())) - 1)
         joined = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
         order = (joined & low).astype(np.intp)
         if not (((joined[1:] ^ joined[:-1]) <= low) & (keys[order[1:]] != keys[order[:-1]])).any():
@@ -208,6 +214,17 @@ def stable_order(keys: np.ndarray) -> np.ndarray:
     return np.argsort(keys, kind="stable")
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of 64 bits, ascending, and of each key which of them it is."""
+    order = stable_order(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    at = np.empty(len(keys), np.intp)
+    at[order] = np.cumsum(new, dtype=np.intp) - 1
+    return ordered[new], at
+
+
 class Piece:
     """Some documents as bits, with the slots that each predictor has for them.
 
@@ -254,23 +271,27 @@ class Piece:
         step = np.cumsum(length, dtype=np.int32)
         total = int(step[-1])
         owner = owners(length, step)
-        flat = np.take((np.take(code.offset, key, mode="clip") - (step - length)).astype(np.intp), owner, mode="clip")
-        flat += np.arange(total)
-        taken = np.take(code.steps, flat, mode="clip")
+        # A byte's steps follow each other; from its last one to the first of the next byte that has any it's a jump.
+        some = slice(None) if length.all() else length > 0
+        offset, many = np.take(code.offset, key[some], mode="clip"), length[some]
+        flat = np.ones(total, np.int32)
+        flat[(step - length)[some]] = np.append(offset[:1], offset[1:] - offset[:-1] - many[:-1] + 1)
+        taken = np.take(code.steps, np.cumsum(flat, dtype=np.intp), mode="clip")
         node = taken >> 1
         self.bit = (taken & 1).astype(np.int8)
         pair = np.take(where << (NODES - 8), owner, mode="clip")
         pair |= node
         self.slots = [pair]
         salt = node_hash(node.astype(np.uint32))
+        salts = {size: (salt >> np.uint32(32 - size)).view(np.int32) for size in set(bits)}
         for k, (context, size) in enumerate(zip((eight >> np.uint64(32), prefix, joint), bits, strict=True)):
             # A context tells the bytes before that the code depends on, and so a node's number tells the node.
             h = np.take(mixed_bits(context, k, size), owner, mode="clip")
-            h ^= (salt >> np.uint32(32 - size)).view(np.int32)
+            h ^= salts[size]
             self.slots.append(h)
         self.keys = key[length > 0] if skips.any() else key
         self.part_bits = np.add.reduceat(length, starts)
-        counted = begins[place[begins] >= np.repeat(skips, sizes)[begins]]
+        counted = begins[place[begins] >= np.repeat(skips, sizes)[begins]] if skips.any() else begins
         self.unit_bits = (step - length)[counted]
         self._rest = code, x, where, begins, lengths, last, first, length, step, taken
 
@@ -343,6 +364,16 @@ def pieces(docs: list[bytes]) -> Iterator[list[tuple[bytes, int]]]:
         yield some
 
 
+def keep_freed() -> None:
+    """Lets this process keep some 60 MB that are freed, as the C library does once it has seen so large an array go; else all arrays of a piece are asked for and handed back anew."""
+    np.empty(30_000_000, np.uint8)
+
+
+def _sums(at: np.ndarray, x: np.ndarray | None) -> np.ndarray:
+    """Sums of x by gate (or how many there are), from those by lane and gate."""
+    return np.bincount(at, x, LANES * GATES).reshape(LANES, GATES).sum(axis=0)
+
+
 def levels(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """What a slot says, in 16 bits: the logit of its bit, in 1/256, and in the last two bits how much it has seen."""
     n = zeros + ones
@@ -376,10 +407,18 @@ class Mixer:
 
     def weighted(self, piece: Piece) -> np.ndarray:
         """What each input adds to the score of what each bit is (INPUTS x bits): weights by gate times what is said. Its sum is the mix."""
+        return self.for_ones(piece) * self.signs(piece)
+
+    @staticmethod
+    def signs(piece: Piece) -> np.ndarray:
+        """1 for a one and -1 for a zero."""
+        return (2 * piece.bit - 1).astype(np.float32)
+
+    def for_ones(self, piece: Piece) -> np.ndarray:
+        """What each input adds to the score of a one (INPUTS x bits)."""
         values, (where, says), gate = self.inputs(piece)
         columns = np.ascontiguousarray(self.weights.T)
         columns[1:-1] *= np.float32(0.25 / _EXACT)
-        sign = (2 * piece.bit - 1).astype(np.float32)
         out = np.empty((INPUTS, len(gate)), np.float32)
         np.take(columns[0], gate, out=out[0], mode="clip")
         for k, value in enumerate(values, 1):
@@ -387,7 +426,6 @@ class Mixer:
             out[k] *= value
         out[-1] = 0
         out[-1, where] = says * columns[-1][gate[where]]
-        out *= sign
         return out
 
     def fit(self, docs: list[bytes]) -> int:
@@ -395,23 +433,26 @@ class Mixer:
         return sum(self.fit_piece(Piece(some, self.code, self.bits)) for some in pieces(docs))
 
     def fit_piece(self, piece: Piece) -> int:
-        """The same of a piece, in stretches of bits."""
-        size = 1 << 14
+        """The same of a piece, by steps of FIT_BITS."""
         columns = np.ascontiguousarray(self.weights.T)
         values, (where, says), gate = self.inputs(piece)
         repeat = np.zeros(len(gate), np.float32)
         repeat[where] = says
-        for a in range(0, len(gate), size):
-            g = gate[a : a + size]
-            xs = [value[a : a + size] * np.float32(0.25 / _EXACT) for value in values] + [repeat[a : a + size]]
+        lane = np.arange(FIT_BITS) % LANES * GATES
+        for a in range(0, len(gate), FIT_BITS):
+            g = gate[a : a + FIT_BITS]
+            xs = [value[a : a + FIT_BITS] * np.float32(0.25 / _EXACT) for value in values] + [repeat[a : a + FIT_BITS]]
             score = np.take(columns[0], g, mode="clip")
             for x, column in zip(xs, columns[1:], strict=True):
-                score += x * np.take(column, g, mode="clip")
-            miss = piece.bit[a : a + size] - 1 / (1 + np.exp(-score.clip(-15, 15)))
-            step = RATE / (np.bincount(g, minlength=GATES) + 64.0)
-            columns[0] += step * np.bincount(g, miss, GATES)
+                said = np.take(column, g, mode="clip")
+                said *= x
+                score += said
+            miss = piece.bit[a : a + FIT_BITS] - 1 / (1 + np.exp(-score.clip(-15, 15)))
+            g = g + lane[: len(g)]
+            step = RATE / (_sums(g, None) + 64.0)
+            columns[0] += step * _sums(g, miss)
             for x, column in zip(xs, columns[1:], strict=True):
-                column += step * np.bincount(g, miss * x, GATES)
+                column += step * _sums(g, miss * x)
         self.weights = np.ascontiguousarray(columns.T)
         return len(gate)
 
@@ -426,7 +467,7 @@ class Mixer:
         costs, right = self.costs, self.right
         for some in pieces(docs):
             piece = Piece(some, self.code, self.bits)
-            said = self.weighted(piece)
+            said, signs = self.for_ones(piece), self.signs(piece)
             cost = np.empty(said.shape[1], np.float32)
             end = 0
             for size in piece.part_bits.tolist():
@@ -434,8 +475,9 @@ class Mixer:
                 factors, curve = np.ones(INPUTS, np.float32), np.eye(INPUTS, dtype=np.float32) * np.float32(HELD)
                 while at < end:
                     to = min(end, at + run)
-                    x = said[:, at:to]
+                    x, sign = said[:, at:to], signs[at:to]
                     index = (factors * np.float32(128)) @ x
+                    index *= sign
                     index += np.float32(2048.5)
                     index = index.astype(np.intp)
                     np.take(costs, index, out=cost[at:to], mode="clip")
@@ -443,6 +485,7 @@ class Mixer:
                         r = np.take(right, index, mode="clip")
                         wrong = 1 - r
                         r *= wrong
+                        wrong *= sign
                         curve += (x * r) @ x.T
                         factors = (factors + np.linalg.solve(curve, x @ wrong)).clip(0, 4)
                     at, run = to, run * 2
@@ -578,9 +621,10 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for number, block in each_block(batches):
             hashes, each = block.words()
-            keys, at = np.unique(hashes, return_inverse=True)
+            keys, at = distinct(hashes)
             train = np.bincount(at[np.repeat(block.folds != 1, each)], minlength=len(keys))
             for a in range(0, len(keys), 50_000):
                 n = min(50_000, len(keys) - a)
@@ -600,8 +644,8 @@ def word_counts(blocks: DataFrame) -> DataFrame:
     return own.mapInArrow(pack, "block long, seen binary, known long, n long")
 
 
-def triple_counts(docs: list[bytes]) -> np.ndarray:
-    """How often each byte follows each two (FOLDED ones); END stands before a document."""
+def triples(docs: Sequence[bytes]) -> np.ndarray:
+    """Each byte with the two before it (FOLDED ones), as a number; END stands before a document."""
     x = np.frombuffer(b"\n\n" + b"\n\n".join(docs), np.uint8)
     f = FOLDED.astype(np.int32)[x]
     # Of the two ENDs before a document only its own end is of a text.
@@ -610,7 +654,12 @@ def triple_counts(docs: list[bytes]) -> np.ndarray:
     keep = np.ones(len(number), bool)
     for back in (1, 2):
         keep[starts[1:] - back] = False
-    return np.bincount(number[keep], minlength=1 << 22)
+    return number[keep]
+
+
+def triple_counts(docs: Sequence[bytes]) -> np.ndarray:
+    """How often each byte follows each two (FOLDED ones)."""
+    return np.bincount(triples(docs), minlength=1 << 22)
 
 
 def _triple_counts(blocks: DataFrame) -> np.ndarray:
@@ -619,9 +668,8 @@ def _triple_counts(blocks: DataFrame) -> np.ndarray:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 22, np.int64)
         for _, block in each_block(batches):
-            lines = block.lines(block.folds != 1)
-            if lines:
-                total += triple_counts(lines)
+            for some in batched(block.lines(block.folds != 1), 16):
+                np.add.at(total, triples(some), np.int64(1))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
@@ -659,6 +707,7 @@ def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], which: int, t
     sizes, parts = _bins(Code.of(code), bits)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         own = Code.of(code)
         totals: list[np.ndarray] = []
         fit = Fit(*tables.value, bits) if tables else None
@@ -750,6 +799,7 @@ def fitted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], tables: list[n
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
+        keep_freed()
         for number, block in each_block(batches):
             lines = block.lines((block.folds != 1) & (half(number, len(block.sizes)) == which))
             if not lines:
@@ -813,6 +863,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
+        keep_freed()
         for batch in batches:
             for i in range(batch.num_rows):
                 own = own or Mixer(Code.of(sent.value[0]), bits, sent.value[1], sent.value[2])
@@ -827,7 +878,7 @@ def _scored_block(own: Mixer, row: dict, total: int, ends: int, floor: float) ->
     hashes, sizes = block.words()
     seen = np.empty(0)
     if row["seen"].is_valid:
-        seen = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["seen"].as_py()), np.int64)[np.unique(hashes, return_inverse=True)[1]]
+        seen = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["seen"].as_py()), np.int64)[distinct(hashes)[1]]
     elif len(hashes):
         raise RuntimeError("a block of documents has no counts")
     logs, end = np.log10(seen + 0.5), np.log10(ends + 0.5)

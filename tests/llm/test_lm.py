@@ -216,3 +216,54 @@ def test_orders_are_stable_and_owners_repeat():
         assert (lm.stable_order(keys) == np.argsort(keys, kind="stable")).all()
     for length in (rng.integers(0, 4, 99), rng.integers(1, 4, 99)):
         assert (lm.owners(length, np.cumsum(length)) == np.repeat(np.arange(99), length)).all()
+
+
+def test_distinct_is_as_unique():
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 50, 999), rng.integers(0, 1 << 63, 99), np.append(rng.integers(0, 1 << 20, (1 << 20) + 5) << 40, [5, 6, 5, 7]), np.empty(0)):
+        for got, want in zip(lm.distinct(keys.astype(np.uint64)), np.unique(keys.astype(np.uint64), return_inverse=True), strict=True):
+            assert (got == want).all()
+
+
+def test_steps_of_a_fit_are_as_by_plain_sums():
+    mixer, docs = small_mixer()
+    columns = mixer.weights.T.astype(np.float64)
+    for some in lm.pieces(docs):
+        piece = lm.Piece(some, mixer.code, BITS)
+        values, (where, says), gate = mixer.inputs(piece)
+        repeat = np.zeros(len(gate))
+        repeat[where] = says
+        x = np.array([np.ones(len(gate)), *[v / 4 / 256 for v in values], repeat])
+        for a in range(0, len(gate), 1 << 14):
+            g, xs = gate[a : a + (1 << 14)], x[:, a : a + (1 << 14)]
+            miss = piece.bit[a : a + (1 << 14)] - 1 / (1 + np.exp(-(xs * columns[:, g]).sum(axis=0)))
+            columns += lm.RATE * np.array([[(miss * row)[g == k].sum() for k in range(lm.GATES)] for row in xs]) / (np.bincount(g, minlength=lm.GATES) + 64.0)
+    mixer.fit(docs)
+    assert np.abs(mixer.weights - small_mixer()[0].weights).max() > 0.01 and np.allclose(mixer.weights, columns.T, atol=1e-4)
+
+
+def test_memory_of_pieces_is_kept():
+    """Making a piece again asks the system for next to no memory, in a process of its own as tasks have."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from coverscope.llm import lm
+docs = [b"some words of a text that is not short " * 50 + b"\\n" for _ in range(130)]
+code = lm.Code(lm.triple_counts(docs).astype(float).reshape(128, 128, 256))
+lm.keep_freed()
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+def again():
+    for some in lm.pieces(docs):
+        lm.Piece(some, code, (20, 21, 21))
+again()
+before = faults()
+for _ in range(5):
+    again()
+print(faults() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    faults = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=root).stdout)
+    assert faults < 2000

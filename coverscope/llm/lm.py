@@ -14,7 +14,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverscope.llm.common import partitions
+from coverscope.llm.common import partitions, tidy
 from coverscope.runtime import settle
 
 #: Predictors of hashed contexts: the last 4 bytes, the word so far, and that with the word before. For their tables the powers of two of slots at least
@@ -568,6 +568,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [pa.array([number]), pa.array([_rows(block, 0)], pa.list_(pa.int64())), pa.array([_rows(block, 1)], pa.list_(pa.int32())), pa.array([list(map(len, lines))], pa.list_(pa.int32())), pa.array([pack(b"".join(lines))], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "folds", "sizes", "data"])
             number += 1
+        tidy()
 
     return settle(source.mapInArrow(payload, BLOCKS))
 
@@ -629,6 +630,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
             for a in range(0, len(keys), 50_000):
                 n = min(50_000, len(keys) - a)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(keys[a : a + n].view(np.int64)), pa.array(train[a : a + n])], names=["block", "key", "n"])
+        tidy()
 
     rows = blocks.mapInArrow(words, "block long, key long, n long")
     # A word's rows are at most as many as there are blocks, and are spilled where they don't fit.
@@ -672,6 +674,8 @@ def _triple_counts(blocks: DataFrame) -> np.ndarray:
                 np.add.at(total, triples(some), np.int64(1))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+        del total
+        tidy()
 
     out = np.zeros(1 << 22)
     # Some tens of thousands of kinds of triples, four million at the very most.
@@ -729,6 +733,8 @@ def counted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], which: int, t
             some_parts = [(j, totals[k][a : a + 2 * PART]) for j, (k, a) in list(enumerate(parts))[i : i + 16]]
             some_parts = [(j, x) for j, x in some_parts if x.any()]
             yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in some_parts], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(some_parts), pa.int32()), pa.array([pack(x.tobytes()) for _, x in some_parts], pa.binary())], names=["part", "task", "counts"])
+        del totals
+        tidy()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -809,6 +815,7 @@ def fitted(blocks: DataFrame, code: tuple, bits: tuple[int, ...], tables: list[n
                 pass
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.sums), dtype=np.int32)), pa.array(own.sums), pa.array(np.full(len(own.sums), own.seen))], names=["i", "w", "n"])
+        tidy()
 
     out, total = np.zeros(GATES * INPUTS), 0.0
     for row in blocks.mapInArrow(fit, "i int, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():  # GATES * INPUTS rows
@@ -868,6 +875,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for i in range(batch.num_rows):
                 own = own or Mixer(Code.of(sent.value[0]), bits, sent.value[1], sent.value[2])
                 yield _scored_block(own, {c: batch.column(c)[i] for c in batch.schema.names}, total, ends, floor)
+        tidy()
 
     joined = blocks.join(counts.select("block", "seen"), "block", "left")
     return joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -301,10 +301,10 @@ from pl2 join so using (region_code) group by region_code
 """
 
 
-def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(clusters, locations, articles) with the columns of the serving tables."""
+def _served(spark: SparkSession, sf_dir: str, in_order: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, locations, articles) with the columns of the serving tables. in_order: as for regional_prominence."""
     own, regions = settle(_articles(spark, sf_dir)), settle(_regions(spark, sf_dir))
-    primary = prominence.primary_prominence(prominence.regional_prominence(own, regions), regions)
+    primary = prominence.primary_prominence(prominence.regional_prominence(own, regions, in_order), regions)
     clusters = _clusters(own, regions).join(primary, "cluster_id", "left").withColumn("raw_article_count", F.col("article_count")).withColumn("normalized_prominence", F.coalesce("normalized_prominence", F.lit(0.0)))
     none = F.lit(None).cast("string")
     locations = settle(_places(spark, sf_dir)).select("*", F.col("location_id").alias("label"), F.lit("country").alias("granularity"), none.alias("country_code"), F.lit("a").alias("evidence_article_id"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
@@ -348,9 +348,9 @@ one as (select cluster_id, region_code from lo where cluster_id in (select clust
 select region_code as region, row_number() over (partition by region_code order by coalesce(score, 0) desc, cl.article_count desc, cluster_id desc) as rank, cluster_id, cl.article_count as raw from one join cl using (cluster_id) left join pr using (cluster_id)
 """)
 def region_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters, locations, articles = _served(spark, sf_dir)
+    clusters, locations, articles = _served(spark, sf_dir, in_order=True)
     stories, _ = serving.intelligence(clusters.drop("outlet_count"), locations, articles, "7d", _SEEN)
-    own = stories.select("cluster_id", F.col("raw_article_count").alias("raw"), F.round("normalized_prominence", 15).alias("normalized"))
+    own = stories.select("cluster_id", F.col("raw_article_count").alias("raw"), F.col("normalized_prominence").alias("normalized"))
     return signals.region_stories(own, locations.withColumn("region", F.col("region_code"))).select("region", "rank", "cluster_id", "raw")
 
 

@@ -17,10 +17,19 @@ def clamp(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+def shared(a: Column, b: Column) -> Column:
+    """How many elements two sets share."""
+    return F.size(F.array_intersect(a, b))
+
+
+def share(shared: Column, sizes: Column) -> Column:
+    """Shared over all elements of two sets, whose sizes come to `sizes`; 0 of two empty ones."""
+    return F.coalesce(shared / F.nullif(sizes - shared, F.lit(0)), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all elements of two sets; 0 of two empty ones."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.coalesce(shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0)), F.lit(0.0))
+    return share(shared(a, b), F.size(a) + F.size(b))
 
 
 def jaccard_if_any(a: Column, b: Column) -> Column:
@@ -37,28 +46,36 @@ def time_similarity(a: Column, b: Column) -> Column:
     return F.exp(-seconds_between(a, b) / 3600 / 36)
 
 
+def weighted_sums(parts: dict[str, Column], total: Column | None = None, weight: Column | None = None) -> tuple[Column, Column]:
+    """(total, weight): the parts that aren't null times their weights, and their weights, added one after another to what there is. parts: by the names of WEIGHTS."""
+    total, weight = F.lit(0.0) if total is None else total, F.lit(0.0) if weight is None else weight
+    for k, x in parts.items():
+        total, weight = total + F.coalesce(clamp(x) * WEIGHTS[k], F.lit(0.0)), weight + F.when(x.isNotNull(), WEIGHTS[k]).otherwise(0.0)
+    return total, weight
+
+
+def weighted_mean(total: Column, weight: Column) -> Column:
+    return clamp(F.coalesce(total / F.nullif(weight, F.lit(0.0)), F.lit(0.0)))
+
+
 def weighted_score(parts: dict[str, Column]) -> Column:
     """The weighted mean of the parts that aren't null; 0 of none. parts: by the names of WEIGHTS."""
-    total = sum((F.when(x.isNotNull(), clamp(x) * WEIGHTS[k]).otherwise(0.0) for k, x in parts.items()), F.lit(0.0))
-    weight = sum((F.when(x.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, x in parts.items()), F.lit(0.0))
-    return clamp(F.coalesce(total / F.nullif(weight, F.lit(0.0)), F.lit(0.0)))
+    return weighted_mean(*weighted_sums(parts))
 
 
 # From how much on a part is a reason, and in which words.
 REASONS = {"title": (0.45, "title token overlap %.2f"), "entities": (0.35, "named-entity overlap %.2f"), "time": (0.7, "publication times are close (%.2f)"), "location": (None, "shared event-location evidence %.2f"), "semantic": (0.65, "semantic similarity %.2f")}
 
 
-def reason(name: str, part: Column) -> Column:
-    """What a part of a score says in words, or null if it is too little."""
-    least, text = REASONS[name]
-    return F.when(part > 0 if least is None else part >= least, F.format_string(text, part))
+def said(parts: dict[str, Column]) -> list[Column]:
+    """What each part of a score says in words, as an array of one text, or of none if it is too little, in the order of REASONS."""
+    texts = [(parts[k], least, text) for k, (least, text) in REASONS.items() if k in parts]
+    return [F.when(x > 0 if least is None else x >= least, F.array(F.format_string(text, x))).otherwise(F.array().cast("array<string>")) for x, least, text in texts]
 
 
-def score_reasons(said: dict[str, Column], score: Column) -> Column:
-    """What a score rests on, in words. said: the parts' reasons."""
-    each = [said[k] for k in REASONS if k in said]
-    none = F.coalesce(*each).isNull()
-    return F.when(none, F.array(F.format_string("weighted similarity %.2f", score))).otherwise(F.array_compact(F.array(*each)))
+def score_reasons(reasons: Column, score: Column) -> Column:
+    """What a score rests on, in words: the reasons of its parts, or the score itself if there is none."""
+    return F.when(F.size(reasons) == 0, F.array(F.format_string("weighted similarity %.2f", score))).otherwise(reasons)
 
 
 def match_confidence(field: Column, kind: Column, ambiguity: Column) -> Column:

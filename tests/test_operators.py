@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -656,6 +658,54 @@ def test_pairs_of_many_copies_arent_shuffled_and_have_many_tasks(spark, monkeypa
     assert {(r["a"], r["b"], r["score"], tuple(r["reasons"])) for r in clustering.scored_pairs(articles_of(spark, rows)).collect()} == {(r["a"], r["b"], r["score"], tuple(r["reasons"])) for r in own.collect()}
 
 
+def test_pairs_are_scored_in_methods_that_the_jvm_compiles(spark, capsys):
+    rows = [article(f"{i:03}", "Flood hits the old river town", i) for i in range(9)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is the last one
+    try:
+        for own in (articles_of(spark, rows), articles_of(spark, rows).withColumn("location_ids", F.array("article_id"))):
+            clustering.scored_pairs(own).explain("codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_names_alone_make_no_link_beyond_a_bucket_of_time(spark):
+    rows = [article("a1", "Rescue boats leave harbour Flood", 0), article("a2", "Rescue boats leave harbour Flood", 60 * 24 * 60), article("b1", "Flood money boats never arrives", 30 * 24 * 60)]
+    own = clustering._profile(articles_of(spark, rows), lambda title, _: F.array(F.lit("flood")))
+    assert clustering._near_variants(own, *clustering._variants(own), 0.5, False).count() == 0
+    assert {(r["a"], r["b"]) for r in clustering.scored_pairs(articles_of(spark, rows), extractor=lambda title, _: F.array(F.lit("flood"))).collect()} == {("a1", "a2")}
+
+
+def test_scored_pairs_lose_none_of_all_pairs(spark):
+    from coverscope.functions import numbers as N
+    from coverscope.functions import text as X
+
+    random.seed(5)
+    rows = []
+    for i in range(150):
+        words = [w.title() if random.random() < 0.3 else w for w in random.sample("flood quake river town bridge harbour museum hall boats money storm paris".split(), random.randint(2, 7))]
+        at = None if i % 10 == 0 else T0 + timedelta(minutes=random.randint(0, 30 * 24 * 60))
+        rows.append((f"{i:03}", " ".join(words), at))
+    own = spark.createDataFrame(rows, "article_id string, title string, published_at timestamp").withColumn("retrieved_at", F.col("published_at"))
+    placed = own.withColumn("location_ids", F.when(F.col("article_id").endswith("3"), F.array(F.lit("p"))).otherwise(F.array().cast("array<string>")))
+    for articles in (own.where("published_at is not null"), own, placed):
+        profile = {r["article_id"]: r for r in clustering._profile(articles, X.entities).collect()}
+        share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
+        want = {}
+        for a, b in itertools.combinations(sorted(profile), 2):
+            x, y = profile[a], profile[b]
+            parts = {"title": share(x["tokens"], y["tokens"]), "entities": share(x["names"], y["names"]) if x["names"] and y["names"] else None}
+            parts["time"] = math.exp(-abs((x["at"] - y["at"]).total_seconds()) / 3600 / 36) if x["at"] and y["at"] else None
+            parts["location"] = share(x["places"], y["places"]) if x["places"] and y["places"] else None
+            known = {k: v for k, v in parts.items() if v is not None}
+            score = sum(v * N.WEIGHTS[k] for k, v in known.items()) / sum(N.WEIGHTS[k] for k in known)
+            if score >= 0.5:
+                want[a, b] = round(score, 6)
+        got = {(r["a"], r["b"]): round(r["score"], 6) for r in clustering.scored_pairs(articles).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want) and len(want) > 100
+
+
 def test_matches_of_one_alias_are_dealt_out(spark):
     texts = spark.createDataFrame([(str(i), "o", "u", "summary", "in the town of the river") for i in range(400)], "article_id string, outlet_id string, url string, field string, text string")
     names = spark.createDataFrame([("the", 1, "city")], "alias string, place_id long, kind string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,15 +69,26 @@ def weighted_score(parts: dict[str, Column]) -> Column:
 REASONS = {"title": (0.45, "title token overlap %.2f"), "entities": (0.35, "named-entity overlap %.2f"), "time": (0.7, "publication times are close (%.2f)"), "location": (None, "shared event-location evidence %.2f"), "semantic": (0.65, "semantic similarity %.2f")}
 
 
-def said(parts: dict[str, Column]) -> list[Column]:
-    """What each part of a score says in words, as an array of one text, or of none if it is too little, in the order of REASONS."""
-    texts = [(parts[k], least, text) for k, (least, text) in REASONS.items() if k in parts]
-    return [F.when(x > 0 if least is None else x >= least, F.array(F.format_string(text, x))).otherwise(F.array().cast("array<string>")) for x, least, text in texts]
+def _reaches(name: str, part: Column) -> Column:
+    least = REASONS[name][0]
+    return F.coalesce(part > 0 if least is None else part >= least, F.lit(False))
+
+
+def said(parts: dict[str, Column]) -> Column:
+    """What the parts of a score that are enough for a reason say in words, in the order of REASONS."""
+    each = [F.when(_reaches(k, parts[k]), F.array(F.format_string(text, parts[k]))).otherwise(F.array().cast("array<string>")) for k, (_, text) in REASONS.items() if k in parts]
+    return F.concat(*each)
+
+
+def score_reasons(first: Column, parts: dict[str, Column], score: Column) -> Column:
+    """What a score rests on, in words: the reasons that are known and those of other parts, or the score itself if there is none."""
+    more = functools.reduce(Column.__or__, [_reaches(k, x) for k, x in parts.items()])
+    return F.when(more, F.concat(first, said(parts))).when(F.size(first) == 0, F.array(F.format_string("weighted similarity %.2f", score))).otherwise(first)
 
 
-def score_reasons(reasons: Column, score: Column) -> Column:
-    """What a score rests on, in words: the reasons of its parts, or the score itself if there is none."""
-    return F.when(F.size(reasons) == 0, F.array(F.format_string("weighted similarity %.2f", score))).otherwise(reasons)
+def rounded(x: Column, places: int) -> Column:
+    """A number from 0 on that is rounded as floating-point numbers are, without a decimal number of each."""
+    return F.floor(x * F.lit(10.0**places) + 0.5) / F.lit(10.0**places)
 
 
 def match_confidence(field: Column, kind: Column, ambiguity: Column) -> Column:

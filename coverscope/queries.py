@@ -449,7 +449,7 @@ from scored where score >= 0.5
 """)
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = clustering.scored_pairs(_page_articles(spark, sf_dir))
-    return own.select("a", "b", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+    return own.select("a", "b", N.rounded(F.col("score"), 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 # One article after another, each with its scores with all before it; the groups so far are a list.
